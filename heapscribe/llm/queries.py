@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from .fmindex import op6_decontaminate
+from .jaccard import op5_jaccard
+from .mixing import op2_mixing
+from .quality import op3_quality
 from .tiff import op1_tiff
 from .tokens import op9_tokens
+from .warc import op10_warc
 
-QUERIES = {"op1_tiff": op1_tiff, "op9_tokens": op9_tokens}
+QUERIES = {"op1_tiff": op1_tiff, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op5_jaccard": op5_jaccard, "op6_decontaminate": op6_decontaminate, "op9_tokens": op9_tokens, "op10_warc": op10_warc}
 
 ORACLE_SQL: dict[str, str] = {}
