@@ -239,23 +239,36 @@ def checked(tiles: DataFrame, num: int, den: int) -> DataFrame:
     return tiles.select("grp", "i", "j", "side", "node", "shingles").mapInArrow(run, "a long, b long")
 
 
-def candidate_sets(docs: DataFrame, candidates: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of candidate nodes. A filter of fixed size spares the others' shuffle; an exact join follows."""
-    words = candidates.select(F.expr(f"shiftrightunsigned(node, 40) & {FILTER_WORDS - 1}").cast("int").alias("w"), F.expr("shiftleft(1L, cast(node & 63 AS int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+def node_filter(nodes: DataFrame) -> np.ndarray:
+    """A bit set of fixed size that holds all of `nodes` (column node) and a few others by chance."""
+    words = nodes.select(F.expr(f"shiftrightunsigned(node, 40) & {FILTER_WORDS - 1}").cast("int").alias("w"), F.expr("shiftleft(1L, cast(node & 63 AS int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
     bits = np.zeros(FILTER_WORDS, np.int64)
     got = words.toArrow()
     bits[got["w"].to_numpy()] = got["bits"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def filtered(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Which of the nodes (signed longs) may be in the filter."""
+    x = nodes.view(U)
+    return (bits[(x >> U(40) & U(FILTER_WORDS - 1)).astype(np.int64)].view(U) >> (x & U(63)) & U(1)) == 1
+
+
+def candidate_sets(docs: DataFrame, candidates: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of candidate nodes. A filter of fixed size spares the others' shuffle; an exact join follows."""
+    shared = docs.sparkSession.sparkContext.broadcast(node_filter(candidates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, filter_ = set(), shared.value
+        seen = set()
         for batch in batches_of_bytes(batches, "_text", 4 << 20):
+            sets = [x for x in shingle_sets(batch.column(0), size) if len(x)]
+            ids = np.array([digest(x) for x in sets], np.int64)
             nodes, raw = [], []
-            for x in shingle_sets(batch.column(0), size):
-                if len(x) and (node := digest(x)) not in seen and int(filter_[(node & (1 << 64) - 1) >> 40 & FILTER_WORDS - 1]) >> (node & 63) & 1:
+            for i in np.flatnonzero(filtered(shared.value, ids)).tolist():
+                if (node := int(ids[i])) not in seen:
                     seen.add(node)
                     nodes.append(node)
-                    raw.append(x.tobytes())
+                    raw.append(sets[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(raw, pa.binary())], names=["node", "shingles"])
 
     return docs.select(F.col("text").alias("_text")).mapInArrow(run, "node long, shingles binary")

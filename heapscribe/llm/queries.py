@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fmindex import op6_decontaminate
 from .jaccard import op5_jaccard
+from .lines import op7_lines
 from .mixing import op2_mixing
 from .pii import op8_pii
 from .quality import op3_quality
@@ -11,6 +12,6 @@ from .tiff import op1_tiff
 from .tokens import op9_tokens
 from .warc import op10_warc
 
-QUERIES = {"op1_tiff": op1_tiff, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op5_jaccard": op5_jaccard, "op6_decontaminate": op6_decontaminate, "op8_pii": op8_pii, "op9_tokens": op9_tokens, "op10_warc": op10_warc}
+QUERIES = {"op1_tiff": op1_tiff, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op5_jaccard": op5_jaccard, "op6_decontaminate": op6_decontaminate, "op7_lines": op7_lines, "op8_pii": op8_pii, "op9_tokens": op9_tokens, "op10_warc": op10_warc}
 
 ORACLE_SQL: dict[str, str] = {}
