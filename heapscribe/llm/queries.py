@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import chat
+from .chat import op4_chat
 from .fmindex import op6_decontaminate
 from .jaccard import op5_jaccard
 from .lines import op7_lines
@@ -12,6 +14,17 @@ from .tiff import op1_tiff
 from .tokens import op9_tokens
 from .warc import op10_warc
 
-QUERIES = {"op1_tiff": op1_tiff, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op5_jaccard": op5_jaccard, "op6_decontaminate": op6_decontaminate, "op7_lines": op7_lines, "op8_pii": op8_pii, "op9_tokens": op9_tokens, "op10_warc": op10_warc}
+QUERIES = {
+    "op1_tiff": op1_tiff,
+    "op2_mixing": op2_mixing,
+    "op3_quality": op3_quality,
+    "op4_chat": op4_chat,
+    "op5_jaccard": op5_jaccard,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_lines": op7_lines,
+    "op8_pii": op8_pii,
+    "op9_tokens": op9_tokens,
+    "op10_warc": op10_warc,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE}
