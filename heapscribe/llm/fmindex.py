@@ -219,12 +219,12 @@ class Shard:
 
 
 def search(docs: DataFrame, windows: Windows, text: str = "text") -> DataFrame:
-    """Adds n_words, _spans (merged word spans) and _items to docs, or joins them to those that a former block has found."""
-    plain = [c for c in docs.columns if c not in ("n_words", "_spans", "_items")]
-    former = len(plain) < len(docs.columns)
+    """Adds _words, _spans (merged word spans) and _items to docs, or joins them to those that a former block has found."""
+    plain = [c for c in docs.columns if c not in ("_words", "_spans", "_items")]
+    former = "_spans" in docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(windows)
     at = plain.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in plain) + ", n_words long, _spans array<struct<a:int,b:int>>, _items array<long>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in plain) + ", _words long, _spans array<struct<a:int,b:int>>, _items array<long>"
     span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +241,7 @@ def search(docs: DataFrame, windows: Windows, text: str = "text") -> DataFrame:
                     s = [x + [(q["a"], q["b"]) for q in old] for x, old in zip(s, batch.column("_spans").to_pylist(), strict=True)]
                     i = [x | set(old) for x, old in zip(i, batch.column("_items").to_pylist(), strict=True)]
                 s = [[{"a": a, "b": b} for a, b in _merged(np.array(x, np.int64).reshape(-1, 2)).tolist()] for x in s]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in plain], pa.array(n_words), pa.array(s, span), pa.array([sorted(y for y in x if y is not None) for x in i], pa.list_(pa.int64()))], names=[*plain, "n_words", "_spans", "_items"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in plain], pa.array(n_words), pa.array(s, span), pa.array([sorted(y for y in x if y is not None) for x in i], pa.list_(pa.int64()))], names=[*plain, "_words", "_spans", "_items"])
                 first += batch.num_rows
             shard.reset()
             waiting, docs_in, bytes_in = [], 0, 0
@@ -261,14 +261,14 @@ def search(docs: DataFrame, windows: Windows, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Adds to docs: n_words, removal_spans (merged word spans that benchmark windows cover), n_hit, items (ids found), contaminated (n_hit at least `percent` per cent of the words)."""
-    found = docs
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, block_windows: int = BLOCK_WINDOWS, text: str = "text") -> DataFrame:
+    """Adds to docs, in place of columns of these names: n_words, removal_spans (merged word spans that benchmark windows cover), n_hit, items (ids found), contaminated (n_hit at least `percent` per cent of the words)."""
+    found = docs.drop("_words", "_spans", "_items", "n_words", "removal_spans", "n_hit", "items", "contaminated")
     blocks = blocks_of(windows_of(benchmark, window), block_windows)
     for k, block in enumerate(blocks):
-        found = search(found if not k else materialize(found, "searched"), block)
+        found = search(found if not k else materialize(found, "searched"), block, text)
     n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda x, s: x + s["b"] - s["a"])
-    out = found.withColumn("n_hit", n_hit).withColumnsRenamed({"_spans": "removal_spans", "_items": "items"})
+    out = found.withColumn("n_hit", n_hit).withColumnsRenamed({"_words": "n_words", "_spans": "removal_spans", "_items": "items"})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent))
 
 

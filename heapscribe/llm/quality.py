@@ -135,15 +135,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     return fit(x, got["label"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds the column score to all columns of docs; the model (a few MB, bounded) is broadcast."""
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """Adds the column `out` to docs, in place of one of that name; the model (a few MB, bounded) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*docs.columns, "score"]
-    at = names.index("text")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, score double"
+    docs = docs.drop(out)
+    names = [*docs.columns, out]
+    at = names.index(text)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{out}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of_bytes(batches, "text", 1 << 20):
+        for batch in batches_of_bytes(batches, text, 1 << 20):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(terms(batch.column(at))))], names=names)
 
     return docs.mapInArrow(run, schema)

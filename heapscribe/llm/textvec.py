@@ -126,7 +126,7 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
             for k, h in enumerate(w.hash[a:b]):
                 with np.errstate(over="ignore"):
                     short = short + h * _ABC[k % 4] * U(2 * (k // 4) + 1)
-            out.append(mix(np.array([short * _ABC[4]], U)))
+            out.append(mix(np.array([short], U) * _ABC[4]))
         else:
             out.append(np.zeros(0, U))
     return out
