@@ -18,17 +18,17 @@ from heapscribe.llm.common import load, materialize
 
 def _hidden(docs: DataFrame) -> DataFrame:
     """Columns under names that no operator adds."""
-    return docs.select(*[F.col(f"`{c}`").alias(f"d.{c}") for c in docs.columns])
+    return docs.select(*[F.col(f"`{c}`").alias(f"d_{c}") for c in docs.columns])
 
 
 def _shown(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.select(*[F.col(f"`d.{c}`").alias(c) for c in docs.columns])
+    return rows.select(*[F.col(f"`d_{c}`").alias(c) for c in docs.columns])
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality classifier doesn't reject."""
     model = quality.learn(docs, load(spark, sf_dir, "labels"))
-    return _shown(quality.score(_hidden(docs), model, text="d.text").where(F.col("score") >= quality.THRESHOLD), docs)
+    return _shown(quality.score(_hidden(docs), model, text="d_text").where(F.col("score") >= quality.THRESHOLD), docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the benchmark contaminates."""
-    found = fmindex.decontaminate(_hidden(docs), load(spark, sf_dir, "benchmark"), text="d.text")
+    found = fmindex.decontaminate(_hidden(docs), load(spark, sf_dir, "benchmark"), text="d_text")
     return _shown(found.where(~F.col("contaminated")), docs)
 
 
