@@ -15,6 +15,9 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of sf_dir. Texts can be long, so where the session has Spark's default, Arrow batches get fewer rows."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -40,12 +43,12 @@ def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def batches_of_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that one holds about `limit` bytes of `column` (at least one row)."""
+def batches_of_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that one holds about `limit` bytes of `column` (at least one row) and at most `rows` rows."""
     for batch in batches:
         at, total = 0, batch.num_rows
         size = batch.column(batch.schema.get_field_index(column)).nbytes
-        step = max(1, int(total * limit / max(size, 1)))
+        step = min(rows, max(1, int(total * limit / max(size, 1))))
         while at < total:
             yield batch.slice(at, min(step, total - at))
             at += step

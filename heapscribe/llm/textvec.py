@@ -58,6 +58,21 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def piece_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """64-bit hashes of byte ranges that ascend and don't overlap; case matters."""
+    out = np.empty(len(start), U)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + step, "right")))
+        low, high = start[at], end[to - 1]
+        sums = np.zeros(high - low + 1, U)
+        np.cumsum(_BYTE[data[low:high]] * _power(_BASE, high - low), out=sums[1:])
+        a, b = start[at:to] - low, end[at:to] - low
+        out[at:to] = mix((sums[b] - sums[a]) * _power(_INVERSE, high - low)[a] + (b - a).astype(U) * _ABC[5])
+        at = to
+    return out
+
+
 @dataclass
 class Words:
     """Words of some documents: first word of each document (len docs + 1), hash, byte range in the buffer."""

@@ -13,6 +13,7 @@ Repeated rows keep their own entries, in no fixed order among equal doc_ids with
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches_of_bytes, load, scratch_path
+from .textvec import piece_hashes, strings
 
 END_ID = 2
 SPECIAL = "<|endoftext|>"  # fixed value of the vocabulary
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 def default_vocabulary() -> str:
@@ -37,61 +39,100 @@ def default_vocabulary() -> str:
 class Encoder:
     """Encodes texts with the tokenizers library, once per distinct word.
 
-    The vocabulary's pre-tokenizer always cuts before a space that a printable ASCII or
-    Latin character follows, so such pieces can be encoded one by one and remembered
-    (the memory is bounded and starts anew when full). A text with a special token's
-    string is encoded whole.
+    The vocabulary's pre-tokenizer always cuts before a space that a visible character
+    follows, so texts are cut there (where that character is ASCII or Latin), pieces are
+    known by 64-bit hashes of their bytes, and each distinct piece is encoded once and
+    remembered (the memory is bounded and starts anew when full). New pieces are encoded
+    in long strings and told apart by the tokens' byte lengths. A text with a special
+    token's string is encoded whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; a pool of threads in each would only cost memory
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), cache
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # a byte-level vocabulary spells each byte as one character
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.starts = np.zeros(0, np.int64)
-
-    def learn(self, pieces: set[str]) -> None:
-        new = sorted(pieces)
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, ids), np.int64, len(ids))])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32)])
-        self.starts = np.cumsum(self.lengths) - self.lengths
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Text cut before such spaces; every piece but the first begins with its space."""
-        parts = text.split(" ")
-        out = parts[:1]
-        for p in parts[1:]:
-            if p and ("!" <= p[0] <= "~" or "¡" <= p[0] <= "ɏ"):
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return out
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [None if SPECIAL in t else self.pieces(t) for t in texts]
-        new = {p for x in cut if x for p in x} - self.index.keys()
-        if len(self.index) + len(new) > self.limit:
+        self.known, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.int32)
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        """Adds pieces that aren't known."""
+        spaced = np.array([x[:1] == b" " and x[1:2] > b" " for x in pieces], bool)
+        ids, counts = [], np.zeros(len(pieces), np.int64)
+        inner = np.flatnonzero(spaced)
+        for at in range(0, len(inner), 1000):
+            group = inner[at : at + 1000]
+            (found,) = self.encode_all([b"".join([pieces[i] for i in group]).decode()])
+            found = np.array(found, np.int32)
+            token_start = np.cumsum(self.bytes_of[found]) - self.bytes_of[found]
+            ends = np.cumsum([len(pieces[i]) for i in group])
+            counts[group] = np.bincount(np.searchsorted(ends, token_start, "right"), minlength=len(group))
+            ids.append(found)
+        single = np.flatnonzero(~spaced)
+        for at in range(0, len(single), 1000):
+            for i, x in zip(single[at : at + 1000], self.encode_all([pieces[i].decode() for i in single[at : at + 1000]]), strict=True):
+                counts[i] = len(x)
+                ids.append(np.array(x, np.int32))
+        order = np.concatenate([inner, single])
+        starts = np.zeros(len(pieces), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order] + len(self.flat)
+        self.flat = np.concatenate([self.flat, *ids])
+        merged = np.argsort(np.concatenate([self.known, hashes]), kind="stable")
+        self.known = np.concatenate([self.known, hashes])[merged]
+        self.start = np.concatenate([self.start, starts])[merged]
+        self.length = np.concatenate([self.length, counts.astype(np.int32)])[merged]
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and the number of ids of each text."""
+        data, off = strings(column)
+        n = len(off) - 1
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(n, np.int64)
+        raw = data.tobytes()
+        cut = np.zeros(len(data) + 1, bool)
+        visible = (data[1:] > 0x20) & (data[1:] < 0x7F) | (data[1:] >= 0xC3) & (data[1:] <= 0xC8)
+        cut[:-2] = (data[:-1] == 0x20) & visible
+        # A space that ends one text isn't followed by the next text's first character.
+        cut[off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(data))] - 1] = False
+        cut[off] = True
+        cut[len(data)] = False
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(data))
+        h = piece_hashes(data, start, end)
+        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != distinct[inside]
+        if len(self.known) + new.sum() > self.limit and len(self.known):
             self.reset()
-            new = {p for x in cut if x for p in x}
-        if new:
-            self.learn(new)
-        out = []
-        for text, x in zip(texts, cut, strict=True):
-            if x is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32))
-                continue
-            at = np.fromiter(map(self.index.__getitem__, x), np.int64, len(x))
-            n, start = self.lengths[at], self.starts[at]
-            ends = np.cumsum(n)
-            out.append(self.flat[np.arange(ends[-1]) + np.repeat(start - ends + n, n)])
-        return out
+            new[:] = True
+        if new.any():
+            self.learn(distinct[new], [raw[start[i] : end[i]] for i in first[new]])
+        at = np.searchsorted(self.known, distinct)[which]
+        length, source = self.length[at].astype(np.int64), self.start[at]
+        upto = np.cumsum(length)
+        flat = self.flat[np.arange(upto[-1]) + np.repeat(source - upto + length, length)]
+        sums = np.concatenate([[0], upto])
+        edge = sums[np.searchsorted(start, off)]
+        counts = np.diff(edge)
+        if SPECIAL.encode() in raw:
+            parts = np.split(flat, edge[1:-1])
+            for i in range(n):
+                if SPECIAL.encode() in (text := raw[off[i] : off[i + 1]]):
+                    parts[i] = np.array(self.encode_all([text.decode()])[0], np.int32)
+            flat, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return flat, counts
 
 
 def encode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -101,14 +142,13 @@ def encode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        for batch in batches_of_bytes(batches, "_text", 4 << 20):
-            ids = encoder([t or "" for t in batch.column(1).to_pylist()])
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) + 1
-            ends = np.cumsum(n)
+        for batch in batches_of_bytes(batches, "_text", 1 << 19):
+            ids, n = encoder(batch.column(1))
+            ends = np.cumsum(n + 1)
             flat = np.full(ends[-1], END_ID, np.int32)
-            flat[np.delete(np.arange(ends[-1]), ends - 1)] = np.concatenate(ids)
+            flat[np.delete(np.arange(ends[-1]), ends - 1)] = ids
             offsets = np.concatenate([[0], ends]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=target)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n + 1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=target)
 
     return source.mapInArrow(run, "doc_id long, n_tokens long, tokens array<int>")
 
