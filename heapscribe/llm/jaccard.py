@@ -290,7 +290,8 @@ def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN) -> D
     links = materialize(checked(spread, num, den), "links")
     merged = materialize(components(links.union(found.where("sure").select("a", "b"))), "components")
     classed = rows.select("doc_id", "n_shingles", "node").join(merged, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("class"))
-    least = classed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
+    # Written, so that the join's sides are plain and Spark can split a class of very many copies.
+    least = materialize(classed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "least")
     return classed.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
