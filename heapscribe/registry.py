@@ -1,6 +1,544 @@
-"""Registered queries over the driver's tables, with SQL for each that SQL can express."""
+"""Registered queries over the driver's tables, with SQL for each that SQL can express.
+
+A query is either one text that Spark and an ANSI engine both read (filters, joins,
+aggregates, windows) or a DataFrame operator of this library with an independent SQL
+text for the check. Keys begin with the numbers of the inventory rows that they cover.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import enums, scalars
+from .operators import intervals, layout
+from .plans import proxies
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+NOW, BEFORE, AFTER = 1_000_000, 800_000, 1_600_000
+
+
+def at(t: int, table: str = "allocs") -> str:
+    """State at t: the rows whose validity interval holds it."""
+    start = "alloc_ts" if table == "allocs" else "bind_ts"
+    return f"(SELECT * FROM {{{table}}} WHERE {start} <= {t} AND (free_ts IS NULL OR free_ts > {t}))"
+
+
+def sql(name: str, text: str, check: bool = True) -> None:
+    QUERIES[name] = lambda spark, sf_dir: proxies.query(spark, sf_dir, text)
+    if check:
+        ORACLE_SQL[name] = proxies.oracle(text)
+
+
+def frame(name: str, oracle: str | None = None) -> Callable:
+    """Registers a function of (view, spark), where view(name) gives a proxy and view(text) runs one."""
+
+    def wrap(f: Callable) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda v: proxies.query(spark, sf_dir, v) if " " in v else proxies.view(spark, sf_dir, v))
+
+        QUERIES[name] = run
+        if oracle:
+            ORACLE_SQL[name] = proxies.oracle(oracle)
+        return f
+
+    return wrap
+
+
+# --- timelines -----------------------------------------------------------------------------
+
+
+def deltas(rows: DataFrame, series: str, value, start: str = "alloc_ts", end: str = "free_ts") -> DataFrame:
+    """Signed changes at both ends of validity intervals; ends after the last start lie outside the trace."""
+    opened = rows.select(F.col(start).alias("ts"), series, value.alias("delta"))
+    last = F.broadcast(rows.agg(F.max(start).alias("_max")))
+    closed = rows.where(F.col(end).isNotNull()).join(last, F.col(end) <= F.col("_max")).select(F.col(end).alias("ts"), series, (-value).alias("delta"))
+    return opened.unionAll(closed)
+
+
+def _timeline_sql(rows: str, series: str, value: str, start: str) -> str:
+    return f"""
+WITH src AS (SELECT * FROM {rows} x), top AS (SELECT max({start}) AS m FROM src),
+d AS (SELECT {start} // {scalars.BUCKET} AS bucket, {series} AS s, {value} AS delta FROM src
+      UNION ALL SELECT free_ts // {scalars.BUCKET}, {series}, -({value}) FROM src, top WHERE free_ts <= m),
+b AS (SELECT bucket, s, sum(delta) AS delta FROM d GROUP BY bucket, s),
+g AS (SELECT r.range AS bucket, k.s FROM range(0, (SELECT max(bucket) + 1 FROM d)) r CROSS JOIN (SELECT DISTINCT s FROM d) k)
+SELECT CAST(g.bucket AS BIGINT) AS bucket, g.s AS {series}, CAST(sum(coalesce(b.delta, 0)) OVER (PARTITION BY g.s ORDER BY g.bucket) AS BIGINT) AS value
+FROM g LEFT JOIN b ON b.bucket = g.bucket AND b.s = g.s"""
+
+
+@frame("w01_w05_w06_live_bytes", _timeline_sql("{allocs}", "heap", "size", "alloc_ts"))
+def live_bytes(view):
+    return intervals.step_timeline(deltas(view("allocs"), "heap", F.col("size")), "heap", scalars.BUCKET)
+
+
+@frame("w02_resource_counts", _timeline_sql("(SELECT * FROM {res} WHERE usage <> 2)", "usage", "CAST(1 AS BIGINT)", "bind_ts"))
+def resource_counts(view):
+    return intervals.step_timeline(deltas(view("res").where("usage <> 2"), "usage", F.lit(1).cast("long"), "bind_ts"), "usage", scalars.BUCKET)
+
+
+_ALIASED = """(SELECT g.alloc_id, g.s, g.e - g.s AS width, r.res_id, r.usage, r.bind_ts, r.free_ts
+  FROM (SELECT alloc_id, p AS s, lead(p) OVER (PARTITION BY alloc_id ORDER BY p) AS e
+        FROM (SELECT alloc_id, off AS p FROM {res} WHERE usage <> 2 UNION SELECT alloc_id, off + rsize FROM {res} WHERE usage <> 2) q) g
+  JOIN {res} r ON r.alloc_id = g.alloc_id AND r.off <= g.s AND r.off + r.rsize >= g.e WHERE g.e IS NOT NULL AND r.usage <> 2)"""
+
+
+@frame(
+    "w03_aliased_bytes_timeline",
+    f"""
+WITH c AS (SELECT *, max(usage) OVER (PARTITION BY alloc_id, s ORDER BY bind_ts, res_id ROWS UNBOUNDED PRECEDING) AS top FROM {_ALIASED} x),
+p AS (SELECT *, lag(top) OVER (PARTITION BY alloc_id, s ORDER BY bind_ts, res_id) AS former,
+             row_number() OVER (PARTITION BY alloc_id, s ORDER BY bind_ts DESC, res_id DESC) AS back FROM c),
+d AS (SELECT bind_ts AS ts, top AS usage, width AS delta FROM p WHERE former IS NULL OR top <> former
+      UNION ALL SELECT bind_ts, former, -width FROM p WHERE former IS NOT NULL AND top <> former
+      UNION ALL SELECT free_ts, top, -width FROM p WHERE back = 1 AND free_ts <= (SELECT max(bind_ts) FROM p))
+SELECT ts // 3000 AS bucket, usage, CAST(sum(delta) AS BIGINT) AS change FROM d GROUP BY 1, 2 HAVING sum(delta) <> 0""",
+)
+def aliased_timeline(view):
+    """Per bucket and usage the change of aliased bytes: each elementary segment is charged to the highest usage bound so far."""
+    from pyspark.sql.window import Window
+
+    covered = intervals.cover(view("SELECT alloc_id, res_id, usage, bind_ts, free_ts, off AS lo, off + rsize AS hi FROM {res} WHERE usage <> 2"), ["alloc_id"])
+    order = Window.partitionBy("alloc_id", "_s").orderBy("bind_ts", "res_id")
+    back = Window.partitionBy("alloc_id", "_s").orderBy(F.col("bind_ts").desc(), F.col("res_id").desc())
+    charged = covered.select("bind_ts", "free_ts", (F.col("_e") - F.col("_s")).alias("width"), "alloc_id", "_s", "res_id", F.max("usage").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("top"))
+    charged = charged.withColumns({"former": F.lag("top").over(order), "last": F.row_number().over(back) == 1})
+    changes = F.expr("""filter(array(
+      CASE WHEN former IS NULL OR top <> former THEN struct(bind_ts AS ts, top AS usage, width AS delta) END,
+      CASE WHEN top <> former THEN struct(bind_ts AS ts, former AS usage, -width AS delta) END,
+      CASE WHEN last AND free_ts IS NOT NULL THEN struct(free_ts AS ts, top AS usage, -width AS delta) END), x -> x IS NOT NULL)""")
+    end = F.broadcast(view("res").where("usage <> 2").agg(F.max("bind_ts").alias("_max")))
+    rows = charged.select(F.explode(changes).alias("c")).select("c.*").join(end, F.col("ts") <= F.col("_max"))
+    return rows.groupBy(F.expr(f"ts div {scalars.BUCKET}").alias("bucket"), "usage").agg(F.sum("delta").alias("change")).where("change <> 0")
+
+
+sql(
+    "w04_a11_a12_committed_bytes",
+    """SELECT bind_ts // 3000 AS bucket, heap, CAST(sum(CASE WHEN unmap THEN lo - hi ELSE hi - lo END) AS BIGINT) AS change FROM {maps} WHERE pa <> 0 GROUP BY 1, 2""",
+)
+sql(
+    "w07_peak_live_bytes",
+    """SELECT max(total) AS peak FROM (SELECT CAST(sum(delta) OVER (ORDER BY bucket) AS BIGINT) AS total FROM (
+SELECT bucket, sum(delta) AS delta FROM (SELECT alloc_ts // 3000 AS bucket, size AS delta FROM {allocs}
+UNION ALL SELECT free_ts // 3000, -size FROM {allocs} WHERE free_ts <= (SELECT max(alloc_ts) FROM {allocs})) d GROUP BY bucket) b) t""",
+)
+
+
+@frame(
+    "w08_sampled_histogram",
+    _timeline_sql("{allocs}", "heap", "size", "alloc_ts").replace("SELECT CAST(g.bucket", ", line AS (SELECT CAST(g.bucket", 1)
+    + """), ends AS (SELECT max(bucket) AS last FROM line)
+SELECT CAST(n.range AS INTEGER) AS sample, heap, value FROM range(0, 500) n CROSS JOIN ends JOIN line ON line.bucket = least((n.range * ((last + 1) * 3000 // 500)) // 3000, last)""",
+)
+def sampled(view):
+    line = live_bytes(view)
+    last = F.broadcast(line.agg(F.max("bucket").alias("_last")))
+    step = F.floor((F.col("_last") + 1) * scalars.BUCKET / 500)
+    points = last.select(F.explode(F.sequence(F.lit(0), F.lit(499))).alias("sample"), "_last").withColumn("bucket", F.least(F.floor(F.col("sample") * step / scalars.BUCKET), F.col("_last")))
+    return line.join(F.broadcast(points), "bucket").select("sample", "heap", "value")
+
+
+sql(
+    "w09_stacked_share",
+    f"""SELECT heap, CAST(sum(bytes) OVER (ORDER BY pos) AS BIGINT) AS stacked, CAST(sum(bytes) OVER () AS BIGINT) AS total FROM (
+SELECT heap, sum(size) AS bytes, CASE heap WHEN 2 THEN 0 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS pos FROM {at(NOW)} a GROUP BY heap) s""",
+)
+sql(
+    "w10_w11_duplicate_events",
+    """SELECT seq, ts, kind, pid FROM (SELECT *, lag(kind) OVER (PARTITION BY pid ORDER BY seq) AS former, lag(ts) OVER (PARTITION BY pid ORDER BY seq) AS former_ts FROM {toks}) t
+WHERE former IS NULL OR former <> kind OR former_ts // 3600 <> ts // 3600""",
+)
+sql("w14_unique_ids", "SELECT seq, pid * 4294967296 + n - 1 AS unique_id FROM (SELECT seq, pid, row_number() OVER (PARTITION BY pid ORDER BY seq) AS n FROM {toks} WHERE kind = 12) t")
+sql(
+    "w15_r10_r11_residency",
+    """SELECT pid, max_by(kind, seq) AS last_op, count_if(kind = 6) AS references_seen, count_if(kind = 10) AS maps, max(CASE WHEN kind = 10 THEN ts END) AS last_map, bool_or(kind = 11) AS freed
+FROM {toks} WHERE kind IN (6, 10, 11) GROUP BY pid""",
+)
+sql("w16_history_marker", "SELECT seq, ts, kind FROM {toks} WHERE pid = 7 UNION ALL SELECT -1, 1000000, -1")
+sql("w17_next_event", "SELECT seq, min(CASE WHEN kind = 11 THEN seq END) OVER (PARTITION BY pid ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_free FROM {toks}")
+
+# --- interval kernels ----------------------------------------------------------------------
+
+_RANGES = "SELECT alloc_id, res_id, usage, rsize, off AS lo, off + rsize AS hi FROM {res} WHERE usage <> 2"
+_ISLANDS = """WITH o AS (SELECT alloc_id, off AS lo, off + rsize AS hi, max(off + rsize) OVER (PARTITION BY alloc_id ORDER BY off, off + rsize ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM {res} WHERE usage <> 2),
+n AS (SELECT *, sum(CASE WHEN pe IS NULL OR lo >= pe THEN 1 ELSE 0 END) OVER (PARTITION BY alloc_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS isl FROM o),
+i AS (SELECT alloc_id, min(lo) AS lo, max(hi) AS hi FROM n GROUP BY alloc_id, isl)"""
+
+
+@frame("a03_u05_islands", _ISLANDS + " SELECT alloc_id, lo, hi FROM i")
+def islands(view):
+    return intervals.islands(view(_RANGES), ["alloc_id"])
+
+
+@frame(
+    "a03_a04_a05_bound_size",
+    _ISLANDS + """ SELECT a.alloc_id, a.size, coalesce(b.bound, 0) AS bound, greatest(a.size - coalesce(b.bound, 0), 0) AS unbound, coalesce(b.bound // c.n, 0) AS mean
+FROM {allocs} a LEFT JOIN (SELECT alloc_id, CAST(sum(hi - lo) AS BIGINT) AS bound FROM i GROUP BY alloc_id) b ON a.alloc_id = b.alloc_id LEFT JOIN (SELECT alloc_id, count(*) AS n FROM {res} WHERE usage <> 2 GROUP BY alloc_id) c ON a.alloc_id = c.alloc_id""",
+)
+def bound_size(view):
+    ranges = view(_RANGES)
+    bound = intervals.islands(ranges, ["alloc_id"]).groupBy("alloc_id").agg(F.sum(F.col("hi") - F.col("lo")).alias("bound"))
+    count = ranges.groupBy("alloc_id").agg(F.count("*").alias("n"))
+    return view("allocs").join(bound, "alloc_id", "left").join(count, "alloc_id", "left").selectExpr("alloc_id", "size", "coalesce(bound, 0L) AS bound", "greatest(size - coalesce(bound, 0L), 0L) AS unbound", "coalesce(bound div n, 0L) AS mean")
+
+
+@frame(
+    "w12_r23_unbound_gaps",
+    _ISLANDS + """, w AS (SELECT alloc_id, lo, hi FROM i UNION ALL SELECT alloc_id, size, size FROM {allocs}),
+g AS (SELECT alloc_id, lo AS hi, coalesce(lag(hi) OVER (PARTITION BY alloc_id ORDER BY lo, hi), 0) AS lo FROM w) SELECT alloc_id, lo, hi FROM g WHERE hi > lo""",
+)
+def unbound_gaps(view):
+    return intervals.gaps(intervals.islands(view(_RANGES), ["alloc_id"]), view("allocs"), ["alloc_id"], "size")
+
+
+@frame(
+    "a15_aliased_size_per_usage",
+    f"SELECT alloc_id, usage, CAST(sum(width) AS BIGINT) AS bytes FROM (SELECT alloc_id, s, max(usage) AS usage, min(width) AS width FROM {_ALIASED} x GROUP BY alloc_id, s) t GROUP BY alloc_id, usage",
+)
+def aliased_sizes(view):
+    top = intervals.winners(view(_RANGES), ["alloc_id"], [F.col("usage").desc(), F.col("res_id")])
+    return top.groupBy("alloc_id", "usage").agg(F.sum("width").alias("bytes"))
+
+
+@frame(
+    "a16_r24_adjusted_size",
+    f"""WITH c AS (SELECT x.*, q.rsize FROM {_ALIASED} x JOIN (SELECT res_id AS id, rsize FROM {{res}}) q ON q.id = x.res_id),
+w AS (SELECT *, row_number() OVER (PARTITION BY alloc_id, s ORDER BY usage DESC, rsize, res_id DESC) AS k FROM c)
+SELECT r.res_id, CASE WHEN r.usage = 2 THEN r.rsize ELSE coalesce(t.bytes, 0) END AS adjusted FROM {{res}} r LEFT JOIN (SELECT res_id, CAST(sum(width) AS BIGINT) AS bytes FROM w WHERE k = 1 GROUP BY res_id) t ON t.res_id = r.res_id""",
+)
+def adjusted_sizes(view):
+    top = intervals.winners(view(_RANGES), ["alloc_id"], [F.col("usage").desc(), F.col("rsize"), F.col("res_id").desc()])
+    sizes = top.groupBy("res_id").agg(F.sum("width").alias("bytes"))
+    return view("res").join(sizes, "res_id", "left").selectExpr("res_id", "CASE WHEN usage = 2 THEN rsize ELSE coalesce(bytes, 0L) END AS adjusted")
+
+
+_PAIRS = "FROM {res} a JOIN {res} b ON a.alloc_id = b.alloc_id AND a.res_id <> b.res_id AND a.off < b.off + b.rsize AND b.off < a.off + a.rsize WHERE a.usage <> 2 AND b.usage <> 2"
+sql("j07_a17_alias_count", f"SELECT r.res_id, coalesce(n, 0) AS aliases, coalesce(n, 0) > 0 AS is_aliased FROM {{res}} r LEFT JOIN (SELECT a.res_id AS id, count(*) AS n {_PAIRS} GROUP BY a.res_id) c ON c.id = r.res_id")
+sql("u06_culled_overlap", f"SELECT a.res_id, b.res_id AS other, greatest(a.off, b.off) AS lo, least(a.off + a.rsize, b.off + b.rsize) AS hi {_PAIRS} AND a.res_id < b.res_id")
+sql(
+    "a07_fragmentation",
+    """SELECT alloc_id, CAST(sum(CASE WHEN off <> pe THEN 1 ELSE 0 END) AS BIGINT) AS fragments FROM (
+SELECT alloc_id, off, lag(off + rsize, 1, 0) OVER (PARTITION BY alloc_id ORDER BY off, res_id) AS pe FROM {res}) t GROUP BY alloc_id""",
+)
+sql(
+    "a06_a08_resource_sizes",
+    """SELECT alloc_id, max(rsize) AS largest, min(rsize) AS smallest, CAST(round(stddev_pop(rsize)) AS BIGINT) AS deviation FROM {res} WHERE usage <> 2 GROUP BY alloc_id""",
+)
+
+# --- joins ---------------------------------------------------------------------------------
+
+sql("j01_u01_merged_streams", "SELECT row_number() OVER (PARTITION BY ts // 86400 ORDER BY ts, stream, seq) AS n, ts, stream, seq FROM (SELECT ts, pid % 8 AS stream, seq FROM {toks} WHERE pid % 2 = 0 UNION ALL SELECT ts, pid % 8, seq FROM {toks} WHERE pid % 2 = 1) u")
+
+
+@frame("j02_r03_asof_owner", "SELECT seq, last_value(CASE WHEN kind = 12 THEN seq END IGNORE NULLS) OVER (PARTITION BY pid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS created_by FROM {toks}")
+def asof_owner(view):
+    return intervals.asof_last(view("toks"), F.when(F.col("kind") == 12, F.col("seq")), ["pid"], ["seq"], "created_by").select("seq", "created_by")
+
+
+_PROBES = "SELECT p_partkey AS probe, (p_partkey * 7919 % 150000) * 1048576 + (p_size * 12345) % 1048576 AS va FROM {part}"
+
+
+@frame("j03_j04_point_in_interval", f"SELECT probe, va, alloc_id FROM ({_PROBES}) p JOIN {{allocs}} a ON p.va >= a.base AND p.va < a.base + a.size")
+def point_in_interval(view):
+    whole = view("SELECT alloc_id, base AS lo, base + size AS hi FROM {allocs}")
+    return intervals.range_join(view(_PROBES), whole, "va", "lo", "hi", 1 << 20).select("probe", "va", "alloc_id")
+
+
+_STATE = """WITH m AS (SELECT alloc_id, p AS s, lead(p) OVER (PARTITION BY alloc_id ORDER BY p) AS e FROM (SELECT alloc_id, lo AS p FROM {maps} UNION SELECT alloc_id, hi FROM {maps}) q),
+c AS (SELECT m.alloc_id, m.s, m.e, x.pa, x.unmap, x.lo, row_number() OVER (PARTITION BY m.alloc_id, m.s ORDER BY x.seq DESC) AS k FROM m JOIN {maps} x ON x.alloc_id = m.alloc_id AND x.lo <= m.s AND x.hi >= m.e WHERE m.e IS NOT NULL),
+t AS (SELECT alloc_id, s, e, CASE WHEN pa = 0 THEN 'host' WHEN pa + s - lo < 8589934592 THEN 'local' ELSE 'invisible' END AS store FROM c WHERE k = 1 AND NOT unmap)"""
+
+
+def mapped_state(view) -> DataFrame:
+    """(alloc_id, lo, hi, store): the latest mapping of each range, by where its physical address lies."""
+    segments = intervals.cover(view("maps"), ["alloc_id"])
+    from pyspark.sql.window import Window
+
+    last = segments.withColumn("_k", F.row_number().over(Window.partitionBy("alloc_id", "_s").orderBy(F.col("seq").desc()))).where("_k = 1 AND NOT unmap")
+    store = F.expr("CASE WHEN pa = 0 THEN 'host' WHEN pa + _s - lo < 8589934592 THEN 'local' ELSE 'invisible' END")
+    return last.select("alloc_id", F.col("_s").alias("lo"), F.col("_e").alias("hi"), store.alias("store"))
+
+
+@frame("r12_p08_j16_page_table_state", _STATE + " SELECT alloc_id, s AS lo, e AS hi, store FROM t")
+def page_table(view):
+    return mapped_state(view)
+
+
+@frame(
+    "j06_a14_f18_p38_backing_bytes",
+    _STATE + """, o AS (SELECT r.res_id, t.store, least(r.off + r.rsize, t.e) - greatest(r.off, t.s) AS bytes FROM {res} r JOIN t ON t.alloc_id = r.alloc_id AND r.off < t.e AND t.s < r.off + r.rsize)
+SELECT r.res_id, CAST(coalesce(sum(bytes) FILTER (WHERE store = 'local'), 0) AS BIGINT) AS local, CAST(coalesce(sum(bytes) FILTER (WHERE store = 'invisible'), 0) AS BIGINT) AS invisible, CAST(coalesce(sum(bytes) FILTER (WHERE store = 'host'), 0) AS BIGINT) AS host,
+  CAST(r.rsize - coalesce(sum(bytes), 0) AS BIGINT) AS unmapped, coalesce(sum(bytes), 0) = r.rsize AS all_mapped, CAST(coalesce(sum(bytes) FILTER (WHERE store = 'local'), 0) * 100 // r.rsize AS BIGINT) AS local_percent
+FROM {res} r LEFT JOIN o ON o.res_id = r.res_id GROUP BY r.res_id, r.rsize""",
+)
+def backing_bytes(view):
+    ranges = view("SELECT alloc_id, res_id, rsize, off AS lo, off + rsize AS hi FROM {res}")
+    under = intervals.overlap_bytes(ranges, mapped_state(view), ["alloc_id"], "store").groupBy("res_id").agg(*[F.sum(F.when(F.col("store") == s, F.col("bytes")).otherwise(0)).alias(s) for s in ("local", "invisible", "host")])
+    out = ranges.join(under, "res_id", "left").fillna(0, ["local", "invisible", "host"])
+    return out.selectExpr("res_id", "local", "invisible", "host", "rsize - local - invisible - host AS unmapped", "local + invisible + host = rsize AS all_mapped", "local * 100 div rsize AS local_percent")
+
+
+sql("j05_equi_join", "SELECT r.res_id, a.alloc_id, a.base + r.off AS address, r.off AS offset_in_allocation FROM {res} r JOIN {allocs} a ON a.alloc_id = r.alloc_id WHERE r.usage = 7")
+sql(
+    "j08_j10_u03_u04_f07_compare",
+    f"""SELECT coalesce(d.res_id, b.res_id) AS res_id, CASE WHEN b.res_id IS NOT NULL AND d.res_id IS NOT NULL THEN 1 WHEN b.res_id IS NOT NULL THEN 2 ELSE 4 END AS compare_id, coalesce(d.rsize, b.rsize) AS bytes
+FROM {at(BEFORE, "res")} b FULL OUTER JOIN {at(AFTER, "res")} d ON b.res_id = d.res_id""",
+)
+sql("j09_semi_join", "SELECT a.alloc_id, a.base FROM {allocs} a WHERE a.alloc_id IN (SELECT alloc_id FROM {res} WHERE usage = 12)")
+sql("j10_f12_anti_join", "SELECT r.res_id FROM {res} r WHERE NOT EXISTS (SELECT 1 FROM {names} n WHERE n.res_id = r.res_id AND n.name = 'n7')")
+sql(
+    "j11_paired_heap",
+    """SELECT h.alloc_id, h.res_id AS heap_id, o.res_id AS paired_id FROM (SELECT alloc_id, min(res_id) AS res_id FROM {res} WHERE usage = 2 AND off = 0 GROUP BY alloc_id) h
+JOIN (SELECT alloc_id, min(res_id) AS res_id FROM {res} WHERE usage IN (3, 5) AND off = 0 GROUP BY alloc_id) o ON o.alloc_id = h.alloc_id""",
+)
+sql(
+    "j12_n02_n03_name_chain",
+    """SELECT r.res_id, coalesce(direct.name, via.name) AS name FROM {res} r LEFT JOIN (SELECT res_id, max_by(name, t) AS name FROM {names} WHERE res_id % 2 = 0 GROUP BY res_id) direct ON direct.res_id = r.res_id
+LEFT JOIN (SELECT res_id + 1 AS res_id, max_by(name, t) AS name FROM {names} WHERE res_id % 2 = 0 GROUP BY res_id) via ON via.res_id = r.res_id""",
+)
+sql("j13_name_as_of", "SELECT res_id, coalesce(max_by(name, t) FILTER (WHERE t >= created AND t <= 5000), min_by(name, t) FILTER (WHERE t >= created)) AS name FROM {names} GROUP BY res_id")
+sql("j14_r09_updates", "SELECT res_id, usage AS before_usage, CASE WHEN res_id % 5 = 0 AND usage = 3 THEN 4 ELSE usage END AS after_usage FROM {res}")
+sql("j15_address_list", "SELECT a.alloc_id, p.va FROM {allocs} a JOIN (SELECT 1048576 * 7 + 100 AS va UNION ALL SELECT 1048576 * 1000 + 4096 UNION ALL SELECT 5) p ON p.va >= a.base AND p.va < a.base + a.size")
+
+# --- replay --------------------------------------------------------------------------------
+
+sql("r01_f16_f13_live_allocations", f"SELECT alloc_id, base, size, heap FROM {at(NOW)} a")
+sql(
+    "r01_rejected_overlaps",
+    """SELECT alloc_id FROM (SELECT alloc_id, base, max(base + 8 * size) OVER (PARTITION BY heap ORDER BY base, alloc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM {allocs}) t WHERE base < pe""",
+)
+sql("r02_dangling_resources", f"SELECT res_id, alloc_id FROM {{res}} WHERE bind_ts <= {NOW} AND free_ts <= {NOW}")
+sql(
+    "r03_r04_episodes",
+    "SELECT pid, seq AS created, lead(seq) OVER (PARTITION BY pid ORDER BY seq) AS replaced FROM {toks} WHERE kind = 12",
+)
+sql(
+    "r05_r06_bindings",
+    """SELECT alloc_id, off, CASE WHEN rebindable THEN last_id ELSE first_id END AS bound_id FROM (
+SELECT alloc_id, off, bool_or(usage IN (2, 3, 9)) AS rebindable, max_by(res_id, bind_ts * 1000000 + res_id % 64) AS last_id, min_by(res_id, bind_ts * 1000000 + res_id % 64) AS first_id FROM {res} GROUP BY alloc_id, off) t""",
+)
+sql("r07_synthetic_allocations", "SELECT p.probe, p.va, 4096 AS size FROM (" + _PROBES + ") p LEFT JOIN {allocs} a ON a.alloc_id = p.va // 1048576 AND p.va < a.base + a.size WHERE a.alloc_id IS NULL")
+sql("r08_sparse_commit", "SELECT a.alloc_id, CASE WHEN s.alloc_id IS NULL THEN a.heap ELSE 3 END AS heap FROM {allocs} a LEFT JOIN (SELECT DISTINCT alloc_id FROM {res} WHERE usage = 5 AND res_id % 11 = 0) s ON s.alloc_id = a.alloc_id")
+sql("r13_r15_tokens_without_state", "SELECT kind, count(*) AS n FROM {toks} WHERE kind NOT IN (11, 12) GROUP BY kind")
+sql("r14_f15_processes", "SELECT DISTINCT pid FROM {toks} WHERE kind = 12")
+sql("r20_solitary_heaps", "SELECT alloc_id, res_id, CASE WHEN usage = 2 AND count(*) OVER (PARTITION BY alloc_id) <= 1 THEN 3 ELSE usage END AS usage FROM {res}")
+sql("r21_r22_attached", f"SELECT r.res_id, r.alloc_id, a.alloc_id IS NULL AS dangling FROM {{res}} r LEFT JOIN {at(NOW)} a ON a.alloc_id = r.alloc_id WHERE r.bind_ts <= {NOW}")
+sql("r26_commit_type", "SELECT res_id, CASE WHEN count(CASE WHEN usage <> 2 THEN 1 END) OVER (PARTITION BY alloc_id) <= 1 THEN 'COMMITTED' ELSE 'PLACED' END AS commit_type FROM {res}")
+sql(
+    "r28_p20_allocation_name",
+    """SELECT a.alloc_id, CASE WHEN h.n = 1 THEN 'h' || CAST(h.id AS STRING) WHEN o.n = 1 THEN 'r' || CAST(o.id AS STRING) END AS name FROM {allocs} a
+LEFT JOIN (SELECT alloc_id, count(*) AS n, max(res_id) AS id FROM {res} WHERE usage = 2 GROUP BY alloc_id) h ON h.alloc_id = a.alloc_id
+LEFT JOIN (SELECT alloc_id, count(*) AS n, max(res_id) AS id FROM {res} WHERE usage <> 2 AND off = 0 GROUP BY alloc_id) o ON o.alloc_id = a.alloc_id""",
+)
+
+# --- aggregates ----------------------------------------------------------------------------
+
+sql(
+    "a01_data_profile",
+    """SELECT (SELECT count(*) FROM {allocs}) AS allocations, (SELECT count(*) FROM {res}) AS resources, (SELECT max(alloc_ts) FROM {allocs}) AS max_ts, (SELECT count(DISTINCT pid) FROM {toks}) AS processes,
+(SELECT max(live) FROM (SELECT CAST(sum(d) OVER (ORDER BY ts) AS BIGINT) AS live FROM (SELECT ts, sum(d) AS d FROM (SELECT alloc_ts AS ts, 1 AS d FROM {allocs} UNION ALL SELECT free_ts, -1 FROM {allocs} WHERE free_ts IS NOT NULL) e GROUP BY ts) s) l) AS max_live""",
+)
+sql("a02_a10_bytes_per_heap", f"SELECT heap, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS n FROM {at(NOW)} a GROUP BY heap")
+sql("a09_resources_per_usage", f"SELECT usage, count(*) AS n FROM {at(NOW, 'res')} r GROUP BY usage")
+sql(
+    "a13_p33_segment_status",
+    f"""SELECT a.heap, count(*) AS allocations, CAST(sum(a.size) AS BIGINT) AS requested, min(a.size) AS least, max(a.size) AS most, CAST(sum(a.size) AS BIGINT) // count(*) AS mean, CAST(sum(coalesce(r.n, 0)) AS BIGINT) AS resources,
+CASE WHEN sum(a.size) > 4294967296 THEN 'Over' WHEN sum(a.size) > 3435973836 THEN 'Close' ELSE 'Under' END AS subscription
+FROM {at(NOW)} a LEFT JOIN (SELECT alloc_id, count(*) AS n FROM {{res}} WHERE usage <> 2 GROUP BY alloc_id) r ON r.alloc_id = a.alloc_id GROUP BY a.heap""",
+)
+sql(
+    "a18_r25_summary",
+    f"SELECT coalesce(min(base), 0) AS min_va, coalesce(max(base + size), 0) AS max_va, coalesce(min(alloc_ts), 0) AS first_ts, coalesce(max(alloc_ts), 0) AS last_ts, coalesce(min(size), 0) AS least, coalesce(max(size), 0) AS most FROM {at(NOW)} a",
+)
+sql(
+    "a19_r27_a25_snapshot_point",
+    f"SELECT (SELECT count(*) FROM {at(NOW)} a) AS allocations, (SELECT count(*) FROM {at(NOW, 'res')} r) AS resources, (SELECT CAST(sum(size) AS BIGINT) FROM {at(NOW)} b) AS total",
+)
+sql("a20_p12_size_histogram", f"SELECT CASE WHEN s >> 19 > 0 THEN least(CAST(floor(log2(CAST(s >> 19 AS DOUBLE))) AS INT), 11) ELSE 0 END AS bucket, count(*) AS n FROM (SELECT size * 64 AS s FROM {at(NOW)} a) t GROUP BY 1")
+sql(
+    "a21_carousel_delta",
+    f"""SELECT coalesce(b.usage, d.usage) AS usage, coalesce(d.n, 0) - coalesce(b.n, 0) AS change FROM (SELECT usage, count(*) AS n FROM {at(BEFORE, "res")} x GROUP BY usage) b
+FULL OUTER JOIN (SELECT usage, count(*) AS n FROM {at(AFTER, "res")} x GROUP BY usage) d ON b.usage = d.usage""",
+)
+sql(
+    "a22_u07_heap_delta",
+    f"""SELECT coalesce(b.heap, d.heap) AS heap, coalesce(d.n, 0) - coalesce(b.n, 0) AS allocations, coalesce(d.s, 0) - coalesce(b.s, 0) AS bytes FROM (SELECT heap, count(*) AS n, CAST(sum(size) AS BIGINT) AS s FROM {at(BEFORE)} x GROUP BY heap) b
+FULL OUTER JOIN (SELECT heap, count(*) AS n, CAST(sum(size) AS BIGINT) AS s FROM {at(AFTER)} x GROUP BY heap) d ON b.heap = d.heap""",
+)
+sql(
+    "a23_leak_statistics",
+    f"""SELECT compare_id, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT CASE WHEN b.res_id IS NOT NULL AND d.res_id IS NOT NULL THEN 1 WHEN b.res_id IS NOT NULL THEN 2 ELSE 4 END AS compare_id, coalesce(d.rsize, b.rsize) AS bytes
+FROM {at(BEFORE, "res")} b FULL OUTER JOIN {at(AFTER, "res")} d ON b.res_id = d.res_id) c GROUP BY compare_id""",
+)
+sql("a24_filtered_footer", f"SELECT count(*) AS n, CAST(sum(rsize) AS BIGINT) AS bytes FROM {at(NOW, 'res')} r WHERE rsize BETWEEN 8192 AND 131072 AND usage IN (3, 5, 6)")
+sql("a26_allocation_extremes", f"SELECT max(size) AS most, min(size) AS least FROM {at(NOW)} a")
+sql(
+    "a27_a28_u02_treemap",
+    f"SELECT usage, heap, owner, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS n FROM (SELECT r.usage, a.heap, a.owner, r.rsize AS bytes FROM {at(NOW, 'res')} r JOIN {{allocs}} a ON a.alloc_id = r.alloc_id UNION ALL SELECT 1, heap, owner, size FROM {at(NOW)} x) t GROUP BY ROLLUP (usage, heap, owner)",
+)
+
+# --- filters -------------------------------------------------------------------------------
+
+sql("f01_f09_size_between", "SELECT alloc_id, size FROM {allocs} WHERE size BETWEEN 65536 AND 524288")
+sql("f02_f08_substring_search", "SELECT p_partkey, p_name FROM {part} WHERE contains(lower(p_name), 'a1') OR contains(lower(p_brand), 'brand#1') OR contains(lower(p_type), 'steel')")
+sql("f03_address_search", "SELECT alloc_id, base FROM {allocs} WHERE 7340132 >= base AND 7340132 < base + size")
+sql("f04_f05_f06_categories", "SELECT res_id, heap, usage FROM {res} WHERE heap IN (0, 2) AND (CAST(1 AS INT) << usage) & 104 <> 0")
+sql("f10_overview_filter", f"SELECT res_id FROM {at(NOW, 'res')} r WHERE heap = 1 AND usage IN (5, 6) AND rsize >= 16384")
+sql("f11_visible_items", f"SELECT alloc_id, size FROM (SELECT alloc_id, size, sum(size) OVER (PARTITION BY heap) AS whole FROM {at(NOW)} a) t WHERE size * 1000000 >= 4 * whole")
+sql("f14_table_updates", "SELECT res_id, pa FROM {maps} WHERE NOT unmap AND pa <> 0")
+sql("f17_series_mask", f"SELECT max(bytes) AS most FROM (SELECT heap, sum(size) AS s, CAST(sum(size) AS BIGINT) AS bytes FROM {at(NOW)} a WHERE heap <> 3 GROUP BY heap) t")
+sql("f19_in_preferred_heap", "SELECT res_id, heap = 3 OR (NOT unmap AND pa <> 0 AND CASE WHEN pa < 8589934592 THEN 0 ELSE 1 END = heap) AS preferred FROM {maps}")
+sql("f20_lookup", "SELECT alloc_id, base, size FROM {allocs} WHERE alloc_id = 77")
+
+# --- order and top-k -----------------------------------------------------------------------
+
+sql("o01_resource_order", f"SELECT res_id, row_number() OVER (PARTITION BY alloc_id ORDER BY rsize DESC, CASE WHEN usage = 2 THEN 0 ELSE 1 END, res_id) AS n FROM {at(NOW, 'res')} r")
+sql("o02_o05_allocation_order", f"SELECT alloc_id, row_number() OVER (PARTITION BY heap ORDER BY size DESC, alloc_id) AS by_size, row_number() OVER (PARTITION BY heap ORDER BY alloc_ts, alloc_id) AS by_age FROM {at(NOW)} a")
+sql("o03_largest_allocations", f"SELECT alloc_id, size FROM {at(NOW)} a ORDER BY size DESC, alloc_id LIMIT 50")
+sql("o04_history_order", "SELECT seq, row_number() OVER (PARTITION BY pid ORDER BY kind, ts, seq) AS n FROM {toks}")
+sql("o07_o08_address_order", "SELECT res_id, row_number() OVER (PARTITION BY alloc_id ORDER BY off, res_id) AS by_address, row_number() OVER (PARTITION BY alloc_id ORDER BY rsize DESC, res_id) AS by_size FROM {res}")
+
+
+@frame(
+    "o06_top_and_other",
+    f"SELECT heap, label, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT heap, CASE WHEN k <= 5 THEN label ELSE 'Other' END AS label, bytes FROM (SELECT heap, 'u' || CAST(usage AS STRING) AS label, sum(rsize) AS bytes, row_number() OVER (PARTITION BY heap ORDER BY sum(rsize) DESC, 'u' || CAST(usage AS STRING)) AS k FROM {at(NOW, 'res')} r WHERE usage <> 2 GROUP BY heap, usage) t) x GROUP BY heap, label",
+)
+def top_and_other(view):
+    summed = view(f"SELECT heap, 'u' || CAST(usage AS STRING) AS label, sum(rsize) AS bytes FROM {at(NOW, 'res')} r WHERE usage <> 2 GROUP BY heap, usage")
+    return intervals.top_and_other(summed, ["heap"], "label", "bytes", 5)
+
+
+@frame("w13_lanes")
+def lanes(view):
+    return intervals.lanes(view("SELECT alloc_id, res_id AS id, off AS lo, off + rsize AS hi FROM {res} WHERE usage <> 2"), "alloc_id")
+
+
+@frame("o09_treemap_layout")
+def treemap(view):
+    return layout.squarified(view(f"SELECT CAST(heap AS BIGINT) AS grp, alloc_id AS id, size FROM {at(NOW)} a"))
+
+
+# --- scalar functions ----------------------------------------------------------------------
+
+
+def _case(code: str, names) -> str:
+    pairs = names.items() if isinstance(names, dict) else enumerate(names)
+    return f"CASE {code} {' '.join(f'WHEN {k} THEN {chr(39)}{v}{chr(39)}' for k, v in pairs)} ELSE 'Unknown' END"
+
+
+@frame(
+    "p01_p02_page_sizes",
+    "SELECT res_id, b AS page, n * b AS bytes FROM (SELECT res_id, rsize // 4096 AS n, CASE res_id % 8 WHEN 1 THEN 4096 WHEN 2 THEN 65536 WHEN 3 THEN 262144 WHEN 4 THEN 1048576 WHEN 5 THEN 2097152 ELSE 0 END AS b FROM {res}) t",
+)
+def page_sizes(view):
+    page = scalars.page_bytes(F.col("res_id") % 8)
+    return view("res").select("res_id", page.alias("page"), (F.expr("rsize div 4096") * page).alias("bytes"))
+
+
+@frame(
+    "p03_p25_usage_and_flags",
+    "SELECT res_id, CASE WHEN f = 4096 THEN 4 ELSE 3 END AS buffer_usage, CASE WHEN f & 1 <> 0 THEN 6 WHEN f & 2 <> 0 THEN 7 ELSE 5 END AS image_usage, CASE WHEN f = 0 THEN 'None' ELSE concat_ws(' | ', " + ", ".join(f"CASE WHEN f & {1 << k} <> 0 THEN '{n}' END" for k, n in enumerate(enums.BUFFER_USAGE)) + ") || ' (' || f || ')' END AS flags FROM (SELECT res_id, CASE WHEN res_id % 3 = 0 THEN 4096 WHEN res_id % 3 = 1 THEN 0 ELSE 192 + res_id % 16 END AS f FROM {res}) t",
+)
+def usage_and_flags(view):
+    f = F.expr("CASE WHEN res_id % 3 = 0 THEN 4096 WHEN res_id % 3 = 1 THEN 0 ELSE 192 + res_id % 16 END")
+    return view("res").select("res_id", scalars.buffer_usage(f).alias("buffer_usage"), scalars.image_usage(f, 1, 2).alias("image_usage"), scalars.flags_text(f).alias("flags"))
+
+
+sql("p04_p05_p06_offsets_and_overlap", "SELECT res_id, coalesce(base + off - base, 0) AS offset_in_allocation, off < 65536 AND 4096 < off + rsize AND rsize > 0 AS overlaps FROM {res}")
+
+
+@frame("p07_address_parts", "SELECT alloc_id, CAST((base >> 38) & 1023 AS INT) AS a, CAST((base >> 28) & 1023 AS INT) AS b, CAST((base >> 20) & 255 AS INT) AS c, CAST((base >> 12) & 255 AS INT) AS d FROM {allocs}")
+def address_parts(view):
+    return view("allocs").select("alloc_id", *[c.alias(n) for c, n in zip(scalars.radices(F.col("base")), "abcd", strict=True)])
+
+
+@frame("p09_p10_p11_times", "SELECT alloc_id, CASE WHEN f >= 1000000 THEN CAST(alloc_ts * 1000 // (f // 1000000) AS BIGINT) END AS ns, alloc_ts // 3000 AS bucket FROM (SELECT *, CASE WHEN alloc_id % 5 = 0 THEN 999999 ELSE 10000000 END AS f FROM {allocs}) t")
+def times(view):
+    f = F.expr("CASE WHEN alloc_id % 5 = 0 THEN 999999 ELSE 10000000 END")
+    return view("allocs").select("alloc_id", F.floor(scalars.nanoseconds(F.col("alloc_ts"), f)).cast("long").alias("ns"), F.expr(f"alloc_ts div {scalars.BUCKET}").alias("bucket"))
+
+
+@frame("p13_age_buckets", f"SELECT alloc_id, CAST(CASE WHEN w = 0 THEN -1 ELSE least(greatest((alloc_ts - lo) // w, 0), 9) END AS INT) AS age FROM (SELECT alloc_id, alloc_ts, min(alloc_ts) OVER () AS lo, (max(alloc_ts) OVER () - min(alloc_ts) OVER ()) // 10 AS w FROM {at(NOW)} a) t")
+def ages(view):
+    live = view(f"SELECT alloc_id, alloc_ts FROM {at(NOW)} a")
+    ends = F.broadcast(live.agg(F.min("alloc_ts").alias("lo"), F.max("alloc_ts").alias("hi")))
+    return live.crossJoin(ends).select("alloc_id", scalars.age_bucket(F.col("alloc_ts"), F.col("lo"), F.col("hi")).alias("age"))
+
+
+@frame("p14_slider_bounds", "SELECT CAST(s.range AS BIGINT) AS step, CASE WHEN s.range = 0 THEN 0 WHEN s.range < 24 THEN CAST(pow(2, s.range + 7) AS BIGINT) END AS bytes FROM range(0, 26) s")
+def slider(view):
+    return view("SELECT 1 AS one").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(25).cast("long"))).alias("step")).select("step", scalars.slider_bytes(F.col("step")).alias("bytes"))
+
+
+@frame(
+    "p15_p16_p18_texts",
+    "SELECT alloc_id, CASE WHEN v < 1024 THEN format('{:,}', v) || ' bytes' WHEN v < 1048576 THEN format('{:,.2f}', v / 1024.0) || ' KiB' ELSE format('{:,.2f}', v / 1048576.0) || ' MiB' END AS memory, '0x' || lower(to_hex(base)) AS address, format('{:,}', base) AS plain FROM (SELECT alloc_id, base, CASE WHEN alloc_id % 3 = 0 THEN alloc_id % 1024 ELSE size + alloc_id % 4 * 256 END AS v FROM {allocs}) t",
+)
+def texts(view):
+    v = F.expr("CASE WHEN alloc_id % 3 = 0 THEN alloc_id % 1024 ELSE size + alloc_id % 4 * 256 END")
+    return view("allocs").select("alloc_id", scalars.memory_text(v).alias("memory"), scalars.hex_text(F.col("base")).alias("address"), F.format_number("base", 0).alias("plain"))
+
+
+@frame("p17_hash_text", "SELECT alloc_id, CASE WHEN h = 0 AND l = 0 THEN 'N/A' WHEN h = 0 THEN '0x' || lower(to_hex(l)) ELSE '0x' || lower(to_hex(h)) || lpad(lower(to_hex(l)), 16, '0') END AS hash FROM (SELECT alloc_id, alloc_id % 3 AS h, alloc_id % 5 * 1000 AS l FROM {allocs}) t")
+def hash_text(view):
+    return view("allocs").select("alloc_id", scalars.hash128_text(F.col("alloc_id") % 3, F.col("alloc_id") % 5 * 1000).alias("hash"))
+
+
+sql("p19_p21_p22_names", "SELECT r.res_id, upper('Resource ' || CAST(r.res_id AS STRING)) AS name, CASE WHEN r.free_ts <= 1000000 THEN 'Orphaned' WHEN r.heap = 0 THEN 'Local' ELSE '-' END AS label FROM {res} r")
+
+
+@frame("p23_p24_p27_p39_labels", f"SELECT r.res_id, {_case('r.usage', enums.USAGES)} AS usage_name, {_case('r.heap', enums.HEAPS)} AS heap_name, {_case('a.owner', enums.OWNERS)} AS owner_name, {_case('r.res_id % 12', enums.MEMORY_TYPES)} AS memory_type, {_case('r.res_id % 18', enums.RESOURCE_TYPES)} AS type_name FROM {{res}} r JOIN {{allocs}} a ON a.alloc_id = r.alloc_id")
+def labels(view):
+    rows = view("SELECT r.res_id, r.usage, r.heap, a.owner FROM {res} r JOIN {allocs} a ON a.alloc_id = r.alloc_id")
+    return rows.select("res_id", enums.named(F.col("usage"), enums.USAGES).alias("usage_name"), enums.named(F.col("heap"), enums.HEAPS).alias("heap_name"), enums.named(F.col("owner"), enums.OWNERS).alias("owner_name"), enums.named(F.col("res_id") % 12, enums.MEMORY_TYPES).alias("memory_type"), enums.named(F.col("res_id") % 18, enums.RESOURCE_TYPES).alias("type_name"))
+
+
+@frame("p26_swizzle", f"SELECT res_id, {_case('res_id % 6', ('0', '1', 'R', 'G', 'B', 'A'))} || {_case('res_id % 5', ('0', '1', 'R', 'G', 'B', 'A'))} AS swizzle FROM {{res}}")
+def swizzle(view):
+    return view("res").select("res_id", scalars.swizzle_text(F.col("res_id") % 6, F.col("res_id") % 5).alias("swizzle"))
+
+
+@frame("p28_device_id", "SELECT alloc_id, to_hex(((29000 + alloc_id % 100) & 65535) << 8 | (alloc_id % 256)) AS device FROM {allocs}")
+def device(view):
+    return view("allocs").select("alloc_id", scalars.device_id((F.lit(29000) + F.col("alloc_id") % 100).cast("int"), (F.col("alloc_id") % 256).cast("int")).alias("device"))
+
+
+sql("p29_p36_p37_property_rows", "SELECT res_id, 'Size' AS property, CAST(rsize AS STRING) AS value FROM {res} WHERE usage = 3 UNION ALL SELECT res_id, 'Usage', CASE usage WHEN 3 THEN 'Buffer' ELSE 'n/a' END FROM {res} WHERE usage = 3 UNION ALL SELECT res_id, 'Offset', CAST(off AS STRING) FROM {res} WHERE usage = 3")
+_FNV = "2166136261"
+for _k in range(8):
+    _FNV = f"(xor({_FNV}, (alloc_id >> {8 * _k}) & 255) * 16777619) & 4294967295" if _k == 0 else f"(xor(({_FNV}), (alloc_id >> {8 * _k}) & 255) * 16777619) & 4294967295"
+
+
+@frame("p30_p31_id_hash", f"SELECT alloc_id, CAST({_FNV} AS BIGINT) AS hash FROM {{allocs}}")
+def id_hash(view):
+    return view("allocs").select("alloc_id", scalars.fnv1a32(F.col("alloc_id")).alias("hash"))
+
+
+sql("p32_p34_p35_segments", "SELECT heap, hi - lo AS bytes, heap IN (0, 1) AS gpu_visible, heap <> 1 AS cpu_visible, CASE WHEN heap = 1 THEN 0 ELSE heap END AS folded, sum(CASE WHEN heap IN (0, 1) THEN 1 ELSE 0 END) OVER () > 1 AS video_memory FROM {segments} s")
+
+# --- naming and histories ------------------------------------------------------------------
+
+sql("n01_restamped", "SELECT res_id, name, t - 500 AS event_time FROM {names} WHERE t >= 500")
+sql("n04_implicit", "SELECT r.res_id, r.res_id % 13 = 0 AND NOT (r.usage = 3 AND coalesce(h.paired, false)) AS implicit FROM {res} r LEFT JOIN (SELECT alloc_id, true AS paired FROM {res} WHERE usage = 2 AND off = 0 GROUP BY alloc_id) h ON h.alloc_id = r.alloc_id")
+sql("n05_names_in_life", "SELECT res_id, t, name FROM {names} WHERE t >= created AND t < created + 1000")
+sql("n06_n07_visible_resources", "SELECT res_id, usage FROM {res} WHERE usage IN (2, 3, 5, 6, 7) AND res_id NOT IN (SELECT res_id FROM {names} WHERE name = 'n3')")
+sql(
+    "h01_resource_history",
+    """SELECT 'create' AS event, res_id, alloc_ts AS ts FROM {res} WHERE usage = 7 UNION ALL SELECT 'bind', res_id, bind_ts FROM {res} WHERE usage = 7
+UNION ALL SELECT 'free', res_id, free_ts FROM {res} WHERE usage = 7 AND free_ts IS NOT NULL UNION ALL SELECT 'name', n.res_id, n.t FROM {names} n JOIN {res} r ON r.res_id = n.res_id WHERE r.usage = 7
+UNION ALL SELECT CASE WHEN m.unmap THEN 'unmap' WHEN m.pa = 0 THEN 'map host' ELSE 'map local' END, r.res_id, m.bind_ts FROM {res} r JOIN {maps} m ON m.alloc_id = r.alloc_id AND m.lo < r.off + r.rsize AND r.off < m.hi WHERE r.usage = 7""",
+)
+sql("h02_h05_creates_at_address", "SELECT r.res_id, r.bind_ts FROM {res} r WHERE r.alloc_id IN (SELECT alloc_id FROM {res} WHERE usage = 6 AND off = 0)")
+sql("h03_allocation_history", "SELECT a.alloc_id, 'allocate' AS event, a.alloc_ts AS ts, (SELECT count(*) FROM {res} r WHERE r.alloc_id = a.alloc_id) AS bound FROM {allocs} a WHERE a.heap = 2")
+sql("h04_basic_history", "SELECT alloc_id, 'allocate' AS event, alloc_ts AS ts FROM {allocs} UNION ALL SELECT alloc_id, 'free', free_ts FROM {allocs} WHERE free_ts IS NOT NULL")
+sql("h06_h09_all_resources", "SELECT res_id, 'bind' AS event, bind_ts AS ts FROM {res} WHERE res_id % 13 <> 0 UNION ALL SELECT res_id, 'destroy', free_ts FROM {res} WHERE free_ts IS NOT NULL AND res_id % 13 <> 0")
+sql("h07_bind_enrichment", "SELECT r.res_id, r.bind_ts, a.base, a.heap AS first_preference, CASE WHEN a.heap = 0 THEN 2 ELSE 3 END AS second_preference FROM {res} r JOIN {allocs} a ON a.alloc_id = r.alloc_id")
+sql("h08_typed_events", "SELECT kind, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, max(CASE WHEN kind = 12 THEN size END) AS largest FROM {toks} GROUP BY kind")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["w01_w05_w06_live_bytes"](spark, sf_dir)
