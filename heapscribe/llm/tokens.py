@@ -27,7 +27,7 @@ from .textvec import piece_hashes, strings
 
 END_ID = 2
 SPECIAL = "<|endoftext|>"  # fixed value of the vocabulary
-CACHE = 1_000_000
+CACHE = 2_000_000
 
 
 def default_vocabulary() -> str:
@@ -87,10 +87,10 @@ class Encoder:
         starts = np.zeros(len(pieces), np.int64)
         starts[order] = np.cumsum(counts[order]) - counts[order] + len(self.flat)
         self.flat = np.concatenate([self.flat, *ids])
-        merged = np.argsort(np.concatenate([self.known, hashes]), kind="stable")
-        self.known = np.concatenate([self.known, hashes])[merged]
-        self.start = np.concatenate([self.start, starts])[merged]
-        self.length = np.concatenate([self.length, counts.astype(np.int32)])[merged]
+        where = np.searchsorted(self.known, hashes)  # both are sorted
+        self.known = np.insert(self.known, where, hashes)
+        self.start = np.insert(self.start, where, starts)
+        self.length = np.insert(self.length, where, counts.astype(np.int32))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each text."""
@@ -135,13 +135,24 @@ class Encoder:
         return flat, counts
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def worker_encoder(vocabulary: str) -> Encoder:
+    """The worker process's encoder: its next tasks find the words that former ones have met."""
+    if vocabulary not in _encoders:
+        _encoders.clear()
+        _encoders[vocabulary] = Encoder(vocabulary)
+    return _encoders[vocabulary]
+
+
 def encode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns doc_id, n_tokens, tokens (with the end id), in the order of the rows."""
     source = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("_text"))
     target = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = worker_encoder(vocabulary)
         for batch in batches_of_bytes(batches, "_text", 1 << 19):
             ids, n = encoder(batch.column(1))
             ends = np.cumsum(n + 1)
