@@ -278,8 +278,9 @@ def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN) -> D
     """doc_id, n_shingles, component_id per row of docs (doc_id, text)."""
     rows = materialize(signed(docs, size, num, den), "signed", compression="zstd")
     keyed = rows.select(F.explode("heavy").alias("key"), F.lit(False).alias("light"), "node", F.col("n_shingles").alias("n")).union(rows.select(F.explode("light").alias("key"), F.lit(True), "node", "n_shingles"))
-    found = materialize(pointers(keyed.repartition("key"), num, den).groupBy("a", "b").agg(F.max("sure").alias("sure")), "pointers")
-    groups = materialize(components(found.where("not sure")), "groups")
+    found = materialize(pointers(keyed.repartition("key"), num, den).groupBy("a", "b").agg(F.max("sure").alias("sure"), F.max(~F.col("sure")).alias("listed")), "pointers")
+    # A pointer of a list holds its group together even where a shared subset proves it too.
+    groups = materialize(components(found.where("listed")), "groups")
     sizes = rows.where("node is not null").select("node", "n_shingles").distinct()
     members = groups.join(sizes, "node").select("node", F.col("component").alias("grp"), F.col("n_shingles").alias("n"))
     tiles = members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("t"))

@@ -201,6 +201,20 @@ def test_jaccard_small_sets_and_tiles(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in jaccard.join(table(spark, rows), 1, num).collect()} == want
 
 
+def test_jaccard_where_light_and_heavy_sizes_overlap(spark):
+    """A pointer that a list and a shared subset both give: x's link to y goes through a list whose first member, h, links with x only."""
+    rows = []
+    for i in range(250):
+        x = [f"{i}w{k}" for k in range(20 + i % 3)]
+        rows += [(3 * i, " ".join(x)), (3 * i + 1, " ".join([*x, "more"])), (3 * i + 2, " ".join([*x[:-1], "other"]))]
+    sets = [shingles(t, 3) for _, t in rows]
+    want = {}
+    for i in range(0, len(rows), 3):
+        for g in brute_components(sets[i : i + 3]):
+            want |= {rows[i + k][0]: min(rows[i + j][0] for j in g) for k in g}
+    assert {r.doc_id: r.component_id for r in jaccard.join(table(spark, rows)).collect()} == want
+
+
 def brute_contamination(text, items, window=13):
     w = re.findall(ALNUM, lower(text or ""))
     hit, found = set(), set()
