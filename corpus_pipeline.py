@@ -16,6 +16,10 @@ from heapscribe.llm import fmindex, jaccard, mixing, quality, tokens
 from heapscribe.llm.common import load, materialize
 
 
+#: Words of a shingle and the least similarity (80 of 100) of near duplicates. op5_jaccard's contract has its own.
+NEAR = (5, 80, 100)
+
+
 def _hidden(docs: DataFrame) -> DataFrame:
     """Columns under names that no operator adds."""
     return docs.select(*[F.col(f"`{c}`").alias(f"d_{c}") for c in docs.columns])
@@ -33,7 +37,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the one whose doc_id names the group."""
-    kept = jaccard.join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = jaccard.join(docs, *NEAR).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     counted = materialize(kept.groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
     rows = docs.join(counted.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
     single = rows.where("_rows = 1").select(*docs.columns)

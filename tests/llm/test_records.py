@@ -138,6 +138,18 @@ def test_pipeline_stages(spark):
     assert out[0].start == 0 and all(a.start + a.n_tokens == b.start for a, b in zip(out, out[1:], strict=False))
 
 
+def test_pipeline_near_duplicates_on_five_words(spark):
+    """One changed word in the middle of 50: 41/51 on five words, 45/51 on three."""
+    rows = []
+    for i in range(20):
+        words = [f"{i}w{k}" for k in range(40 + i)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:20], "other", *words[21:]]))]
+    sets = [shingles(t, 5) for _, t in rows]
+    want = [min(rows[i][0] for i in g) for g in brute_components(sets, 80)]
+    got = corpus_pipeline.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()
+    assert sorted(r.doc_id for r in got) == sorted(want) and 20 < len(want) < 40
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     rows = [(1, "a few words here", "en", "s", 16, 0.5), (1, "a few words here", "en", "s", 16, 0.5), (2, None, None, None, None, None), (3, "", "en", "t", 0, 0.1), (None, "no id at all", "en", "t", 12, 0.2), (4, "w " * 40_000, "en", None, 9, 0.3)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, score double"
