@@ -1,16 +1,16 @@
 """The corpus pipeline: five stages from documents to token rows, each a written table that the next one reads.
 
-Documents with equal doc_id are told apart by nothing else here, so the near-duplicate
-stage leaves one row of each doc_id; nulls in doc_id count as one more value. Empty
-texts pass the first three stages and have no words for the mix, which leaves them out.
+Documents are told apart by doc_id and the text's hash, so different texts with one
+doc_id, or with none, are documents of their own. Empty texts pass the first three stages and have no words for the mix, which leaves them out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from heapscribe.llm import fmindex, jaccard, mixing, quality, tokens
 from heapscribe.llm.common import load, materialize
@@ -35,13 +35,30 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _shown(quality.score(_hidden(docs), model, text="d_text").where(F.col("score") >= quality.THRESHOLD), docs)
 
 
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: the one whose doc_id names the group."""
-    kept = jaccard.join(docs, *NEAR).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counted = materialize(kept.groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
-    rows = docs.join(counted.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    single = rows.where("_rows = 1").select(*docs.columns)
-    return single.union(rows.where("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """Keeps one document of each group of near duplicates: the first by doc_id (null last) and the text's hash.
+
+    Rows with one doc_id and one text are copies of each other, so (doc_id, hash) tells apart
+    all that can be kept and dropped. Only rows that a filter of fixed size names are joined.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    found = jaccard.join(keyed, *NEAR, key="_key").where("NOT alone")
+    touched = found.groupBy("doc_id", "row_key").agg(F.first("kept").alias("_kept"), F.count("*").alias("_rows")).where("NOT _kept OR _rows > 1")
+    touched = materialize(touched.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_row_key"), "_kept"), "touched")
+    words = jaccard.filter_words(touched.select(F.xxhash64("_id", "_row_key").alias("node")))
+    placed = keyed.withColumn("_node", F.xxhash64("doc_id", "_key")).withColumn("_w", F.expr(f"cast(shiftrightunsigned(_node, 40) & {jaccard.FILTER_WORDS - 1} AS int)"))
+    words = F.broadcast(materialize(words.select(F.col("w").alias("_fw"), F.col("bits").alias("_bits")), "filter"))
+    marked = placed.join(words, F.col("_w") == F.col("_fw"), "left")
+    asked = "coalesce(shiftrightunsigned(_bits, cast(_node & 63 AS int)) & 1, 0) = 1"
+    clear = marked.where(f"NOT {asked}").select(*docs.columns)
+    named = materialize(marked.where(asked).select(*docs.columns, "_key"), "named")
+    named = named.join(touched, _same("doc_id", "_id") & (F.col("_key") == F.col("_row_key")), "left")
+    first = named.where("_kept").dropDuplicates(["doc_id", "_key"])
+    return clear.union(named.where("_kept IS NULL").select(*docs.columns)).union(first.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +69,16 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.expr("cast(taken div size AS int)").alias("_times"))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    # Rows equal in all three columns are alike to the mix and share what it takes of them.
+    same = mixing.mix(keyed, key="_key").groupBy("doc_id", "source", "_key").agg(F.expr("cast(sum(taken div greatest(size, 1)) AS int)").alias("_times"), F.count("*").alias("_rows"))
+    taken = same.where("_times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_key").alias("_row_key"), "_times", "_rows")
+    rows = keyed.join(taken, _same("doc_id", "_id") & _same("source", "_source") & (F.col("_key") == F.col("_row_key")))
+    single = rows.where("_rows = 1").select(*docs.columns, "_times")
+    at = F.row_number().over(Window.partitionBy("doc_id", "source", "_key").orderBy("_key"))
+    several = rows.where("_rows > 1").withColumn("_at", at).withColumn("_times", F.expr("cast(_times div _rows + if(_at <= _times % _rows, 1, 0) AS int)")).where("_times > 0")
+    both = single.union(several.select(*docs.columns, "_times"))
+    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

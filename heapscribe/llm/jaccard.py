@@ -122,9 +122,9 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)))
 
 
-def signed(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, node, heavy, light: keys stand once per node and task, copies have none."""
-    source = docs.select("doc_id", F.col("text").alias("_text"))
+def signed(docs: DataFrame, size: int, num: int, den: int, key: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, node, heavy, light, row_key (0 without `key`): keys stand once per node and task, copies have none."""
+    source = docs.select("doc_id", F.col("text").alias("_text"), (F.col(key) if key else F.lit(0)).cast("long").alias("_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, seen, none = Blocks(num, den), set(), np.zeros(0, U)
@@ -138,9 +138,9 @@ def signed(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 nodes.append(node)
                 heavy.append(blocks.of(x) if new else none)
                 light.append(blocks.subsets(x) if new else none)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), _lists(heavy), _lists(light)], names=["doc_id", "n_shingles", "node", "heavy", "light"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), _lists(heavy), _lists(light), batch.column(2)], names=["doc_id", "n_shingles", "node", "heavy", "light", "row_key"])
 
-    return source.mapInArrow(run, "doc_id long, n_shingles long, node long, heavy array<long>, light array<long>")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, node long, heavy array<long>, light array<long>, row_key long")
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -239,11 +239,15 @@ def checked(tiles: DataFrame, num: int, den: int) -> DataFrame:
     return tiles.select("grp", "i", "j", "side", "node", "shingles").mapInArrow(run, "a long, b long")
 
 
+def filter_words(nodes: DataFrame) -> DataFrame:
+    """A bit set of fixed size that holds all of `nodes` (column node) and a few others by chance, as (w, bits)."""
+    return nodes.select(F.expr(f"shiftrightunsigned(node, 40) & {FILTER_WORDS - 1}").cast("int").alias("w"), F.expr("shiftleft(1L, cast(node & 63 AS int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+
+
 def node_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit set of fixed size that holds all of `nodes` (column node) and a few others by chance."""
-    words = nodes.select(F.expr(f"shiftrightunsigned(node, 40) & {FILTER_WORDS - 1}").cast("int").alias("w"), F.expr("shiftleft(1L, cast(node & 63 AS int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    """filter_words as an array."""
     bits = np.zeros(FILTER_WORDS, np.int64)
-    got = words.toArrow()
+    got = filter_words(nodes).toArrow()
     bits[got["w"].to_numpy()] = got["bits"].to_numpy()
     return bits
 
@@ -274,9 +278,13 @@ def candidate_sets(docs: DataFrame, candidates: DataFrame, size: int) -> DataFra
     return docs.select(F.col("text").alias("_text")).mapInArrow(run, "node long, shingles binary")
 
 
-def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id per row of docs (doc_id, text)."""
-    rows = materialize(signed(docs, size, num, den), "signed", compression="zstd")
+def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, key: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id per row of docs (doc_id, text).
+
+    With a long column `key` that tells rows of one doc_id apart, also row_key, alone (no other
+    row in the component) and kept: (doc_id, row_key) is the component's first, null ids last.
+    """
+    rows = materialize(signed(docs, size, num, den, key), "signed", compression="zstd")
     keyed = rows.select(F.explode("heavy").alias("key"), F.lit(False).alias("light"), "node", F.col("n_shingles").alias("n")).union(rows.select(F.explode("light").alias("key"), F.lit(True), "node", "n_shingles"))
     found = materialize(pointers(keyed.repartition("key"), num, den).groupBy("a", "b").agg(F.max("sure").alias("sure"), F.max(~F.col("sure")).alias("listed")), "pointers")
     # A pointer of a list holds its group together even where a shared subset proves it too.
@@ -290,10 +298,16 @@ def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN) -> D
     spread = spread.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     links = materialize(checked(spread, num, den), "links")
     merged = materialize(components(links.union(found.where("sure").select("a", "b"))), "components")
-    classed = rows.select("doc_id", "n_shingles", "node").join(merged, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("class"))
+    names = ["doc_id", "n_shingles", *(["row_key"] if key else [])]
+    classed = rows.select(*names, "node").join(merged, "node", "left").select(*names, F.coalesce("component", "node").alias("class"))
     # Written, so that the join's sides are plain and Spark can split a class of very many copies.
-    least = materialize(classed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "least")
-    return classed.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")] if key else []
+    least = materialize(classed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), *first, F.count("*").alias("copies")).where("copies > 1").drop("copies"), "least")
+    joined, out = classed.join(least, "class", "left"), ["doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")]
+    if key:
+        first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key"))
+        out += ["row_key", F.col("first").isNull().alias("alone"), (F.col("first").isNull() | first).alias("kept")]
+    return joined.select(*out)
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:

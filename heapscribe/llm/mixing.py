@@ -36,14 +36,16 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
     return level.selectExpr("source", "source_size", "cast(rank AS int) AS rank", f"least({repeats} * source_size, w * shared) AS target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, seed: int = 17, key: str | None = None) -> DataFrame:
     """Adds size, source_size, target and taken (words that the mix takes, repeats counted) to doc_id, source and text's other columns.
 
     `docs` needs doc_id, source and text; the result has doc_id, source and the four.
+    A column `key` that tells rows of one doc_id apart joins the hash and the result.
     """
-    sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_RE)).cast("long").alias("size"))
-    sized = sized.withColumn("shuffled", F.xxhash64("doc_id", F.lit(seed)))
-    ordered = prefix_sums(sized, ["shuffled", "doc_id", "size"], "size", "upto", by="source")
+    keys = [key] if key else []
+    sized = docs.select("doc_id", "source", *keys, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_RE)).cast("long").alias("size"))
+    sized = sized.withColumn("shuffled", F.xxhash64("doc_id", *keys, F.lit(seed)))
+    ordered = prefix_sums(sized, ["shuffled", "doc_id", "size", *keys], "size", "upto", by="source")
     per_source = ordered.groupBy("source").agg(F.sum("size").alias("source_size"))
     budget = per_source.agg(F.sum("source_size")).first()[0] or 0
     goal = targets(per_source, weights, repeats).withColumnRenamed("source", "_source")
@@ -59,7 +61,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, s
         cut = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["rank"]).alias("rank"), F.lit(last["shuffled"]).alias("shuffled"), F.lit(last["doc_id"]).cast("long").alias("doc_id"))
         taken = F.col("size") * F.coalesce(F.size(F.filter("entries", lambda e: e <= cut)), F.lit(0))
     taken = F.when(F.col("entries").isNull(), 0).otherwise(taken).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"))
+    return placed.select("doc_id", "source", *keys, "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from heapscribe.llm import chat, tokens, warc
+from heapscribe.llm import chat, mixing, tokens, warc
 from heapscribe.llm.graph import components
 
 from ..conftest import DATA
@@ -150,6 +151,24 @@ def test_pipeline_near_duplicates_on_five_words(spark):
     assert sorted(r.doc_id for r in got) == sorted(want) and 20 < len(want) < 40
 
 
+def test_pipeline_tells_rows_of_one_doc_id_apart(spark):
+    text = lambda k, n=60: " ".join(f"{k}w{j}" for j in range(n))
+    rows = [(5, text("a"), "s"), (None, text("a", 61), "s"), (None, text("b"), "s"), (None, text("c"), "t"), (7, text("d"), "s"), (7, text("e"), "s"), (7, text("e"), "s"), (7, text("d", 61), "t"), (None, None, "s"), (8, "", "s"), (8, "", "s"), (9, text("f"), "u")]
+    rows += [(None, text("g"), "s"), (None, text("g", 61), "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    kept = corpus_pipeline.deduplicate(spark, docs, DATA).cache()
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    either = [(7, text("d")), (7, text("d", 61))], [(None, text("g")), (None, text("g", 61))]
+    for pair in either:
+        assert sum(got.pop(x, 0) for x in pair) == 1
+    assert got == Counter([(5, text("a")), (None, text("b")), (None, text("c")), (7, text("e")), (None, None), (8, ""), (8, ""), (9, text("f"))])
+    for given in (kept, docs):
+        taken = Counter()
+        for r in mixing.mix(given.withColumn("k", F.xxhash64("text")), key="k").join(given.select(F.xxhash64("text").alias("k"), "text").distinct(), "k").collect():
+            taken[r.doc_id, r.source, r.text] += r.taken // max(r["size"], 1)
+        assert Counter((r.doc_id, r.source, r.text) for r in corpus_pipeline.mix(spark, given, DATA).collect()) == +taken
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     rows = [(1, "a few words here", "en", "s", 16, 0.5), (1, "a few words here", "en", "s", 16, 0.5), (2, None, None, None, None, None), (3, "", "en", "t", 0, 0.1), (None, "no id at all", "en", "t", 12, 0.2), (4, "w " * 40_000, "en", None, 9, 0.3)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, score double"
