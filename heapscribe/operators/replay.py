@@ -8,16 +8,47 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars
 from ..sources import trace
+from . import intervals
 
+BIN = 1 << 28  # bytes of address space to a bin of the range join
 
-def allocations(tokens: DataFrame) -> DataFrame:
-    """trace_id, stream_index, offset, base, size, pref, owner, valid_from, valid_to (null: open): an allocation ends at the next free of its base, or where the base is allocated anew."""
+
+def settled(tokens: DataFrame) -> DataFrame:
+    """Allocate tokens with _free, _end (ts and seq of the next free of their base; null: none) and rejected: the base lies within an allocation that is live then.
+
+    A rejected allocation rejects nothing itself, so the pairs found by the range join are
+    settled in rounds: what no open earlier allocation holds is taken, what a taken one holds is rejected.
+    """
     on_base = tokens.where(F.col("kind").isin(trace.ALLOCATE, trace.FREE))
-    w = Window.partitionBy("trace_id", "va").orderBy("seq")
-    # An allocation whose base is live already is ignored: the event before it must not be an allocation.
-    opened = on_base.withColumns({"_next": F.lead("ts").over(w), "_before": F.lag("kind").over(w), "_free": F.min(F.when(F.col("kind") == trace.FREE, F.col("ts"))).over(w.rowsBetween(1, Window.unboundedFollowing))})
-    live = opened.where((F.col("kind") == trace.ALLOCATE) & (F.coalesce("_before", F.lit(trace.FREE)) == trace.FREE))
-    return live.select("trace_id", "stream_index", "offset", F.col("va").alias("base"), "size", "pref", "owner", F.col("ts").alias("valid_from"), F.col("_free").alias("valid_to"))
+    later = Window.partitionBy("trace_id", "va").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    freed = F.when(F.col("kind") == trace.FREE, F.struct("seq", "ts"))
+    made = on_base.withColumn("_next", F.min(freed).over(later)).where(F.col("kind") == trace.ALLOCATE)
+    made = made.withColumns({"_free": F.col("_next.ts"), "_end": F.col("_next.seq")}).drop("_next").localCheckpoint()
+    held = made.select("trace_id", F.col("seq").alias("_by"), F.col("va").alias("_lo"), F.expr("va + greatest(size, 1)").alias("_hi"), F.col("_end").alias("_until"))
+    within = intervals.range_join(made.select("trace_id", "seq", "va"), held, "va", "_lo", "_hi", BIN, ("trace_id",))
+    open_ = within.where("_by < seq AND (_until IS NULL OR seq < _until)").select("trace_id", "seq", "_by").localCheckpoint()
+    rejected = open_.select("trace_id", "seq").limit(0)
+    while not open_.isEmpty():
+        waiting = open_.select("trace_id", F.col("seq").alias("_by")).distinct()
+        sure = open_.join(waiting, ["trace_id", "_by"], "left_anti").select("trace_id", "seq").distinct().localCheckpoint()
+        rejected = rejected.union(sure)
+        left = open_.join(sure, ["trace_id", "seq"], "left_anti")
+        open_ = left.join(sure.withColumnRenamed("seq", "_by"), ["trace_id", "_by"], "left_anti").select("trace_id", "seq", "_by").localCheckpoint()
+    return made.join(rejected.withColumn("rejected", F.lit(True)), ["trace_id", "seq"], "left").withColumn("rejected", F.coalesce("rejected", F.lit(False)))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("trace_id", "stream_index", "offset", F.col("va").alias("base"), "size", "pref", "owner", F.col("ts").alias("valid_from"), F.col("_free").alias("valid_to"))
+
+
+def allocations(tokens: DataFrame) -> DataFrame:
+    """trace_id, stream_index, offset, base, size, pref, owner, valid_from, valid_to (null: open): an allocation ends at the next free of its base; one whose base lies within a live allocation is ignored."""
+    return _shown(settled(tokens).where("NOT rejected"))
+
+
+def rejects(tokens: DataFrame) -> DataFrame:
+    """The allocations that are ignored, in the same columns; valid_to is the next free of their base all the same."""
+    return _shown(settled(tokens).where("rejected"))
 
 
 def resources(tokens: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Binary traces, replay, sinks and streams on small fixtures."""
 
+import random
 import struct
 
 import pytest
@@ -98,6 +99,28 @@ def test_replay(tokens):
     assert replay.state_at(replay.allocations(rows), 4000).count() == 1 and replay.state_at(replay.allocations(rows), 6560).count() == 0
 
 
+def test_replay_rejects_bases_within_live_allocations(spark):
+    rnd, rows = random.Random(4), []
+    for t in ("a", "b"):
+        for seq in range(150):
+            make = rnd.random() < 0.6
+            rows.append((t, 0, seq, seq, 10 * seq, trace.ALLOCATE if make else trace.FREE, rnd.randrange(24) * 0x1000, rnd.choice([1, 2, 5, 9]) * 0x1000 if make else None, [0], 1))
+    rows += [("c", 0, i, i, i, trace.ALLOCATE, va, size, [0], 1) for i, (va, size) in enumerate([(0x1000, 0x8000), (0x4000, 0x9000), (0xA000, 0x1000), (0x9000, 1 << 33), (1 << 32, 0x1000)])]
+    tokens = spark.createDataFrame(rows, "trace_id string, stream_index int, offset long, seq long, ts long, kind int, va long, size long, pref array<int>, owner int")
+    live, taken, ignored = {}, {}, set()
+    for t, _, at, _, ts, kind, va, size, *_ in rows:
+        if kind == trace.FREE:
+            if (t, va) in live:
+                taken[live.pop((t, va))[0]][1] = ts
+        elif any(u == t and lo <= va < lo + n for (u, lo), (_, n) in live.items()):
+            ignored.add((t, at))
+        else:
+            live[t, va], taken[t, at] = ((t, at), size), [ts, None]
+    got = replay.allocations(tokens).collect()
+    assert {(r.trace_id, r.offset): [r.valid_from, r.valid_to] for r in got} == taken and len(got) == len(taken)
+    assert {(r.trace_id, r.offset) for r in replay.rejects(tokens).collect()} == ignored and ("c", 2) in taken
+
+
 def test_snapshot_points(spark, tmp_path):
     path = f"file://{tmp_path}/points"
     snapshots.add(spark.createDataFrame([("a", "first", 5, 10), ("b", "second", 6, 20)], "id string, name string, ts long, total long"), path)
