@@ -7,19 +7,28 @@ c(a, b) = ceil(num (|a|+|b|) / (num+den)).
 * Light sets (few shingles) enumerate all their subsets of the fixed sizes c that a
   partner can need. Sets that share a subset of size c and whose sizes need no more
   than c overlap for certain: no check follows.
-* Heavy sets scan inverted lists. Their elements are dealt by hash range to one block
-  more than the shingles in which two linked sets of that size can differ, so that linked
-  sets have a block in common whole; lists are keyed by block content. A passage that
-  many documents share fills no block by itself, so lists hold near copies only. Members
-  of a list point to its first; the components of these pointers are the candidate groups,
-  and each group is joined exactly by scanning the inverted lists of its members' shingles.
-  Large groups are cut into tiles and each pair of tiles is a task of its own.
-
-The boundary is the size from which enumerating subsets costs more rows than the blocks'
-rows and the share of a check (`boundary`). Only spanning links leave a task, never all
-pairs of a group, and no link between different sets is lost. Results are connected
-components. Null and empty texts have the empty set and link with nothing; a null doc_id
-takes part, but can't be a component's id unless it stands alone.
+* Heavy sets scan inverted lists. Shingles have one global order: rare ones first, those
+  that stand in many documents last, ties by hash. Of n shingles the first
+  n - ceil(num n / den) + 1 are filed, so two linked sets meet in a list; passages that many
+  documents share end the order and are filed by hardly any. The order rests on counts over
+  all documents (`hot_shingles`); any order gives the same links. In a list, sets are
+  compared by parity signatures of two bits a shingle: each shingle of the symmetric
+  difference flips one bit, so signatures that differ in more bits than linked sets can
+  rule a pair out. Unrelated sets that meet by chance end here. What is left spans
+  candidate groups, and each group is joined exactly by scanning the inverted lists of its
+  members' shingles. Long lists and large groups are cut into tiles, and each pair of tiles
+  is a task of its own.
+
+The boundary is the size from which enumerating subsets costs more rows than the filed
+shingles and the share of a check (`boundary`). Only spanning links leave a task, never
+all pairs of a group, and no link between different sets is lost. Results are connected
+components.
+
+Null and empty texts have the empty set and link with nothing. A null doc_id takes part,
+but can't be a component's id unless it stands alone. Repeated rows and equal sets are one
+node and get one component; ties don't matter, as a component is named by its smallest
+doc_id. Texts of any length are one set. Other columns than doc_id, text and `key` are not
+read, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -39,14 +48,23 @@ from .graph import components
 from .textvec import U, mix, shingle_sets
 
 SIZE, NUM, DEN = 3, 90, 100
-TILE_DOCS, TILE_SHINGLES = 1024, 500_000
-FILTER_WORDS = 1 << 18  # 64-bit words of the candidates' filter: 2 MB, whatever the input
+TILE_DOCS, TILE_SHINGLES = 512, 500_000
+TILE_LIST = 4096  # members of an inverted list that one task compares, or of each of two tiles
+FILTER_WORDS = 1 << 18  # 64-bit words of the smallest filter of candidates: 2 MB
+MOST_WORDS = 1 << 21  # and of the largest: 16 MB; one of more candidates lets more of the others pass, and exact joins follow
+RANGES, CELLS = 512, 1 << 23  # shingles are counted in RANGES * CELLS cells, each range of them by one task at a time
+HOT, MOST_HOT = 8, 1 << 18  # least count of a shingle that goes behind the others, and the most that are told apart: 1.3 MB, broadcast
 
 
 def overlap(a: int, b: int, num: int, den: int) -> int:
     return -(-num * (a + b) // (num + den))
 
 
+def filed(n: int, num: int, den: int) -> int:
+    """How many of n shingles, the first in the global order, a set is filed under: one of them at least is in each linked set."""
+    return n - -(-num * n // den) + 1
+
+
 @cache
 def subset_sizes(n: int, num: int, den: int) -> tuple[int, ...]:
     """Overlaps that a set of n elements can need with another set: one of its own size may be another only if some element may differ."""
@@ -60,56 +78,30 @@ def subset_sizes(n: int, num: int, den: int) -> tuple[int, ...]:
 
 @cache
 def boundary(num: int, den: int) -> int:
-    """The largest size for which subsets are cheaper: subsets' rows against two tags of blocks and a quarter of a set's check."""
+    """The largest size for which subsets are cheaper: subsets' rows against filed shingles and a quarter of a set's check."""
     n = 1
-    while sum(comb(n, c) for c in subset_sizes(n, num, den)) <= 2 * (2 * n * (den - num) // (den + num) + 1) + (n + 64) / 4:
+    while sum(comb(n, c) for c in subset_sizes(n, num, den)) <= filed(n, num, den) + (n + 64) / 4:
         n += 1
     return n - 1
 
 
-class Blocks:
-    """Size intervals, and the number of blocks for sets of an interval or the one before it."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.light = num, den, boundary(num, den)
-        self.lows = [max(1, -(-(self.light + 1) * num // den))]
-        while self.lows[-1] < 1 << 40:
-            self.lows.append(self.lows[-1] * den // num + 1)
-        self.lows = np.array(self.lows)
-
-    @cache  # noqa: B019
-    def cuts(self, tag: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower bounds of the tag's blocks in hash space, and their salts."""
-        high = int(self.lows[tag + 1]) - 1
-        m = 2 * high * (self.den - self.num) // (self.den + self.num) + 1
-        edges = np.array([k * 2**64 // m for k in range(m)], dtype=U)
-        return edges, mix((np.arange(m, dtype=U) + U(1)) * U(0xD6E8FEB86659FD93) + U(tag << 32))
-
-    def of(self, x: np.ndarray) -> np.ndarray:
-        """Keys of the inverted lists for a sorted set x."""
-        if len(x) < self.lows[0]:
-            return np.zeros(0, U)
-        at = int(np.searchsorted(self.lows, len(x), "right")) - 1
-        sums = np.zeros(len(x) + 1, U)
-        np.cumsum(mix(x), out=sums[1:])
-        keys = []
-        for tag in (at, at + 1):
-            edges, salt = self.cuts(tag)
-            where = np.append(np.searchsorted(x, edges), len(x))
-            keys.append(mix((sums[where[1:]] - sums[where[:-1]]) + salt))
-        return np.concatenate(keys)
-
-    def subsets(self, x: np.ndarray) -> np.ndarray:
-        """Keys of the fixed-size subsets of a small set; the low byte of a key is the subset's size."""
-        n = len(x)
-        if n > self.light:
-            return np.zeros(0, U)
-        y, keys = mix(x ^ U(0xA24BAED4963EE407)), []
-        total = y.sum(dtype=U)
-        for c in subset_sizes(n, self.num, self.den):
-            without = np.array([y[list(i)].sum(dtype=U) for i in combinations(range(n), n - c)], dtype=U) if c < n else np.zeros(1, U)
-            keys.append(mix(total - without + U(c)) & U(0xFFFFFFFFFFFFFF00) | U(c))
-        return np.concatenate(keys) if keys else np.zeros(0, U)
+def subsets(x: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of the fixed-size subsets of a light set; the low byte of a key is the subset's size."""
+    n = len(x)
+    if n > boundary(num, den):
+        return np.zeros(0, U)
+    y, keys = mix(x ^ U(0xA24BAED4963EE407)), []
+    total = y.sum(dtype=U)
+    for c in subset_sizes(n, num, den):
+        without = np.array([y[list(i)].sum(dtype=U) for i in combinations(range(n), n - c)], dtype=U) if c < n else np.zeros(1, U)
+        keys.append(mix(total - without + U(c)) & U(0xFFFFFFFFFFFFFF00) | U(c))
+    return np.concatenate(keys) if keys else np.zeros(0, U)
+
+
+def signature(x: np.ndarray) -> bytes:
+    """Bit b: parity of the number of shingles that fall to b of at least 2 n bits, a power of two."""
+    bits = 1 << max(6, (2 * len(x) - 1).bit_length())
+    return np.packbits((np.bincount((x & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def digest(x: np.ndarray) -> int:
@@ -122,52 +114,244 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)))
 
 
+def hot_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (top 32 bits of the hash, ascending) of shingles that stand in many texts, and the binary logarithm of their counts.
+
+    All texts are counted, a text once for each task that has it. Tasks send sorted cells as differences, by range; a range's counts
+    fit in a fixed array. Of the counts from HOT the highest come back, MOST_HOT at most.
+    """
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, parts, held = set(), [], 0
+
+        def packed() -> pa.RecordBatch:
+            cells = np.sort(np.concatenate(parts)).astype(np.int64)
+            cut = np.searchsorted(cells, np.arange(RANGES + 1) * CELLS)
+            rows = [(r, np.diff(cells[a:b] - r * CELLS, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()) for r, a, b in zip(range(RANGES), cut, cut[1:], strict=False) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], names=["range", "cells"])
+
+        for batch in batches_of_bytes(batches, "_text", 1 << 20):
+            for x in shingle_sets(batch.column(0), size):
+                node = digest(x) if len(x) else None
+                if node is not None and node not in seen:
+                    seen.add(node)
+                    parts.append((x >> U(32)).astype(np.uint32))
+                    held += len(x)
+            if held >= 1 << 22:
+                yield packed()
+                parts, held = [], 0
+        if parts:
+            yield packed()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, now, touched, few = np.zeros(CELLS, np.int32), None, [], 0
+
+        def hot() -> pa.RecordBatch:
+            if few < CELLS // 8:  # a few cells: no walk through all
+                own = np.unique(np.concatenate(touched))
+                at = own[counts[own] >= HOT]
+                out = pa.array(np.log2(counts[at]).astype(np.int32))
+                counts[own] = 0
+            else:
+                at = np.flatnonzero(counts >= HOT)
+                out = pa.array(np.log2(counts[at]).astype(np.int32))
+                counts[:] = 0
+            return pa.RecordBatch.from_arrays([pa.array(at + now * CELLS), out], names=["cell", "class"])
+
+        for batch in batches:
+            for r, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if r != now:
+                    if now is not None:
+                        yield hot()
+                    now, touched, few = r, [], 0
+                low, middle, high = np.frombuffer(raw.as_buffer(), np.uint8).reshape(3, -1).astype(np.int64)
+                at = np.cumsum(low | middle << 8 | high << 16)
+                first = _runs(at)
+                counts[at[first]] += np.diff(np.append(first, len(at))).astype(np.int32)
+                few += len(first)
+                touched = [*touched, at[first]] if few < CELLS // 8 else []
+        if now is not None:
+            yield hot()
+
+    rows = docs.select(F.col("text").alias("_text")).mapInArrow(sent, "range int, cells binary").repartition("range").sortWithinPartitions("range")
+    found = materialize(rows.mapInArrow(counted, "cell long, class int"), "hot")
+    total, least = 0, 64
+    for row in sorted(found.groupBy("class").count().collect(), reverse=True):  # at most 31 rows
+        total += row["count"]
+        if total > MOST_HOT:
+            break
+        least = row["class"]
+    got = found.where(F.col("class") >= least).orderBy("cell").toArrow()
+    return got["cell"].to_numpy().astype(np.uint32), got["class"].to_numpy().astype(np.int8)
+
+
 def signed(docs: DataFrame, size: int, num: int, den: int, key: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, node, heavy, light, row_key (0 without `key`): keys stand once per node and task, copies have none."""
+    """doc_id, n_shingles, node, heavy, light, signature, row_key (0 without `key`): keys stand once per node and task, copies have none."""
     source = docs.select("doc_id", F.col("text").alias("_text"), (F.col(key) if key else F.lit(0)).cast("long").alias("_row"))
+    shared = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, size))
+    light_most = boundary(num, den)
+    heavy_least = -(-(light_most + 1) * num // den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, seen, none = Blocks(num, den), set(), np.zeros(0, U)
+        cells, classes = shared.value
+        seen, none = set(), np.zeros(0, U)
+
+        def first(x: np.ndarray) -> np.ndarray:
+            """The shingles that x is filed under."""
+            k = filed(len(x), num, den)
+            if not len(cells):
+                return x[:k]
+            own = (x >> U(32)).astype(np.uint32)
+            at = np.minimum(np.searchsorted(cells, own), len(cells) - 1)
+            return x[np.argsort(np.where(cells[at] == own, classes[at], 0), kind="stable")[:k]]
+
         for batch in batches_of_bytes(batches, "_text", 1 << 20):
             sets = shingle_sets(batch.column(1), size)
-            nodes, heavy, light = [], [], []
+            nodes, heavy, light, bits = [], [], [], []
             for x in sets:
                 node = digest(x) if len(x) else None
                 new = node is not None and node not in seen
                 seen.add(node)
                 nodes.append(node)
-                heavy.append(blocks.of(x) if new else none)
-                light.append(blocks.subsets(x) if new else none)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), _lists(heavy), _lists(light), batch.column(2)], names=["doc_id", "n_shingles", "node", "heavy", "light", "row_key"])
+                large = new and len(x) >= heavy_least
+                heavy.append(first(x) if large else none)
+                bits.append(signature(x) if large else None)
+                light.append(subsets(x, num, den) if new else none)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), _lists(heavy), _lists(light), pa.array(bits, pa.binary()), batch.column(2)], names=["doc_id", "n_shingles", "node", "heavy", "light", "signature", "row_key"])
 
-    return source.mapInArrow(run, "doc_id long, n_shingles long, node long, heavy array<long>, light array<long>, row_key long")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, node long, heavy array<long>, light array<long>, signature binary, row_key long")
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
 
 
-def pointers(keyed: DataFrame, num: int, den: int) -> DataFrame:
-    """From rows (key, light, node, n): members of a list point to its first (a, b); sure when a shared subset proves the link."""
+def sure_links(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of light sets: of those that share a subset, each with the smallest one, where the subset is as large as their sizes need."""
+    keyed = nodes.select(F.explode("light").alias("key"), "n", "node")
+    heads = keyed.groupBy("key").agg(F.min(F.struct("n", "node")).alias("head"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "head")
+    enough = num * (F.col("n") + F.col("head.n")) <= (num + den) * F.col("key").bitwiseAND(F.lit(255))
+    linked = keyed.join(heads, "key").where((F.col("node") != F.col("head.node")) & enough)
+    return linked.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+
+
+class Members:
+    """Members of inverted lists, whose signatures can be compared many pairs at a time."""
+
+    def __init__(self, n: np.ndarray, raw: pa.Array, num: int, den: int):
+        self.n, self.num, self.den = n, num, den
+        offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+        self.at, self.size, self.data = offsets[:-1], np.diff(offsets), np.frombuffer(raw.buffers()[2], np.uint8)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def table(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of `size` bytes, longer ones folded, and the row in them of each member."""
+        if size not in self.tables:
+            own = np.flatnonzero(self.size == size)
+            rows = self.data[self.at[own][:, None] + np.arange(size)]
+            place = np.full(len(self.n), -1)
+            place[own] = np.arange(len(own))
+            if (self.size > size).any():
+                more, where = self.table(2 * size)
+                folded = np.flatnonzero(where >= 0)
+                place[folded] = len(own) + where[folded]
+                rows = np.concatenate([rows, more[:, :size] ^ more[:, size:]])
+            self.tables[size] = np.ascontiguousarray(rows), place
+        return self.tables[size]
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs (a, b) may link, by their sizes and signatures."""
+        total = self.n[a] + self.n[b]
+        spare = total - 2 * -(-self.num * total // (self.num + self.den))
+        out = np.abs(self.n[a] - self.n[b]) <= spare
+        size = np.minimum(self.size[a], self.size[b])
+        for s in np.unique(size[out]).tolist():
+            rows, place = self.table(s)
+            pick = np.flatnonzero(out & (size == s))
+            for part in np.array_split(pick, max(1, len(pick) * s >> 24)):
+                flips = np.bitwise_count(rows[place[a[part]]].view(U) ^ rows[place[b[part]]].view(U)).sum(axis=1, dtype=np.int64)
+                out[part] = flips <= spare[part]
+        return out
+
+
+SMALL_LIST = 16
+
+
+def spanned(start: np.ndarray, end: np.ndarray, members: Members) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members that connect what pairs that may link connect in each list [start, end)."""
+    left, right, size = [], [], end - start
+    for s in range(2, SMALL_LIST + 1):
+        at = start[size == s]
+        if len(at):
+            i, j = np.triu_indices(s, 1)
+            a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+            ok = members.near(a, b)
+            left.append(a[ok])
+            right.append(b[ok])
+    for low, high in zip(start[size > SMALL_LIST].tolist(), end[size > SMALL_LIST].tolist(), strict=True):
+        apart, reached = np.arange(low, high), []
+        while len(apart):
+            if reached:
+                x = reached.pop()
+            else:
+                x, apart = int(apart[0]), apart[1:]
+            ok = members.near(np.full(len(apart), x), apart)
+            new = apart[ok]
+            left.append(np.full(len(new), x))
+            right.append(new)
+            reached += new.tolist()
+            apart = apart[~ok]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def pointers(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) from rows (key, i, j, node, n, signature), sorted by (key, i, j) and each of these together in one partition."""
+
+    def out(rows: pa.Table) -> pa.RecordBatch:
+        key, i, j, node, n = (rows.column(c).to_numpy() for c in range(5))
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        a, b = spanned(first, np.append(first[1:], len(key)), Members(n, rows.column(5).combine_chunks().cast(pa.binary()), num, den))
+        pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-        if not parts:
-            return
-        key, light, node, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.lexsort((node, np.where(light, n, 0), light, key))
-        key, light, node, n = key[order], light[order], node[order], n[order]
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (light[1:] != light[:-1])]))
-        head = np.repeat(starts, np.diff(np.append(starts, len(key))))
-        need = num * (n + n[head]) <= (num + den) * (key & 0xFF)
-        links = (node != node[head]) & (~light | need)
-        found = np.unique(np.stack([np.minimum(node, node[head])[links], np.maximum(node, node[head])[links], light[links].astype(np.int64)]), axis=1)
-        for at in range(0, found.shape[1], 50_000):
-            x = found[:, at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), pa.array(x[2] == 1)], names=["a", "b", "sure"])
-
-    return keyed.mapInArrow(run, "a long, b long, sure boolean")
+        held: pa.Table | None = None
+        for batch in batches:
+            held = pa.concat_tables([*([held] if held else []), pa.Table.from_batches([batch])])
+            if held.num_rows >= 4 * TILE_LIST or held.nbytes > 32 << 20:
+                key, i, j = (held.column(c).to_numpy() for c in range(3))
+                cut = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
+                if len(cut):
+                    yield out(held.slice(0, cut[-1] + 1).combine_chunks())
+                    held = held.slice(cut[-1] + 1).combine_chunks()
+        if held and held.num_rows:
+            yield out(held.combine_chunks())
+
+    return lists.select("key", "i", "j", "node", "n", "signature").mapInArrow(run, "a long, b long")
+
+
+def candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that span what heavy sets may link, from one row (node, n, heavy, signature) for each set."""
+    rows = nodes.where("signature IS NOT NULL")
+    keyed = rows.select(F.explode("heavy").alias("key"), "node")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("k")).where("low <> high")
+    shared = materialize(shared.select("key", F.ceil(F.col("k") / TILE_LIST).cast("int").alias("t")), "shared")
+    bits = nodes.sparkSession.sparkContext.broadcast(node_filter(shared.withColumnRenamed("key", "node")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heavy = batch.column(1)
+            keys = heavy.flatten().to_numpy()
+            keep = filtered(bits.value, keys)
+            node = np.repeat(batch.column(0).to_numpy(), np.diff(heavy.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(node[keep])], names=["key", "node"])
+
+    met = rows.select("node", "heavy").mapInArrow(run, "key long, node long").join(shared, "key")
+    placed = met.withColumn("tile", F.expr("cast(pmod(xxhash64(node), t) AS int)")).withColumn("other", F.explode(F.expr("sequence(0, t - 1)")))
+    placed = placed.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node")
+    lists = placed.join(rows.select("node", "n", "signature"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return pointers(lists, num, den).distinct()
 
 
 def scan(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -239,15 +423,16 @@ def checked(tiles: DataFrame, num: int, den: int) -> DataFrame:
     return tiles.select("grp", "i", "j", "side", "node", "shingles").mapInArrow(run, "a long, b long")
 
 
-def filter_words(nodes: DataFrame) -> DataFrame:
-    """A bit set of fixed size that holds all of `nodes` (column node) and a few others by chance, as (w, bits)."""
-    return nodes.select(F.expr(f"shiftrightunsigned(node, 40) & {FILTER_WORDS - 1}").cast("int").alias("w"), F.expr("shiftleft(1L, cast(node & 63 AS int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+def filter_words(nodes: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+    """A bit set of `words` words that holds all of `nodes` (column node) and a few others by chance, as (w, bits)."""
+    return nodes.select(F.expr(f"shiftrightunsigned(node, 40) & {words - 1}").cast("int").alias("w"), F.expr("shiftleft(1L, cast(node & 63 AS int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:
-    """filter_words as an array."""
-    bits = np.zeros(FILTER_WORDS, np.int64)
-    got = filter_words(nodes).toArrow()
+    """filter_words as an array, of about 16 bits for each of the nodes within FILTER_WORDS and MOST_WORDS."""
+    words = min(MOST_WORDS, max(FILTER_WORDS, 1 << (nodes.count() // 4).bit_length()))
+    bits = np.zeros(words, np.int64)
+    got = filter_words(nodes, words).toArrow()
     bits[got["w"].to_numpy()] = got["bits"].to_numpy()
     return bits
 
@@ -255,11 +440,11 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
 def filtered(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """Which of the nodes (signed longs) may be in the filter."""
     x = nodes.view(U)
-    return (bits[(x >> U(40) & U(FILTER_WORDS - 1)).astype(np.int64)].view(U) >> (x & U(63)) & U(1)) == 1
+    return (bits[(x >> U(40) & U(len(bits) - 1)).astype(np.int64)].view(U) >> (x & U(63)) & U(1)) == 1
 
 
 def candidate_sets(docs: DataFrame, candidates: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of candidate nodes. A filter of fixed size spares the others' shuffle; an exact join follows."""
+    """(node, shingles) of candidate nodes. A filter of bounded size spares the others' shuffle; an exact join follows."""
     shared = docs.sparkSession.sparkContext.broadcast(node_filter(candidates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,19 +470,19 @@ def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, key:
     row in the component) and kept: (doc_id, row_key) is the component's first, null ids last.
     """
     rows = materialize(signed(docs, size, num, den, key), "signed", compression="zstd")
-    keyed = rows.select(F.explode("heavy").alias("key"), F.lit(False).alias("light"), "node", F.col("n_shingles").alias("n")).union(rows.select(F.explode("light").alias("key"), F.lit(True), "node", "n_shingles"))
-    found = materialize(pointers(keyed.repartition("key"), num, den).groupBy("a", "b").agg(F.max("sure").alias("sure"), F.max(~F.col("sure")).alias("listed")), "pointers")
-    # A pointer of a list holds its group together even where a shared subset proves it too.
-    groups = materialize(components(found.where("listed")), "groups")
-    sizes = rows.where("node is not null").select("node", "n_shingles").distinct()
-    members = groups.join(sizes, "node").select("node", F.col("component").alias("grp"), F.col("n_shingles").alias("n"))
+    # One row for each set: copies in different tasks meet here.
+    nodes = rows.where("size(heavy) > 0 OR size(light) > 0").select("node", F.col("n_shingles").alias("n"), "heavy", "light", "signature").dropDuplicates(["node"])
+    nodes = materialize(nodes, "nodes")
+    sure = sure_links(nodes, num, den)
+    groups = materialize(components(candidates(nodes, num, den)), "groups")
+    members = groups.join(nodes.select("node", "n"), "node").select("node", F.col("component").alias("grp"), "n")
     tiles = members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("t"))
     members = materialize(members.join(tiles, "grp").select("node", "grp", "t", F.expr("cast(pmod(xxhash64(node), t) AS int)").alias("tile")), "members")
     sets = candidate_sets(docs, members, size).dropDuplicates(["node"]).join(members, "node")
     spread = sets.withColumn("k", F.explode(F.expr("sequence(0, t - 1)"))).select("grp", F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"), (F.col("tile") > F.col("k")).cast("int").alias("side"), "node", "shingles")
     spread = spread.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     links = materialize(checked(spread, num, den), "links")
-    merged = materialize(components(links.union(found.where("sure").select("a", "b"))), "components")
+    merged = materialize(components(links.union(sure)), "components")
     names = ["doc_id", "n_shingles", *(["row_key"] if key else [])]
     classed = rows.select(*names, "node").join(merged, "node", "left").select(*names, F.coalesce("component", "node").alias("class"))
     # Written, so that the join's sides are plain and Spark can split a class of very many copies.
