@@ -9,7 +9,10 @@ cumulative size reaches the budget.
 
 Null or empty texts have size 0 and are never taken; a null source is a source of its
 own and comes last; repeated rows are entries of their own. Reruns agree, as the order
-depends on doc_id and a seed alone.
+depends on doc_id and a seed alone; equal finish times go by source, hash and doc_id, and
+rows alike in these and in size are interchangeable. Texts are counted whole whatever
+their length. Other columns than doc_id, source, text and `key` are not read, whatever
+their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, load, prefix_sums
+from .common import WORD_RE, load, materialize, prefix_sums
 
 WEIGHTS = (5, 2, 1)
 
@@ -45,6 +48,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, s
     keys = [key] if key else []
     sized = docs.select("doc_id", "source", *keys, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_RE)).cast("long").alias("size"))
     sized = sized.withColumn("shuffled", F.xxhash64("doc_id", *keys, F.lit(seed)))
+    sized = materialize(sized, "sizes")  # so that range sampling doesn't count the texts again
     ordered = prefix_sums(sized, ["shuffled", "doc_id", "size", *keys], "size", "upto", by="source")
     per_source = ordered.groupBy("source").agg(F.sum("size").alias("source_size"))
     budget = per_source.agg(F.sum("source_size")).first()[0] or 0

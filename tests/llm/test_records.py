@@ -122,7 +122,7 @@ def test_pipeline_stages(spark):
     asked = good & {r.doc_id for r in rows[names[0]][0]}
     assert len(asked & kept) >= 0.97 * len(asked)
     was, now = rows[names[1]]
-    groups = brute_components([shingles(r.text, 3) for r in was])
+    groups = brute_components([shingles(r.text, 5) for r in was], 80)
     assert sorted(r.doc_id for r in now) == sorted([min(was[i].doc_id for i in g) for g in groups])
     was, now = rows[names[2]]
     hit = lambda n, h, _: h > 0 and 20 * h >= n
@@ -169,6 +169,19 @@ def test_pipeline_tells_rows_of_one_doc_id_apart(spark):
         assert Counter((r.doc_id, r.source, r.text) for r in corpus_pipeline.mix(spark, given, DATA).collect()) == +taken
 
 
+def test_pipeline_carries_columns_of_any_name(spark):
+    names = ["_id", "_rows", "_times", "_n", "_key", "key", "kept", "copies", "times", "at", "node", "w", "bits", "row_key", "size", "d_text", "score", "target"]
+    rows = [(i, f"{i}a {i}b {i}c {i}d {i}e {i}f", "en", "s", 9, *[f"{i}{n}" for n in names]) for i in range(12)]
+    rows += [(20, rows[3][1] + " more", "en", "s", 9, *["x"] * len(names)), (7, rows[7][1], *rows[7][2:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    once = corpus_pipeline.deduplicate(spark, docs, DATA)
+    assert once.columns == docs.columns and sorted(tuple(r) for r in once.collect()) == sorted(rows[:12])
+    for stage in (corpus_pipeline.classify, corpus_pipeline.decontaminate, corpus_pipeline.mix):
+        got = stage(spark, once, DATA)
+        assert got.columns == docs.columns and set(map(tuple, got.collect())) <= set(rows)
+    assert {r.doc_id for r in corpus_pipeline.tokenize(spark, once, DATA).collect()} == set(range(12))
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     rows = [(1, "a few words here", "en", "s", 16, 0.5), (1, "a few words here", "en", "s", 16, 0.5), (2, None, None, None, None, None), (3, "", "en", "t", 0, 0.1), (None, "no id at all", "en", "t", 12, 0.2), (4, "w " * 40_000, "en", None, 9, 0.3)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, score double"

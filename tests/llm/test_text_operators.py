@@ -215,6 +215,33 @@ def test_jaccard_where_light_and_heavy_sizes_overlap(spark):
     assert {r.doc_id: r.component_id for r in jaccard.join(table(spark, rows)).collect()} == want
 
 
+@pytest.mark.parametrize("hot", [1, 8])
+def test_jaccard_unrelated_long_texts_are_no_candidates(spark, hot, monkeypatch):
+    """A passage of 60 words in all of 300 long unrelated texts: no two of these become a candidate pair."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(i, " ".join([f"{i}w{k}" for k in range(50 + i)] + passage + [f"{i}v{k}" for k in range(20)])) for i in range(300)]
+    rows += [(1000, rows[5][1] + " more"), (1001, " ".join(passage)), (1002, " ".join([*passage, "x"]))]
+    docs = table(spark, rows)
+    cells, classes = jaccard.hot_shingles(docs, 3)
+    assert (classes == 8).sum() == 58
+    nodes = jaccard.signed(docs, 3, 90, 100).select("node", jaccard.F.col("n_shingles").alias("n"), "heavy", "light", "signature").cache()
+    assert jaccard.candidates(nodes, 90, 100).count() == 2
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs).collect()}
+    assert got == {i: {1000: 5, 1002: 1001}.get(i, i) for i, _ in rows}
+
+
+def test_jaccard_long_lists(spark, monkeypatch):
+    """Lists longer than SMALL_LIST, in one tile and in several: chains of near copies and some that link with none."""
+    base = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join([f"{i}x{k}" for k in range(i % 4)] + base[i % 3 :] + [f"{i}y"] * (i % 2))) for i in range(120)]
+    sets = [shingles(t, 1) for _, t in rows]
+    want = {rows[i][0]: min(rows[j][0] for j in g) for g in brute_components(sets, 90) for i in g}
+    for tile in (4096, 8):
+        monkeypatch.setattr(jaccard, "TILE_LIST", tile)
+        assert {r.doc_id: r.component_id for r in jaccard.join(table(spark, rows), 1, 90).collect()} == want
+
+
 def brute_contamination(text, items, window=13):
     w = re.findall(ALNUM, lower(text or ""))
     hit, found = set(), set()
