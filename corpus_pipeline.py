@@ -1,7 +1,11 @@
 """The corpus pipeline: five stages from documents to token rows, each a written table that the next one reads.
 
 Documents are told apart by doc_id and the text's hash, so different texts with one
-doc_id, or with none, are documents of their own. Empty texts pass the first three stages and have no words for the mix, which leaves them out.
+doc_id, or with none, are documents of their own. Null and empty texts pass the first
+three stages and have no words for the mix, which leaves them out. Repeated rows are
+copies of each other, of which the second stage keeps one. Texts of any length are taken
+whole. Columns of other names, whatever they are, go along to the last stage; no
+documents give no rows.
 """
 
 from __future__ import annotations
@@ -45,20 +49,22 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with one doc_id and one text are copies of each other, so (doc_id, hash) tells apart
     all that can be kept and dropped. Only rows that a filter of fixed size names are joined.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    found = jaccard.join(keyed, *NEAR, key="_key").where("NOT alone")
-    touched = found.groupBy("doc_id", "row_key").agg(F.first("kept").alias("_kept"), F.count("*").alias("_rows")).where("NOT _kept OR _rows > 1")
-    touched = materialize(touched.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_row_key"), "_kept"), "touched")
-    words = jaccard.filter_words(touched.select(F.xxhash64("_id", "_row_key").alias("node")))
-    placed = keyed.withColumn("_node", F.xxhash64("doc_id", "_key")).withColumn("_w", F.expr(f"cast(shiftrightunsigned(_node, 40) & {jaccard.FILTER_WORDS - 1} AS int)"))
-    words = F.broadcast(materialize(words.select(F.col("w").alias("_fw"), F.col("bits").alias("_bits")), "filter"))
-    marked = placed.join(words, F.col("_w") == F.col("_fw"), "left")
-    asked = "coalesce(shiftrightunsigned(_bits, cast(_node & 63 AS int)) & 1, 0) = 1"
-    clear = marked.where(f"NOT {asked}").select(*docs.columns)
-    named = materialize(marked.where(asked).select(*docs.columns, "_key"), "named")
-    named = named.join(touched, _same("doc_id", "_id") & (F.col("_key") == F.col("_row_key")), "left")
-    first = named.where("_kept").dropDuplicates(["doc_id", "_key"])
-    return clear.union(named.where("_kept IS NULL").select(*docs.columns)).union(first.select(*docs.columns))
+    keyed = _hidden(docs).withColumn("key", F.xxhash64("d_text"))
+    asked = keyed.select(F.col("d_doc_id").alias("doc_id"), F.col("d_text").alias("text"), "key")
+    found = jaccard.join(asked, *NEAR, key="key").where("NOT alone")
+    touched = found.groupBy("doc_id", "row_key").agg(F.first("kept").alias("kept"), F.count("*").alias("copies")).where("NOT kept OR copies > 1")
+    touched = materialize(touched.select("doc_id", "row_key", "kept"), "touched")
+    words = jaccard.filter_words(touched.select(F.xxhash64("doc_id", "row_key").alias("node")))
+    placed = keyed.withColumn("node", F.xxhash64("d_doc_id", "key")).withColumn("at", F.expr(f"cast(shiftrightunsigned(node, 40) & {jaccard.FILTER_WORDS - 1} AS int)"))
+    words = F.broadcast(materialize(words, "filter"))
+    marked = placed.join(words, F.col("at") == F.col("w"), "left")
+    in_filter = "coalesce(shiftrightunsigned(bits, cast(node & 63 AS int)) & 1, 0) = 1"
+    named = materialize(marked.where(in_filter).select(*keyed.columns), "named")
+    named = named.join(touched, _same("d_doc_id", "doc_id") & (F.col("key") == F.col("row_key")), "left")
+    first = named.where("kept").dropDuplicates(["d_doc_id", "key"])
+    parts = marked.where(f"NOT {in_filter}"), named.where("kept IS NULL"), first
+    clear, other, first = (_shown(p, docs) for p in parts)
+    return clear.union(other).union(first)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,16 +75,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    keyed = _hidden(docs).withColumn("key", F.xxhash64("d_text"))
+    asked = keyed.select(F.col("d_doc_id").alias("doc_id"), F.col("d_source").alias("source"), F.col("d_text").alias("text"), "key")
     # Rows equal in all three columns are alike to the mix and share what it takes of them.
-    same = mixing.mix(keyed, key="_key").groupBy("doc_id", "source", "_key").agg(F.expr("cast(sum(taken div greatest(size, 1)) AS int)").alias("_times"), F.count("*").alias("_rows"))
-    taken = same.where("_times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_key").alias("_row_key"), "_times", "_rows")
-    rows = keyed.join(taken, _same("doc_id", "_id") & _same("source", "_source") & (F.col("_key") == F.col("_row_key")))
-    single = rows.where("_rows = 1").select(*docs.columns, "_times")
-    at = F.row_number().over(Window.partitionBy("doc_id", "source", "_key").orderBy("_key"))
-    several = rows.where("_rows > 1").withColumn("_at", at).withColumn("_times", F.expr("cast(_times div _rows + if(_at <= _times % _rows, 1, 0) AS int)")).where("_times > 0")
-    both = single.union(several.select(*docs.columns, "_times"))
-    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    same = mixing.mix(asked, key="key").groupBy("doc_id", "source", "key").agg(F.expr("cast(sum(taken div greatest(size, 1)) AS int)").alias("times"), F.count("*").alias("copies"))
+    taken = same.where("times > 0").select("doc_id", "source", F.col("key").alias("row_key"), "times", "copies")
+    rows = keyed.join(taken, _same("d_doc_id", "doc_id") & _same("d_source", "source") & (F.col("key") == F.col("row_key")))
+    single = rows.where("copies = 1").select(*keyed.columns, "times")
+    at = F.row_number().over(Window.partitionBy("d_doc_id", "d_source", "key").orderBy("key"))
+    several = rows.where("copies > 1").withColumn("at", at).withColumn("times", F.expr("cast(times div copies + if(at <= times % copies, 1, 0) AS int)")).where("times > 0")
+    both = single.union(several.select(*keyed.columns, "times"))
+    return _shown(both.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("times")))), docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
