@@ -6,6 +6,13 @@ and tiles, undoes horizontal predictors and emits one row per page. Null or
 malformed media give one row with page 0 and an error text, so no row is lost.
 
 `store(df, text)` is the matching writer: texts become lossless multi-page TIFFs.
+
+8-bit samples of any number a pixel are read, side by side and in either byte order; other
+bit depths, separate planes and reversed bit order give an error row, and so do sizes that
+the bytes present can't hold. Null and empty texts are stored as 576 bytes of 255. Repeated
+rows are media of their own, equal texts equal ones; texts of any length are stored whole.
+`digests` folds error rows too, with null in what there is no payload for. Columns beyond
+those named in `keep` are not read, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +35,11 @@ from .common import batches_of_bytes
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+FILL_ORDER, PLANAR = 266, 284
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 CLEAR, END = 256, 257
+#: More samples than this for each byte of a file come out of no compression read here.
+MOST_RATIO = 4096
 
 SIDE = 24
 BLOCK = SIDE * SIDE
@@ -128,7 +138,13 @@ def lzw_decode(raw: bytes) -> bytes:
 
 
 ENCODE = {NONE: bytes, PACKBITS: packbits_encode, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 4)}
-DECODE = {NONE: bytes, PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
+
+
+def inflate(raw: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(raw, max(most, 1))
+
+
+DECODE = {NONE: lambda raw, _: raw, PACKBITS: lambda raw, _: packbits_decode(raw), LZW: lambda raw, _: lzw_decode(raw), DEFLATE: inflate, OLD_DEFLATE: inflate}
 
 
 def write_tiff(images: list[dict]) -> bytes:
@@ -149,7 +165,8 @@ def write_tiff(images: list[dict]) -> bytes:
         for part in parts:
             if predictor == 2:
                 part = np.concatenate([part[:, :1], part[:, 1:] - part[:, :-1]], axis=1)
-            packed = ENCODE[compression](part.tobytes())
+            # PackBits packs each row by itself.
+            packed = b"".join(packbits_encode(row.tobytes()) for row in part) if compression == PACKBITS else ENCODE[compression](part.tobytes())
             offsets.append(len(out))
             counts.append(len(packed))
             out += packed
@@ -192,13 +209,20 @@ def read_tiff(raw: bytes) -> Iterator[dict]:
         spp, predictor, compression = tags.get(SAMPLES, [1])[0], tags.get(PREDICTOR, [1])[0], tags.get(COMPRESSION, [1])[0]
         if set(tags.get(BITS, [8])) != {8} or compression not in DECODE or predictor not in (1, 2):
             raise ValueError(f"page {number}: compression {compression}, predictor {predictor}, bits {tags.get(BITS)}")
+        if tags.get(PLANAR, [1])[0] != 1 or tags.get(FILL_ORDER, [1])[0] != 1:
+            raise ValueError(f"page {number}: planes {tags.get(PLANAR)}, fill order {tags.get(FILL_ORDER)}")
         tiled = TILE_OFFSETS in tags
         tw, tl = (tags[TILE_WIDTH][0], tags[TILE_LENGTH][0]) if tiled else (width, min(tags.get(ROWS_PER_STRIP, [height])[0], height))
-        samples, across = np.zeros((height, width, spp), np.uint8), -(-width // tw) if width else 1
-        for k, (o, c) in enumerate(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS], strict=True)):
+        if min(width, height, spp, tw, tl) < 1 or max(width * height, tw * min(tl, height)) * spp > MOST_RATIO * len(raw):
+            raise ValueError(f"page {number}: {width} x {height} in parts of {tw} x {tl}, {spp} samples a pixel, {len(raw)} bytes")
+        samples, across = np.zeros((height, width, spp), np.uint8), -(-width // tw)
+        parts = list(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS], strict=True))
+        if len(parts) != across * -(-height // tl) or max(tl, 1) * tw * spp > MOST_RATIO * len(raw):
+            raise ValueError(f"page {number}: {len(parts)} parts of {tw} x {tl} for {width} x {height}")
+        for k, (o, c) in enumerate(parts):
             y, x = k // across * tl, k % across * tw
             rows = tl if tiled else min(tl, height - y)
-            part = np.frombuffer(DECODE[compression](raw[o : o + c]), np.uint8, rows * tw * spp).reshape(rows, tw, spp)
+            part = np.frombuffer(DECODE[compression](raw[o : o + c], rows * tw * spp), np.uint8, rows * tw * spp).reshape(rows, tw, spp)
             if predictor == 2:
                 part = np.cumsum(part, axis=1, dtype=np.uint8)
             samples[y : y + tl, x : x + tw] = part[: height - y, : width - x]
@@ -257,7 +281,7 @@ def pages(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id"
                     found = list(read_tiff(raw or b""))
                     rows += [head | p | {"n_pages": len(found)} for p in found]
                     index += [i] * len(found)
-                except (ValueError, KeyError, struct.error, zlib.error, IndexError) as e:
+                except (ValueError, LookupError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
                     rows.append(head | {"page": 0, "n_pages": 0, "error": str(e) or type(e).__name__})
                     index.append(i)
             kept = batch.take(pa.array(index, pa.int64()))
@@ -275,6 +299,8 @@ def digests(paged: DataFrame) -> DataFrame:
     source = paged.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "n_pages", "samples")
 
     def row(head: dict, parts: list[bytes]) -> dict:
+        if not head["n_pages"]:  # null or broken media
+            return {n: head[n] for n in ("doc_id", "n_bytes", "media_bytes", "media_sha256")}
         payload = b"".join(parts)
         means = np.add.reduceat(np.frombuffer(payload, np.uint8), np.arange(64) * len(payload) // 64, dtype=np.int64) / max(1, len(payload) / 64)
         bits = int("".join("1" if m > means.mean() else "0" for m in means), 2)
@@ -287,7 +313,7 @@ def digests(paged: DataFrame) -> DataFrame:
             done = []
             for r in batch.to_pylist():
                 parts.append(r["samples"])
-                if r["page"] + 1 == r["n_pages"]:
+                if r["page"] + 1 >= r["n_pages"]:
                     done.append(row(r, parts))
                     parts = []
             yield pa.RecordBatch.from_pylist(done, schema=target)
