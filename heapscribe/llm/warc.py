@@ -10,7 +10,9 @@ histories.
 Equal payloads of at least `least` bytes are stored once: the record of the largest
 page_id is a response, the others revisit it (a row whose page_id is null never wins
 against one that has one; repeated rows of the winner are all responses). Null html is
-an empty payload, a null url an empty target.
+an empty payload, a null url an empty target. Payloads of any length are one record. Equal
+URL keys and timestamps go by page_id, archive and offset. Other columns than these three
+are not read, whatever their names; no rows give no archives and no histories.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .common import batches_of_bytes, load, materialize, scratch_path
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 32 << 20
 START = datetime(2024, 1, 1, tzinfo=UTC)
+SPAN = 10 * 365 * 86_400  # seconds over which made-up capture times repeat
+FIRST, LAST = -62_135_596_800, 253_402_300_799  # seconds of the years 1 to 9999, which a record can carry
 
 
 def url_key(url: str) -> str:
@@ -96,9 +100,13 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, when: Column | None = None, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes the archives under `folder` and returns their manifest (archive, records, bytes), a written table."""
-    seconds = F.coalesce(F.col("page_id"), F.lit(0)) if when is None else F.unix_timestamp(when) - F.lit(int(START.timestamp()))
-    rows = with_revisits(pages.select("page_id", "url", "html"), least).withColumn("seconds", seconds.cast("long"))
+    """Writes the archives under `folder` and returns their manifest (archive, records, bytes), a written table.
+
+    Capture times are `when`, held within the years 1 to 9999 (null: START), or else follow from page_id within SPAN seconds.
+    """
+    began = int(START.timestamp())
+    seconds = F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(SPAN)) if when is None else F.greatest(F.lit(FIRST), F.least(F.lit(LAST), F.coalesce(F.unix_timestamp(when), F.lit(began)))) - F.lit(began)
+    rows = with_revisits(pages.select("page_id", "url", "html", seconds.cast("long").alias("seconds")), least)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
@@ -116,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str, when: Column | None = None, le
                 if out is None:
                     name, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                piece = record(r["page_id"], r["url"] or "", (START + timedelta(seconds=r["seconds"])).strftime("%Y-%m-%dT%H:%M:%SZ"), (r["html"] or "").encode(), r["refers_to"])
+                piece = record(r["page_id"], r["url"] or "", (START + timedelta(seconds=r["seconds"])).isoformat()[:19] + "Z", (r["html"] or "").encode(), r["refers_to"])
                 out.write(piece)
                 size, n = size + len(piece), n + 1
                 if size >= archive_bytes:
