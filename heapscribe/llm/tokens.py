@@ -8,7 +8,10 @@ and offset indexes, so a reader of a document range or of the metadata alone ski
 the rest. `read_tokens` reads such files back, by document range if asked.
 
 Nulls: a null text is empty and holds the end id only; a null doc_id sorts first.
-Repeated rows keep their own entries, in no fixed order among equal doc_ids with equal texts.
+Rows of one doc_id stand in the order of their texts (null first); equal ones are
+interchangeable. Each row carries its number within its file, so offsets follow the stored
+order. Texts of any length are one row; columns beyond doc_id and text are not read,
+whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -147,21 +150,22 @@ def worker_encoder(vocabulary: str) -> Encoder:
 
 
 def encode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns doc_id, n_tokens, tokens (with the end id), in the order of the rows."""
+    """Columns doc_id, n_tokens, tokens (with the end id) and row, the number within the partition, in the order of the rows."""
     source = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    target = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
+    target = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32())), ("row", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(vocabulary)
+        encoder, at = worker_encoder(vocabulary), 0
         for batch in batches_of_bytes(batches, "_text", 1 << 19):
             ids, n = encoder(batch.column(1))
             ends = np.cumsum(n + 1)
             flat = np.full(ends[-1], END_ID, np.int32)
             flat[np.delete(np.arange(ends[-1]), ends - 1)] = ids
             offsets = np.concatenate([[0], ends]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n + 1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=target)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n + 1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.arange(at, at + len(n)))], schema=target)
+            at += len(n)
 
-    return source.mapInArrow(run, "doc_id long, n_tokens long, tokens array<int>")
+    return source.mapInArrow(run, "doc_id long, n_tokens long, tokens array<int>, row long")
 
 
 def write_tokens(df: DataFrame, path: str, vocabulary: str, encoding: str = "dictionary", row_group_mb: int = 32, page_kb: int = 256, id_column: str = "doc_id", text: str = "text") -> None:
@@ -173,7 +177,7 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, encoding: str = "dic
 
 def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """The token rows, or those of a document range: the bounds reach the files' row groups and pages."""
-    out = spark.read.schema("doc_id long, n_tokens long, tokens array<int>, part int").parquet(path)
+    out = spark.read.schema("doc_id long, n_tokens long, tokens array<int>, row long, part int").parquet(path)
     if first is not None:
         out = out.where(F.col("doc_id") >= first)
     if last is not None:
@@ -190,10 +194,10 @@ def summary(stored: DataFrame) -> DataFrame:
             tokens = batch.column(2)
             at, flat = tokens.offsets.to_numpy(), np.ascontiguousarray(tokens.values.to_numpy(zero_copy_only=False), "<u4")
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), batch.column(1), pa.array(crc, pa.int64())], names=["doc_id", "n_tokens", "part", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), batch.column(1), batch.column(3), pa.array(crc, pa.int64())], names=["doc_id", "n_tokens", "part", "row", "ids_crc32"])
 
-    rows = stored.select("doc_id", "part", "tokens").mapInArrow(crcs, "doc_id long, n_tokens long, part int, ids_crc32 long")
-    running = rows.selectExpr("*", "sum(n_tokens) OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS run")
+    rows = stored.select("doc_id", "part", "tokens", "row").mapInArrow(crcs, "doc_id long, n_tokens long, part int, row long, ids_crc32 long")
+    running = rows.selectExpr("*", "sum(n_tokens) OVER (PARTITION BY part ORDER BY row ROWS UNBOUNDED PRECEDING) AS run")
     return running.join(offsets, "part").select("doc_id", (F.col("before") + F.col("run") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
 
 
