@@ -1,8 +1,9 @@
 """Line dedup by a segment-partition edit join.
 
-Distinct lines are compared in code points. Two lines link when both have at least
-`least` code points and their edit distance is at most `tau`; equal lines are one node
-whatever their length. A line of n points is cut into tau + 1 segments of even length.
+Distinct lines are compared in code points. Lines of n points, n the shorter's, may differ
+by `allowed(n)` edits: one for each `per` points, `tau` at most. Two lines link when their
+edit distance is no more than that; where it is none, only equal lines do, which are one
+node at any length. A line of n points is cut into allowed(n) + 1 segments of even length.
 Of two linked lines the shorter (or equally long) has a segment that stands unchanged
 in the longer near the same place, so each line is filed under (its length, segment
 number, segment) and probes, for each length down to its own less tau, the few places
@@ -10,15 +11,17 @@ that the multi-match-aware bounds leave for each segment.
 
 A filed or probing line carries a 28-bit parity signature of its points; an edit flips
 at most two bits of it, so a list yields only pairs whose signatures differ in at most
-2 tau bits. Lists with few such pairs emit them; from a list with many, its members
-become a group that is cut into tiles, and each pair of tiles is a task of its own that
+2 tau bits. Lists with few such pairs emit them; from a list with many, or too long to be
+compared in one go, its members become a group that is cut into tiles, and each pair of tiles is a task of its own that
 only keeps spanning links. All are verified by banded bit-parallel edit distance, many
 pairs at a time. Linked lines form classes (connected components); of each class the
 first occurrence by doc_id and line number stays.
 
 Lines are split at line feeds; lines of white space only don't count. Null and empty
 texts have no lines; a null doc_id sorts last. Repeated rows are documents of their own,
-whose lines after the first row's go (which of equal rows comes first is arbitrary).
+whose lines after the first row's go (which of equal rows comes first is arbitrary). Lines
+of any length are compared whole. Other columns than doc_id and text are not read, whatever
+their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from .graph import components
 from .jaccard import filtered, node_filter
 from .textvec import U, mix
 
-TAU, LEAST = 2, 24
+TAU, PER = 2, 12  # at most two edits, and one for each 12 code points
 SIGNATURE_BITS = 28
 PAIRS_A_MEMBER = 4  # lists with more pairs than this for each member become groups
 TILE = 1024
@@ -78,6 +81,11 @@ class Lines:
         return run[self.start[which] + self.n[which]] ^ run[self.start[which]]
 
 
+def allowed(n: np.ndarray, tau: int, per: int) -> np.ndarray:
+    """Edits by which a line of n code points and a longer one may differ."""
+    return np.clip(n // per, 0, tau)
+
+
 def segments(n: np.ndarray, tau: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(start, length) of each of the tau + 1 segments; the last ones are longer by one where n doesn't divide."""
     parts = tau + 1
@@ -89,23 +97,34 @@ def segments(n: np.ndarray, tau: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def keys(lines: Lines, which: np.ndarray, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(lines, keys, role): role 0 files a line, role 1 + d probes for lines shorter by d."""
-    start, n = lines.start[which], lines.n[which]
+def keys(lines: Lines, which: np.ndarray, tau: int, per: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(lines, keys, role): role 0 files a line, role 1 + d probes for lines shorter by d. The shorter line's length sets the edits and so the segments."""
 
     def tagged(at: np.ndarray, size: np.ndarray, length: np.ndarray, i: int) -> np.ndarray:
         return mix(lines.hash(at, at + size) + length.astype(U) * U(0xD6E8FEB86659FD93) + U((i + 1) * 0xA24BAED4963EE407 % 2**64))
 
-    for i, (p, size) in enumerate(segments(n, tau)):
-        yield which, tagged(start + p, size, n, i), 0
-    for d in range(tau + 1):
-        shorter = n - d
-        for i, (p, size) in enumerate(segments(shorter, tau)):
-            low = max(-i, d - (tau - i))
-            high = min(i, d + (tau - i))
-            for shift in range(low, high + 1):
-                fits = (p + shift >= 0) & (p + shift + size <= n)
-                yield which[fits], tagged((start + p + shift)[fits], size[fits], shorter[fits], i), 1 + d
+    for edits in range(1, tau + 1):
+        for d in range(edits + 1):
+            own = which[allowed(lines.n[which] - d, tau, per) == edits]
+            start, n = lines.start[own], lines.n[own]
+            for i, (p, size) in enumerate(segments(n - d, edits)):
+                if not d:
+                    yield own, tagged(start + p, size, n, i), 0
+                low = max(-i, d - (edits - i))
+                high = min(i, d + (edits - i))
+                for shift in range(low, high + 1):
+                    fits = (p + shift >= 0) & (p + shift + size <= n)
+                    yield own[fits], tagged((start + p + shift)[fits], size[fits], (n - d)[fits], i), 1 + d
+
+
+def linked(a: list[np.ndarray], b: list[np.ndarray], tau: int, per: int) -> np.ndarray:
+    """Which pairs of code-point arrays are within the edits that the shorter one's length allows."""
+    edits = allowed(np.minimum([len(x) for x in a], [len(x) for x in b]), tau, per) if a else np.zeros(0, int)
+    out = np.zeros(len(a), bool)
+    for t in range(1, tau + 1):
+        pick = np.flatnonzero(edits == t)
+        out[pick] = within([a[i] for i in pick], [b[i] for i in pick], t)
+    return out
 
 
 def within(a: list[np.ndarray], b: list[np.ndarray], tau: int) -> np.ndarray:
@@ -177,7 +196,7 @@ def line_nodes(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, _row long, nodes array<long>")
 
 
-def filed(docs: DataFrame, tau: int, least: int) -> DataFrame:
+def filed(docs: DataFrame, tau: int, per: int) -> DataFrame:
     """(key, node, info) rows of each task's distinct lines that are long enough; info: signature * 8 + role."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,12 +204,12 @@ def filed(docs: DataFrame, tau: int, least: int) -> DataFrame:
         for batch in batches_of_bytes(batches, "_text", 2 << 20):
             lines = Lines(batch.column(0).to_pylist())
             which = _new_lines(lines, seen)
-            which = which[lines.n[which] >= least]
+            which = which[lines.n[which] >= per]
             if not len(which):
                 continue
             signature = np.zeros(len(lines.n), np.int64)
             signature[which] = lines.signature(which)
-            for own, key, role in keys(lines, which, tau):
+            for own, key, role in keys(lines, which, tau, per):
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lines.node[own]), pa.array((signature[own] * 8 + role).astype(np.int32))], names=["key", "node", "info"])
 
     return docs.select(F.col("text").alias("_text")).mapInArrow(run, "key long, node long, info int")
@@ -200,8 +219,10 @@ def listed(rows: DataFrame, tau: int) -> DataFrame:
     """From rows sorted by key within partitions: candidate pairs (a, b, grp null) or, from lists with many, members (a, b null, grp)."""
 
     def of_list(node: np.ndarray, role: np.ndarray, signature: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        """Pairs of a list; None where they are too many."""
+        """Pairs of a list; None where they, or the pairs to compare, are too many."""
         at, probe = np.flatnonzero(role == 0), np.flatnonzero(role > 0)
+        if len(at) * len(probe) > 4 * TILE**2:
+            return None
         found, count, limit = [], 0, PAIRS_A_MEMBER * len(node)
         for x in range(0, len(probe), 1024):
             block = probe[x : x + 1024]
@@ -244,15 +265,19 @@ def listed(rows: DataFrame, tau: int) -> DataFrame:
             for own, grp in members:
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.int64()), pa.array(np.full(len(own), grp))], names=names)
 
-        rest = np.zeros((3, 0), np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
-            rest = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
-            cut = int(np.searchsorted(rest[0], rest[0][-1], "left")) if rest.shape[1] else 0
-            if cut:
-                yield from out(rest[:, :cut])
-                rest = rest[:, cut:]
-        if rest.shape[1]:
-            yield from out(rest)
+            part = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            cut = int(np.searchsorted(part[0], part[0][-1], "left")) if part.shape[1] else 0
+            if held and part.shape[1] and held[0][0, -1] != part[0, -1]:  # the key that was held ends here
+                yield from out(np.concatenate([*held, part[:, :cut]], axis=1))
+                held = []
+            elif cut:
+                yield from out(part[:, :cut])
+            if cut < part.shape[1]:
+                held.append(part[:, cut:])
+        if held:
+            yield from out(np.concatenate(held, axis=1))
 
     return rows.mapInArrow(run, "a long, b long, grp long")
 
@@ -280,19 +305,19 @@ def _points(line: str) -> np.ndarray:
     return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def verified(pairs: DataFrame, tau: int) -> DataFrame:
-    """(a, b) of the rows (a, b, x, y) whose lines x and y are within tau edits."""
+def verified(pairs: DataFrame, tau: int, per: int) -> DataFrame:
+    """(a, b) of the rows (a, b, x, y) whose lines x and y link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batches_of_bytes(iter([batch]), "x", 1 << 20):
-                ok = within(list(map(_points, part.column(2).to_pylist())), list(map(_points, part.column(3).to_pylist())), tau)
+                ok = linked(list(map(_points, part.column(2).to_pylist())), list(map(_points, part.column(3).to_pylist())), tau, per)
                 yield part.select(["a", "b"]).filter(pa.array(ok))
 
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def tiled(rows: DataFrame, tau: int) -> DataFrame:
+def tiled(rows: DataFrame, tau: int, per: int) -> DataFrame:
     """From (grp, i, j, side, node, line), each (grp, i, j) together in one partition: spanning links (a, b) of a tile or between two."""
 
     def links(nodes: list[int], sides: list[int], lines: list[str]) -> pa.RecordBatch:
@@ -319,7 +344,7 @@ def tiled(rows: DataFrame, tau: int) -> DataFrame:
             mine = root(i)
             todo = [j for j in np.flatnonzero(near).tolist() if root(j) != mine]
             if todo:
-                ok = within([points[i]] * len(todo), [points[j] for j in todo], tau)
+                ok = linked([points[i]] * len(todo), [points[j] for j in todo], tau, per)
                 for j, good in zip(todo, ok.tolist(), strict=True):
                     if good and root(j) != root(i):
                         parent[root(j)] = root(i)
@@ -343,9 +368,9 @@ def tiled(rows: DataFrame, tau: int) -> DataFrame:
     return rows.select("grp", "i", "j", "side", "node", "line").mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
+def classes(docs: DataFrame, tau: int = TAU, per: int = PER) -> DataFrame:
     """(node, component) of all lines that are linked with a different line."""
-    rows = filed(docs, tau, least).repartition("key").sortWithinPartitions("key")
+    rows = filed(docs, tau, per).repartition("key").sortWithinPartitions("key")
     found = materialize(listed(rows, tau).distinct(), "line_candidates", compression="zstd")
     pairs, members = found.where("grp IS NULL").select("a", "b"), found.where("grp IS NOT NULL").select(F.col("a").alias("node"), "grp").distinct()
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
@@ -355,18 +380,18 @@ def classes(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
     placed = members.join(tiles, "grp").select("node", "grp", "t", F.expr("cast(pmod(xxhash64(node), t) AS int)").alias("tile"))
     spread = placed.withColumn("k", F.explode(F.expr("sequence(0, t - 1)"))).select("grp", F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"), (F.col("tile") > F.col("k")).cast("int").alias("side"), "node")
     grouped = spread.join(texts, "node").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    links = materialize(verified(spelled, tau).union(tiled(grouped, tau)), "line_links")
+    links = materialize(verified(spelled, tau, per).union(tiled(grouped, tau, per)), "line_links")
     return materialize(components(links), "line_classes")
 
 
-def dedup(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
+def dedup(docs: DataFrame, tau: int = TAU, per: int = PER) -> DataFrame:
     """Per row of docs (doc_id, text): n_lines, n_kept and removed, the ascending numbers (from 0, of lines that count) of lines that repeat or nearly repeat an earlier one."""
     nodes = materialize(line_nodes(docs), "line_nodes", compression="zstd")
-    linked = classes(docs, tau, least)
+    joined = classes(docs, tau, per)
     single = nodes.select("doc_id", "_row", F.posexplode("nodes").alias("line", "node"))
     # The first place of each line, then of each class: both aggregates are summed before the shuffle.
     first = single.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_row", "line")).alias("place"), F.count("*").alias("n"))
-    classed = first.join(linked, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    classed = first.join(joined, "node", "left").withColumn("class", F.coalesce("component", "node"))
     least_place = classed.groupBy("class").agg(F.min("place").alias("place"), F.sum("n").alias("n"))
     kept = least_place.select(F.col("place._row").alias("_row"), F.col("place.line").alias("line"))
     kept = kept.groupBy("_row").agg(F.collect_list("line").alias("kept"))
