@@ -15,16 +15,18 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of sf_dir. Texts can be long, so where the session has Spark's default, Arrow batches get fewer rows."""
+    """A table of sf_dir. Texts can be long, so where the session has Spark's default, its Arrow batches are set to fewer rows from here on."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session on one machine gets one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='heapscribe-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -21,7 +21,7 @@ from .test_text_operators import brute_components, brute_contamination, shingles
 def pages(spark):
     rnd = random.Random(2)
     rows = [(i, rnd.choice(["http://www.Example.com/A?b=1#x", "https://example.com:8080/", "http://b.example.org/z", None, "not a url", "http://[bad"]), rnd.choice(["<p>one</p>", "<p>two é</p>", "", None, f"<p>{i}</p>", "x" * 100_000])) for i in range(300)]
-    rows += [(400, None, None), (None, "http://c.org", "<p>one</p>"), (5, rows[5][1], rows[5][2])]
+    rows += [(10**12, "http://far.org", "<p>far</p>"), (-(2**62), "http://far.org", None), (400, None, None), (None, "http://c.org", "<p>one</p>"), (5, rows[5][1], rows[5][2])]
     return [(*r, "extra") for r in rows], "page_id long, url string, html string, refers_to string"
 
 
@@ -45,6 +45,9 @@ def test_warc(spark, pages, tmp_path, least):
         want[i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if revisit else "response", keeper if revisit else None] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     assert [warc._order(r.asDict()) for r in got] == sorted(warc._order(r.asDict()) for r in got)
+    dated = spark.createDataFrame([(i, None, "x", d) for i, d in enumerate((-(10**12), 0, 10**12, None))], "page_id long, url string, html string, s long")
+    stamped = warc.write_archives(dated, folder + "-dated", when=F.timestamp_seconds("s"))
+    assert sorted(r.ts[:4] for r in warc.read_runs(spark, stamped).collect()) == ["0001", "1970", "2024", "9999"]
     empty = warc.write_archives(spark.createDataFrame([], schema), folder + "-empty")
     assert warc.merge_runs(warc.read_runs(spark, empty)).count() == 0
 
@@ -86,6 +89,7 @@ def test_chat(spark, part):
         assert r.start == len(text) and r.first_turn == n + 1 and r.n_own == len(r["mask"])
         got[r.conv_id, r.speaker] = text + r.text, mask + [(m.s + r.start, m.e + r.start) for m in r["mask"]], n + r.n_turns
     assert {k: v[:2] for k, v in got.items()} == brute_chat(rows)
+    assert {(r.conv_id, r.speaker): (r.text, [(m.s, m.e) for m in r["mask"]]) for r in chat.rotate(df, None).collect()} == brute_chat(rows)
     assert chat.rotate(df.where("false")).count() == 0
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -80,10 +81,48 @@ def test_tiff_codecs(codec, predictor):
             assert [p["samples"] for p in pages] == [a.tobytes()] * 2 and [p["tiled"] for p in pages] == [False, True]
 
 
+def hand_made(order, tags, data, short=()):
+    """A TIFF of one directory, spelled out: data at 8, then the directory; each tag has one value of type LONG, or SHORT if named."""
+    at = 8 + len(data) + len(data) % 2
+    out = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", at) + data + b"\0" * (len(data) % 2) + struct.pack(order + "H", len(tags))
+    for tag, value in sorted(tags.items()):
+        out += struct.pack(order + "HHI", tag, 3 if tag in short else 4, 1) + (struct.pack(order + "HH", value, 0) if tag in short else struct.pack(order + "I", value))
+    return out + bytes(4)
+
+
+PACKED = bytes.fromhex("FE AA 02 80 00 2A FD AA 03 80 00 2A 22 F7 AA")  # the example of the PackBits note, and what it stands for
+UNPACKED = bytes.fromhex("AA AA AA 80 00 2A AA AA AA AA 80 00 2A 22 AA AA AA AA AA AA AA AA AA AA")
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_tiff_reads_files_of_other_writers(order):
+    base = {256: 24, 257: 1, 258: 8, 259: 32773, 262: 1, 273: 8, 277: 1, 278: 1, 279: len(PACKED)}
+    (page,) = tiff.read_tiff(hand_made(order, base, PACKED, (256, 258, 259, 277)))
+    assert page["samples"] == UNPACKED
+    (page,) = tiff.read_tiff(hand_made(order, base | {256: 8, 277: 3}, PACKED))
+    assert page["samples"] == UNPACKED and page["samples_per_pixel"] == 3
+    rgb = bytes([10, 20, 30, 1, 2, 255, 0, 0, 2])  # differences by sample: (10, 20, 30), (11, 22, 29), (11, 22, 31)
+    (page,) = tiff.read_tiff(hand_made(order, base | {256: 3, 259: 1, 277: 3, 279: 9, 317: 2}, rgb))
+    assert page["samples"] == bytes([10, 20, 30, 11, 22, 29, 11, 22, 31])
+    codes = "".join(f"{c:09b}" for c in (256, 7, 258, 258, 6, 6, 257))  # 7, 7 7, 7 7, 6, 6
+    packed = int(codes.ljust(64, "0"), 2).to_bytes(8, "big")
+    (page,) = tiff.read_tiff(hand_made(order, base | {256: 7, 259: 5, 279: 8}, packed))
+    assert page["samples"] == bytes([7, 7, 7, 7, 7, 6, 6])
+
+
 def test_tiff_broken_media(spark):
-    df = spark.createDataFrame([(1, 0, None), (2, 0, bytearray(b"")), (3, 0, bytearray(b"II*\0\xff\0\0\0")), (4, 0, bytearray(b"MM\0*\0\0\0\0"))], "doc_id long, n_bytes long, media binary")
+    base = {256: 24, 257: 1, 258: 8, 259: 32773, 262: 1, 273: 8, 277: 1, 278: 1, 279: len(PACKED)}
+    tile = {k: v for k, v in base.items() if k not in (273, 278, 279)} | {322: 24, 323: 16, 324: 8, 325: len(PACKED)}
+    changes = [base | x for x in ({256: 0}, {257: 0}, {278: 0}, {277: 0}, {256: 2**31 - 1, 257: 2**31 - 1}, {284: 2}, {266: 2}, {258: 16}, {259: 7}, {317: 3}, {273: 1 << 30}, {257: 5})] + [tile | {322: 0}, tile | {323: 0}, tile | {322: 1 << 31}]
+    broken = [None, b"", b"II*\0\xff\0\0\0", *[hand_made("<", c, PACKED) for c in changes]]
+    rows = [(i, 0, None if x is None else bytearray(x)) for i, x in enumerate(broken)] + [(100, 24, bytearray(hand_made(">", base, PACKED)))]
+    df = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")
     got = {r.doc_id: r for r in tiff.pages(df).collect()}
-    assert set(got) >= {1, 2, 3} and all(got[i].error for i in (1, 2, 3))
+    assert len(got) == len(rows) and all(got[i].error and got[i].n_pages == 0 for i in range(len(broken)))
+    assert got[100].error is None and bytes(got[100].samples) == UNPACKED
+    folded = {r.doc_id: r for r in tiff.digests(tiff.pages(df)).collect()}
+    assert len(folded) == len(rows) and folded[100].payload_bytes == 24
+    assert all(folded[i].payload_bytes is None and folded[i].feature is None for i in range(len(broken)))
 
 
 def brute_targets(sizes, weights=(5, 2, 1), repeats=3):
@@ -306,10 +345,10 @@ def test_line_dedup(spark, empty, pairs, monkeypatch):
     monkeypatch.setattr(lines, "PAIRS_A_MEMBER", pairs)
     monkeypatch.setattr(lines, "TILE", 16)
     rnd, pool = random.Random(5), [t[:90] for t in prose(6, 40)]
-    pool += [edited(rnd, t, rnd.randint(1, 3)) for t in pool for _ in range(3) if len(t) > 5] + ["short", "Short", "", "   ", "x" * 3000, "x" * 3001]
+    pool += [edited(rnd, t, rnd.randint(1, 3)) for t in pool for _ in range(3) if len(t) > 5] + ["short", "Short", "twelve point", "twelve poinT", "twelve points", "twelve pointed", "eleven poin", "eleven poiN", "", "   ", "x" * 3000, "x" * 3001]
     pool += [f"a common beginning of all lines {i:05d} and its common end" for i in range(0, 90_000, 700)]
     rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 8)))) for i in range(150)] + [(None, "short"), (200, None), (200, "short")]
-    got = lines.dedup(table(spark, rows), least=12)
+    got = lines.dedup(table(spark, rows))
     texts = sorted({x for _, t in rows for x in (t or "").split("\n") if x and not x.isspace()})
     parent = {t: t for t in texts}
 
@@ -320,7 +359,7 @@ def test_line_dedup(spark, empty, pairs, monkeypatch):
 
     for i, a in enumerate(texts):
         for b in texts[:i]:
-            if min(len(a), len(b)) >= 12 and abs(len(a) - len(b)) <= 2 and a[:1] + a[-1:] and distance(a, b) <= 2:
+            if min(len(a), len(b)) >= 12 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= min(2, min(len(a), len(b)) // 12):
                 parent[root(a)] = root(b)
     seen, want = set(), Counter()
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
@@ -385,3 +424,19 @@ def test_tokens_round_trip(spark, docs, empty, rows, encoding, tmp_path):
         if r.doc_id is not None:
             assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id], "<u4").tobytes())
     assert len(got) == more.count() and tokens.token_rows(empty).count() == 0
+
+
+def test_tokens_of_equal_ids_stand_in_stored_order(spark):
+    rows = [(i % 3, None if i % 17 == 0 else f"text {i % 50} " * (i % 7)) for i in range(200)]
+    got = tokens.token_rows(table(spark, rows)).collect()
+    at, lengths = 0, {}
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+        lengths.setdefault(r.doc_id, []).append(r.n_tokens)
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_vocabulary())
+    for i in range(3):
+        own = sorted((x for d, x in rows if d == i), key=lambda x: (x is not None, (x or "").encode()))
+        assert lengths[i] == [len(t.encode(x or "", add_special_tokens=False).ids) + 1 for x in own]
