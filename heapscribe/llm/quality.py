@@ -1,7 +1,7 @@
 """Quality classifier: similarity-weighted nearest-neighbour voting in a latent-semantic space.
 
 A text's terms are n-grams of its compressed character-class sequence (runs of letters
-count once), word repeats and word lengths, hashed to a fixed number of columns. The
+count once), its words, word repeats and word lengths, hashed to a fixed number of columns. The
 labelled documents' weighted term matrix is factored (truncated SVD through its Gram
 matrix); the labelled vectors, at most MAX_LABELLED, are broadcast, and every document
 is compared with all of them in blocks of exact cosine products. The k nearest vote,
@@ -9,7 +9,10 @@ weighted by a power of their similarity.
 
 Null and empty texts have no terms; their score is the share of label 1 among the
 labelled. Rows with a null label are not learnt from; doc_ids with several labels count
-once per label. No labelled row at all gives 0.5 throughout.
+once per label. No labelled row at all gives 0.5 throughout. Equal texts get equal scores,
+repeated rows too; of neighbours that tie for the last place any may vote. Texts of any
+length are read whole. `score` keeps all other columns, whatever their names, and replaces
+one of its own name; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -65,6 +68,8 @@ def terms(column: pa.Array) -> np.ndarray:
         salt.append(2.0)
         kinds.append((owner, 700_001 + np.minimum(w.end - w.start, 24) // 3))
         salt.append(0.5)
+        kinds.append((owner, w.hash.view(np.int64)))
+        salt.append(0.5)
     out = np.zeros((n, TERMS), np.float32)
     for (d, code), weight in zip(kinds, salt, strict=True):
         z = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)
