@@ -3,8 +3,9 @@
 Base spans of four kinds come from regular expressions (with the checks of each kind).
 They are the seeds of a pattern-instance graph: a lexical pattern is the word and
 punctuation before a mention, alone or with the word after it; an instance is the
-mentioned string. The graph's other instances are identifier-like strings (enough
-digits, no base span). Rounds of scoring follow: a pattern is worth the mean score of
+mentioned string. The graph's other instances are identifier-like strings without base
+spans: tokens with enough digits, groups of digits between spaces, dots, dashes and
+brackets, and strings around an @, with or without a domain. Rounds of scoring follow: a pattern is worth the mean score of
 its distinct instances for a kind, if enough of them are known; an instance gets the
 noisy-or of its trusted patterns. Instances that end above `accept` and could be of
 the kind by their characters add spans; base spans always stay.
@@ -17,7 +18,8 @@ expressions linear on long runs.
 
 Null texts are empty and have no spans; repeated rows have their own; rows with a null
 doc_id are kept. Texts that hold the marking characters are treated as if these were U+FFFD.
-Other columns than doc_id and text are not read.
+Other columns than doc_id and text are not read, whatever their names; texts of any length
+are searched whole; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +43,10 @@ EXPRESSIONS = {
 _TOKEN = "[A-Za-z0-9@._%+#/:-]"
 #: Identifier-like: a run of such characters with at least four digits.
 CANDIDATE = rf"(?<!{_TOKEN})(?={_TOKEN}*?[0-9](?:[^0-9\s]{{0,4}}[0-9]){{3}}){_TOKEN}++"
+#: Digits in groups, seven at least, and whatever stands around an @.
+GROUPED = rf"(?<!{_TOKEN})(?<![0-9][\x20)])[(+]{{0,2}}[0-9]++(?:[\x20().-]{{1,3}}+[0-9]++)++(?!{_TOKEN}*[A-Za-z@])"
+AROUND_AT = rf"(?<!{_TOKEN})[A-Za-z0-9._%+-]++@{_DOMAIN}++(?:\.{_DOMAIN}++)*+"
+CANDIDATES = {CANDIDATE: "_t RLIKE '[0-9]'", GROUPED: "_t RLIKE r'[0-9][\x20().-]{1,3}[0-9]'", AROUND_AT: "contains(_t, '@')"}
 _CONTEXT = r"(?=[^\p{L}]{0,4}(\p{L}{0,24}))"
 _SPAN = "array<struct<s:int,e:int,t:string,l:string,r:string>>"
 
@@ -81,14 +87,17 @@ VALID = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: What characters a discovered identifier of a kind must have.
-SHAPE = {"email": "inst RLIKE '[a-z].*@|@.*[a-z]'", "ip": r"inst RLIKE '^[0-9.:]*[.:][0-9.:]*$'", "card": "inst RLIKE '^[0-9-]{8,}$'", "phone": r"inst RLIKE '^[+0-9().-]{7,}$'"}
+SHAPE = {"email": "inst RLIKE '[a-z].*@|@.*[a-z]'", "ip": r"inst RLIKE '^[0-9.:]*[.:][0-9.:]*$'", "card": r"inst RLIKE r'^[0-9\x20-]{8,}$'", "phone": r"inst RLIKE r'^[+0-9().\x20-]{7,}$'"}
 
 
 def base(docs: DataFrame) -> DataFrame:
     """doc_id, _row, spans (array of s, e, k: rank of the kind, t, l, r) and others (identifier-like strings without base spans)."""
     clean = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.expr(f"translate(coalesce(text, ''), '{MARK}{RIGHT}', '\ufffd\ufffd')").alias("_t"))
     columns = {f"_{k}": F.expr(mentions("_t", EXPRESSIONS[k], NEEDS[k])) for k in KINDS}
-    found = clean.select("doc_id", "_row", *[c.alias(n) for n, c in columns.items()], F.expr(f"CASE WHEN _t RLIKE '[0-9]' THEN {mentions('_t', CANDIDATE)} ELSE cast(array() AS {_SPAN}) END").alias("_others"))
+    found = clean.select("doc_id", "_row", *[c.alias(n) for n, c in columns.items()], *[F.expr(f"CASE WHEN {if_} THEN {mentions('_t', x)} ELSE cast(array() AS {_SPAN}) END").alias(f"_c{i}") for i, (x, if_) in enumerate(CANDIDATES.items())])
+    # A token within a group of digits is not a candidate of its own.
+    digits = "length(regexp_replace(x.t, '[^0-9]', '')) BETWEEN 7 AND 19"
+    found = found.withColumn("_c1", F.expr(f"filter(_c1, x -> {digits})")).withColumn("_others", F.expr("concat(filter(_c0, x -> NOT contains(x.t, '@') AND NOT exists(_c1, g -> g.s <= x.s AND x.e <= g.e)), _c1, _c2)"))
     kept = [f"transform({f'filter(_{k}, x -> {VALID[k]})' if VALID[k] else f'_{k}'}, x -> named_struct('s', x.s, 'e', x.e, 'k', {i}, 't', x.t, 'l', x.l, 'r', x.r))" for i, k in enumerate(KINDS)]
     spans = found.select("doc_id", "_row", F.expr(f"concat({', '.join(kept)})").alias("spans"), "_others")
     # A candidate must lie clear of base spans; both lists are of one text.
