@@ -47,7 +47,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, s
     """
     keys = [key] if key else []
     sized = docs.select("doc_id", "source", *keys, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_RE)).cast("long").alias("size"))
-    sized = sized.withColumn("shuffled", F.xxhash64("doc_id", *keys, F.lit(seed)))
+    # The top 60 bits of an MD5 sum, which other engines have too.
+    name = F.concat_ws(" ", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *[F.col(k).cast("string") for k in keys])
+    sized = sized.withColumn("shuffled", F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long"))
     sized = materialize(sized, "sizes")  # so that range sampling doesn't count the texts again
     ordered = prefix_sums(sized, ["shuffled", "doc_id", "size", *keys], "size", "upto", by="source")
     per_source = ordered.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -70,3 +72,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = 3, s
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The same mix over whole tables: running sums by windows, the cut by a maximum.
+ORACLE = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('17 ' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS shuffled
+  FROM documents),
+ordered AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY shuffled, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM sized),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][rank % 3 + 1] AS w, (SELECT sum(size) FROM sized) AS budget FROM sources),
+-- A source is at its cap if it is so at the level at which sources that fill up no later are all at theirs.
+levels AS (
+  SELECT a.source, a.source_size, a.rank, a.w, CAST(3 * a.source_size AS DOUBLE) / a.w AS fills,
+         (a.budget - coalesce((SELECT sum(3 * b.source_size) FROM weighed b WHERE CAST(3 * b.source_size AS DOUBLE) / b.w < CAST(3 * a.source_size AS DOUBLE) / a.w OR (CAST(3 * b.source_size AS DOUBLE) / b.w = CAST(3 * a.source_size AS DOUBLE) / a.w AND b.rank < a.rank)), 0))::DOUBLE
+         / (SELECT sum(b.w) FROM weighed b WHERE CAST(3 * b.source_size AS DOUBLE) / b.w > CAST(3 * a.source_size AS DOUBLE) / a.w OR (CAST(3 * b.source_size AS DOUBLE) / b.w = CAST(3 * a.source_size AS DOUBLE) / a.w AND b.rank >= a.rank)) AS level
+  FROM weighed a),
+shared AS (SELECT level FROM levels WHERE fills >= level ORDER BY fills, rank LIMIT 1),
+goals AS (SELECT source, source_size, rank, least(CAST(3 * source_size AS DOUBLE), w * (SELECT level FROM shared)) AS target FROM levels),
+entries AS (
+  SELECT o.doc_id, o.source, o.size, o.shuffled, g.rank, (e.e * g.source_size + o.upto) / g.target AS finish
+  FROM ordered o JOIN goals g ON o.source IS NOT DISTINCT FROM g.source, (SELECT unnest([0, 1, 2]) AS e) e
+  WHERE o.size > 0 AND g.target > 0 AND e.e <= least(2, floor(g.target / g.source_size))),
+queued AS (SELECT *, sum(size) OVER (ORDER BY finish, rank, shuffled, doc_id ROWS UNBOUNDED PRECEDING) AS total FROM entries),
+counted AS (SELECT doc_id, count(*) AS times FROM queued WHERE total <= (SELECT sum(size) FROM sized) GROUP BY doc_id)
+SELECT o.doc_id, o.size, g.source_size, g.target, CAST(o.size * coalesce(c.times, 0) AS BIGINT) AS taken
+FROM ordered o JOIN goals g ON o.source IS NOT DISTINCT FROM g.source LEFT JOIN counted c ON o.doc_id = c.doc_id
+"""
