@@ -13,6 +13,9 @@ stretch ends with a separator that sorts by place.
 Windows are broadcast in blocks of at most BLOCK_WINDOWS; more of them take one pass
 per block, with the spans so far carried along in a written table. Null texts have no
 words; an item whose text has none is never found; items of equal text are all counted.
+The windows of an item whose id is null are hits like others; it is no member of `items`.
+Repeated rows are searched each by itself, texts of any length whole; other columns go
+along, those of the result's names are replaced. No documents give no rows, no items no hits.
 """
 
 from __future__ import annotations
@@ -264,7 +267,7 @@ def search(docs: DataFrame, windows: Windows, text: str = "text") -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, block_windows: int = BLOCK_WINDOWS, text: str = "text") -> DataFrame:
     """Adds to docs, in place of columns of these names: n_words, removal_spans (merged word spans that benchmark windows cover), n_hit, items (ids found), contaminated (n_hit at least `percent` per cent of the words)."""
     found = docs.drop("_words", "_spans", "_items", "n_words", "removal_spans", "n_hit", "items", "contaminated")
-    blocks = blocks_of(windows_of(benchmark, window), block_windows)
+    blocks = blocks_of(materialize(windows_of(benchmark, window), "windows"), block_windows)
     for k, block in enumerate(blocks):
         found = search(found if not k else materialize(found, "searched"), block, text)
     n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda x, s: x + s["b"] - s["a"])
@@ -277,3 +280,20 @@ def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = decontaminate(docs, load(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string")))), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
+
+
+#: Windows as strings, joined: brute force over whole tables.
+ORACLE = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item_id, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS s FROM starts),
+sizes AS (SELECT DISTINCT k FROM windows),
+places AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, sizes WHERE len(w) >= k),
+hits AS (SELECT p.r, p.k, p.i, x.item_id FROM places p JOIN windows x ON p.k = x.k AND array_to_string(p.w[p.i : p.i + p.k - 1], ' ') = x.s),
+covered AS (SELECT r, count(DISTINCT word) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS word FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items,
+       coalesce(n.ids, sha256('')) AS items_sha256, coalesce(c.n_hit > 0 AND 20 * c.n_hit >= len(d.w), false) AS contaminated
+FROM docs d LEFT JOIN covered c ON d.r = c.r LEFT JOIN named n ON d.r = n.r
+"""
