@@ -497,3 +497,24 @@ def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, key:
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
     return join(load(spark, sf_dir, "documents"))
+
+
+#: Brute force: all pairs that share a shingle, and labels passed along links until none changes.
+ORACLE = r"""
+WITH RECURSIVE
+spelled AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) END AS g
+  FROM spelled),
+-- Equal sets are one node, named by their smallest doc_id.
+nodes AS (SELECT min(doc_id) AS node, list_sort(g) AS g FROM grams WHERE len(g) > 0 GROUP BY ALL),
+single AS (SELECT node, len(g) AS n, unnest(g) AS s FROM nodes),
+shared AS (SELECT a.node AS a, b.node AS b, a.n AS na, b.n AS nb, count(*) AS k FROM single a JOIN single b ON a.s = b.s AND a.node < b.node AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * k >= 90 * (na + nb - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS node, a AS seen FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.seen = e.a),
+named AS (SELECT node, min(seen) AS least FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(len(d.g) AS BIGINT) AS n_shingles, coalesce(m.least, n.node, d.doc_id) AS component_id
+FROM grams d LEFT JOIN nodes n ON list_sort(d.g) = n.g LEFT JOIN named m ON n.node = m.node
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, fmindex, jaccard, mixing
 from .chat import op4_chat
 from .fmindex import op6_decontaminate
 from .jaccard import op5_jaccard
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op4_chat": chat.ORACLE, "op5_jaccard": jaccard.ORACLE, "op6_decontaminate": fmindex.ORACLE}

@@ -170,6 +170,17 @@ def test_quality(spark, docs, empty, rows):
     assert quality.score(empty, model).count() == 0
 
 
+def test_quality_sees_words(spark):
+    """Two kinds of text that differ in their words alone: same lengths, same marks."""
+    rnd = random.Random(3)
+    kinds = ["alpha", "gamma", "delta", "sigma", "omega"], ["apple", "grape", "lemon", "melon", "mango"]
+    rows = [(i, " ".join(rnd.choice(kinds[i % 2]) for _ in range(30))) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs = table(spark, rows)
+    got = quality.score(docs, quality.learn(docs, labels)).where("doc_id >= 300").collect()
+    assert sum((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got) >= 97
+
+
 def test_quality_votes_are_exact():
     rng = np.random.default_rng(0)
     x = (rng.random((300, quality.TERMS)) < 0.02).astype(np.float32)
@@ -405,6 +416,26 @@ def test_pii_discovers_unseen_identifiers(spark):
     assert not got[51].found and all(not got[i].found and len(got[i].spans) == 1 for i in range(9))
 
 
+@pytest.mark.parametrize(
+    ("kind", "before", "seeds", "unseen", "others"),
+    [
+        ("phone", "call the office phone: ", [f"+1 555 010 20{i:02d}" for i in range(9)], ["020 7946 0958", "(555) 010 7788", "555.010.7789", "010-5550-7788"], ["in 2024 and 17 more"]),
+        ("card", "paid with card number ", [f"4111 1111 1111 {x}" for x in ("1111", "1129", "1137", "1145", "1152", "1160", "1178", "1186", "1194")], ["4111 1111 1111 1112", "5500-0000-0000-0005"], ["12 of 17"]),
+        ("email", "write to the address ", [f"user{i}@mail.example.org" for i in range(9)], ["jane.doe@intranet", "root@localhost"], ["at home @ noon"]),
+    ],
+)
+def test_pii_discovers_usual_forms(spark, kind, before, seeds, unseen, others):
+    """Identifiers that no base pattern has, in contexts that seeds have shown; the same strings elsewhere stay."""
+    rows = [(i, f"Please {before}{x} today.") for i, x in enumerate([*seeds, *unseen])]
+    rows += [(100 + i, f"There was nothing, {x}, to see.") for i, x in enumerate(others)]
+    got = {r.doc_id: r for r in pii.extract(table(spark, rows)).collect()}
+    for i, x in enumerate(unseen):
+        at = len("Please ") + len(before)
+        spans = [(s.s, s.e, pii.KINDS[s.k]) for s in [*got[len(seeds) + i].spans, *got[len(seeds) + i].found]]
+        assert (at, at + len(x), kind) in spans, (x, spans)
+    assert all(not got[100 + i].found for i in range(len(others)))
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_tokens_round_trip(spark, docs, empty, rows, encoding, tmp_path):
     from tokenizers import Tokenizer
