@@ -12,7 +12,7 @@ c(a, b) = ceil(num (|a|+|b|) / (num+den)).
   n - ceil(num n / den) + 1 are filed, so two linked sets meet in a list; passages that many
   documents share end the order and are filed by hardly any. The order rests on counts over
   all documents (`hot_shingles`); any order gives the same links. In a list, sets are
-  compared by parity signatures of two bits a shingle: each shingle of the symmetric
+  compared by parity signatures, of four bits for each shingle in which they may differ: each shingle of the symmetric
   difference flips one bit, so signatures that differ in more bits than linked sets can
   rule a pair out. Unrelated sets that meet by chance end here. What is left spans
   candidate groups, and each group is joined exactly by scanning the inverted lists of its
@@ -53,7 +53,7 @@ TILE_LIST = 4096  # members of an inverted list that one task compares, or of ea
 FILTER_WORDS = 1 << 18  # 64-bit words of the smallest filter of candidates: 2 MB
 MOST_WORDS = 1 << 21  # and of the largest: 16 MB; one of more candidates lets more of the others pass, and exact joins follow
 RANGES, CELLS = 512, 1 << 23  # shingles are counted in RANGES * CELLS cells, each range of them by one task at a time
-HOT, MOST_HOT = 8, 1 << 18  # least count of a shingle that goes behind the others, and the most that are told apart: 1.3 MB, broadcast
+HOT, MOST_HOT = 4, 1 << 20  # least count of a shingle that goes behind the others, and the most that are told apart: 5 MB, broadcast
 
 
 def overlap(a: int, b: int, num: int, den: int) -> int:
@@ -98,9 +98,12 @@ def subsets(x: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, U)
 
 
-def signature(x: np.ndarray) -> bytes:
-    """Bit b: parity of the number of shingles that fall to b of at least 2 n bits, a power of two."""
-    bits = 1 << max(6, (2 * len(x) - 1).bit_length())
+def signature(x: np.ndarray, num: int, den: int) -> bytes:
+    """Bit b: parity of the number of shingles that fall to b of a power of two of bits.
+
+    They are four times as many as shingles in which linked sets of this size differ: unrelated sets' signatures differ in half of them.
+    """
+    bits = 1 << max(6, (8 * len(x) * (den - num) // (den + num)).bit_length())
     return np.packbits((np.bincount((x & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -215,7 +218,7 @@ def signed(docs: DataFrame, size: int, num: int, den: int, key: str | None = Non
                 nodes.append(node)
                 large = new and len(x) >= heavy_least
                 heavy.append(first(x) if large else none)
-                bits.append(signature(x) if large else None)
+                bits.append(signature(x, num, den) if large else None)
                 light.append(subsets(x, num, den) if new else none)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), _lists(heavy), _lists(light), pa.array(bits, pa.binary()), batch.column(2)], names=["doc_id", "n_shingles", "node", "heavy", "light", "signature", "row_key"])
 
@@ -334,8 +337,9 @@ def pointers(lists: DataFrame, num: int, den: int) -> DataFrame:
 def candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that span what heavy sets may link, from one row (node, n, heavy, signature) for each set."""
     rows = nodes.where("signature IS NOT NULL")
-    keyed = rows.select(F.explode("heavy").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("k")).where("low <> high")
+    keyed = rows.select(F.explode("heavy").alias("key"), "n")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max("n").alias("most"))
+    shared = shared.where(f"k > 2 OR k = 2 AND {den} * least >= {num} * most")  # two sets must be of like size
     shared = materialize(shared.select("key", F.ceil(F.col("k") / TILE_LIST).cast("int").alias("t")), "shared")
     bits = nodes.sparkSession.sparkContext.broadcast(node_filter(shared.withColumnRenamed("key", "node")))
 
