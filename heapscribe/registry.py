@@ -7,6 +7,7 @@ text for the check. Keys begin with the numbers of the inventory rows that they
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +29,10 @@ def at(t: int, table: str = "allocs") -> str:
     return f"(SELECT * FROM {{{table}}} WHERE {start} <= {t} AND (free_ts IS NULL OR free_ts > {t}))"
 
 
-def sql(name: str, text: str, check: bool = True) -> None:
+def sql(name: str, text: str, other: str | None = None) -> None:
+    """Registers a text that both engines read; `other` is one for the check that says the same in another way."""
     QUERIES[name] = lambda spark, sf_dir: proxies.query(spark, sf_dir, text)
-    if check:
-        ORACLE_SQL[name] = proxies.oracle(text)
+    ORACLE_SQL[name] = proxies.oracle(other or text)
 
 
 def frame(name: str, oracle: str | None = None) -> Callable:
@@ -120,11 +121,15 @@ sql(
     "w04_a11_a12_committed_bytes",
     """SELECT bind_ts // 3000 AS bucket, heap, CAST(sum(CASE WHEN unmap THEN lo - hi ELSE hi - lo END) AS BIGINT) AS change FROM {maps} WHERE pa <> 0 GROUP BY 1, 2""",
 )
+#: Changes by bucket; a running sum is taken within chunks of buckets, whose own sums, a row for each, give the offsets.
+_CHANGES = """SELECT bucket, sum(delta) AS delta FROM (SELECT alloc_ts // 3000 AS bucket, size AS delta FROM {allocs}
+UNION ALL SELECT free_ts // 3000, -size FROM {allocs} WHERE free_ts <= (SELECT max(alloc_ts) FROM {allocs})) d GROUP BY bucket"""
+_BEFORE = "SELECT chunk, coalesce(sum(total) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before"
 sql(
     "w07_peak_live_bytes",
-    """SELECT max(total) AS peak FROM (SELECT CAST(sum(delta) OVER (ORDER BY bucket) AS BIGINT) AS total FROM (
-SELECT bucket, sum(delta) AS delta FROM (SELECT alloc_ts // 3000 AS bucket, size AS delta FROM {allocs}
-UNION ALL SELECT free_ts // 3000, -size FROM {allocs} WHERE free_ts <= (SELECT max(alloc_ts) FROM {allocs})) d GROUP BY bucket) b) t""",
+    f"""WITH changes AS ({_CHANGES}), offsets AS ({_BEFORE} FROM (SELECT bucket // 256 AS chunk, sum(delta) AS total FROM changes GROUP BY 1) c)
+SELECT CAST(max(before + run) AS BIGINT) AS peak FROM (SELECT bucket // 256 AS chunk, sum(delta) OVER (PARTITION BY bucket // 256 ORDER BY bucket) AS run FROM changes) r JOIN offsets o ON o.chunk = r.chunk""",
+    f"SELECT max(total) AS peak FROM (SELECT CAST(sum(delta) OVER (ORDER BY bucket) AS BIGINT) AS total FROM ({_CHANGES}) b) t",
 )
 
 
@@ -158,7 +163,13 @@ sql(
     """SELECT pid, max_by(kind, seq) AS last_op, count_if(kind = 6) AS references_seen, count_if(kind = 10) AS maps, max(CASE WHEN kind = 10 THEN ts END) AS last_map, bool_or(kind = 11) AS freed
 FROM {toks} WHERE kind IN (6, 10, 11) GROUP BY pid""",
 )
-sql("w16_history_marker", "SELECT seq, ts, kind FROM {toks} WHERE pid = 7 UNION ALL SELECT -1, 1000000, -1")
+sql(
+    "w16_history_marker",  # the marker of time T stands before the first event after T
+    """SELECT pid, seq, ts, kind, CAST(row_number() OVER (PARTITION BY pid ORDER BY ts, seq) + CASE WHEN ts > 1000000 THEN 1 ELSE 0 END AS BIGINT) AS place FROM {toks}
+UNION ALL SELECT pid, NULL, 1000000, -1, CAST(1 + sum(CASE WHEN ts <= 1000000 THEN 1 ELSE 0 END) AS BIGINT) FROM {toks} GROUP BY pid""",
+    """SELECT pid, seq, ts, kind, row_number() OVER (PARTITION BY pid ORDER BY ts, marker, seq) AS place
+FROM (SELECT pid, seq, ts, kind, 0 AS marker FROM {toks} UNION ALL SELECT DISTINCT pid, CAST(NULL AS BIGINT), CAST(1000000 AS BIGINT), -1, 1 FROM {toks}) t""",
+)
 sql("w17_next_event", "SELECT seq, min(CASE WHEN kind = 11 THEN seq END) OVER (PARTITION BY pid ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_free FROM {toks}")
 
 # --- interval kernels ----------------------------------------------------------------------
@@ -231,7 +242,13 @@ sql(
 
 # --- joins ---------------------------------------------------------------------------------
 
-sql("j01_u01_merged_streams", "SELECT row_number() OVER (PARTITION BY ts // 86400 ORDER BY ts, stream, seq) AS n, ts, stream, seq FROM (SELECT ts, pid % 8 AS stream, seq FROM {toks} WHERE pid % 2 = 0 UNION ALL SELECT ts, pid % 8, seq FROM {toks} WHERE pid % 2 = 1) u")
+_STREAMS = "SELECT ts, pid % 8 AS stream, seq FROM {toks} WHERE pid % 2 = 0 UNION ALL SELECT ts, pid % 8, seq FROM {toks} WHERE pid % 2 = 1"
+sql(
+    "j01_u01_merged_streams",  # numbered within days, with the number of rows of all days before
+    f"""WITH merged AS (SELECT ts // 86400 AS chunk, ts, stream, seq FROM ({_STREAMS}) u), offsets AS ({_BEFORE} FROM (SELECT chunk, count(*) AS total FROM merged GROUP BY chunk) c)
+SELECT CAST(before + k AS BIGINT) AS n, ts, stream, seq FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY ts, stream, seq) AS k FROM merged) m JOIN offsets o ON o.chunk = m.chunk""",
+    f"SELECT row_number() OVER (ORDER BY ts, stream, seq) AS n, ts, stream, seq FROM ({_STREAMS}) u",
+)
 
 
 @frame("j02_r03_asof_owner", "SELECT seq, last_value(CASE WHEN kind = 12 THEN seq END IGNORE NULLS) OVER (PARTITION BY pid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS created_by FROM {toks}")
@@ -282,7 +299,11 @@ def backing_bytes(view):
     return out.selectExpr("res_id", "local", "invisible", "host", "rsize - local - invisible - host AS unmapped", "local + invisible + host = rsize AS all_mapped", "local * 100 div rsize AS local_percent")
 
 
-sql("j05_equi_join", "SELECT r.res_id, a.alloc_id, a.base + r.off AS address, r.off AS offset_in_allocation FROM {res} r JOIN {allocs} a ON a.alloc_id = r.alloc_id WHERE r.usage = 7")
+sql(
+    "j05_equi_join",
+    "SELECT r.res_id, a.alloc_id, a.base + r.off AS address, r.off AS offset_in_allocation FROM {res} r JOIN {allocs} a ON a.alloc_id = r.alloc_id",
+    "SELECT res_id, alloc_id, alloc_id * 1048576 + off AS address, off AS offset_in_allocation FROM {res}",
+)
 sql(
     "j08_j10_u03_u04_f07_compare",
     f"""SELECT coalesce(d.res_id, b.res_id) AS res_id, CASE WHEN b.res_id IS NOT NULL AND d.res_id IS NOT NULL THEN 1 WHEN b.res_id IS NOT NULL THEN 2 ELSE 4 END AS compare_id, coalesce(d.rsize, b.rsize) AS bytes
@@ -337,10 +358,14 @@ LEFT JOIN (SELECT alloc_id, count(*) AS n, max(res_id) AS id FROM {res} WHERE us
 
 # --- aggregates ----------------------------------------------------------------------------
 
+_COUNTS = "SELECT ts, sum(d) AS d FROM (SELECT alloc_ts AS ts, 1 AS d FROM {allocs} UNION ALL SELECT free_ts, -1 FROM {allocs} WHERE free_ts IS NOT NULL) e GROUP BY ts"
+_PROFILE = "(SELECT count(*) FROM {allocs}) AS allocations, (SELECT count(*) FROM {res}) AS resources, (SELECT max(alloc_ts) FROM {allocs}) AS max_ts, (SELECT count(DISTINCT pid) FROM {toks}) AS processes"
 sql(
     "a01_data_profile",
-    """SELECT (SELECT count(*) FROM {allocs}) AS allocations, (SELECT count(*) FROM {res}) AS resources, (SELECT max(alloc_ts) FROM {allocs}) AS max_ts, (SELECT count(DISTINCT pid) FROM {toks}) AS processes,
-(SELECT max(live) FROM (SELECT CAST(sum(d) OVER (ORDER BY ts) AS BIGINT) AS live FROM (SELECT ts, sum(d) AS d FROM (SELECT alloc_ts AS ts, 1 AS d FROM {allocs} UNION ALL SELECT free_ts, -1 FROM {allocs} WHERE free_ts IS NOT NULL) e GROUP BY ts) s) l) AS max_live""",
+    f"""WITH changes AS ({_COUNTS}), offsets AS ({_BEFORE} FROM (SELECT ts // 3000 AS chunk, sum(d) AS total FROM changes GROUP BY 1) c),
+live AS (SELECT max(before + run) AS most FROM (SELECT ts // 3000 AS chunk, sum(d) OVER (PARTITION BY ts // 3000 ORDER BY ts) AS run FROM changes) r JOIN offsets o ON o.chunk = r.chunk)
+SELECT {_PROFILE}, (SELECT CAST(most AS BIGINT) FROM live) AS max_live""",
+    f"SELECT {_PROFILE}, (SELECT max(live) FROM (SELECT CAST(sum(d) OVER (ORDER BY ts) AS BIGINT) AS live FROM ({_COUNTS}) s) l) AS max_live",
 )
 sql("a02_a10_bytes_per_heap", f"SELECT heap, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS n FROM {at(NOW)} a GROUP BY heap")
 sql("a09_resources_per_usage", f"SELECT usage, count(*) AS n FROM {at(NOW, 'res')} r GROUP BY usage")
@@ -365,7 +390,7 @@ sql(
 FULL OUTER JOIN (SELECT usage, count(*) AS n FROM {at(AFTER, "res")} x GROUP BY usage) d ON b.usage = d.usage""",
 )
 sql(
-    "a22_u07_heap_delta",
+    "a22_heap_delta",
     f"""SELECT coalesce(b.heap, d.heap) AS heap, coalesce(d.n, 0) - coalesce(b.n, 0) AS allocations, coalesce(d.s, 0) - coalesce(b.s, 0) AS bytes FROM (SELECT heap, count(*) AS n, CAST(sum(size) AS BIGINT) AS s FROM {at(BEFORE)} x GROUP BY heap) b
 FULL OUTER JOIN (SELECT heap, count(*) AS n, CAST(sum(size) AS BIGINT) AS s FROM {at(AFTER)} x GROUP BY heap) d ON b.heap = d.heap""",
 )
@@ -376,19 +401,51 @@ FROM {at(BEFORE, "res")} b FULL OUTER JOIN {at(AFTER, "res")} d ON b.res_id = d.
 )
 sql("a24_filtered_footer", f"SELECT count(*) AS n, CAST(sum(rsize) AS BIGINT) AS bytes FROM {at(NOW, 'res')} r WHERE rsize BETWEEN 8192 AND 131072 AND usage IN (3, 5, 6)")
 sql("a26_allocation_extremes", f"SELECT max(size) AS most, min(size) AS least FROM {at(NOW)} a")
+#: A-28: bytes of a resource lie in the heap that is preferred; unspecified preferences always do.
+_PREFERRED = "heap = 3 OR (NOT unmap AND pa <> 0 AND CASE WHEN pa < 8589934592 THEN 0 ELSE 1 END = heap)"
+_BOXES = f"SELECT r.usage, a.heap, a.owner, m.preferred, r.rsize AS bytes FROM {at(NOW, 'res')} r JOIN {{allocs}} a ON a.alloc_id = r.alloc_id JOIN (SELECT res_id, {_PREFERRED} AS preferred FROM {{maps}}) m ON m.res_id = r.res_id UNION ALL SELECT 1, heap, owner, CAST(NULL AS BOOLEAN), size FROM {at(NOW)} x"
+_KEYS = ("usage", "heap", "owner", "preferred")
 sql(
     "a27_a28_u02_treemap",
-    f"SELECT usage, heap, owner, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS n FROM (SELECT r.usage, a.heap, a.owner, r.rsize AS bytes FROM {at(NOW, 'res')} r JOIN {{allocs}} a ON a.alloc_id = r.alloc_id UNION ALL SELECT 1, heap, owner, size FROM {at(NOW)} x) t GROUP BY ROLLUP (usage, heap, owner)",
+    f"SELECT usage, heap, owner, preferred, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS n FROM ({_BOXES}) t GROUP BY ROLLUP (usage, heap, owner, preferred)",
+    " UNION ALL ".join(
+        f"SELECT {', '.join(k if i < depth else f'NULL AS {k}' for i, k in enumerate(_KEYS))}, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS n FROM ({_BOXES}) t {'GROUP BY ' + ', '.join(_KEYS[:depth]) if depth else ''}"
+        for depth in range(5)
+    ),
 )
 
 # --- filters -------------------------------------------------------------------------------
 
 sql("f01_f09_size_between", "SELECT alloc_id, size FROM {allocs} WHERE size BETWEEN 65536 AND 524288")
 sql("f02_f08_substring_search", "SELECT p_partkey, p_name FROM {part} WHERE contains(lower(p_name), 'a1') OR contains(lower(p_brand), 'brand#1') OR contains(lower(p_type), 'steel')")
-sql("f03_address_search", "SELECT alloc_id, base FROM {allocs} WHERE 7340132 >= base AND 7340132 < base + size")
+_SEARCHES = "SELECT '0x700064' AS asked UNION ALL SELECT '7340132' UNION ALL SELECT '1001' UNION ALL SELECT '3f' UNION ALL SELECT 'none'"
+
+
+@frame(
+    "f03_address_search",  # hexadecimal with its prefix, else decimal; the address as text in any case
+    f"""SELECT asked, alloc_id, base FROM (SELECT asked, CASE WHEN regexp_full_match(asked, '0x[0-9a-f]+|[0-9]+') THEN CAST(asked AS BIGINT) END AS va FROM ({_SEARCHES}) q) s
+JOIN {{allocs}} a ON (s.va >= a.base AND s.va < a.base + a.size) OR contains('0x' || lower(to_hex(a.base)), asked)""",
+)
+def address_search(view):
+    asked = [r.asked for r in view(_SEARCHES).collect()]  # what a user typed, a few strings
+    rows, text = view("allocs").select("alloc_id", "base", "size"), F.concat(F.lit("0x"), F.lower(F.hex("base")))
+    out = None
+    for x in asked:
+        hit = text.contains(x)
+        if x.isdecimal() or re.fullmatch("0x[0-9a-f]+", x):
+            va = int(x, 16 if x.startswith("0x") else 10)
+            hit = hit | ((F.lit(va) >= F.col("base")) & (F.lit(va) < F.col("base") + F.col("size")))
+        found = rows.where(hit).select(F.lit(x).alias("asked"), "alloc_id", "base")
+        out = found if out is None else out.union(found)
+    return out
+
 sql("f04_f05_f06_categories", "SELECT res_id, heap, usage FROM {res} WHERE heap IN (0, 2) AND (CAST(1 AS INT) << usage) & 104 <> 0")
 sql("f10_overview_filter", f"SELECT res_id FROM {at(NOW, 'res')} r WHERE heap = 1 AND usage IN (5, 6) AND rsize >= 16384")
-sql("f11_visible_items", f"SELECT alloc_id, size FROM (SELECT alloc_id, size, sum(size) OVER (PARTITION BY heap) AS whole FROM {at(NOW)} a) t WHERE size * 1000000 >= 4 * whole")
+sql(
+    "f11_visible_items",
+    f"SELECT a.alloc_id, a.size FROM {at(NOW)} a JOIN (SELECT heap, sum(size) AS whole FROM {at(NOW)} x GROUP BY heap) h ON h.heap = a.heap WHERE a.size * 1000000 >= 4 * h.whole",
+    f"SELECT alloc_id, size FROM (SELECT alloc_id, size, sum(size) OVER (PARTITION BY heap) AS whole FROM {at(NOW)} a) t WHERE size * 1000000 >= 4 * whole",
+)
 sql("f14_table_updates", "SELECT res_id, pa FROM {maps} WHERE NOT unmap AND pa <> 0")
 sql("f17_series_mask", f"SELECT max(bytes) AS most FROM (SELECT heap, sum(size) AS s, CAST(sum(size) AS BIGINT) AS bytes FROM {at(NOW)} a WHERE heap <> 3 GROUP BY heap) t")
 sql("f19_in_preferred_heap", "SELECT res_id, heap = 3 OR (NOT unmap AND pa <> 0 AND CASE WHEN pa < 8589934592 THEN 0 ELSE 1 END = heap) AS preferred FROM {maps}")
@@ -397,7 +454,17 @@ sql("f20_lookup", "SELECT alloc_id, base, size FROM {allocs} WHERE alloc_id = 77
 # --- order and top-k -----------------------------------------------------------------------
 
 sql("o01_resource_order", f"SELECT res_id, row_number() OVER (PARTITION BY alloc_id ORDER BY rsize DESC, CASE WHEN usage = 2 THEN 0 ELSE 1 END, res_id) AS n FROM {at(NOW, 'res')} r")
-sql("o02_o05_allocation_order", f"SELECT alloc_id, row_number() OVER (PARTITION BY heap ORDER BY size DESC, alloc_id) AS by_size, row_number() OVER (PARTITION BY heap ORDER BY alloc_ts, alloc_id) AS by_age FROM {at(NOW)} a")
+_LIVE = f"SELECT alloc_id, heap, size, alloc_ts FROM {at(NOW)} a"
+sql(
+    "o02_o05_allocation_order",  # numbered among rows of one size and of one stretch of time, with the number of rows before these
+    f"""WITH live AS ({_LIVE}),
+sizes AS (SELECT heap, size, sum(n) OVER (PARTITION BY heap ORDER BY size DESC) - n AS larger FROM (SELECT heap, size, count(*) AS n FROM live GROUP BY heap, size) s),
+times AS (SELECT heap, chunk, sum(n) OVER (PARTITION BY heap ORDER BY chunk) - n AS older FROM (SELECT heap, alloc_ts // 3000 AS chunk, count(*) AS n FROM live GROUP BY heap, alloc_ts // 3000) s)
+SELECT k.alloc_id, CAST(larger + by_size AS BIGINT) AS by_size, CAST(older + by_age AS BIGINT) AS by_age
+FROM (SELECT *, row_number() OVER (PARTITION BY heap, size ORDER BY alloc_id) AS by_size, row_number() OVER (PARTITION BY heap, alloc_ts // 3000 ORDER BY alloc_ts, alloc_id) AS by_age FROM live) k
+JOIN sizes s ON s.heap = k.heap AND s.size = k.size JOIN times t ON t.heap = k.heap AND t.chunk = k.alloc_ts // 3000""",
+    f"SELECT alloc_id, row_number() OVER (PARTITION BY heap ORDER BY size DESC, alloc_id) AS by_size, row_number() OVER (PARTITION BY heap ORDER BY alloc_ts, alloc_id) AS by_age FROM ({_LIVE}) a",
+)
 sql("o03_largest_allocations", f"SELECT alloc_id, size FROM {at(NOW)} a ORDER BY size DESC, alloc_id LIMIT 50")
 sql("o04_history_order", "SELECT seq, row_number() OVER (PARTITION BY pid ORDER BY kind, ts, seq) AS n FROM {toks}")
 sql("o07_o08_address_order", "SELECT res_id, row_number() OVER (PARTITION BY alloc_id ORDER BY off, res_id) AS by_address, row_number() OVER (PARTITION BY alloc_id ORDER BY rsize DESC, res_id) AS by_size FROM {res}")
@@ -507,13 +574,20 @@ def device(view):
     return view("allocs").select("alloc_id", scalars.device_id((F.lit(29000) + F.col("alloc_id") % 100).cast("int"), (F.col("alloc_id") % 256).cast("int")).alias("device"))
 
 
-sql("p29_p36_p37_property_rows", "SELECT res_id, 'Size' AS property, CAST(rsize AS STRING) AS value FROM {res} WHERE usage = 3 UNION ALL SELECT res_id, 'Usage', CASE usage WHEN 3 THEN 'Buffer' ELSE 'n/a' END FROM {res} WHERE usage = 3 UNION ALL SELECT res_id, 'Offset', CAST(off AS STRING) FROM {res} WHERE usage = 3")
+_IMAGE = "usage IN (5, 6, 7)"
+sql(
+    "p29_p36_property_rows",  # size, usage and offset of each resource; images have a row more, which others show as n/a
+    f"""SELECT res_id, property, coalesce(value, 'n/a') AS value FROM (SELECT res_id, stack(4, 'Size', CAST(rsize AS STRING), 'Usage', {_case('usage', enums.USAGES)}, 'Offset', CAST(off AS STRING),
+'Image pages', CASE WHEN {_IMAGE} THEN CAST(rsize // 4096 AS STRING) END) AS (property, value) FROM {{res}}) p""",
+    f"""SELECT res_id, 'Size' AS property, CAST(rsize AS STRING) AS value FROM {{res}} UNION ALL SELECT res_id, 'Usage', {_case('usage', enums.USAGES)} FROM {{res}}
+UNION ALL SELECT res_id, 'Offset', CAST(off AS STRING) FROM {{res}} UNION ALL SELECT res_id, 'Image pages', CASE WHEN {_IMAGE} THEN CAST(rsize // 4096 AS STRING) ELSE 'n/a' END FROM {{res}}""",
+)
 _FNV = "2166136261"
 for _k in range(8):
     _FNV = f"(xor({_FNV}, (alloc_id >> {8 * _k}) & 255) * 16777619) & 4294967295" if _k == 0 else f"(xor(({_FNV}), (alloc_id >> {8 * _k}) & 255) * 16777619) & 4294967295"
 
 
-@frame("p30_p31_id_hash", f"SELECT alloc_id, CAST({_FNV} AS BIGINT) AS hash FROM {{allocs}}")
+@frame("p30_id_hash", f"SELECT alloc_id, CAST({_FNV} AS BIGINT) AS hash FROM {{allocs}}")
 def id_hash(view):
     return view("allocs").select("alloc_id", scalars.fnv1a32(F.col("alloc_id")).alias("hash"))
 
@@ -525,15 +599,38 @@ sql("p32_p34_p35_segments", "SELECT heap, hi - lo AS bytes, heap IN (0, 1) AS gp
 sql("n01_restamped", "SELECT res_id, name, t - 500 AS event_time FROM {names} WHERE t >= 500")
 sql("n04_implicit", "SELECT r.res_id, r.res_id % 13 = 0 AND NOT (r.usage = 3 AND coalesce(h.paired, false)) AS implicit FROM {res} r LEFT JOIN (SELECT alloc_id, true AS paired FROM {res} WHERE usage = 2 AND off = 0 GROUP BY alloc_id) h ON h.alloc_id = r.alloc_id")
 sql("n05_names_in_life", "SELECT res_id, t, name FROM {names} WHERE t >= created AND t < created + 1000")
-sql("n06_n07_visible_resources", "SELECT res_id, usage FROM {res} WHERE usage IN (2, 3, 5, 6, 7) AND res_id NOT IN (SELECT res_id FROM {names} WHERE name = 'n3')")
+sql(
+    "n06_n07_visible_resources",
+    "SELECT r.res_id, r.usage FROM {res} r WHERE r.usage IN (2, 3, 5, 6, 7) AND NOT EXISTS (SELECT 1 FROM {names} n WHERE n.res_id = r.res_id AND n.name = 'n3')",
+    "SELECT res_id, usage FROM {res} WHERE usage IN (2, 3, 5, 6, 7) AND res_id NOT IN (SELECT res_id FROM {names} WHERE name = 'n3')",
+)
+#: Tokens of processes stand in for what happens to the allocation of that number: residency references and CPU maps.
+_TOUCHED = "SELECT pid AS alloc_id, CASE kind WHEN 6 THEN 'resident' ELSE 'cpu map' END AS event, ts FROM {toks} WHERE kind IN (6, 10)"
 sql(
     "h01_resource_history",
-    """SELECT 'create' AS event, res_id, alloc_ts AS ts FROM {res} WHERE usage = 7 UNION ALL SELECT 'bind', res_id, bind_ts FROM {res} WHERE usage = 7
-UNION ALL SELECT 'free', res_id, free_ts FROM {res} WHERE usage = 7 AND free_ts IS NOT NULL UNION ALL SELECT 'name', n.res_id, n.t FROM {names} n JOIN {res} r ON r.res_id = n.res_id WHERE r.usage = 7
-UNION ALL SELECT CASE WHEN m.unmap THEN 'unmap' WHEN m.pa = 0 THEN 'map host' ELSE 'map local' END, r.res_id, m.bind_ts FROM {res} r JOIN {maps} m ON m.alloc_id = r.alloc_id AND m.lo < r.off + r.rsize AND r.off < m.hi WHERE r.usage = 7""",
+    f"""SELECT 'create' AS event, res_id, alloc_ts AS ts FROM {{res}} UNION ALL SELECT 'bind', res_id, bind_ts FROM {{res}}
+UNION ALL SELECT 'free', res_id, free_ts FROM {{res}} WHERE free_ts IS NOT NULL UNION ALL SELECT 'name', res_id, t FROM {{names}}
+UNION ALL SELECT CASE WHEN m.unmap THEN 'unmap' WHEN m.pa = 0 THEN 'map host' ELSE 'map local' END, r.res_id, m.bind_ts FROM {{res}} r JOIN {{maps}} m ON m.alloc_id = r.alloc_id AND m.lo < r.off + r.rsize AND r.off < m.hi
+UNION ALL SELECT t.event, r.res_id, t.ts FROM {{res}} r JOIN ({_TOUCHED}) t ON t.alloc_id = r.alloc_id""",
 )
 sql("h02_h05_creates_at_address", "SELECT r.res_id, r.bind_ts FROM {res} r WHERE r.alloc_id IN (SELECT alloc_id FROM {res} WHERE usage = 6 AND off = 0)")
-sql("h03_allocation_history", "SELECT a.alloc_id, 'allocate' AS event, a.alloc_ts AS ts, (SELECT count(*) FROM {res} r WHERE r.alloc_id = a.alloc_id) AS bound FROM {allocs} a WHERE a.heap = 2")
+
+
+@frame(
+    "h03_allocation_history",
+    f"""SELECT a.alloc_id, 'allocate' AS event, a.alloc_ts AS ts, (SELECT string_agg(CAST(r.res_id AS VARCHAR), ',' ORDER BY r.res_id) FROM {{res}} r WHERE r.alloc_id = a.alloc_id) AS bound FROM {{allocs}} a
+UNION ALL SELECT alloc_id, 'free', free_ts, NULL FROM {{allocs}} WHERE free_ts IS NOT NULL
+UNION ALL SELECT a.alloc_id, t.event, t.ts, NULL FROM {{allocs}} a JOIN ({_TOUCHED}) t ON t.alloc_id = a.alloc_id""",
+)
+def allocation_history(view):
+    allocs, touched = view("allocs"), view(_TOUCHED)
+    bound = view("res").groupBy("alloc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("res_id")), lambda x: x.cast("string")), ",").alias("bound"))
+    none = F.lit(None).cast("string").alias("bound")
+    made = allocs.join(bound, "alloc_id", "left").select("alloc_id", F.lit("allocate").alias("event"), F.col("alloc_ts").alias("ts"), "bound")
+    freed = allocs.where("free_ts IS NOT NULL").select("alloc_id", F.lit("free"), "free_ts", none)
+    return made.union(freed).union(allocs.join(touched, "alloc_id").select("alloc_id", "event", "ts", none))
+
+
 sql("h04_basic_history", "SELECT alloc_id, 'allocate' AS event, alloc_ts AS ts FROM {allocs} UNION ALL SELECT alloc_id, 'free', free_ts FROM {allocs} WHERE free_ts IS NOT NULL")
 sql("h06_h09_all_resources", "SELECT res_id, 'bind' AS event, bind_ts AS ts FROM {res} WHERE res_id % 13 <> 0 UNION ALL SELECT res_id, 'destroy', free_ts FROM {res} WHERE free_ts IS NOT NULL AND res_id % 13 <> 0")
 sql("h07_bind_enrichment", "SELECT r.res_id, r.bind_ts, a.base, a.heap AS first_preference, CASE WHEN a.heap = 0 THEN 2 ELSE 3 END AS second_preference FROM {res} r JOIN {allocs} a ON a.alloc_id = r.alloc_id")

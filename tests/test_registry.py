@@ -54,10 +54,16 @@ def test_flagship_equals_snapshot(spark):
 
 def test_deltas_are_antisymmetric(spark):
     a, b = (registry.proxies.query(spark, DATA, registry.at(t)).groupBy("heap").count().collect() for t in (registry.BEFORE, registry.AFTER))
-    change = {r.heap: r.allocations for r in registry.QUERIES["a22_u07_heap_delta"](spark, DATA).collect()}
+    change = {r.heap: r.allocations for r in registry.QUERIES["a22_heap_delta"](spark, DATA).collect()}
     assert change == {r.heap: r["count"] - dict(map(tuple, a)).get(r.heap, 0) for r in b}
 
 
 def test_point_lookup_is_an_equi_join(spark):
     plan = registry.QUERIES["j03_j04_point_in_interval"](spark, DATA)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_address_search_reads_numbers_and_text(spark):
+    got = {(r.asked, r.alloc_id) for r in registry.QUERIES["f03_address_search"](spark, DATA).collect()}
+    assert {x for x in got if x[0] in ("0x700064", "7340132")} == {("0x700064", 7), ("7340132", 7)}
+    assert any(x[0] == "3f" for x in got) and not any(x[0] == "none" for x in got)
