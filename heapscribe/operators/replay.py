@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars
 from ..sources import trace
-from . import intervals
+from . import intervals, lineage
 
 BIN = 1 << 28  # bytes of address space to a bin of the range join
 
@@ -23,17 +23,17 @@ def settled(tokens: DataFrame) -> DataFrame:
     later = Window.partitionBy("trace_id", "va").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
     freed = F.when(F.col("kind") == trace.FREE, F.struct("seq", "ts"))
     made = on_base.withColumn("_next", F.min(freed).over(later)).where(F.col("kind") == trace.ALLOCATE)
-    made = made.withColumns({"_free": F.col("_next.ts"), "_end": F.col("_next.seq")}).drop("_next").localCheckpoint()
+    made = lineage.cut(made.withColumns({"_free": F.col("_next.ts"), "_end": F.col("_next.seq")}).drop("_next"), "made")
     held = made.select("trace_id", F.col("seq").alias("_by"), F.col("va").alias("_lo"), F.expr("va + greatest(size, 1)").alias("_hi"), F.col("_end").alias("_until"))
     within = intervals.range_join(made.select("trace_id", "seq", "va"), held, "va", "_lo", "_hi", BIN, ("trace_id",))
-    open_ = within.where("_by < seq AND (_until IS NULL OR seq < _until)").select("trace_id", "seq", "_by").localCheckpoint()
+    open_ = lineage.cut(within.where("_by < seq AND (_until IS NULL OR seq < _until)").select("trace_id", "seq", "_by"), "open")
     rejected = open_.select("trace_id", "seq").limit(0)
     while not open_.isEmpty():
         waiting = open_.select("trace_id", F.col("seq").alias("_by")).distinct()
-        sure = open_.join(waiting, ["trace_id", "_by"], "left_anti").select("trace_id", "seq").distinct().localCheckpoint()
+        sure = lineage.cut(open_.join(waiting, ["trace_id", "_by"], "left_anti").select("trace_id", "seq").distinct(), "rejected")
         rejected = rejected.union(sure)
         left = open_.join(sure, ["trace_id", "seq"], "left_anti")
-        open_ = left.join(sure.withColumnRenamed("seq", "_by"), ["trace_id", "_by"], "left_anti").select("trace_id", "seq", "_by").localCheckpoint()
+        open_ = lineage.cut(left.join(sure.withColumnRenamed("seq", "_by"), ["trace_id", "_by"], "left_anti").select("trace_id", "seq", "_by"), "open")
     return made.join(rejected.withColumn("rejected", F.lit(True)), ["trace_id", "seq"], "left").withColumn("rejected", F.coalesce("rejected", F.lit(False)))
 
 
