@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +11,9 @@ from ..sources import trace
 from . import intervals, lineage
 
 BIN = 1 << 28  # bytes of address space to a bin of the range join
+PAGE = 4096
+#: Fixed values of the format.
+IMAGE, REBINDABLE, SHAREABLE, SPARSE, CLIENT_DRIVER = 0, (1, 11, 15), 1 << 2, 1 << 6, 2
 
 
 def settled(tokens: DataFrame) -> DataFrame:
@@ -51,15 +54,107 @@ def rejects(tokens: DataFrame) -> DataFrame:
     return _shown(settled(tokens).where("rejected"))
 
 
-def resources(tokens: DataFrame) -> DataFrame:
-    """trace_id, driver_id, episode, resource_type, usage, size, create_ts, bind_ts, address, destroy_ts: a create ends the former episode of its driver id."""
+def _lives(tokens: DataFrame) -> DataFrame:
+    """Tokens of resources with `episode`, numbered by the creates of their driver id. What comes before the first create or after an episode's destroy changes nothing."""
     events = tokens.where(F.col("kind").isin(trace.CREATE, trace.BIND, trace.UPDATE, trace.DESTROY))
-    w = Window.partitionBy("trace_id", "driver_id").orderBy("seq")
-    numbered = events.withColumn("episode", F.sum((F.col("kind") == trace.CREATE).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("episode > 0")
+    numbered = events.withColumn("episode", F.sum((F.col("kind") == trace.CREATE).cast("int")).over(_upto("trace_id", "driver_id"))).where("episode > 0")
+    ended = F.max(F.col("kind") == trace.DESTROY).over(_before("trace_id", "driver_id", "episode"))
+    return numbered.withColumn("_ended", F.coalesce(ended, F.lit(False))).where("NOT _ended").drop("_ended")
+
+
+def _upto(*by: str):
+    return Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _before(*by: str):
+    return Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _usage(kind: Column, flags: Column) -> Column:
+    return F.when(kind == 1, scalars.buffer_usage(flags)).when(kind == 0, 5).when(kind == 11, 2).when(kind == 12, 11).when(kind.isin(13, 14), 10).when(kind == 15, 9).when(kind == 2, 12).otherwise(8)
+
+
+def _on_system(is_system: str = "is_system", va: str = "va") -> Column:
+    """Bound to system memory without an address: such a bind finds no allocation."""
+    return F.coalesce(F.col(is_system), F.lit(False)) & (F.col(va) == 0)
+
+
+def with_shared(tokens: DataFrame) -> DataFrame:
+    """tokens, and an allocate token for the first bind of each shareable image: its memory may belong to another process.
+
+    Like any allocation it counts only if no live one holds its base, that is if the bind finds none.
+    """
+    lives = _lives(tokens)
+    image = F.max((F.col("kind") == trace.CREATE) & (F.col("resource_type") == IMAGE) & (F.col("create_flags").bitwiseAND(SHAREABLE) != 0)).over(_upto("trace_id", "driver_id", "episode"))
+    former = F.count(F.when(F.col("kind") == trace.BIND, 1)).over(_before("trace_id", "driver_id", "episode"))
+    first = lives.withColumns({"_image": image, "_former": former}).where((F.col("kind") == trace.BIND) & F.col("_image") & (F.col("_former") == 0) & (F.col("size") >= PAGE) & ~_on_system())
+    made = first.withColumns({"kind": F.lit(trace.ALLOCATE).cast(tokens.schema["kind"].dataType), "size": F.expr(f"size div {PAGE} * {PAGE}"), "owner": F.lit(CLIENT_DRIVER).cast(tokens.schema["owner"].dataType), "pref": F.array(*[F.lit(0)] * 4)})
+    return tokens.unionByName(made.select(*tokens.columns))
+
+
+def found(tokens: DataFrame, taken: DataFrame) -> DataFrame:
+    """(trace_id, seq, base, alloc_seq): the allocation, of those settled and taken, that holds a bind's address at that time; of several, that with the greatest base."""
+    binds = tokens.where((F.col("kind") == trace.BIND) & ~_on_system()).select("trace_id", "seq", "va")
+    held = taken.select("trace_id", F.col("seq").alias("_from"), F.col("va").alias("_lo"), F.expr("va + size").alias("_hi"), F.col("_end").alias("_until"))
+    within = intervals.range_join(binds, held, "va", "_lo", "_hi", BIN, ("trace_id",)).where("_from <= seq AND (_until IS NULL OR seq < _until)")
+    return within.groupBy("trace_id", "seq").agg(F.max(F.struct("_lo", "_from")).alias("_f")).select("trace_id", "seq", F.col("_f._lo").alias("base"), F.col("_f._from").alias("alloc_seq"))
+
+
+def spans(tokens: DataFrame) -> DataFrame:
+    """The states of each resource as intervals: trace_id, driver_id, valid_from, valid_to (null: open), resource_type, usage, create_flags, create_ts, bind_ts, address, size, base, alloc_seq.
+
+    A create ends the former resource of its driver id. A bind counts as long as none has
+    found an allocation (base; null: none). Buffers, heaps and command allocators that are
+    bound are created anew by a further bind, which binds them unless it is to system
+    memory without an address; others ignore it. An update replaces the usage flags.
+    """
+    all_tokens = with_shared(tokens)
+    lives = _lives(tokens).join(found(tokens, settled(all_tokens).where("NOT rejected")), ["trace_id", "seq"], "left")
+    upto, before = _upto("trace_id", "driver_id", "episode"), _before("trace_id", "driver_id", "episode")
+    is_, created = lambda k: F.col("kind") == k, F.col("kind") == trace.CREATE
+    hit = F.when(is_(trace.BIND), F.col("base").isNotNull())
+    lives = lives.withColumns({"_type": F.last(F.when(created, F.col("resource_type")), True).over(upto), "_image_flags": F.last(F.when(created, F.coalesce("create_flags", F.lit(0))), True).over(upto)})
+    rebindable = F.col("_type").isin(*REBINDABLE)
+    lives = lives.withColumn("_bound", F.coalesce(F.when(rebindable, F.last(hit, True).over(before)).otherwise(F.max(hit).over(before)), F.lit(False)))
+    lives = lives.where(~is_(trace.BIND) | ~F.col("_bound") | rebindable)
+    again = is_(trace.BIND) & F.col("_bound")
+    place = F.when(again & _on_system() | created, F.struct(*[F.lit(None).cast("long").alias(c) for c in ("ts", "va", "size", "base", "alloc_seq")]))
+    place = place.when(is_(trace.BIND), F.struct("ts", "va", "size", "base", "alloc_seq"))
+    out = lives.withColumns({
+        "_place": F.last(place, True).over(upto),
+        "_flags": F.last(F.when(created, F.col("usage_flags")).when(is_(trace.UPDATE), F.col("after")), True).over(upto),
+        "create_ts": F.last(F.when(created | again, F.col("ts")), True).over(upto),
+        "valid_to": F.lead("ts").over(Window.partitionBy("trace_id", "driver_id").orderBy("seq")),
+    }).where(~is_(trace.DESTROY))
+    return out.select("trace_id", "driver_id", F.col("ts").alias("valid_from"), "valid_to", F.col("_type").alias("resource_type"), _usage(F.col("_type"), F.col("_flags")).alias("usage"), F.col("_image_flags").alias("create_flags"), "create_ts", F.col("_place.ts").alias("bind_ts"), F.col("_place.va").alias("address"), F.col("_place.size").alias("size"), F.col("_place.base").alias("base"), F.col("_place.alloc_seq").alias("alloc_seq"))
+
+
+def heap_changes(tokens: DataFrame) -> DataFrame:
+    """(trace_id, ts, heap, delta): bytes by first preferred heap, as allocations come and go. The bind of a partly resident image moves its allocation's bytes to heap 3 (none)."""
+    taken = settled(with_shared(tokens)).where("NOT rejected").select("trace_id", F.col("seq").alias("alloc_seq"), "ts", "size", F.element_at("pref", 1).alias("heap"), "_free")
+    sparse = spans(tokens).where((F.col("resource_type") == IMAGE) & (F.col("create_flags").bitwiseAND(SPARSE) != 0) & F.col("alloc_seq").isNotNull())
+    moved = sparse.groupBy("trace_id", "alloc_seq").agg(F.min("bind_ts").alias("_moved"))
+    changes = F.expr("""array(struct(ts, heap, size AS delta), struct(_moved AS ts, heap, -size AS delta), struct(_moved AS ts, 3 AS heap, size AS delta),
+      struct(_free AS ts, if(_moved IS NULL, heap, 3) AS heap, -size AS delta))""")
+    return taken.join(moved, ["trace_id", "alloc_seq"], "left").select("trace_id", F.explode(changes).alias("c")).select("trace_id", "c.*").where("ts IS NOT NULL")
+
+
+def names(tokens: DataFrame) -> DataFrame:
+    """(trace_id, driver_id, create_ts, event_time, name): names of buffers, images and heaps that live at the name's time, which its delay sets back; times before the trace don't count."""
+    marks = tokens.where(F.col("kind").isin(trace.CREATE, trace.DESTROY)).select("trace_id", "driver_id", F.col("ts").alias("event_time"), F.lit(0).alias("_order"), "seq", F.when((F.col("kind") == trace.CREATE) & F.col("resource_type").isin(0, 1, 11), F.col("ts")).alias("_created"), F.lit(None).cast("string").alias("name"))
+    named = tokens.where((F.col("kind") == trace.USERDATA) & F.col("user_kind").isin(trace.NAME, trace.NAME_2) & F.col("name").isNotNull()).withColumn("event_time", F.expr("ts - coalesce(delay, 0)")).where("event_time >= 0")
+    both = marks.union(named.select("trace_id", "driver_id", "event_time", F.lit(1), "seq", F.lit(None).cast("long"), "name"))
+    mark = F.when(F.col("_order") == 0, F.struct("_created"))
+    seen = intervals.asof_last(both, mark, ["trace_id", "driver_id"], ["event_time", "_order", "seq"], "_mark")
+    return seen.where("_order = 1 AND _mark._created IS NOT NULL").select("trace_id", "driver_id", F.col("_mark._created").alias("create_ts"), "event_time", "name")
+
+
+def resources(tokens: DataFrame) -> DataFrame:
+    """trace_id, driver_id, episode, resource_type, usage, size, create_ts, bind_ts, address, destroy_ts, one row for each create: of its binds the last counts for buffers, heaps and command allocators, the first for others. `spans` has each state."""
     kind = lambda k, c: F.when(F.col("kind") == k, F.col(c))
     flags = F.max_by("_flags", F.when(F.col("_flags").isNotNull(), F.col("seq")))
-    numbered = numbered.withColumn("_flags", F.coalesce(kind(trace.CREATE, "usage_flags"), kind(trace.UPDATE, "after")))
-    rebindable = F.max(kind(trace.CREATE, "resource_type")).isin(1, 11, 15)
+    numbered = _lives(tokens).withColumn("_flags", F.coalesce(kind(trace.CREATE, "usage_flags"), kind(trace.UPDATE, "after")))
+    rebindable = F.max(kind(trace.CREATE, "resource_type")).isin(*REBINDABLE)
     at_bind = F.when(F.col("kind") == trace.BIND, F.col("seq"))
     first, last = (f(F.struct("ts", "va", "size"), at_bind) for f in (F.min_by, F.max_by))
     grouped = numbered.groupBy("trace_id", "driver_id", "episode").agg(
@@ -67,8 +162,7 @@ def resources(tokens: DataFrame) -> DataFrame:
         F.max(kind(trace.CREATE, "size")).alias("_size"), flags.alias("_flags"), F.when(rebindable, last).otherwise(first).alias("_bind"),
     )
     following = F.lead("create_ts").over(Window.partitionBy("trace_id", "driver_id").orderBy("episode"))
-    usage = F.when(F.col("resource_type") == 1, scalars.buffer_usage(F.col("_flags"))).when(F.col("resource_type") == 0, 5).when(F.col("resource_type") == 11, 2).when(F.col("resource_type") == 12, 11).when(F.col("resource_type").isin(13, 14), 10).when(F.col("resource_type") == 15, 9).when(F.col("resource_type") == 2, 12).otherwise(8)
-    return grouped.select("trace_id", "driver_id", "episode", "resource_type", usage.alias("usage"), F.coalesce("_bind.size", "_size").alias("size"), "create_ts", F.col("_bind.ts").alias("bind_ts"), F.col("_bind.va").alias("address"), F.coalesce("_destroyed", following).alias("destroy_ts"))
+    return grouped.select("trace_id", "driver_id", "episode", "resource_type", _usage(F.col("resource_type"), F.col("_flags")).alias("usage"), F.coalesce("_bind.size", "_size").alias("size"), "create_ts", F.col("_bind.ts").alias("bind_ts"), F.col("_bind.va").alias("address"), F.coalesce("_destroyed", following).alias("destroy_ts"))
 
 
 def state_at(rows: DataFrame, t: int, start: str = "valid_from", end: str = "valid_to") -> DataFrame:

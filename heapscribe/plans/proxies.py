@@ -44,6 +44,18 @@ FROM (SELECT a.*, l.l_orderkey * 64 + l.k AS res_id, (l.l_partkey * 4096) % a.si
 FROM {res} r CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) k""",
         ("res",),
     ),
+    # Tokens of the trace format (kinds as in sources.trace): allocations and frees in eight places of an arena for each user, and the life of four resources for each.
+    "tape": (
+        """SELECT 't' || CAST(u % 3 AS STRING) AS trace_id, CAST(0 AS BIGINT) AS stream_index, seq, seq * 16 AS offset, ts, kind, kind = 7 AND v % 7 = 0 AS is_system,
+       CASE WHEN kind = 7 AND v % 7 = 0 THEN 0 ELSE (u // 3 + 1) * 16777216 + v % 8 * 65536 + CASE WHEN kind = 7 THEN v % 3 * 4096 ELSE 0 END END AS va,
+       CASE WHEN kind = 12 THEN (1 + v % 5) * 49152 ELSE (1 + v % 4) * 4096 END AS size, CAST(v % 4 AS INT) AS heap, v % 4 AS owner, u * 4 + v % 4 AS driver_id,
+       CASE v // 4 % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 11 WHEN 3 THEN 15 ELSE 6 END AS resource_type, CASE v % 3 WHEN 0 THEN 4 WHEN 1 THEN 64 ELSE 0 END AS create_flags,
+       CASE WHEN v % 2 = 0 THEN 4096 ELSE 192 END AS usage_flags, CASE WHEN v % 4 < 2 THEN 4096 ELSE 0 END AS after, 0 AS user_kind, 'n' || CAST(v % 13 AS STRING) AS name, v % 5 * 1000 AS delay
+FROM (SELECT event_id AS seq, {seconds(ts)} AS ts, user_id AS u, CAST(floor(value) AS BIGINT) AS v,
+             CASE event_type WHEN 'purchase' THEN 12 WHEN 'error' THEN 11 WHEN 'signup' THEN 13 WHEN 'click' THEN 7 ELSE CASE CAST(floor(value) AS BIGINT) % 3 WHEN 0 THEN 15 WHEN 1 THEN 1 ELSE 4 END END AS kind
+      FROM {events}) e""",
+        ("events",),
+    ),
     "segments": ("SELECT 0 AS heap, 4294967296 AS lo, 8589934592 AS hi UNION ALL SELECT 1, 8589934592, 12884901888", ()),
 }
 TABLES = ("orders", "lineitem", "events", "customer", "part", "supplier")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import enums, scalars
-from .operators import intervals, layout
+from .operators import intervals, layout, replay
 from .plans import proxies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -356,6 +356,81 @@ LEFT JOIN (SELECT alloc_id, count(*) AS n, max(res_id) AS id FROM {res} WHERE us
 LEFT JOIN (SELECT alloc_id, count(*) AS n, max(res_id) AS id FROM {res} WHERE usage <> 2 AND off = 0 GROUP BY alloc_id) o ON o.alloc_id = a.alloc_id""",
 )
 
+# --- replay of tokens ----------------------------------------------------------------------
+
+#: The same replay told token by token: a recursive step for each token of an arena, and of a resource, with the state in its row.
+_SHARED = """shared AS (SELECT b.trace_id, b.seq, b.ts, 12 AS kind, b.va, b.size // 4096 * 4096 AS size, b.heap, 1 AS made FROM {tape} b JOIN {tape} c ON c.kind = 13 AND c.trace_id = b.trace_id AND c.driver_id = b.driver_id AND c.seq < b.seq
+  WHERE b.kind = 7 AND NOT (b.is_system AND b.va = 0) AND c.resource_type = 0 AND (c.create_flags & 4) <> 0 AND NOT EXISTS (SELECT 1 FROM {tape} x WHERE x.trace_id = b.trace_id AND x.driver_id = b.driver_id AND x.seq > c.seq AND x.seq < b.seq AND x.kind IN (7, 13, 15)))"""
+_FOLD = """ev AS (SELECT *, row_number() OVER (PARTITION BY trace_id, va // 16777216 ORDER BY seq) AS k FROM (SELECT trace_id, seq, ts, kind, va, size, heap, 0 AS made FROM {tape} WHERE kind IN (11, 12) UNION ALL SELECT * FROM shared) u),
+fold AS (SELECT DISTINCT trace_id, va // 16777216 AS arena, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(lo BIGINT, hi BIGINT, seq BIGINT)[]) AS live, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BOOLEAN) AS held, CAST(NULL AS BIGINT) AS closes FROM ev
+  UNION ALL SELECT e.trace_id, f.arena, e.k,
+    CASE WHEN e.kind = 11 THEN list_filter(f.live, lambda x: x.lo <> e.va) WHEN len(list_filter(f.live, lambda x: x.lo <= e.va AND e.va < x.hi)) > 0 THEN f.live ELSE list_append(f.live, {'lo': e.va, 'hi': e.va + e.size, 'seq': e.seq}) END, e.seq,
+    len(list_filter(f.live, lambda x: x.lo <= e.va AND e.va < x.hi)) > 0, CASE WHEN e.kind = 11 THEN list_filter(f.live, lambda x: x.lo = e.va)[1].seq END
+  FROM fold f JOIN ev e ON e.trace_id = f.trace_id AND e.va // 16777216 = f.arena AND e.k = f.k + 1),
+held AS (SELECT e.trace_id, e.seq, e.ts, e.va, e.size, e.heap, e.made, f.held, c.seq AS ends, c.ts AS free_ts FROM ev e JOIN fold f ON f.seq = e.seq AND f.trace_id = e.trace_id LEFT JOIN (SELECT g.trace_id, g.closes, g.seq, t.ts FROM fold g JOIN {tape} t ON t.seq = g.seq WHERE g.closes IS NOT NULL) c ON c.closes = e.seq WHERE e.kind = 12)"""
+_STATES = """found AS (SELECT b.trace_id, b.seq, max(a.va) AS base FROM {tape} b JOIN held a ON NOT a.held AND a.trace_id = b.trace_id AND a.va <= b.va AND b.va < a.va + a.size AND a.seq <= b.seq AND (a.ends IS NULL OR b.seq < a.ends)
+  WHERE b.kind = 7 AND NOT (b.is_system AND b.va = 0) GROUP BY b.trace_id, b.seq),
+steps AS (SELECT t.*, f.base, row_number() OVER (PARTITION BY t.trace_id, t.driver_id ORDER BY t.seq) AS k FROM {tape} t LEFT JOIN found f ON f.trace_id = t.trace_id AND f.seq = t.seq WHERE t.kind IN (1, 7, 13, 15)),
+life AS (SELECT DISTINCT trace_id, driver_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS ts, false AS live, false AS changed, CAST(NULL AS INTEGER) AS resource_type, CAST(NULL AS INTEGER) AS flags, CAST(NULL AS INTEGER) AS create_flags, CAST(NULL AS BIGINT) AS create_ts,
+    CAST(NULL AS BIGINT) AS bind_ts, CAST(NULL AS BIGINT) AS address, CAST(NULL AS BIGINT) AS size, CAST(NULL AS BIGINT) AS base FROM steps
+  UNION ALL SELECT s.trace_id, s.driver_id, s.k, s.seq, s.ts, CASE s.kind WHEN 13 THEN true WHEN 15 THEN false ELSE l.live END,
+    s.kind = 13 OR l.live AND (s.kind <> 7 OR l.base IS NULL OR l.resource_type IN (1, 11, 15)), CASE WHEN s.kind = 13 THEN s.resource_type ELSE l.resource_type END,
+    CASE s.kind WHEN 13 THEN s.usage_flags WHEN 1 THEN s.after ELSE l.flags END, CASE WHEN s.kind = 13 THEN s.create_flags ELSE l.create_flags END,
+    CASE WHEN s.kind = 13 OR s.kind = 7 AND l.base IS NOT NULL AND l.resource_type IN (1, 11, 15) THEN s.ts ELSE l.create_ts END,
+    CASE WHEN s.kind = 13 THEN NULL WHEN s.kind <> 7 OR l.base IS NOT NULL AND l.resource_type NOT IN (1, 11, 15) THEN l.bind_ts WHEN l.base IS NOT NULL AND s.is_system AND s.va = 0 THEN NULL ELSE s.ts END,
+    CASE WHEN s.kind = 13 THEN NULL WHEN s.kind <> 7 OR l.base IS NOT NULL AND l.resource_type NOT IN (1, 11, 15) THEN l.address WHEN l.base IS NOT NULL AND s.is_system AND s.va = 0 THEN NULL ELSE s.va END,
+    CASE WHEN s.kind = 13 THEN NULL WHEN s.kind <> 7 OR l.base IS NOT NULL AND l.resource_type NOT IN (1, 11, 15) THEN l.size WHEN l.base IS NOT NULL AND s.is_system AND s.va = 0 THEN NULL ELSE s.size END,
+    CASE WHEN s.kind = 13 THEN NULL WHEN s.kind <> 7 OR l.base IS NOT NULL AND l.resource_type NOT IN (1, 11, 15) THEN l.base ELSE s.base END
+  FROM life l JOIN steps s ON s.trace_id = l.trace_id AND s.driver_id = l.driver_id AND s.k = l.k + 1),
+states AS (SELECT *, lead(ts) OVER (PARTITION BY trace_id, driver_id ORDER BY seq) AS valid_to FROM life WHERE changed)"""
+
+
+def tape(view) -> DataFrame:
+    return view("tape").withColumn("pref", F.array("heap"))
+
+
+@frame("r01_r02_replayed_allocations", f"WITH RECURSIVE {_SHARED}, {_FOLD} SELECT trace_id, va AS base, size, ts AS valid_from, free_ts AS valid_to FROM held WHERE NOT held")
+def replayed_allocations(view):
+    return replay.allocations(replay.with_shared(tape(view))).select("trace_id", "base", "size", "valid_from", "valid_to")
+
+
+@frame("r01_replayed_rejects", f"WITH RECURSIVE {_SHARED}, {_FOLD} SELECT trace_id, va AS base, size, ts AS valid_from FROM held WHERE made = 0 AND held")
+def replayed_rejects(view):
+    both = replay.with_shared(tape(view))
+    return replay.rejects(both).join(tape(view).where("kind = 12").select("trace_id", "offset"), ["trace_id", "offset"]).select("trace_id", "base", "size", "valid_from")
+
+
+@frame(
+    "r03_r09_replayed_resources",
+    f"""WITH RECURSIVE {_SHARED}, {_FOLD}, {_STATES} SELECT trace_id, driver_id, ts AS valid_from, valid_to, resource_type, CASE resource_type WHEN 1 THEN CASE WHEN flags & 4096 <> 0 THEN 4 ELSE 3 END WHEN 0 THEN 5 WHEN 11 THEN 2 WHEN 15 THEN 9 ELSE 8 END AS usage,
+create_ts, bind_ts, address, size, base FROM states WHERE live""",
+)
+def replayed_resources(view):
+    return replay.spans(tape(view)).drop("create_flags", "alloc_seq")
+
+
+@frame(
+    "r07_r08_heap_changes",
+    f"""WITH RECURSIVE {_SHARED}, {_FOLD}, {_STATES},
+moves AS (SELECT a.trace_id, a.seq, min(s.bind_ts) AS moved FROM states s JOIN {{tape}} b ON b.trace_id = s.trace_id AND b.driver_id = s.driver_id AND b.kind = 7 AND b.ts = s.bind_ts AND b.va = s.address JOIN held a ON NOT a.held AND a.trace_id = s.trace_id AND a.va = s.base AND a.seq <= b.seq AND (a.ends IS NULL OR b.seq < a.ends)
+  WHERE s.live AND s.resource_type = 0 AND (s.create_flags & 64) <> 0 GROUP BY a.trace_id, a.seq),
+a AS (SELECT h.*, CASE WHEN made = 1 THEN 0 ELSE heap END AS first, moved FROM held h LEFT JOIN moves m ON m.trace_id = h.trace_id AND m.seq = h.seq WHERE NOT h.held)
+SELECT trace_id, heap, CAST(sum(delta) AS BIGINT) AS bytes, count(*) AS changes FROM (SELECT trace_id, first AS heap, size AS delta FROM a UNION ALL SELECT trace_id, first, -size FROM a WHERE moved IS NOT NULL UNION ALL SELECT trace_id, 3, size FROM a WHERE moved IS NOT NULL
+  UNION ALL SELECT trace_id, CASE WHEN moved IS NULL THEN first ELSE 3 END, -size FROM a WHERE ends IS NOT NULL) d GROUP BY trace_id, heap""",
+)
+def heap_changes(view):
+    return replay.heap_changes(tape(view)).groupBy("trace_id", "heap").agg(F.sum("delta").alias("bytes"), F.count("*").alias("changes"))
+
+
+@frame(
+    "n01_n05_n07_replayed_names",
+    """SELECT n.trace_id, n.driver_id, c.ts AS create_ts, n.ts - n.delay AS event_time, n.name FROM {tape} n JOIN {tape} c ON c.trace_id = n.trace_id AND c.driver_id = n.driver_id AND c.kind = 13 AND c.resource_type IN (0, 1, 11) AND c.ts <= n.ts - n.delay
+WHERE n.kind = 4 AND n.ts >= n.delay AND NOT EXISTS (SELECT 1 FROM {tape} x WHERE x.trace_id = n.trace_id AND x.driver_id = n.driver_id AND x.kind IN (13, 15) AND x.seq > c.seq AND x.ts <= n.ts - n.delay)""",
+)
+def replayed_names(view):
+    return replay.names(tape(view))
+
+
 # --- aggregates ----------------------------------------------------------------------------
 
 _COUNTS = "SELECT ts, sum(d) AS d FROM (SELECT alloc_ts AS ts, 1 AS d FROM {allocs} UNION ALL SELECT free_ts, -1 FROM {allocs} WHERE free_ts IS NOT NULL) e GROUP BY ts"
