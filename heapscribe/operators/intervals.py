@@ -56,10 +56,70 @@ def cover(df: DataFrame, by: list[str], low: str = "lo", high: str = "hi") -> Da
     return df.alias("d").join(segments.alias("g"), cond).select("d.*", "g._s", "g._e")
 
 
+def topmost(df: DataFrame, by: list[str], order: list[Column], low: str = "lo", high: str = "hi") -> DataFrame:
+    """Of the ranges over each elementary segment the first by `order`: df's columns and _s, _e.
+
+    Ranks come from one window; then one pass over a group's ranges, sorted by their start,
+    holds the open ones in a heap. So n ranges give at most 2n rows and a task's memory is
+    the ranges open at one place, however many lie over each other. Empty ranges only cut
+    segments; ranges without a start or end are left out.
+    """
+    import heapq
+
+    import pyarrow as pa
+
+    ranked = df.where(F.col(low).isNotNull() & F.col(high).isNotNull()).withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    schema = df.withColumns({"_s": F.col(low), "_e": F.col(low)}).schema
+    names = df.columns
+    keys, at_low, at_high = [names.index(b) for b in by], names.index(low), names.index(high)
+
+    def sweep(batches):
+        target, group, place, open_, ends, out = None, None, None, [], [], []
+
+        def advance(to):
+            nonlocal place
+            while ends:
+                while ends and ends[0] <= place:
+                    heapq.heappop(ends)
+                if not ends or to is not None and place >= to:
+                    break
+                stop = ends[0] if to is None else min(ends[0], to)
+                while open_[0][1] <= place:
+                    heapq.heappop(open_)
+                out.append((*open_[0][2], place, stop))
+                place = stop
+
+        def flushed():
+            columns = zip(*out, strict=True) if out else [()] * len(target)
+            batch = pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            fields = [batch.schema.field(n) for n in names]
+            target = pa.schema([*fields, fields[at_low].with_name("_s"), fields[at_low].with_name("_e")])
+            rows = zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names], strict=True)
+            for row, rank in zip(rows, batch.column(batch.schema.get_field_index("_rank")).to_pylist(), strict=True):
+                key = [row[k] for k in keys]
+                if key != group:
+                    advance(None)
+                    group, open_, ends = key, [], []
+                else:
+                    advance(row[at_low])
+                place = row[at_low]
+                heapq.heappush(open_, (rank, row[at_high], row))
+                heapq.heappush(ends, row[at_high])
+            yield flushed()
+        if target is not None:
+            advance(None)
+            yield flushed()
+
+    return ranked.sortWithinPartitions(*by, low).mapInArrow(sweep, schema)
+
+
 def winners(df: DataFrame, by: list[str], order: list[Column], low: str = "lo", high: str = "hi") -> DataFrame:
-    """Of the ranges over each elementary segment the first by `order`, with the segment's width."""
-    ranked = cover(df, by, low, high).withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_s").orderBy(*order)))
-    return ranked.where("_rank = 1").withColumn("width", F.col("_e") - F.col("_s")).drop("_rank", "_s", "_e")
+    """`topmost` with each segment's width."""
+    return topmost(df, by, order, low, high).withColumn("width", F.col("_e") - F.col("_s")).drop("_s", "_e")
 
 
 def step_timeline(deltas: DataFrame, series: str, bucket: int, last: Column | None = None) -> DataFrame:
@@ -92,8 +152,7 @@ def overlap_bytes(ranges: DataFrame, mapped: DataFrame, by: list[str], kind: str
 
 def last_writer(maps: DataFrame, by: list[str]) -> DataFrame:
     """Page-table state from map and unmap events (by, lo, hi, seq, pa, unmap): per elementary range the last event's mapping. Ranges, never pages."""
-    latest = winners(maps, by, [F.col("seq").desc()])
-    return latest.where("NOT unmap")
+    return topmost(maps, by, [F.col("seq").desc()]).where("NOT unmap").withColumn("width", F.col("_e") - F.col("_s"))
 
 
 def lanes(df: DataFrame, by: str) -> DataFrame:

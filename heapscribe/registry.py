@@ -272,10 +272,7 @@ t AS (SELECT alloc_id, s, e, CASE WHEN pa = 0 THEN 'host' WHEN pa + s - lo < 858
 
 def mapped_state(view) -> DataFrame:
     """(alloc_id, lo, hi, store): the latest mapping of each range, by where its physical address lies."""
-    segments = intervals.cover(view("maps"), ["alloc_id"])
-    from pyspark.sql.window import Window
-
-    last = segments.withColumn("_k", F.row_number().over(Window.partitionBy("alloc_id", "_s").orderBy(F.col("seq").desc()))).where("_k = 1 AND NOT unmap")
+    last = intervals.last_writer(view("maps"), ["alloc_id"])
     store = F.expr("CASE WHEN pa = 0 THEN 'host' WHEN pa + _s - lo < 8589934592 THEN 'local' ELSE 'invisible' END")
     return last.select("alloc_id", F.col("_s").alias("lo"), F.col("_e").alias("hi"), store.alias("store"))
 

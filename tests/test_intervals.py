@@ -86,6 +86,19 @@ def test_step_timeline_fills_forward(spark):
     assert [got[0, b] for b in range(4)] == [8192] * 4 and [got[1, b] for b in range(4)] == [0, 4096, 4096, 4096]
 
 
+def test_many_ranges_over_each_other(spark):
+    """Work follows the ranges, not their pairs: 20,000 nested ones in one group; empty ranges cut, null ends are left out."""
+    n = 20_000
+    nested = spark.range(n).selectExpr("1L AS g", "id", "id AS lo", f"{2 * n}L - id AS hi")
+    got = intervals.topmost(nested, ["g"], [F.col("id").desc()])
+    assert got.count() == 2 * n - 1
+    assert got.where("_s < lo OR _e > hi").count() == 0 and got.agg(F.sum(F.col("_e") - F.col("_s"))).first()[0] == 2 * n
+    odd = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 4, 4), (1, 3, 2, None), (None, 4, 0, 3), (None, 5, 1, 2), (None, 6, 5, 6)], "g long, id long, lo long, hi long")
+    rows = [(r.g, r.id, r._s, r._e) for r in intervals.topmost(odd, ["g"], [F.col("id").desc()]).collect()]
+    assert sorted(rows, key=str) == sorted([(1, 1, 0, 4), (1, 1, 4, 10), (None, 4, 0, 1), (None, 5, 1, 2), (None, 4, 2, 3), (None, 6, 5, 6)], key=str)
+    assert intervals.topmost(odd.limit(0), ["g"], [F.col("id")]).count() == 0
+
+
 def test_last_writer(spark):
     df = spark.createDataFrame([(1, 0, 10, 1, 100, False), (1, 5, 15, 2, 200, False), (1, 7, 8, 3, 0, True)], "g long, lo long, hi long, seq long, pa long, unmap boolean")
     got = sorted((r.pa, r.width) for r in intervals.last_writer(df, ["g"]).collect())
