@@ -466,6 +466,24 @@ sql(
     f"""SELECT coalesce(b.heap, d.heap) AS heap, coalesce(d.n, 0) - coalesce(b.n, 0) AS allocations, coalesce(d.s, 0) - coalesce(b.s, 0) AS bytes FROM (SELECT heap, count(*) AS n, CAST(sum(size) AS BIGINT) AS s FROM {at(BEFORE)} x GROUP BY heap) b
 FULL OUTER JOIN (SELECT heap, count(*) AS n, CAST(sum(size) AS BIGINT) AS s FROM {at(AFTER)} x GROUP BY heap) d ON b.heap = d.heap""",
 )
+
+
+def _heaps(t: int) -> str:
+    return f"SELECT heap, count(*) AS n, CAST(sum(size) AS BIGINT) AS s FROM {at(t)} x GROUP BY heap"
+
+
+def heap_delta(base: DataFrame, diff: DataFrame) -> DataFrame:
+    """What changed per heap from base to diff; swapping the two swaps the signs."""
+    both = base.alias("b").join(diff.alias("d"), "heap", "full")
+    change = lambda c: F.coalesce(F.col(f"d.{c}"), F.lit(0)) - F.coalesce(F.col(f"b.{c}"), F.lit(0))
+    return both.select("heap", change("n").alias("allocations"), change("s").alias("bytes"))
+
+
+@frame("u07_swapped_heap_delta", f"SELECT heap, CAST(sum(n) AS BIGINT) AS allocations, CAST(sum(s) AS BIGINT) AS bytes FROM ({_heaps(BEFORE)} UNION ALL SELECT heap, -n, -s FROM ({_heaps(AFTER)}) y) t GROUP BY heap")
+def swapped_heap_delta(view):
+    return heap_delta(base=view(_heaps(AFTER)), diff=view(_heaps(BEFORE)))
+
+
 sql(
     "a23_leak_statistics",
     f"""SELECT compare_id, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT CASE WHEN b.res_id IS NOT NULL AND d.res_id IS NOT NULL THEN 1 WHEN b.res_id IS NOT NULL THEN 2 ELSE 4 END AS compare_id, coalesce(d.rsize, b.rsize) AS bytes
@@ -622,6 +640,14 @@ def texts(view):
     return view("allocs").select("alloc_id", scalars.memory_text(v).alias("memory"), scalars.hex_text(F.col("base")).alias("address"), F.format_number("base", 0).alias("plain"))
 
 
+_MEMORY = "CASE WHEN {0} < 1024 THEN format('{{:,}}', {0}) || ' bytes' WHEN {0} < 1048576 THEN format('{{:,.2f}}', {0} / 1024.0) || ' KiB' ELSE format('{{:,.2f}}', {0} / 1048576.0) || ' MiB' END"
+
+
+@frame("p18_size_ranges", f"SELECT alloc_id, {_MEMORY.format('lo')} || ' - ' || coalesce({_MEMORY.format('hi')}, '∞') AS text FROM (SELECT alloc_id, alloc_id % 2048 AS lo, CASE WHEN alloc_id % 4 <> 0 THEN size END AS hi FROM {{allocs}}) t")
+def size_ranges(view):
+    return view("allocs").select("alloc_id", scalars.range_text(F.col("alloc_id") % 2048, F.when(F.col("alloc_id") % 4 != 0, F.col("size"))).alias("text"))
+
+
 @frame("p17_hash_text", "SELECT alloc_id, CASE WHEN h = 0 AND l = 0 THEN 'N/A' WHEN h = 0 THEN '0x' || lower(to_hex(l)) ELSE '0x' || lower(to_hex(h)) || lpad(lower(to_hex(l)), 16, '0') END AS hash FROM (SELECT alloc_id, alloc_id % 3 AS h, alloc_id % 5 * 1000 AS l FROM {allocs}) t")
 def hash_text(view):
     return view("allocs").select("alloc_id", scalars.hash128_text(F.col("alloc_id") % 3, F.col("alloc_id") % 5 * 1000).alias("hash"))
