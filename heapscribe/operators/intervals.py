@@ -122,16 +122,21 @@ def winners(df: DataFrame, by: list[str], order: list[Column], low: str = "lo",
     return topmost(df, by, order, low, high).withColumn("width", F.col("_e") - F.col("_s")).drop("_s", "_e")
 
 
-def step_timeline(deltas: DataFrame, series: str, bucket: int, last: Column | None = None) -> DataFrame:
+def step_timeline(deltas: DataFrame, series: str, bucket: int) -> DataFrame:
     """(bucket, series, value) for all buckets from 0 to the last and all series, from rows (ts, series, delta).
 
-    Deltas are summed for each bucket before anything is ordered, so a window holds one row for each bucket of a series.
+    Deltas are summed for each bucket before anything is ordered, so a window holds one row for each
+    bucket that changes; the stretch from a change to the next one is filled in from its row alone.
+    Rows without a time count nowhere, those before time 0 in bucket 0.
     """
-    summed = deltas.groupBy(F.floor(F.col("ts") / bucket).cast("long").alias("bucket"), series).agg(F.sum("delta").alias("delta"))
-    end = deltas.agg(F.floor(F.max("ts") / bucket).cast("long").alias("_last"))
-    grid = deltas.select(series).distinct().crossJoin(F.broadcast(end)).select(series, F.explode(F.sequence(F.lit(0).cast("long"), "_last")).alias("bucket"))
-    w = Window.partitionBy(series).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.join(summed, ["bucket", series], "left").select("bucket", series, F.sum(F.coalesce("delta", F.lit(0))).over(w).alias("value"))
+    timed = deltas.where("ts IS NOT NULL").select(F.greatest(F.floor(F.col("ts") / bucket).cast("long"), F.lit(0)).alias("bucket"), series, "delta")
+    end = F.broadcast(timed.agg(F.max("bucket").alias("_last")))  # one row
+    order = Window.partitionBy(series).orderBy("bucket")
+    steps = timed.groupBy("bucket", series).agg(F.sum("delta").alias("delta"))
+    steps = steps.select("bucket", series, F.sum("delta").over(order).alias("_run"), F.lead("bucket").over(order).alias("_next"), (F.row_number().over(order) == 1).alias("_first"))
+    stretch = F.expr("explode(sequence(if(_first, 0L, bucket), coalesce(_next - 1, _last)))").alias("_at")
+    filled = steps.crossJoin(end).select("bucket", series, "_run", stretch)
+    return filled.select(F.col("_at").alias("bucket"), series, F.when(F.col("_at") >= F.col("bucket"), F.col("_run")).otherwise(0).alias("value"))
 
 
 def top_and_other(df: DataFrame, by: list[str], name: str, value: str, k: int, other: str = "Other") -> DataFrame:

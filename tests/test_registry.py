@@ -43,6 +43,12 @@ def test_query_without_sql(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_timeline_fills_from_time_zero(spark):
+    rows = "SELECT CAST(1 AS BIGINT) AS ts, CAST(NULL AS STRING) AS s, 5 AS delta UNION ALL SELECT 9, NULL, -2 UNION ALL SELECT 6, 'a', 1 UNION ALL SELECT NULL, 'a', 7"
+    got = {(r.bucket, r.s, r.value) for r in registry.intervals.step_timeline(spark.sql(rows), "s", 3).collect()}
+    assert got == {(0, None, 5), (1, None, 5), (2, None, 5), (3, None, 3), (0, "a", 0), (1, "a", 0), (2, "a", 1), (3, "a", 1)}
+
+
 def test_flagship_equals_snapshot(spark):
     """The timeline at the end of a bucket is the state at that time."""
     line = registry.flagship(spark, DATA)
