@@ -94,12 +94,23 @@ def subscription(requested: Column, size: Column) -> Column:
 
 
 def device_id(device: Column, revision: Column) -> Column:
-    return F.hex(F.shiftleft(device.bitwiseAND(0xFFFF), 8).bitwiseOR(revision.bitwiseAND(0xFF)).cast("long"))
+    """Upper-case hexadecimal of at least six digits."""
+    text = F.hex(F.shiftleft(device.bitwiseAND(0xFFFF), 8).bitwiseOR(revision.bitwiseAND(0xFF)).cast("long"))
+    return F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text)
+
+
+def bandwidth_bytes(megabytes: Column) -> Column:
+    return megabytes.cast("long") * F.lit(1 << 20)
+
+
+def name_key(resource: Column, correlation: Column) -> Column:
+    """One key of a resource's number and its correlation's; null is unknown and takes the other's value. Both unknown give null."""
+    low, high = F.coalesce(resource, correlation), F.coalesce(correlation, resource)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(0xFFFFFFFF))
 
 
 def swizzle_text(*channels: Column) -> Column:
-    names = ("0", "1", "R", "G", "B", "A")
-    return F.concat(*[enums.named(c, names, "?") for c in channels])
+    return F.concat(*[enums.named(c, enums.SWIZZLES) for c in channels])
 
 
 def radices(address: Column) -> list[Column]:

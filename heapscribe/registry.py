@@ -270,9 +270,9 @@ c AS (SELECT m.alloc_id, m.s, m.e, x.pa, x.unmap, x.lo, row_number() OVER (PARTI
 t AS (SELECT alloc_id, s, e, CASE WHEN pa = 0 THEN 'host' WHEN pa + s - lo < 8589934592 THEN 'local' ELSE 'invisible' END AS store FROM c WHERE k = 1 AND NOT unmap)"""
 
 
-def mapped_state(view) -> DataFrame:
+def mapped_state(view, maps: str = "maps") -> DataFrame:
     """(alloc_id, lo, hi, store): the latest mapping of each range, by where its physical address lies."""
-    last = intervals.last_writer(view("maps"), ["alloc_id"])
+    last = intervals.last_writer(view(maps), ["alloc_id"])
     store = F.expr("CASE WHEN pa = 0 THEN 'host' WHEN pa + _s - lo < 8589934592 THEN 'local' ELSE 'invisible' END")
     return last.select("alloc_id", F.col("_s").alias("lo"), F.col("_e").alias("hi"), store.alias("store"))
 
@@ -441,47 +441,107 @@ SELECT {_PROFILE}, (SELECT CAST(most AS BIGINT) FROM live) AS max_live""",
 )
 sql("a02_a10_bytes_per_heap", f"SELECT heap, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS n FROM {at(NOW)} a GROUP BY heap")
 sql("a09_resources_per_usage", f"SELECT usage, count(*) AS n FROM {at(NOW, 'res')} r GROUP BY usage")
-sql(
+def heap_state(view, t: int) -> DataFrame:
+    """Per preferred heap at t: allocations, their resources, bytes, and how many of these are bound; resources that are heaps bind none."""
+    bound = intervals.islands(view(f"SELECT alloc_id, off AS lo, off + rsize AS hi FROM {at(t, 'res')} r WHERE usage <> 2"), ["alloc_id"])
+    bound = bound.groupBy("alloc_id").agg(F.sum(F.col("hi") - F.col("lo")).alias("bound"))
+    held = view(f"SELECT alloc_id, count(*) AS n, count_if(usage <> 2) AS n_bound FROM {at(t, 'res')} r GROUP BY alloc_id")
+    live = view(f"SELECT alloc_id, heap, size FROM {at(t)} a").join(bound, "alloc_id", "left").join(held, "alloc_id", "left").fillna(0)
+    return live.groupBy("heap").agg(
+        F.count("*").alias("allocations"), F.sum("n").alias("resources"), F.sum("n_bound").alias("non_heap_resources"), F.sum("size").alias("bytes"), F.sum("bound").alias("bound"), F.sum(F.col("size") - F.col("bound")).alias("unbound"), F.min("size").alias("least"), F.max("size").alias("most")
+    )
+
+
+def _heap_state(t: int) -> str:
+    """The same: bound are the stretches between ends of ranges that some range spans."""
+    r = at(t, "res")
+    return f"""(SELECT a.heap, count(*) AS allocations, CAST(sum(coalesce(k.n, 0)) AS BIGINT) AS resources, CAST(sum(coalesce(k.n_bound, 0)) AS BIGINT) AS non_heap_resources, CAST(sum(a.size) AS BIGINT) AS bytes,
+  CAST(sum(coalesce(b.bound, 0)) AS BIGINT) AS bound, CAST(sum(a.size - coalesce(b.bound, 0)) AS BIGINT) AS unbound, min(a.size) AS least, max(a.size) AS most
+FROM {at(t)} a LEFT JOIN (SELECT alloc_id, count(*) AS n, count(*) FILTER (WHERE usage <> 2) AS n_bound FROM {r} x GROUP BY alloc_id) k ON k.alloc_id = a.alloc_id
+LEFT JOIN (SELECT alloc_id, sum(width) AS bound FROM (SELECT DISTINCT g.alloc_id, g.s, g.e - g.s AS width
+  FROM (SELECT alloc_id, p AS s, lead(p) OVER (PARTITION BY alloc_id ORDER BY p) AS e FROM (SELECT alloc_id, off AS p FROM {r} x WHERE usage <> 2 UNION SELECT alloc_id, off + rsize FROM {r} y WHERE usage <> 2) q) g
+  JOIN {r} z ON z.usage <> 2 AND z.alloc_id = g.alloc_id AND z.off <= g.s AND z.off + z.rsize >= g.e) d GROUP BY alloc_id) b ON b.alloc_id = a.alloc_id GROUP BY a.heap)"""
+
+
+#: Mappings that a snapshot knows of: those made until then for allocations that live.
+_MAPS_NOW = f"SELECT m.* FROM {{maps}} m JOIN {at(NOW)} a ON a.alloc_id = m.alloc_id WHERE m.bind_ts <= {NOW}"
+_STATE_NOW = f"WITH snap AS ({_MAPS_NOW}), " + _STATE.replace("{maps}", "snap")[5:]
+_STORE_HEAP = "CASE store WHEN 'local' THEN 0 WHEN 'invisible' THEN 1 ELSE 2 END"
+_COMMITTED = f"SELECT heap, CAST(sum(CASE WHEN unmap THEN lo - hi ELSE hi - lo END) AS BIGINT) AS committed FROM {{maps}} WHERE pa <> 0 AND bind_ts <= {NOW} GROUP BY heap"
+
+
+@frame(
     "a13_p33_segment_status",
-    f"""SELECT a.heap, count(*) AS allocations, CAST(sum(a.size) AS BIGINT) AS requested, min(a.size) AS least, max(a.size) AS most, CAST(sum(a.size) AS BIGINT) // count(*) AS mean, CAST(sum(coalesce(r.n, 0)) AS BIGINT) AS resources,
-CASE WHEN sum(a.size) > 4294967296 THEN 'Over' WHEN sum(a.size) > 3435973836 THEN 'Close' ELSE 'Under' END AS subscription
-FROM {at(NOW)} a LEFT JOIN (SELECT alloc_id, count(*) AS n FROM {{res}} WHERE usage <> 2 GROUP BY alloc_id) r ON r.alloc_id = a.alloc_id GROUP BY a.heap""",
+    _STATE_NOW + f""" SELECT h.heap, allocations, bytes AS requested, least, most, bytes // allocations AS mean, non_heap_resources AS resources, bound, coalesce(p.physical, 0) AS physical, coalesce(k.committed, 0) AS committed,
+CASE WHEN bytes > coalesce(g.hi - g.lo, 4294967296) THEN 'Over' WHEN bytes > coalesce(g.hi - g.lo, 4294967296) * 8 // 10 THEN 'Close' ELSE 'Under' END AS subscription
+FROM {_heap_state(NOW)} h LEFT JOIN (SELECT {_STORE_HEAP} AS heap, CAST(sum(e - s) AS BIGINT) AS physical FROM t GROUP BY 1) p ON p.heap = h.heap LEFT JOIN ({_COMMITTED}) k ON k.heap = h.heap LEFT JOIN {{segments}} g ON g.heap = h.heap""",
 )
+def segment_status(view):
+    """Heaps without a segment of their own have the 4 GiB of the others."""
+    physical = mapped_state(view, _MAPS_NOW).groupBy(F.expr(_STORE_HEAP).alias("heap")).agg(F.sum(F.col("hi") - F.col("lo")).alias("physical"))
+    segments = view("SELECT heap, hi - lo AS whole FROM {segments}")
+    rows = heap_state(view, NOW).join(physical, "heap", "left").join(view(_COMMITTED), "heap", "left").join(segments, "heap", "left")
+    status = scalars.subscription(F.col("bytes"), F.coalesce("whole", F.lit(1 << 32)))
+    return rows.select("heap", "allocations", F.col("bytes").alias("requested"), "least", "most", F.expr("bytes div allocations").alias("mean"), F.col("non_heap_resources").alias("resources"), "bound", F.coalesce("physical", F.lit(0)).alias("physical"), F.coalesce("committed", F.lit(0)).alias("committed"), status.alias("subscription"))
+
+
+@frame(
+    "a13_usage_bytes_per_segment",
+    _STATE_NOW + f""" SELECT {_STORE_HEAP} AS heap, usage, CAST(sum(least(r.off + r.rsize, t.e) - greatest(r.off, t.s)) AS BIGINT) AS bytes
+FROM {at(NOW, 'res')} r JOIN t ON t.alloc_id = r.alloc_id AND r.off < t.e AND t.s < r.off + r.rsize WHERE r.usage <> 2 GROUP BY 1, 2""",
+)
+def usage_bytes(view):
+    ranges = view(f"SELECT alloc_id, usage, off AS lo, off + rsize AS hi FROM {at(NOW, 'res')} r WHERE usage <> 2")
+    under = intervals.overlap_bytes(ranges, mapped_state(view, _MAPS_NOW), ["alloc_id"], "store")
+    return under.groupBy(F.expr(_STORE_HEAP).alias("heap"), "usage").agg(F.sum("bytes").alias("bytes"))
+
+
 sql(
     "a18_r25_summary",
     f"SELECT coalesce(min(base), 0) AS min_va, coalesce(max(base + size), 0) AS max_va, coalesce(min(alloc_ts), 0) AS first_ts, coalesce(max(alloc_ts), 0) AS last_ts, coalesce(min(size), 0) AS least, coalesce(max(size), 0) AS most FROM {at(NOW)} a",
 )
-sql(
+_POINT = ("allocations", "resources", "total", "bound", "unbound", "committed_local", "committed_invisible", "committed_host")
+
+
+@frame(
     "a19_r27_a25_snapshot_point",
-    f"SELECT (SELECT count(*) FROM {at(NOW)} a) AS allocations, (SELECT count(*) FROM {at(NOW, 'res')} r) AS resources, (SELECT CAST(sum(size) AS BIGINT) FROM {at(NOW)} b) AS total",
+    f"SELECT (SELECT count(*) FROM {at(NOW)} a) AS allocations, (SELECT count(*) FROM {at(NOW, 'res')} r) AS resources, (SELECT CAST(sum(size) AS BIGINT) FROM {at(NOW)} b) AS total, (SELECT CAST(sum(bound) AS BIGINT) FROM {_heap_state(NOW)} h) AS bound, (SELECT CAST(sum(unbound) AS BIGINT) FROM {_heap_state(NOW)} h) AS unbound, "
+    + ", ".join(f"(SELECT CAST(coalesce(sum(committed), 0) AS BIGINT) FROM ({_COMMITTED}) k WHERE heap = {h}) AS committed_{n}" for h, n in enumerate(("local", "invisible", "host"))),
 )
+def snapshot_point(view):
+    """One row, from a few rows of each heap."""
+    heaps = heap_state(view, NOW).withColumnRenamed("bytes", "total").select(*_POINT[:5])
+    committed = view(_COMMITTED).select(*[F.when(F.col("heap") == h, F.col("committed")).alias(f"committed_{n}") for h, n in enumerate(("local", "invisible", "host"))])
+    return heaps.unionByName(committed, allowMissingColumns=True).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _POINT])
+
+
 sql("a20_p12_size_histogram", f"SELECT CASE WHEN s >> 19 > 0 THEN least(CAST(floor(log2(CAST(s >> 19 AS DOUBLE))) AS INT), 11) ELSE 0 END AS bucket, count(*) AS n FROM (SELECT size * 64 AS s FROM {at(NOW)} a) t GROUP BY 1")
 sql(
     "a21_carousel_delta",
     f"""SELECT coalesce(b.usage, d.usage) AS usage, coalesce(d.n, 0) - coalesce(b.n, 0) AS change FROM (SELECT usage, count(*) AS n FROM {at(BEFORE, "res")} x GROUP BY usage) b
 FULL OUTER JOIN (SELECT usage, count(*) AS n FROM {at(AFTER, "res")} x GROUP BY usage) d ON b.usage = d.usage""",
 )
-sql(
-    "a22_heap_delta",
-    f"""SELECT coalesce(b.heap, d.heap) AS heap, coalesce(d.n, 0) - coalesce(b.n, 0) AS allocations, coalesce(d.s, 0) - coalesce(b.s, 0) AS bytes FROM (SELECT heap, count(*) AS n, CAST(sum(size) AS BIGINT) AS s FROM {at(BEFORE)} x GROUP BY heap) b
-FULL OUTER JOIN (SELECT heap, count(*) AS n, CAST(sum(size) AS BIGINT) AS s FROM {at(AFTER)} x GROUP BY heap) d ON b.heap = d.heap""",
-)
-
-
-def _heaps(t: int) -> str:
-    return f"SELECT heap, count(*) AS n, CAST(sum(size) AS BIGINT) AS s FROM {at(t)} x GROUP BY heap"
+_HEAP_METRICS = ("allocations", "resources", "bytes", "bound", "unbound")
 
 
 def heap_delta(base: DataFrame, diff: DataFrame) -> DataFrame:
     """What changed per heap from base to diff; swapping the two swaps the signs."""
-    both = base.alias("b").join(diff.alias("d"), "heap", "full")
-    change = lambda c: F.coalesce(F.col(f"d.{c}"), F.lit(0)) - F.coalesce(F.col(f"b.{c}"), F.lit(0))
-    return both.select("heap", change("n").alias("allocations"), change("s").alias("bytes"))
+    signed = [df.select("heap", *[(F.col(c) * sign).alias(c) for c in _HEAP_METRICS]) for df, sign in ((base, -1), (diff, 1))]
+    return signed[0].union(signed[1]).groupBy("heap").agg(*[F.sum(c).alias(c) for c in _HEAP_METRICS])
 
 
-@frame("u07_swapped_heap_delta", f"SELECT heap, CAST(sum(n) AS BIGINT) AS allocations, CAST(sum(s) AS BIGINT) AS bytes FROM ({_heaps(BEFORE)} UNION ALL SELECT heap, -n, -s FROM ({_heaps(AFTER)}) y) t GROUP BY heap")
+def _heap_delta(base: int, diff: int) -> str:
+    return f"SELECT coalesce(b.heap, d.heap) AS heap, {', '.join(f'coalesce(d.{c}, 0) - coalesce(b.{c}, 0) AS {c}' for c in _HEAP_METRICS)} FROM {_heap_state(base)} b FULL OUTER JOIN {_heap_state(diff)} d ON b.heap = d.heap"
+
+
+@frame("a22_heap_delta", _heap_delta(BEFORE, AFTER))
+def heap_changes_between(view):
+    return heap_delta(base=heap_state(view, BEFORE), diff=heap_state(view, AFTER))
+
+
+@frame("u07_swapped_heap_delta", _heap_delta(AFTER, BEFORE))
 def swapped_heap_delta(view):
-    return heap_delta(base=view(_heaps(AFTER)), diff=view(_heaps(BEFORE)))
+    return heap_delta(base=heap_state(view, AFTER), diff=heap_state(view, BEFORE))
 
 
 sql(
@@ -504,6 +564,56 @@ sql(
     ),
 )
 
+#: What a treemap nests: resources by their adjusted size, and what allocations have unbound as rows of usage 1 without a resource's own keys.
+_TREE_KEYS = {"heap_commit_usage": ("heap", "commit_type", "usage"), "ages_owner": ("alloc_age", "bind_age", "owner"), "mapped_preferred": ("cpu_mapped", "preferred", "heap")}
+
+
+def _tree_boxes(view) -> DataFrame:
+    ranges = view(f"SELECT alloc_id, res_id, usage, rsize, off AS lo, off + rsize AS hi FROM {at(NOW, 'res')} r WHERE usage <> 2")
+    sizes = intervals.winners(ranges, ["alloc_id"], [F.col("usage").desc(), F.col("rsize"), F.col("res_id").desc()]).groupBy("res_id").agg(F.sum("width").alias("bytes"))
+    live = view(f"SELECT alloc_id, heap, owner, size, alloc_ts FROM {at(NOW)} a")
+    ends = live.agg(F.min("alloc_ts").alias("lo"), F.max("alloc_ts").alias("hi"))
+    mapped = view(f"SELECT DISTINCT pid AS alloc_id, true AS cpu_mapped FROM {{toks}} WHERE kind = 10 AND ts <= {NOW}")
+    allocs = live.crossJoin(F.broadcast(ends)).select("alloc_id", "heap", "owner", "size", scalars.age_bucket(F.col("alloc_ts"), F.col("lo"), F.col("hi")).alias("alloc_age"))  # ends: one row
+    allocs = allocs.join(mapped, "alloc_id", "left").withColumn("cpu_mapped", F.coalesce("cpu_mapped", F.lit(False)))
+    res = view(f"SELECT alloc_id, res_id, usage, bind_ts, count(*) OVER (PARTITION BY alloc_id) AS n FROM {at(NOW, 'res')} r WHERE usage <> 2")
+    bound = res.crossJoin(F.broadcast(res.agg(F.min("bind_ts").alias("lo"), F.max("bind_ts").alias("hi"))))
+    bound = bound.select("alloc_id", "res_id", "usage", scalars.age_bucket(F.col("bind_ts"), F.col("lo"), F.col("hi")).alias("bind_age"), F.when(F.col("n") == 1, "COMMITTED").otherwise("PLACED").alias("commit_type"))
+    preferred = view(f"SELECT res_id, {_PREFERRED} AS preferred FROM {{maps}}")
+    boxes = bound.join(sizes, "res_id", "left").join(preferred, "res_id", "left").join(allocs, "alloc_id")
+    keys = ["usage", "heap", "owner", "alloc_age", "cpu_mapped", "bind_age", "commit_type", "preferred"]
+    gaps = intervals.gaps(intervals.islands(ranges, ["alloc_id"]), live, ["alloc_id"], "size").join(allocs, "alloc_id").select(F.lit(1).alias("usage"), *keys[1:5], (F.col("hi") - F.col("lo")).alias("bytes"))
+    return boxes.select(*keys, F.coalesce("bytes", F.lit(0)).alias("bytes")).unionByName(gaps, allowMissingColumns=True)
+
+
+def _tree_age(ts: str, rows: str) -> str:
+    w = f"((SELECT max({ts}) FROM {rows} x) - (SELECT min({ts}) FROM {rows} x)) // 10"
+    return f"CAST(CASE WHEN {w} = 0 THEN -1 ELSE least(greatest(({ts} - (SELECT min({ts}) FROM {rows} x)) // nullif({w}, 0), 0), 9) END AS INTEGER)"
+
+
+_TREE_SQL = f"""r AS (SELECT * FROM {at(NOW, 'res')} q WHERE usage <> 2),
+segs AS (SELECT * FROM (SELECT alloc_id, p AS s, lead(p) OVER (PARTITION BY alloc_id ORDER BY p) AS e FROM (SELECT alloc_id, off AS p FROM r UNION SELECT alloc_id, off + rsize FROM r UNION SELECT alloc_id, 0 FROM {at(NOW)} x UNION SELECT alloc_id, size FROM {at(NOW)} y) q) z WHERE e IS NOT NULL),
+over_segs AS (SELECT g.alloc_id, g.e - g.s AS width, r.res_id, row_number() OVER (PARTITION BY g.alloc_id, g.s ORDER BY r.usage DESC, r.rsize, r.res_id DESC) AS k FROM segs g LEFT JOIN r ON r.alloc_id = g.alloc_id AND r.off <= g.s AND r.off + r.rsize >= g.e),
+sizes AS (SELECT res_id, sum(width) AS bytes FROM over_segs WHERE k = 1 AND res_id IS NOT NULL GROUP BY res_id),
+al AS (SELECT *, {_tree_age('alloc_ts', at(NOW))} AS alloc_age, alloc_id IN (SELECT pid FROM {{toks}} WHERE kind = 10 AND ts <= {NOW}) AS cpu_mapped FROM {at(NOW)} a),
+boxes AS (SELECT r.usage, al.heap, al.owner, al.alloc_age, al.cpu_mapped, {_tree_age('bind_ts', 'r')} AS bind_age, CASE WHEN n.n = 1 THEN 'COMMITTED' ELSE 'PLACED' END AS commit_type, m.preferred, coalesce(sizes.bytes, 0) AS bytes
+  FROM r JOIN al ON al.alloc_id = r.alloc_id JOIN (SELECT alloc_id, count(*) AS n FROM r GROUP BY alloc_id) n ON n.alloc_id = r.alloc_id LEFT JOIN sizes ON sizes.res_id = r.res_id LEFT JOIN (SELECT res_id, {_PREFERRED} AS preferred FROM {{maps}}) m ON m.res_id = r.res_id
+  UNION ALL SELECT 1, heap, owner, alloc_age, cpu_mapped, NULL, NULL, NULL, width FROM (SELECT alloc_id, sum(width) AS width FROM over_segs WHERE res_id IS NULL GROUP BY alloc_id) g JOIN al ON al.alloc_id = g.alloc_id)"""
+
+
+def _register_tree(name: str, keys: tuple[str, ...]) -> None:
+    levels = " UNION ALL ".join(f"SELECT {', '.join(k if i < depth else f'NULL AS {k}' for i, k in enumerate(keys))}, {depth} AS depth, CAST(sum(bytes) AS BIGINT) AS bytes FROM boxes {'GROUP BY ' + ', '.join(keys[:depth]) if depth else ''}" for depth in range(len(keys) + 1))
+
+    @frame(f"a27_a28_treemap_{name}", f"WITH {_TREE_SQL} {levels}")
+    def tree(view):
+        # A level's number is that of its keys; grouping_id has a bit for each key that is not one.
+        depth = F.lit(len(keys)) - F.expr("bit_count(grouping_id())").cast("int")
+        return _tree_boxes(view).rollup(*keys).agg(depth.alias("depth"), F.sum("bytes").alias("bytes"))
+
+
+for _name, _keys in _TREE_KEYS.items():
+    _register_tree(_name, _keys)
+
 # --- filters -------------------------------------------------------------------------------
 
 sql("f01_f09_size_between", "SELECT alloc_id, size FROM {allocs} WHERE size BETWEEN 65536 AND 524288")
@@ -662,7 +772,7 @@ def labels(view):
     return rows.select("res_id", enums.named(F.col("usage"), enums.USAGES).alias("usage_name"), enums.named(F.col("heap"), enums.HEAPS).alias("heap_name"), enums.named(F.col("owner"), enums.OWNERS).alias("owner_name"), enums.named(F.col("res_id") % 12, enums.MEMORY_TYPES).alias("memory_type"), enums.named(F.col("res_id") % 18, enums.RESOURCE_TYPES).alias("type_name"))
 
 
-@frame("p26_swizzle", f"SELECT res_id, {_case('res_id % 6', ('0', '1', 'R', 'G', 'B', 'A'))} || {_case('res_id % 5', ('0', '1', 'R', 'G', 'B', 'A'))} AS swizzle FROM {{res}}")
+@frame("p26_swizzle", f"SELECT res_id, {_case('res_id % 6', enums.SWIZZLES)} || {_case('res_id % 5', enums.SWIZZLES)} AS swizzle FROM {{res}}")
 def swizzle(view):
     return view("res").select("res_id", scalars.swizzle_text(F.col("res_id") % 6, F.col("res_id") % 5).alias("swizzle"))
 
@@ -672,6 +782,44 @@ def device(view):
     return view("allocs").select("alloc_id", scalars.device_id((F.lit(29000) + F.col("alloc_id") % 100).cast("int"), (F.col("alloc_id") % 256).cast("int")).alias("device"))
 
 
+#: Codes of images and flag words as the numbers of resources give them, past the end of each table too.
+_NAMED = {"format": ("res_id % 192", enums.FORMATS), "image_type": ("res_id % 4", enums.IMAGE_TYPES), "tiling": ("res_id // 4 % 4", enums.TILINGS), "tiling_mode": ("res_id // 16 % 4", enums.TILING_MODES), "page_size": ("res_id % 7", enums.PAGE_SIZE_NAMES), "commit": ("res_id % 4", enums.COMMITS), "misc": ("res_id % 8", enums.MISC), "process_event": ("res_id % 3", enums.PROCESS_EVENTS), "table_update": ("res_id % 5", enums.TABLE_UPDATES), "token": ("res_id % 17", enums.TOKENS)}
+_FLAGS = {"image_creation": enums.IMAGE_CREATION, "image_usage": enums.IMAGE_USAGE, "buffer_creation": enums.BUFFER_CREATION, "buffer_usage": enums.BUFFER_USAGE, "gpu_event": enums.GPU_EVENT, "pipeline_creation": enums.PIPELINE_CREATION, "command_allocator": enums.COMMAND_ALLOCATOR, "pipeline_stages": enums.PIPELINE_STAGES}
+
+
+@frame("p24_enum_names", f"SELECT res_id, {', '.join(f'{_case(code, names)} AS {n}_name' for n, (code, names) in _NAMED.items())} FROM {{res}}")
+def enum_names(view):
+    return view("res").select("res_id", *[enums.named(F.expr(code.replace("//", "div")), names).alias(f"{n}_name") for n, (code, names) in _NAMED.items()])
+
+
+@frame(
+    "p25_flag_families",  # the word of a family has only bits that it names
+    "SELECT res_id, " + ", ".join(f"coalesce(nullif((SELECT string_agg(n, ' | ' ORDER BY k) || ' (' || w || ')' FROM (SELECT unnest({list(names)}) AS n, unnest(range({len(names)})) AS k, (res_id * 7919) % {1 << len(names)} AS w) b WHERE (w >> k) & 1 = 1 GROUP BY w), ''), 'None') AS {f}" for f, names in _FLAGS.items()) + " FROM {res}",
+)
+def flag_families(view):
+    return view("res").select("res_id", *[scalars.flags_text(F.expr(f"(res_id * 7919) % {1 << len(names)}"), names).alias(f) for f, names in _FLAGS.items()])
+
+
+@frame("p31_name_key", "SELECT res_id, (coalesce(c, r) << 32) | (coalesce(r, c) % 4294967296) AS key FROM (SELECT res_id, CASE WHEN res_id % 3 <> 0 THEN res_id END AS r, CASE WHEN res_id % 5 <> 0 THEN res_id // 7 END AS c FROM {res}) t")
+def name_key(view):
+    rows = view("SELECT res_id, CASE WHEN res_id % 3 <> 0 THEN res_id END AS r, CASE WHEN res_id % 5 <> 0 THEN res_id // 7 END AS c FROM {res}")
+    return rows.select("res_id", scalars.name_key(F.col("r"), F.col("c")).alias("key"))
+
+
+_TAPE_EVENTS = {4: "name", 7: "bind", 11: "free", 12: "allocate", 13: "create", 15: "destroy"}
+
+
+@frame(
+    "p37_event_classes",
+    f"""SELECT e.seq, e.event, x.class, x.shape FROM (SELECT seq, {_case('kind', _TAPE_EVENTS)} AS event FROM {{tape}} WHERE kind IN (4, 7, 11, 12, 13, 15) UNION ALL SELECT seq, CASE kind WHEN 6 THEN 'resident' ELSE 'cpu map' END FROM {{toks}} WHERE kind IN (6, 10)) e
+LEFT JOIN (VALUES {', '.join(f"('{e}', '{c}', '{sh}')" for e, (c, sh) in enums.EVENTS.items())}) x(event, class, shape) ON x.event = e.event""",
+)
+def event_classes(view):
+    tokens = view("SELECT seq, kind FROM {tape} WHERE kind IN (4, 7, 11, 12, 13, 15)").select("seq", enums.named(F.col("kind"), _TAPE_EVENTS).alias("event"))
+    touched = view("SELECT seq, CASE kind WHEN 6 THEN 'resident' ELSE 'cpu map' END AS event FROM {toks} WHERE kind IN (6, 10)")
+    return tokens.union(touched).withColumns({n: F.coalesce(*[F.when(F.col("event") == e, v[k]) for e, v in enums.EVENTS.items()]) for k, n in enumerate(("class", "shape"))})
+
+
 _IMAGE = "usage IN (5, 6, 7)"
 sql(
     "p29_p36_property_rows",  # size, usage and offset of each resource; images have a row more, which others show as n/a

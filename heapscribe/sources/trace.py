@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heapscribe.functions import enums, scalars
+
 #: Fixed values of the container and token formats.
 MAGIC = 0x494E494D
 FILE_HEADER, CHUNK_HEADER = struct.Struct("<4Ii9i"), struct.Struct("<IhhiI")
@@ -21,6 +23,7 @@ DATA, SEGMENT, PROCESS_START, SNAPSHOT, ADAPTER = 3, 4, 5, 6, 7
 QUANTUM = 32
 EXTENSIONS = (".rmv", ".rgd")
 LEAST_FAMILY = 0x8F
+ADAPTER_FIELDS = ("family", "revision", "device", "least_engine_clock", "most_engine_clock", "memory_type", "operations_per_clock", "bus_width", "bandwidth", "least_memory_clock", "most_memory_clock")
 TIMESTAMP, UPDATE, TABLE_UPDATE, USERDATA, MISC, REFERENCE, BIND, PROCESS, PAGE_REFERENCE, CPU_MAP, FREE, ALLOCATE, CREATE, TIME_DELTA, DESTROY = 0, 1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15
 #: Token: (bytes, fields as (column, high bit, low bit)).
 TOKENS: dict[int, tuple[int, tuple[tuple[str, int, int], ...]]] = {
@@ -175,6 +178,15 @@ def read_segments(chunked: DataFrame) -> DataFrame:
     return chunked.where(F.col("type") == SEGMENT).select("trace_id", _integer(21, 4).alias("index"), _integer(17, 4).alias("heap"), _integer(1, 7).alias("base"), _integer(9, 7).alias("size"))
 
 
+def read_adapters(chunked: DataFrame) -> DataFrame:
+    """The device that made a trace; clocks in MHz, `bandwidth` in bytes a second. Traces without the chunk have no row."""
+    name = F.expr("cast(substring(payload, 1, coalesce(nullif(locate(chr(0), cast(substring(payload, 1, 128) AS string)), 0) - 1, 128)) AS string)")
+    field = {c: _integer(129 + 4 * k, 4) for k, c in enumerate(ADAPTER_FIELDS)}
+    out = chunked.where(F.col("type") == ADAPTER).select("trace_id", name.alias("name"), *[v.alias(c) for c, v in field.items()])
+    device = scalars.device_id(F.col("device").bitwiseAND(0xFFFF).cast("int"), F.col("revision").bitwiseAND(0xFF).cast("int"))
+    return out.withColumns({"memory_type": enums.named(F.col("memory_type"), enums.MEMORY_TYPES), "bandwidth": scalars.bandwidth_bytes(F.col("bandwidth")), "device_text": device, "supported": F.col("family") >= LEAST_FAMILY})
+
+
 def read_snapshot_points(chunked: DataFrame) -> DataFrame:
     """Names and times; a point without a name is removed."""
     points = chunked.where(F.col("type") == SNAPSHOT).withColumn("_n", _integer(9, 4))

@@ -76,6 +76,18 @@ def test_side_chunks(tokens):
     assert [(r.process_id, r.physical_memory) for r in trace.read_process_starts(chunked).collect()] == [(0, 0)]
 
 
+def test_adapters(spark, tmp_path):
+    def adapter(name, family):
+        return chunk(trace.ADAPTER, struct.pack("<128s11I", name, family, 0xC1, 0x744C, 500, 2500, 6, 16, 384, 960, 96, 1249))
+
+    (tmp_path / "a.rmv").write_bytes(container(adapter(b"A device", 0x91)))
+    (tmp_path / "b.rmv").write_bytes(container(adapter(b"x" * 128, 0x8E)))
+    (tmp_path / "c.rmv").write_bytes(container())
+    a, b = trace.read_adapters(trace.read_chunks(spark, f"file://{tmp_path}")).orderBy("trace_id").collect()
+    assert (a.name, a.family, a.supported, a.device_text, a.memory_type, a.bus_width, a.bandwidth, a.most_memory_clock) == ("A device", 0x91, True, "744CC1", "GDDR6", 384, 960 << 20, 1249)
+    assert (b.name, b.supported) == ("x" * 128, False)
+
+
 @pytest.mark.parametrize("raw", [b"", b"x" * 100, container(b"\0" * 5), container(chunk(trace.DATA, b"")[:-6] + struct.pack("<iI", 4, 0))])
 def test_broken_containers(raw):
     with pytest.raises(ValueError, match="f.rmv"):
