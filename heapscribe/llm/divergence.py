@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from .common import batches_of_bytes, load, materialize
 
 LEAST_DOCS, SCALE, SMOOTH, TOP = 3, 1_000_000_000, 1, 200
-CHUNK = 8 << 20  # bytes of plain text
+CHUNK = 32 << 20  # characters of plain text
 BROADCAST_GROUPS = 20_000
 PAIRS = 1 << 20  # pairs of sources that are worked out at a time
 #: Bytes of terms: ASCII letters, of which capitals become small, and all that isn't ASCII. Others become the delimiter.
@@ -82,9 +82,9 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
 
 def recount(chunked: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(lang, source, term, n): occurrences of the kept terms, from a written table of chunks."""
-    found = chunked.where("term IS NOT NULL").select("chunk", "lang", "term", "docs")
-    kept = found.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
-    words = found.drop("docs").join(kept, ["lang", "term"]).select("chunk", "lang", "term", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("text"))
+    # One shuffle both adds up a term's documents and leaves it in its chunks' rows.
+    found = chunked.where("term IS NOT NULL").select("chunk", "lang", "term", F.sum("docs").over(Window.partitionBy("lang", "term")).alias("docs"))
+    words = found.where(F.col("docs") >= least_docs).select("chunk", "lang", "term", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("text"))
     texts = chunked.where("term IS NULL").select("chunk", "lang", "term", "source", "text")
     target = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64())])
 
@@ -154,10 +154,17 @@ def _shared_terms(by_term: DataFrame) -> DataFrame:
             a, b = a[a != b], b[a != b]
             f = lambda x, y: (x - y) ** 2 // y
             part = f(p[a], p[b]) - f(p[a], p0[b]) - f(p0[a], p[b]) + f(p0[a], p0[b])
-            keys, which = np.unique(source[a] << 32 | source[b], return_inverse=True)
+            n = len(sums[lang][0])
+            if n * n <= len(a):  # few sources: sums in a square of them, else by sorting
+                keys, which = np.arange(n * n), source[a] * n + source[b]
+                keys = keys // n << 32 | keys % n
+            else:
+                keys, which = np.unique(source[a] << 32 | source[b], return_inverse=True)
             total = np.zeros(len(keys), np.int64)
             np.add.at(total, which, part)
-            for k, v in zip(keys.tolist(), total.tolist(), strict=True):
+            met = np.zeros(len(keys), bool)
+            met[which] = True
+            for k, v in zip(keys[met].tolist(), total[met].tolist(), strict=True):
                 pairs[k] = pairs.get(k, 0) + v
 
         for batch in batches:
@@ -182,7 +189,7 @@ def _shared_terms(by_term: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank: the other sources of the language, and the terms that the source uses more than its language does."""
-    chunked = materialize(chunks(docs), "chunks")
+    chunked = materialize(chunks(docs), "chunks", compression="zstd")
     postings = materialize(recount(chunked, least_docs), "postings")
     totals = postings.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     kept = postings.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("terms"))
