@@ -2,8 +2,9 @@
 
 Base spans of four kinds come from regular expressions (with the checks of each kind).
 They are the seeds of a pattern-instance graph: a lexical pattern is the word and
-punctuation before a mention, alone or with the word after it; an instance is the
-mentioned string. The graph's other instances are identifier-like strings without base
+punctuation before a mention, alone or with the word after it (of longer words the 24 letters
+next to the mention, and nothing that lies more than 40 characters before it; base spans
+don't depend on either); an instance is the mentioned string. The graph's other instances are identifier-like strings without base
 spans: tokens with enough digits, groups of digits between spaces, dots, dashes and
 brackets, and strings around an @, with or without a domain. Rounds of scoring follow: a pattern is worth the mean score of
 its distinct instances for a kind, if enough of them are known; an instance gets the
@@ -17,7 +18,7 @@ little more than their number. Possessive quantifiers and look-behinds keep the
 expressions linear on long runs.
 
 Null texts are empty and have no spans; repeated rows have their own; rows with a null
-doc_id are kept. Texts that hold the marking characters are treated as if these were U+FFFD.
+doc_id are kept. An instance that is as good for two kinds goes to the one listed first. Texts that hold the marking characters are treated as if these were U+FFFD.
 Other columns than doc_id and text are not read, whatever their names; texts of any length
 are searched whole; no rows give no rows.
 """
@@ -90,6 +91,31 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 SHAPE = {"email": "inst RLIKE '[a-z].*@|@.*[a-z]'", "ip": r"inst RLIKE '^[0-9.:]*[.:][0-9.:]*$'", "card": r"inst RLIKE r'^[0-9\x20-]{8,}$'", "phone": r"inst RLIKE r'^[+0-9().\x20-]{7,}$'"}
 
 
+_TOLD = "array<struct<x:struct<s:int,e:int,t:string,l:string,r:string>,m:int>>"
+
+
+def reached(blockers: str, candidates: str, at: str = "{0}.s", value: str = "{0}.e") -> str:
+    """SQL: each candidate x with m, the greatest `value` of the blockers whose place `at` isn't behind its own (null: none).
+
+    Both lists are sorted into one, and one pass in blocks carries the greatest value along,
+    so thousands of either in one text cost little more than their number.
+    """
+    b, o = "b", "o"
+    both = f"array_sort(concat(transform({blockers}, b -> named_struct('k', {at.format(b)}, 'c', 0, 'v', {value.format(b)}, 'x', cast(NULL AS struct<s:int,e:int,t:string,l:string,r:string>))), transform({candidates}, o -> named_struct('k', {at.format(o)}, 'c', 1, 'v', cast(NULL AS int), 'x', o))))"
+    inner = f"aggregate(blk, named_struct('m', acc.m, 'out', cast(array() AS {_TOLD})), (a, y) -> named_struct('m', greatest(a.m, y.v), 'out', if(y.c = 0, a.out, concat(a.out, array(named_struct('x', y.x, 'm', a.m))))))"
+    blocks = f"transform(sequence(0, (size(ev) - 1) div {BLOCK}), n -> slice(ev, n * {BLOCK} + 1, {BLOCK}))"
+    zero = f"named_struct('m', cast(NULL AS int), 'out', cast(array() AS array<{_TOLD}>))"
+    whole = f"aggregate({blocks}, {zero}, (acc, blk) -> {_let(inner, 'i', 'named_struct(\'m\', i.m, \'out\', concat(acc.out, array(i.out)))')}, acc -> flatten(acc.out))"
+    alone = f"transform({candidates}, o -> named_struct('x', o, 'm', cast(NULL AS int)))"
+    return f"CASE WHEN size({candidates}) = 0 OR size({blockers}) = 0 THEN {alone} ELSE {_let(both, 'ev', whole)} END"
+
+
+def clear_of(blockers: str, candidates: str) -> str:
+    """SQL: the candidates that overlap no blocker: none that starts by their start ends behind it, the next one starts at their end or later."""
+    ahead = _let(f"transform(filter({reached(blockers, candidates)}, z -> z.m IS NULL OR z.m <= z.x.s), z -> z.x)", "kept", reached(blockers, "kept", "-{0}.s", "-{0}.s"))
+    return f"transform(filter({ahead}, z -> z.m IS NULL OR -z.m >= z.x.e), z -> z.x)"
+
+
 def base(docs: DataFrame) -> DataFrame:
     """doc_id, _row, spans (array of s, e, k: rank of the kind, t, l, r) and others (identifier-like strings without base spans)."""
     clean = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.expr(f"translate(coalesce(text, ''), '{MARK}{RIGHT}', '\ufffd\ufffd')").alias("_t"))
@@ -97,12 +123,13 @@ def base(docs: DataFrame) -> DataFrame:
     found = clean.select("doc_id", "_row", *[c.alias(n) for n, c in columns.items()], *[F.expr(f"CASE WHEN {if_} THEN {mentions('_t', x)} ELSE cast(array() AS {_SPAN}) END").alias(f"_c{i}") for i, (x, if_) in enumerate(CANDIDATES.items())])
     # A token within a group of digits is not a candidate of its own.
     digits = "length(regexp_replace(x.t, '[^0-9]', '')) BETWEEN 7 AND 19"
-    found = found.withColumn("_c1", F.expr(f"filter(_c1, x -> {digits})")).withColumn("_others", F.expr("concat(filter(_c0, x -> NOT contains(x.t, '@') AND NOT exists(_c1, g -> g.s <= x.s AND x.e <= g.e)), _c1, _c2)"))
+    found = found.withColumn("_c1", F.expr(f"filter(_c1, x -> {digits})")).withColumn("_c0", F.expr("filter(_c0, x -> NOT contains(x.t, '@'))"))
+    apart = f"transform(filter({reached('_c1', '_c0')}, z -> z.m IS NULL OR z.m < z.x.e), z -> z.x)"
+    found = found.withColumn("_others", F.expr(f"concat({apart}, _c1, _c2)"))
     kept = [f"transform({f'filter(_{k}, x -> {VALID[k]})' if VALID[k] else f'_{k}'}, x -> named_struct('s', x.s, 'e', x.e, 'k', {i}, 't', x.t, 'l', x.l, 'r', x.r))" for i, k in enumerate(KINDS)]
     spans = found.select("doc_id", "_row", F.expr(f"concat({', '.join(kept)})").alias("spans"), "_others")
     # A candidate must lie clear of base spans; both lists are of one text.
-    clear = "filter(_others, o -> NOT exists(spans, x -> x.s < o.e AND o.s < x.e))"
-    return spans.select("doc_id", "_row", "spans", F.expr(clear).alias("others"))
+    return spans.select("doc_id", "_row", "spans", F.expr(clear_of("spans", "_others")).alias("others"))
 
 
 def _lexical(row: str) -> list[Column]:
