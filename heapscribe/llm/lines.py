@@ -216,7 +216,7 @@ def filed(docs: DataFrame, tau: int, per: int) -> DataFrame:
 
 
 def listed(rows: DataFrame, tau: int) -> DataFrame:
-    """From rows sorted by key within partitions: candidate pairs (a, b, grp null) or, from lists with many, members (a, b null, grp)."""
+    """From rows sorted by key, node and info within partitions: candidate pairs (a, b, grp null) or, from lists with many, members (a, b null, grp)."""
 
     def of_list(node: np.ndarray, role: np.ndarray, signature: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Pairs of a list; None where they, or the pairs to compare, are too many."""
@@ -268,6 +268,8 @@ def listed(rows: DataFrame, tau: int) -> DataFrame:
         held: list[np.ndarray] = []
         for batch in batches:
             part = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            # A line that several tasks hold stands in its lists once for each of them; they are neighbours here.
+            part = part[:, np.concatenate([[True], (part[:, 1:] != part[:, :-1]).any(axis=0)])] if part.shape[1] else part
             cut = int(np.searchsorted(part[0], part[0][-1], "left")) if part.shape[1] else 0
             if held and part.shape[1] and held[0][0, -1] != part[0, -1]:  # the key that was held ends here
                 yield from out(np.concatenate([*held, part[:, :cut]], axis=1))
@@ -370,7 +372,7 @@ def tiled(rows: DataFrame, tau: int, per: int) -> DataFrame:
 
 def classes(docs: DataFrame, tau: int = TAU, per: int = PER) -> DataFrame:
     """(node, component) of all lines that are linked with a different line."""
-    rows = filed(docs, tau, per).repartition("key").sortWithinPartitions("key")
+    rows = filed(docs, tau, per).repartition("key").sortWithinPartitions("key", "node", "info")
     found = materialize(listed(rows, tau).distinct(), "line_candidates", compression="zstd")
     pairs, members = found.where("grp IS NULL").select("a", "b"), found.where("grp IS NOT NULL").select(F.col("a").alias("node"), "grp").distinct()
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
