@@ -398,6 +398,14 @@ def brute_pii(text):
     return sorted(found)
 
 
+def test_lines_that_every_task_holds(spark):
+    """A hot line, and near copies of it, in all of many partitions: each list has it once."""
+    common = "This very line stands in every single document of the set"
+    rows = [(i, f"{common}\nown line number {i} of document {i * 7919} only\n{common + ('!' if i % 2 else '')}") for i in range(300)]
+    got = {r.doc_id: r for r in lines.dedup(table(spark, rows).repartition(30)).collect()}
+    assert got[0].removed == [2] and all(set(got[i].removed) >= {0, 2} for i in range(1, 300))
+
+
 def test_pii_base_spans(spark, empty):
     rnd = random.Random(8)
     parts = ["a@b.c", "x.y+z@mail-1.example.org", "a@b.c_d@e.f", "@", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "001.002.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "12345678901234567890123", "+1 (234) 555-6789", "+1", "+12 3", "é", "\U0001f600", "", "$1", "word", " ", " ", "\n", "-", "7", "79927398713", "0000 0000 0000"]
@@ -408,6 +416,37 @@ def test_pii_base_spans(spark, empty):
     assert pii.extract(empty).count() == 0
 
 
+def test_pii_clears_candidates_as_all_pairs_do(spark):
+    from pyspark.sql import functions as F
+
+    rnd, rows = random.Random(4), []
+    for k in range(150):
+        n, width = rnd.choice([0, 1, 3, 40, 700]), rnd.choice([20, 300, 6000])
+        make = lambda: [(a := rnd.randrange(width), a + rnd.randint(1, 12), "t", "", "") for _ in range(rnd.randint(0, n))]  # noqa: B023, E731
+        rows.append((k, make(), make()))
+    kind = "array<struct<s:int,e:int,t:string,l:string,r:string>>"
+    df = spark.createDataFrame(rows, f"k int, b {kind}, c {kind}").repartition(4)
+    got = df.select("k", F.expr(pii.clear_of("b", "c")).alias("clear"), F.expr(pii.reached("b", "c")).alias("m")).collect()
+    for r in got:
+        _, b, c = rows[r.k]
+        assert sorted((x.s, x.e) for x in r.clear) == sorted(o[:2] for o in c if not any(x[0] < o[1] and o[0] < x[1] for x in b))
+        assert sorted((z.x.s, z.x.e, z.m or -1) for z in r.m) == sorted((*o[:2], max((x[1] for x in b if x[0] <= o[0]), default=-1)) for o in c)
+
+
+def test_pii_of_one_text_grows_with_its_length(spark):
+    import time
+
+    pii.extract(table(spark, [(1, "a@b.cd x 12345")])).collect()
+    took = []
+    for n in (2000, 16_000):
+        text = " ".join(f"user{i}@mail{i % 7}.example.org id-{i:06d}-x" for i in range(n))
+        began = time.time()
+        (row,) = pii.extract(table(spark, [(1, text)])).collect()
+        took.append(time.time() - began)
+        assert len(row.spans) == n
+    assert took[1] < 3 * 8 * max(took[0], 1)
+
+
 def test_pii_discovers_unseen_identifiers(spark):
     seeds = [(i, f"Please call the office phone: +1 555 010 20{i:02d} for details.") for i in range(9)]
     unseen = [(50, "Please call the office phone: 5550107788 for details."), (51, "There are 5550100000 grains of sand, or 12345678 more.")]
@@ -436,6 +475,18 @@ def test_pii_discovers_usual_forms(spark, kind, before, seeds, unseen, others):
     assert all(not got[100 + i].found for i in range(len(others)))
 
 
+def test_tokens_without_ids_spread_over_files(spark, tmp_path, request):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    rows = [(None, f"text number {i}") for i in range(3000)]
+    path = f"file://{tmp_path}/tokens"
+    tokens.write_tokens(table(spark, rows).repartition(5), path, tokens.default_vocabulary())
+    stored = tokens.read_tokens(spark, path)
+    assert stored.count() == 3000 and max(r["count"] for r in stored.groupBy("part").count().collect()) < 1500
+    starts = sorted((r.start, r.n_tokens) for r in tokens.summary(stored).collect())
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_tokens_round_trip(spark, docs, empty, rows, encoding, tmp_path):
     from tokenizers import Tokenizer
