@@ -1,7 +1,11 @@
-"""Replay of decoded tokens as validity intervals: windows by key instead of a loop over events."""
+"""Replay of decoded tokens as validity intervals: one ordered pass for each stretch of address space, windows by key for the rest."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,48 +14,195 @@ from ..functions import scalars
 from ..sources import trace
 from . import intervals, lineage
 
-BIN = 1 << 28  # bytes of address space to a bin of the range join
+REGION = 1 << 26  # bytes of address space that are swept together, with those that allocations tie to them
 PAGE = 4096
 #: Fixed values of the format.
 IMAGE, REBINDABLE, SHAREABLE, SPARSE, CLIENT_DRIVER = 0, (1, 11, 15), 1 << 2, 1 << 6, 2
 
 
-def settled(tokens: DataFrame) -> DataFrame:
-    """Allocate tokens with _free, _end (ts and seq of the next free of their base; null: none) and rejected: the base lies within an allocation that is live then.
-
-    A rejected allocation rejects nothing itself, so the pairs found by the range join are
-    settled in rounds: what no open earlier allocation holds is taken, what a taken one holds is rejected.
+class Live:
+    """Live allocations by base. Sorted blocks of bases, and over them a tree of how far their members reach: each step costs about the logarithm of their number."""
+
+    BLOCK = 512
+
+    def __init__(self):
+        self.rows: dict[int, tuple[int, tuple]] = {}  # base: end, row
+        self.blocks: list[list[int]] = [[]]
+        self._plant([-1])
+
+    def _plant(self, far: list[int]) -> None:
+        """far: how far each block reaches."""
+        self.first = [b[0] if b else 0 for b in self.blocks]
+        self.width = 1 << (len(self.blocks) - 1).bit_length()
+        self.reach = [-1] * (2 * self.width)
+        self.reach[self.width : self.width + len(far)] = far
+        for k in range(self.width - 1, 0, -1):
+            self.reach[k] = max(self.reach[2 * k], self.reach[2 * k + 1])
+
+    def _reach(self, k: int) -> int:
+        return max((self.rows[b][0] for b in self.blocks[k]), default=-1)
+
+    def _far(self) -> list[int]:
+        return self.reach[self.width : self.width + len(self.blocks)]
+
+    def _grown(self, k: int, reach: int) -> None:
+        k += self.width
+        while k and self.reach[k] < reach:
+            self.reach[k] = reach
+            k //= 2
+
+    def add(self, base: int, end: int, row: tuple) -> None:
+        k = max(0, bisect_right(self.first, base) - 1)
+        block = self.blocks[k]
+        insort(block, base)
+        self.rows[base] = end, row
+        self.first[k] = block[0]
+        if len(block) > 2 * self.BLOCK:
+            far = self._far()
+            self.blocks[k : k + 1] = [block[: self.BLOCK], block[self.BLOCK :]]
+            self._plant([*far[:k], self._reach(k), self._reach(k + 1), *far[k + 1 :]])
+        else:
+            self._grown(k, end)
+
+    def pop(self, base: int) -> tuple | None:
+        """Takes out the row at a base; None: nothing lives there."""
+        if base not in self.rows:
+            return None
+        k = max(0, bisect_right(self.first, base) - 1)
+        block = self.blocks[k]
+        del block[bisect_left(block, base)]
+        end, row = self.rows.pop(base)
+        if not block and len(self.blocks) > 1:
+            far = self._far()
+            del self.blocks[k], far[k]
+            self._plant(far)
+        elif self.reach[self.width + k] == end:
+            if block:
+                self.first[k] = block[0]
+            at = self.width + k
+            self.reach[at] = self._reach(k)
+            while at := at // 2:
+                self.reach[at] = max(self.reach[2 * at], self.reach[2 * at + 1])
+        elif block:
+            self.first[k] = block[0]
+        return row
+
+    def over(self, place: int) -> Iterator[int]:
+        """Bases of the live allocations that hold a place, the greatest first."""
+        k = bisect_right(self.first, place) - 1
+        while k >= 0 and (k := self._before(k, place)) >= 0:
+            block = self.blocks[k]
+            for base in reversed(block[: bisect_right(block, place)]):
+                if self.rows[base][0] > place:
+                    yield base
+            k -= 1
+
+    def _before(self, k: int, place: int) -> int:
+        """The last block up to k that reaches beyond a place; -1: none."""
+        at = self.width + k
+        while self.reach[at] <= place:
+            while at and not at & 1:  # a left child: what lies before it hangs on a node above
+                at //= 2
+            if at <= 1:
+                return -1
+            at -= 1
+        while at < self.width:
+            at = 2 * at + 1
+            if self.reach[at] <= place:
+                at -= 1
+        return at - self.width
+
+
+_HELD = ("stream_index", "offset", "va", "size", "pref", "owner", "ts")
+
+
+def regions(tokens: DataFrame) -> DataFrame:
+    """tokens with region: the first of the bins of REGION bytes that allocations which reach over their edges tie together. No allocation ever lies in two regions."""
+    binned = tokens.withColumn("_bin", F.expr(f"va div {REGION}"))
+    last = F.expr(f"(va + greatest(coalesce(size, 0), 1) - 1) div {REGION}")
+    wide = binned.where(F.col("kind") == trace.ALLOCATE).withColumn("_last", last).where("_last > _bin")
+    edges = wide.select("trace_id", F.explode(F.expr("sequence(_bin + 1, _last)")).alias("_bin")).distinct()
+    runs = edges.withColumn("_run", F.col("_bin") - F.row_number().over(Window.partitionBy("trace_id").orderBy("_bin")))
+    tied = runs.select("trace_id", "_bin", (F.min("_bin").over(Window.partitionBy("trace_id", "_run")) - 1).alias("_first"))
+    return binned.join(tied, ["trace_id", "_bin"], "left").withColumn("region", F.coalesce("_first", "_bin")).drop("_bin", "_first")
+
+
+def swept(tokens: DataFrame) -> DataFrame:
+    """One pass over each region's tokens in order: a written table with a row for each allocate token (taken; end_seq and end_ts of the free that ends it) and for each bind that finds an allocation (base and alloc_seq: of several that hold its address, that with the greatest base).
+
+    An allocation whose base lies within a live one is not taken, and itself rejects nothing.
+    A region's tokens stream by; memory holds what lives at one time.
     """
-    on_base = tokens.where(F.col("kind").isin(trace.ALLOCATE, trace.FREE))
-    later = Window.partitionBy("trace_id", "va").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    freed = F.when(F.col("kind") == trace.FREE, F.struct("seq", "ts"))
-    made = on_base.withColumn("_next", F.min(freed).over(later)).where(F.col("kind") == trace.ALLOCATE)
-    made = lineage.cut(made.withColumns({"_free": F.col("_next.ts"), "_end": F.col("_next.seq")}).drop("_next"), "made")
-    held = made.select("trace_id", F.col("seq").alias("_by"), F.col("va").alias("_lo"), F.expr("va + greatest(size, 1)").alias("_hi"), F.col("_end").alias("_until"))
-    within = intervals.range_join(made.select("trace_id", "seq", "va"), held, "va", "_lo", "_hi", BIN, ("trace_id",))
-    open_ = lineage.cut(within.where("_by < seq AND (_until IS NULL OR seq < _until)").select("trace_id", "seq", "_by"), "open")
-    rejected = open_.select("trace_id", "seq").limit(0)
-    while not open_.isEmpty():
-        waiting = open_.select("trace_id", F.col("seq").alias("_by")).distinct()
-        sure = lineage.cut(open_.join(waiting, ["trace_id", "_by"], "left_anti").select("trace_id", "seq").distinct(), "rejected")
-        rejected = rejected.union(sure)
-        left = open_.join(sure, ["trace_id", "seq"], "left_anti")
-        open_ = lineage.cut(left.join(sure.withColumnRenamed("seq", "_by"), ["trace_id", "_by"], "left_anti").select("trace_id", "seq", "_by"), "open")
-    return made.join(rejected.withColumn("rejected", F.lit(True)), ["trace_id", "seq"], "left").withColumn("rejected", F.coalesce("rejected", F.lit(False)))
+    on_place = tokens.where(F.col("kind").isin(trace.ALLOCATE, trace.FREE) | (F.col("kind") == trace.BIND) & ~_on_system())
+    types = {f.name: f.dataType.simpleString() for f in tokens.schema}
+    schema = f"trace_id {types['trace_id']}, seq long, kind int, taken boolean, base long, alloc_seq long, end_seq long, end_ts long, " + ", ".join(f"{c} {types[c]}" for c in _HELD)
+    rows = regions(on_place).select("trace_id", "region", "seq", F.col("kind").cast("int").alias("kind"), *_HELD)
+    # A shared image's allocation has the number of its bind and comes before it.
+    ordered = rows.repartition("trace_id", "region").sortWithinPartitions("trace_id", "region", "seq", F.col("kind").desc())
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, live, out, target = None, Live(), [], None
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * len(target)
+            batch = pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+            out.clear()
+            return batch
+
+        def rest() -> None:
+            out.extend((*group[:1], row[0], trace.ALLOCATE, True, None, None, None, None, *row[1:]) for _, row in live.rows.values())
+
+        for batch in batches:
+            if target is None:
+                f = batch.schema.field
+                long = pa.int64()
+                target = pa.schema([f("trace_id"), ("seq", long), ("kind", pa.int32()), ("taken", pa.bool_()), ("base", long), ("alloc_seq", long), ("end_seq", long), ("end_ts", long), *[f(c) for c in _HELD]])
+            for trace_id, region, seq, kind, *held in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (trace_id, region) != group:
+                    if group:
+                        rest()
+                    group, live = (trace_id, region), Live()
+                va, size, ts = held[2], held[3] or 0, held[6]
+                if kind == trace.FREE:
+                    if row := live.pop(va):
+                        out.append((trace_id, row[0], trace.ALLOCATE, True, None, None, seq, ts, *row[1:]))
+                elif kind == trace.BIND:
+                    base = next((b for b in live.over(va) if live.rows[b][1][4]), None)  # an empty allocation holds no address
+                    if base is not None:
+                        out.append((trace_id, seq, kind, None, base, live.rows[base][1][0], None, None, *[None] * len(held)))
+                elif next(live.over(va), None) is not None:
+                    out.append((trace_id, seq, kind, False, None, None, None, None, *held))
+                else:
+                    live.add(va, va + max(size, 1), (seq, *held))
+                if len(out) >= 20_000:
+                    yield made()
+        if target is not None:
+            rest()
+            yield made()
+
+    return lineage.cut(ordered.mapInArrow(sweep, schema), "swept")
+
+
+def _taken(state: DataFrame) -> DataFrame:
+    return state.where((F.col("kind") == trace.ALLOCATE) & F.col("taken"))
 
 
 def _shown(rows: DataFrame) -> DataFrame:
-    return rows.select("trace_id", "stream_index", "offset", F.col("va").alias("base"), "size", "pref", "owner", F.col("ts").alias("valid_from"), F.col("_free").alias("valid_to"))
+    return rows.select("trace_id", "stream_index", "offset", F.col("va").alias("base"), "size", "pref", "owner", F.col("ts").alias("valid_from"), F.col("end_ts").alias("valid_to"))
 
 
 def allocations(tokens: DataFrame) -> DataFrame:
     """trace_id, stream_index, offset, base, size, pref, owner, valid_from, valid_to (null: open): an allocation ends at the next free of its base; one whose base lies within a live allocation is ignored."""
-    return _shown(settled(tokens).where("NOT rejected"))
+    return _shown(_taken(swept(tokens)))
 
 
 def rejects(tokens: DataFrame) -> DataFrame:
     """The allocations that are ignored, in the same columns; valid_to is the next free of their base all the same."""
-    return _shown(settled(tokens).where("rejected"))
+    ignored = swept(tokens).where((F.col("kind") == trace.ALLOCATE) & ~F.col("taken")).drop("end_ts")
+    frees = tokens.where(F.col("kind") == trace.FREE).select("trace_id", "va", "seq", F.col("ts").alias("_freed"))
+    both = ignored.unionByName(frees, allowMissingColumns=True)
+    later = Window.partitionBy("trace_id", "va").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return _shown(both.withColumn("end_ts", F.last("_freed", True).over(later)).where("kind IS NOT NULL"))
 
 
 def _lives(tokens: DataFrame) -> DataFrame:
@@ -92,14 +243,6 @@ def with_shared(tokens: DataFrame) -> DataFrame:
     return tokens.unionByName(made.select(*tokens.columns))
 
 
-def found(tokens: DataFrame, taken: DataFrame) -> DataFrame:
-    """(trace_id, seq, base, alloc_seq): the allocation, of those settled and taken, that holds a bind's address at that time; of several, that with the greatest base."""
-    binds = tokens.where((F.col("kind") == trace.BIND) & ~_on_system()).select("trace_id", "seq", "va")
-    held = taken.select("trace_id", F.col("seq").alias("_from"), F.col("va").alias("_lo"), F.expr("va + size").alias("_hi"), F.col("_end").alias("_until"))
-    within = intervals.range_join(binds, held, "va", "_lo", "_hi", BIN, ("trace_id",)).where("_from <= seq AND (_until IS NULL OR seq < _until)")
-    return within.groupBy("trace_id", "seq").agg(F.max(F.struct("_lo", "_from")).alias("_f")).select("trace_id", "seq", F.col("_f._lo").alias("base"), F.col("_f._from").alias("alloc_seq"))
-
-
 def spans(tokens: DataFrame) -> DataFrame:
     """The states of each resource as intervals: trace_id, driver_id, valid_from, valid_to (null: open), resource_type, usage, create_flags, create_ts, bind_ts, address, size, base, alloc_seq.
 
@@ -108,8 +251,12 @@ def spans(tokens: DataFrame) -> DataFrame:
     bound are created anew by a further bind, which binds them unless it is to system
     memory without an address; others ignore it. An update replaces the usage flags.
     """
-    all_tokens = with_shared(tokens)
-    lives = _lives(tokens).join(found(tokens, settled(all_tokens).where("NOT rejected")), ["trace_id", "seq"], "left")
+    return _spans(tokens, swept(with_shared(tokens)))
+
+
+def _spans(tokens: DataFrame, state: DataFrame) -> DataFrame:
+    found = state.where(F.col("kind") == trace.BIND).select("trace_id", "seq", "base", "alloc_seq")
+    lives = _lives(tokens).join(found, ["trace_id", "seq"], "left")
     upto, before = _upto("trace_id", "driver_id", "episode"), _before("trace_id", "driver_id", "episode")
     is_, created = lambda k: F.col("kind") == k, F.col("kind") == trace.CREATE
     hit = F.when(is_(trace.BIND), F.col("base").isNotNull())
@@ -131,8 +278,9 @@ def spans(tokens: DataFrame) -> DataFrame:
 
 def heap_changes(tokens: DataFrame) -> DataFrame:
     """(trace_id, ts, heap, delta): bytes by first preferred heap, as allocations come and go. The bind of a partly resident image moves its allocation's bytes to heap 3 (none)."""
-    taken = settled(with_shared(tokens)).where("NOT rejected").select("trace_id", F.col("seq").alias("alloc_seq"), "ts", "size", F.element_at("pref", 1).alias("heap"), "_free")
-    sparse = spans(tokens).where((F.col("resource_type") == IMAGE) & (F.col("create_flags").bitwiseAND(SPARSE) != 0) & F.col("alloc_seq").isNotNull())
+    state = swept(with_shared(tokens))
+    taken = _taken(state).select("trace_id", F.col("seq").alias("alloc_seq"), "ts", "size", F.element_at("pref", 1).alias("heap"), F.col("end_ts").alias("_free"))
+    sparse = _spans(tokens, state).where((F.col("resource_type") == IMAGE) & (F.col("create_flags").bitwiseAND(SPARSE) != 0) & F.col("alloc_seq").isNotNull())
     moved = sparse.groupBy("trace_id", "alloc_seq").agg(F.min("bind_ts").alias("_moved"))
     changes = F.expr("""array(struct(ts, heap, size AS delta), struct(_moved AS ts, heap, -size AS delta), struct(_moved AS ts, 3 AS heap, size AS delta),
       struct(_free AS ts, if(_moved IS NULL, heap, 3) AS heap, -size AS delta))""")
