@@ -7,7 +7,7 @@ each chunk the terms of its own that its language keeps and recounts their occur
 with an Aho-Corasick automaton of these terms, padded with the delimiter. So no automaton
 holds more terms than its chunk has, however large the vocabulary gets.
 
-The counts are sparse postings (language, source, term, count). A pair of sources is
+The counts become sparse postings: of each term the sources that have it, and how often. A pair of sources is
 worked out from them alone: what a term that neither source has is worth is one product,
 a term that one of them has is counted by its frequency, and only terms that both have
 meet in pairs.
@@ -20,12 +20,15 @@ the item's UTF-8 bytes. Other columns aren't read, whatever their names; no rows
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +38,6 @@ from .common import batches_of_bytes, load, materialize
 
 LEAST_DOCS, SCALE, SMOOTH, TOP = 3, 1_000_000_000, 1, 200
 CHUNK = 32 << 20  # characters of plain text
-BROADCAST_GROUPS = 20_000
 PAIRS = 1 << 20  # pairs of sources that are worked out at a time
 #: Bytes of terms: ASCII letters, of which capitals become small, and all that isn't ASCII. Others become the delimiter.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -80,141 +82,277 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     return source.mapInArrow(run, _CHUNKS)
 
 
-def recount(chunked: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, source, term, n): occurrences of the kept terms, from a written table of chunks."""
-    # One shuffle both adds up a term's documents and leaves it in its chunks' rows.
+def recount(chunked: DataFrame, groups: Groups, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(lang, term, sources, counts): the kept terms' occurrences in each chunk, by number of source, from a written table of chunks."""
+    # One shuffle both adds up a term's documents and leaves it in its chunks' rows; these go on as one row for each chunk and task.
     found = chunked.where("term IS NOT NULL").select("chunk", "lang", "term", F.sum("docs").over(Window.partitionBy("lang", "term")).alias("docs"))
-    words = found.where(F.col("docs") >= least_docs).select("chunk", "lang", "term", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("text"))
-    texts = chunked.where("term IS NULL").select("chunk", "lang", "term", "source", "text")
-    target = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64())])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def rows() -> list[pa.RecordBatch]:
+            got = pa.Table.from_batches(held).group_by(["chunk", "lang"]).aggregate([("term", "list")])
+            held.clear()
+            words = got.column("term_list").combine_chunks()
+            return pa.table({"chunk": got.column("chunk"), "lang": got.column("lang"), "terms": pc.binary_join(words, " ")}).to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= 32 << 20:
+                yield from rows()
+                size = 0
+        if held:
+            yield from rows()
+
+    words = found.where(F.col("docs") >= least_docs).select("chunk", "lang", "term").mapInArrow(packed, "chunk long, lang string, terms string")
+    words = words.select("chunk", "lang", "terms", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("text"))
+    texts = chunked.where("term IS NULL").select("chunk", "lang", F.lit(None).cast("string").alias("terms"), "source", "text")
+    target = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        group, names, automaton, counts = None, [], None, defaultdict(Counter)
+        group, names, automaton, hits = None, [], None, {}
 
         def counted() -> Iterator[pa.RecordBatch]:
-            for source, by_term in counts.items():
-                ids = np.fromiter(by_term, np.int64, len(by_term))
-                for at in range(0, len(ids), 50_000):
-                    part = ids[at : at + 50_000].tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array([group[1]] * len(part)), pa.array([source] * len(part)), pa.array([names[i] for i in part]), pa.array([by_term[i] for i in part], pa.int64())], schema=target)
+            if not hits:
+                return
+            number = groups.numbers(group[1])
+            ids = np.concatenate([np.frombuffer(x, np.int32) for x in hits.values()])
+            which = np.repeat(np.array([number[s] for s in hits], np.int64), [len(x) for x in hits.values()])
+            keys, counts = np.unique(ids.astype(np.int64) << 32 | which, return_counts=True)
+            term, source = keys >> 32, (keys & 0xFFFFFFFF).astype(np.int32)
+            first = np.flatnonzero(np.diff(term, prepend=-1))
+            edge = pa.array(np.append(first, len(term)).astype(np.int32))
+            out = pa.Table.from_arrays([pa.array([group[1]] * len(first)), pa.array(names).take(pa.array(term[first])), pa.ListArray.from_arrays(edge, pa.array(source)), pa.ListArray.from_arrays(edge, pa.array(counts.astype(np.int64)))], schema=target)
+            yield from out.to_batches(max_chunksize=20_000)
 
         for batch in batches_of_bytes(batches, "text", 4 << 20):
-            for chunk, lang, term, source, text in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+            for chunk, lang, terms, source, text in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
                 if (chunk, lang) != group:
                     yield from counted()
-                    group, names, automaton, counts = (chunk, lang), [], None, defaultdict(Counter)
-                if term is not None:  # these come first
-                    names.append(term)
+                    group, names, automaton, hits = (chunk, lang), [], None, {}
+                if terms is not None:  # these come first
+                    names += terms.split(" ")
                 elif names and text:
                     if automaton is None:
                         automaton = ahocorasick.Automaton()
                         for i, name in enumerate(names):
                             automaton.add_word(f" {name} ", i)
                         automaton.make_automaton()
-                    counts[source].update(map(itemgetter(1), automaton.iter(f" {text} ")))
+                    hits.setdefault(source, array("i")).extend(map(itemgetter(1), automaton.iter(f" {text} ")))
         yield from counted()
 
-    both = words.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "lang", F.col("term").isNull())
-    return both.mapInArrow(run, "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    both = words.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "lang", F.col("terms").isNull())
+    return both.mapInArrow(run, "lang string, term string, sources array<int>, counts array<long>")
+
+
+def postings(counted: DataFrame) -> DataFrame:
+    """(lang, term, sources, counts) with one row for each term, and rows without a term: each task's totals of a language by source."""
+    target = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+
+    def lists(lang: list, term: list, row: np.ndarray, source: np.ndarray, count: np.ndarray) -> pa.Table:
+        """Sums by (row, source), as one list for each row."""
+        keys, which = np.unique(row << 32 | source, return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, which, count)
+        first = np.flatnonzero(np.diff(keys >> 32, prepend=-1))
+        edge = pa.array(np.append(first, len(keys)).astype(np.int32))
+        return pa.Table.from_arrays([pa.array(lang, pa.string()), pa.array(term, pa.string()), pa.ListArray.from_arrays(edge, pa.array((keys & 0xFFFFFFFF).astype(np.int32))), pa.ListArray.from_arrays(edge, pa.array(total))], schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, totals = None, defaultdict(Counter)
+
+        def merged(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = rows.combine_chunks()
+            both = pa.table({"lang": rows.column("lang"), "term": rows.column("term")})
+            lang, term = both.column("lang").to_pylist(), both.column("term").to_pylist()
+            new = np.array([True, *[a != b or x != y for a, b, x, y in zip(term[1:], term, lang[1:], lang, strict=False)]])
+            each = pc.list_value_length(rows.column("sources")).to_numpy()
+            row = np.repeat(np.cumsum(new) - 1, each).astype(np.int64)
+            source, count = (pc.list_flatten(rows.column(c)).to_numpy().astype(np.int64) for c in ("sources", "counts"))
+            at = np.flatnonzero(new).tolist()
+            out = lists([lang[i] for i in at], [term[i] for i in at], row, source, count)
+            by_lang = np.repeat(np.array([lang[i] for i in at], object), pc.list_value_length(out.column("sources")).to_numpy())
+            s, n = (pc.list_flatten(out.column(c)).to_numpy() for c in ("sources", "counts"))
+            for name in set(lang):
+                mine = by_lang == name
+                sums = np.zeros(int(s.max()) + 1, np.int64)
+                np.add.at(sums, s[mine], n[mine])
+                for k in np.flatnonzero(sums).tolist():
+                    totals[name][k] += int(sums[k])
+            yield from out.to_batches()
+
+        for batch in batches:
+            held = pa.concat_tables([*([held] if held else []), pa.Table.from_batches([batch])])
+            if held.num_rows >= 50_000:  # all but the last term are whole
+                lang, term = held.column("lang"), held.column("term")
+                last = pc.and_(pc.equal(lang, lang[-1]), pc.equal(term, term[-1])).to_numpy()
+                if cut := int(len(last) - last[::-1].argmin()) if not last.all() else 0:
+                    yield from merged(held.slice(0, cut))
+                    held = held.slice(cut)
+        if held and held.num_rows:
+            yield from merged(held)
+        for name, sums in totals.items():
+            yield from lists([name], [None], np.zeros(len(sums), np.int64), np.array(list(sums), np.int64), np.array(list(sums.values()), np.int64)).to_batches()
 
+    ordered = counted.repartition("lang", "term").sortWithinPartitions("lang", "term")
+    return ordered.mapInArrow(run, "lang string, term string, sources array<int>, counts array<long>")
 
-def _share(count: str, total: str, terms: str) -> str:
-    """1 + floor(SCALE * (count + SMOOTH) / (total + SMOOTH * terms)), in decimals, as the product may leave 64 bits."""
-    return f"1 + cast(cast({count} + {SMOOTH} AS decimal(20, 0)) * {SCALE} div cast({total} + {SMOOTH} * {terms} AS decimal(20, 0)) AS long)"
 
+@dataclass
+class Groups:
+    """The sources of each language, numbered in order; with their totals and the number of kept terms, once these are known.
 
-def _f(p: str, q: str) -> str:
-    return f"(({p}) - ({q})) * (({p}) - ({q})) div ({q})"
+    Tasks get it whole: it has a row for each source, and the result has one for each pair of them, so it is the square root of the result at most.
+    """
 
+    sources: dict[str, list[str]]
+    totals: dict[str, np.ndarray] = field(default_factory=dict)
+    terms: dict[str, int] = field(default_factory=dict)
 
-def _shared_terms(by_term: DataFrame) -> DataFrame:
-    """(lang, source, item, part): over the terms that both have, what their meeting adds to the terms taken one by one."""
-    target = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("part", pa.int64())])
+    def numbers(self, lang: str) -> dict[str, int]:
+        return {s: k for k, s in enumerate(self.sources[lang])}
+
+    def none(self, lang: str) -> np.ndarray:
+        """The share, by source, of a term that the source doesn't have."""
+        return share(np.zeros(len(self.sources[lang]), np.int64), self.totals[lang] + SMOOTH * self.terms[lang])
+
+
+def share(count: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """1 + floor(SCALE * (count + SMOOTH) / whole), by long division in steps of a thousand: no product leaves 64 bits."""
+    out, rest = np.divmod(count + SMOOTH, whole)
+    step = 1
+    while step < SCALE:
+        digit, rest = np.divmod(rest * 1000, whole)
+        out, step = out * 1000 + digit, step * 1000
+    return out + 1
+
+
+def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) ** 2 // q
+
+
+def scored(stored: DataFrame, groups: Groups, top: int = TOP) -> DataFrame:
+    """From postings, partial rows (lang, source, other, term, p, value): of a pair of sources, what the terms that both have add to the terms taken one by one (other set);
+    how many terms of a source have share p (p set); terms of a source with their value, among them its `top` best (term set)."""
+    target = pa.schema([("lang", pa.string()), ("source", pa.int32()), ("other", pa.int32()), ("term", pa.string()), ("p", pa.int64()), ("value", pa.int64())])
+
+    def rows(lang: str, n: int, **columns) -> pa.RecordBatch:
+        columns["lang"] = [lang] * n
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in target], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, tuple[dict[str, int], dict[int, int]]] = {}  # of a language: the numbers of its sources, and the sum of each pair of numbers
+        pairs: dict[str, dict[int, int]] = defaultdict(dict)
+        often: dict[str, Counter] = defaultdict(Counter)
+        best: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)  # sources, values, terms
+
+        def leading(lang: str) -> None:
+            source, value, term = (np.concatenate(x) for x in zip(*best[lang], strict=True))
+            order = np.lexsort((term, -value, source))
+            place = np.arange(len(order)) - np.repeat(f := np.flatnonzero(np.diff(source[order], prepend=-1)), np.diff(np.append(f, len(order))))
+            best[lang] = [tuple(x[order[place < top]] for x in (source, value, term))]
+
+        def meet(lang: str, size: np.ndarray, source: np.ndarray, p: np.ndarray) -> None:
+            """Adds the pairs within each of some terms, of `size` postings each, PAIRS at a time."""
+            p0, width = groups.none(lang), len(groups.sources[lang])
+            each = np.repeat(size, size)  # as many partners has each posting, itself among them
+            begin = np.repeat(np.cumsum(size) - size, size)
+            upto, at = np.cumsum(each), 0
+            while at < len(each):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+                a = np.repeat(np.arange(at, to), each[at:to])
+                b = np.arange(len(a)) - np.repeat(np.cumsum(each[at:to]) - each[at:to] - begin[at:to], each[at:to])
+                a, b = a[a != b], b[a != b]
+                pa_, pb, qa, qb = p[a], p[b], p0[source[a]], p0[source[b]]
+                part = _f(pa_, pb) - _f(pa_, qb) - _f(qa, pb) + _f(qa, qb)
+                key = source[a].astype(np.int64) * width + source[b]
+                if width * width <= len(key):  # few sources: sums in a square of them, else by sorting
+                    keys, which = np.arange(width * width), key
+                else:
+                    keys, which = np.unique(key, return_inverse=True)
+                total, met = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+                np.add.at(total, which, part)
+                met[which] = True
+                mine = pairs[lang]
+                for k, v in zip(keys[met].tolist(), total[met].tolist(), strict=True):
+                    mine[k] = mine.get(k, 0) + v
+                at = to
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            for lang, (number, pairs) in sums.items():
-                names, keys = list(number), list(pairs)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array([names[k >> 32] for k in keys]), pa.array([names[k & 0xFFFFFFFF] for k in keys]), pa.array([pairs[k] for k in keys], pa.int64())], schema=target)
-            sums.clear()
-
-        def add(lang: str, rows: list[list[tuple[int, int, int]]]) -> None:
-            """rows: for each term (number of source, p, p0)."""
-            pairs = sums[lang][1]
-            size = np.array([len(r) for r in rows])
-            source, p, p0 = np.array([x for r in rows for x in r], np.int64).T
-            each = np.repeat(size, size)  # as many partners has each posting, itself among them
-            a = np.repeat(np.arange(len(p)), each)
-            begin = np.repeat(np.repeat(np.cumsum(size) - size, size), each)
-            b = begin + np.arange(len(a)) - np.repeat(np.cumsum(each) - each, each)
-            a, b = a[a != b], b[a != b]
-            f = lambda x, y: (x - y) ** 2 // y
-            part = f(p[a], p[b]) - f(p[a], p0[b]) - f(p0[a], p[b]) + f(p0[a], p0[b])
-            n = len(sums[lang][0])
-            if n * n <= len(a):  # few sources: sums in a square of them, else by sorting
-                keys, which = np.arange(n * n), source[a] * n + source[b]
-                keys = keys // n << 32 | keys % n
-            else:
-                keys, which = np.unique(source[a] << 32 | source[b], return_inverse=True)
-            total = np.zeros(len(keys), np.int64)
-            np.add.at(total, which, part)
-            met = np.zeros(len(keys), bool)
-            met[which] = True
-            for k, v in zip(keys[met].tolist(), total[met].tolist(), strict=True):
-                pairs[k] = pairs.get(k, 0) + v
+            for lang, mine in pairs.items():
+                keys, width = np.array(list(mine), np.int64), len(groups.sources[lang])
+                yield rows(lang, len(keys), source=(keys // width).astype(np.int32), other=(keys % width).astype(np.int32), value=list(mine.values()))
+            pairs.clear()
 
         for batch in batches:
-            waiting: dict[str, list] = defaultdict(list)
-            load_of: Counter = Counter()
-            for lang, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if len(at) > 1:
-                    number = sums.setdefault(lang, ({}, {}))[0]
-                    waiting[lang].append([(number.setdefault(x["source"], len(number)), x["p"], x["p0"]) for x in at])
-                    load_of[lang] += len(at) ** 2
-                    if load_of[lang] >= PAIRS:
-                        add(lang, waiting.pop(lang))
-                        load_of[lang] = 0
-            for lang, rows in waiting.items():
-                add(lang, rows)
-            if sum(len(pairs) for _, pairs in sums.values()) > 4 * PAIRS:
+            langs = pc.unique(batch.column(0)).to_pylist()
+            for lang in langs:
+                own = batch.filter(pc.equal(batch.column(0), lang)) if len(langs) > 1 else batch
+                size = pc.list_value_length(own.column(2)).to_numpy().astype(np.int64)
+                source, n = pc.list_flatten(own.column(2)).to_numpy(), pc.list_flatten(own.column(3)).to_numpy()
+                v, totals = groups.terms[lang], groups.totals[lang]
+                p = share(n, totals[source] + SMOOTH * v)
+                q = np.repeat(share(np.add.reduceat(n, np.cumsum(size) - size), totals.sum() + SMOOTH * v), size)
+                keys, counts = np.unique(p << 20 | source, return_counts=True) if len(totals) <= 1 << 20 else np.unique(np.stack([p, source]), axis=1, return_counts=True)
+                values = zip((keys >> 20).tolist(), (keys & 0xFFFFF).tolist(), strict=True) if keys.ndim == 1 else zip(*keys.tolist(), strict=True)
+                often[lang].update(dict(zip(values, counts.tolist(), strict=True)))
+                more = np.flatnonzero(p > q)
+                if len(more):
+                    term = np.array([t.encode() for t in own.column(1).to_pylist()], object)
+                    best[lang].append((source[more], _f(p[more], q[more]), term[np.repeat(np.arange(len(size)), size)[more]]))
+                    if sum(len(x[0]) for x in best[lang]) > 4 * top * len(totals) + 200_000:
+                        leading(lang)
+                meet(lang, size, source, p)
+            if sum(map(len, pairs.values())) > 4 * PAIRS:
                 yield from flushed()
         yield from flushed()
+        for lang, counts in often.items():
+            yield rows(lang, len(counts), source=[k[1] for k in counts], p=[k[0] for k in counts], value=list(counts.values()))
+        for lang in best:
+            leading(lang)
+            source, value, term = best[lang][0]
+            yield rows(lang, len(source), source=source, term=[t.decode() for t in term], value=value)
 
-    return by_term.select("lang", "at").mapInArrow(run, "lang string, source string, item string, part long")
+    return stored.where("term IS NOT NULL").mapInArrow(run, "lang string, source int, other int, term string, p long, value long")
 
 
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank: the other sources of the language, and the terms that the source uses more than its language does."""
+    spark = docs.sparkSession
     chunked = materialize(chunks(docs), "chunks", compression="zstd")
-    postings = materialize(recount(chunked, least_docs), "postings")
-    totals = postings.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    kept = postings.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("terms"))
-    groups = chunked.where("term IS NULL").select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(kept, "lang", "left").fillna(0, ["total", "terms"])
-    groups = groups.withColumn("lang_total", F.sum("total").over(Window.partitionBy("lang")))
-    groups = materialize(groups.withColumn("p0", F.expr(f"CASE WHEN terms > 0 THEN {_share('0', 'total', 'terms')} ELSE 1 END")), "groups")
-    small = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
-
-    posted = postings.join(small, ["lang", "source"]).withColumn("p", F.expr(_share("n", "total", "terms")))
-    at = F.collect_list(F.struct("source", "p", "p0")).alias("at")
-    by_term = materialize(posted.groupBy("lang", "term").agg(at, F.expr(_share("sum(n)", "max(lang_total)", "max(terms)")).alias("q")), "by_term")
-
-    used = by_term.select("lang", "term", "q", F.explode("at").alias("x")).where("x.p > q").select("lang", F.col("x.source").alias("source"), F.col("term").alias("item"), F.expr(_f("x.p", "q")).alias("value"))
-    ranked = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-    used = used.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
-
-    other = small.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
-    often = posted.groupBy("lang", "source", "p", "p0").agg(F.count("*").alias("k")).join(other, "lang").where("source <> item")
-    ones = often.select("lang", "source", "item", F.expr(f"k * ({_f('p', 'q0')} - {_f('p0', 'q0')})").alias("part"))
-    others = often.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), F.expr(f"k * ({_f('q0', 'p')} - {_f('q0', 'p0')})").alias("part"))
-    neither = groups.join(other, "lang").where("source <> item").select("lang", "source", "item", F.expr(f"terms * ({_f('p0', 'q0')})").alias("part"))
-    pairs = neither.unionByName(ones).unionByName(others).unionByName(_shared_terms(by_term)).groupBy("lang", "source", "item").agg(F.sum("part").alias("value"))
-    pairs = pairs.withColumn("rank", F.row_number().over(ranked))
-    parts = [df.select("lang", "source", F.lit(name).alias("part"), "item", "value", "rank") for name, df in (("pair", pairs), ("term", used))]
-    return parts[0].unionByName(parts[1])
+    sources = defaultdict(list)
+    for lang, source in sorted(chunked.where("term IS NULL").select("lang", "source").distinct().collect()):
+        sources[lang].append(source)
+    groups = Groups(dict(sources))
+    stored = materialize(postings(recount(chunked, groups, least_docs)), "postings", compression="zstd")
+    groups.totals = {lang: np.zeros(len(names), np.int64) for lang, names in sources.items()}
+    each = stored.where("term IS NULL").select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", "x.sources").agg(F.sum("x.counts"))
+    for lang, k, n in each.collect():
+        groups.totals[lang][k] = n
+    groups.terms = dict.fromkeys(sources, 0) | dict(stored.where("term IS NOT NULL").groupBy("lang").count().collect())
+    found = materialize(scored(stored, groups, top), "scored")
+
+    rows = [(lang, k, name, groups.terms[lang], int(p)) for lang, names in sources.items() for k, (name, p) in enumerate(zip(names, groups.none(lang) if groups.terms[lang] else np.ones(len(names), np.int64), strict=True))]
+    table = spark.createDataFrame(rows, "lang string, k int, name string, terms long, p0 long")
+    mine, other = table.select("lang", F.col("k").alias("source"), F.col("name").alias("own"), "terms", "p0"), table.select("lang", F.col("k").alias("other"), F.col("name").alias("item"), F.col("p0").alias("q0"))
+    f = lambda p, q: f"({p} - {q}) * ({p} - {q}) div {q}"
+    often = found.where("p IS NOT NULL").groupBy("lang", "source", "p").agg(F.sum("value").alias("n")).join(mine, ["lang", "source"]).join(other, "lang").where("source <> other")
+    ones = often.selectExpr("lang", "source", "other", f"n * ({f('p', 'q0')} - {f('p0', 'q0')}) AS value")
+    others = often.selectExpr("lang", "other AS source", "source AS other", f"n * ({f('q0', 'p')} - {f('q0', 'p0')}) AS value")
+    neither = mine.join(other, "lang").where("source <> other").selectExpr("lang", "source", "other", f"terms * ({f('p0', 'q0')}) AS value")
+    both = found.where("other IS NOT NULL").select("lang", "source", "other", "value")
+    pairs = neither.unionByName(ones).unionByName(others).unionByName(both).groupBy("lang", "source", "other").agg(F.sum("value").alias("value")).join(other.drop("q0"), ["lang", "other"])
+    used = found.where("term IS NOT NULL").select("lang", "source", F.col("term").alias("item"), "value")
+    place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item"))
+    out = None
+    for part, df, most in (("pair", pairs, None), ("term", used, top)):
+        ranked = df.select("lang", "source", "item", "value").withColumn("rank", place)
+        ranked = ranked if most is None else ranked.where(F.col("rank") <= most)
+        named = ranked.join(mine, ["lang", "source"]).select("lang", F.col("own").alias("source"), F.lit(part).alias("part"), "item", "value", "rank")
+        out = named if out is None else out.unionByName(named)
+    return out
 
 
 def op11_divergence(spark, sf_dir: str) -> DataFrame:

@@ -72,11 +72,19 @@ def test_audit_is_brute_force(spark, rows, parts, size, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute_audit(rows)
 
 
-def test_audit_ranks_end_at_the_top_and_joins_need_no_broadcast(spark, rows, monkeypatch):
-    monkeypatch.setattr(divergence, "BROADCAST_GROUPS", 0)
+def test_audit_ranks_end_at_the_top(spark, rows):
     assert sorted(map(tuple, divergence.audit(table(spark, rows), top=4).collect())) == brute_audit(rows, top=4)
 
 
+def test_shares_are_exact_for_any_count():
+    import numpy as np
+
+    rnd = random.Random(2)
+    pairs = [(n := rnd.randrange(10**k), n + rnd.randrange(1, 10 ** rnd.randint(1, 15))) for k in range(1, 15) for _ in range(50)]
+    got = divergence.share(np.array([n for n, _ in pairs]), np.array([w for _, w in pairs]))
+    assert got.tolist() == [1 + 10**9 * (n + 1) // w for n, w in pairs]
+
+
 def test_audit_keeps_the_hot_source_whole(spark):
     rows = [(i, f"common term{'abcdef'[i % 6]} again", "en", "hot" if i % 3 else f"s{i % 5}") for i in range(4000)]
     assert sorted(map(tuple, divergence.audit(table(spark, rows).repartition(20)).collect())) == brute_audit(rows)
