@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+STRETCH = 1 << 16  # buckets that one array holds at most
+
 
 def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, width: int, on: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
     """Rows of points with the half-open intervals that hold them. Bins of `width` make it an equi join, so no side is broadcast and nothing is multiplied out.
@@ -22,6 +24,58 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, hi
     return left.join(right, cond, how).drop(F.col("p._bin"), F.col("i._bin"), *[F.col(f"i.{k}") for k in on])
 
 
+def interval_join(left: DataFrame, right: DataFrame, low: tuple[str, str], high: tuple[str, str], width: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows whose half-open intervals overlap; low and high name the ends of left and of right, `on` further keys.
+
+    Both sides stand in every bin of `width` that they touch, and a pair counts in the first bin that
+    they share, so it is an equi join, no side is broadcast and no pair comes twice. Empty
+    intervals overlap nothing.
+    """
+
+    def binned(df: DataFrame, lo: str, hi: str) -> DataFrame:
+        return df.where(F.col(lo) < F.col(hi)).withColumn("_bin", F.explode(F.expr(f"sequence({lo} div {width}, ({hi} - 1) div {width})")))
+
+    a, b = binned(left, low[0], high[0]).alias("a"), binned(right, low[1], high[1]).alias("b")
+    cond = (F.col(f"a.{low[0]}") < F.col(f"b.{high[1]}")) & (F.col(f"b.{low[1]}") < F.col(f"a.{high[0]}"))
+    for k in ("_bin", *on):
+        cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    first = F.expr(f"a._bin = greatest(a.{low[0]} div {width}, b.{low[1]} div {width})")
+    return a.join(b, cond & first).drop(F.col("a._bin"), F.col("b._bin"), *[F.col(f"b.{k}") for k in on])
+
+
+def running(df: DataFrame, by: list[str], order: list[str], chunk: Column, values: dict[str, tuple[str, Column]], before: bool = False) -> DataFrame:
+    """df with running aggregates in `order` within `by`: values has (sum or max, column) by name. before: without the row itself.
+
+    `chunk` must ascend with the order. A window runs within a chunk only, and a row for each chunk
+    carries on what the former ones come to, so a group of any size is the work of many tasks.
+    """
+    cols = df.columns
+    chunked = df.withColumn("_chunk", chunk)
+    inner = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    outer = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    agg = {"sum": F.sum, "max": F.max}
+    totals = chunked.groupBy(*by, "_chunk").agg(*[agg[f](c).alias(f"_{n}") for n, (f, c) in values.items()])
+    offsets = totals.select(*by, "_chunk", *[agg[f](f"_{n}").over(outer).alias(f"_{n}") for n, (f, _) in values.items()])
+    own = chunked.withColumns({n: agg[f](c).over(inner) for n, (f, c) in values.items()})
+    cond = F.col("r._chunk").eqNullSafe(F.col("o._chunk"))
+    for k in by:
+        cond = cond & F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}"))
+    join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest}
+    return own.alias("r").join(offsets.alias("o"), cond).select(*[F.col(f"r.{c}") for c in cols], *[join[f](F.col(f"r.{n}"), F.col(f"o._{n}")).alias(n) for n, (f, _) in values.items()])
+
+
+def alias_counts(df: DataFrame, by: list[str], key: str, low: str = "lo", high: str = "hi", chunk: int = 1 << 20) -> DataFrame:
+    """(by, key, aliases): how many other ranges of its group each range overlaps, without pairing them.
+
+    Of n ranges those that start before my end, less those that end by my start, overlap me: two ranks
+    among all ends, which one running count gives. `key` tells the ranges of a group apart; empty ranges aren't counted.
+    """
+    ends = F.explode(F.array(F.struct(F.col(low).alias("at"), F.lit(1).alias("opens")), F.struct(F.col(high).alias("at"), F.lit(0).alias("opens")))).alias("p")
+    points = df.where(F.col(low) < F.col(high)).select(*by, key, ends).select(*by, key, "p.at", "p.opens")
+    counted = running(points, by, ["at", "opens"], F.expr(f"at div {chunk}"), {"_opened": ("sum", F.col("opens")), "_closed": ("sum", 1 - F.col("opens"))})
+    return counted.groupBy(*by, key).agg((F.sum(F.when(F.col("opens") == 1, -F.col("_closed")).otherwise(F.col("_opened"))) - 1).alias("aliases"))
+
+
 def asof_last(events: DataFrame, value: Column, by: list[str], order: list[str], out: str) -> DataFrame:
     """The latest non-null value at or before each row, within `by`: an as-of join as one window over the union of both sides."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -134,8 +188,10 @@ def step_timeline(deltas: DataFrame, series: str, bucket: int) -> DataFrame:
     order = Window.partitionBy(series).orderBy("bucket")
     steps = timed.groupBy("bucket", series).agg(F.sum("delta").alias("delta"))
     steps = steps.select("bucket", series, F.sum("delta").over(order).alias("_run"), F.lead("bucket").over(order).alias("_next"), (F.row_number().over(order) == 1).alias("_first"))
-    stretch = F.expr("explode(sequence(if(_first, 0L, bucket), coalesce(_next - 1, _last)))").alias("_at")
-    filled = steps.crossJoin(end).select("bucket", series, "_run", stretch)
+    ends = steps.crossJoin(end).selectExpr("bucket", series, "_run", "if(_first, 0L, bucket) AS _from", "coalesce(_next - 1, _last) AS _upto")  # end: one row
+    # First by STRETCH buckets, then each of these by single ones, so no array holds a long stretch whole.
+    parts = ends.withColumn("_part", F.explode(F.expr(f"sequence(_from div {STRETCH}, _upto div {STRETCH})")))
+    filled = parts.withColumn("_at", F.explode(F.expr(f"sequence(greatest(_from, _part * {STRETCH}), least(_upto, _part * {STRETCH} + {STRETCH - 1}))")))
     return filled.select(F.col("_at").alias("bucket"), series, F.when(F.col("_at") >= F.col("bucket"), F.col("_run")).otherwise(0).alias("value"))
 
 
@@ -160,25 +216,57 @@ def last_writer(maps: DataFrame, by: list[str]) -> DataFrame:
     return topmost(maps, by, [F.col("seq").desc()]).where("NOT unmap").withColumn("width", F.col("_e") - F.col("_s"))
 
 
-def lanes(df: DataFrame, by: str) -> DataFrame:
+def sections(df: DataFrame, by: str, chunk: int) -> DataFrame:
+    """df with section: numbers of the stretches of (lo, id) between which no range of the group is open."""
+    order = ["lo", "id"]
+    reached = running(df, [by], order, F.expr(f"lo div {chunk}"), {"_reach": ("max", F.col("hi"))}, before=True)
+    begun = reached.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("lo") >= F.col("_reach")), 1).otherwise(0)).drop("_reach")
+    return running(begun, [by], order, F.expr(f"lo div {chunk}"), {"section": ("sum", F.col("_new"))}).drop("_new")
+
+
+class Lanes:
+    """First-fit lanes: a tree over lanes of the least end in each half finds the first free one in the logarithm of their number."""
+
+    FREE = -(1 << 63)
+
+    def __init__(self):
+        self.width, self.ends = 1, [self.FREE] * 2
+
+    def place(self, lo: int, hi: int) -> int:
+        if self.ends[1] > lo:  # all are taken: as many again
+            leaves = self.ends[self.width :] + [self.FREE] * self.width
+            self.width *= 2
+            self.ends = [self.FREE] * self.width + leaves
+            for k in range(self.width - 1, 0, -1):
+                self.ends[k] = min(self.ends[2 * k], self.ends[2 * k + 1])
+        k = 1
+        while k < self.width:
+            k = 2 * k if self.ends[2 * k] <= lo else 2 * k + 1
+        lane = k - self.width
+        self.ends[k] = hi
+        while k := k // 2:
+            self.ends[k] = min(self.ends[2 * k], self.ends[2 * k + 1])
+        return lane
+
+
+def lanes(df: DataFrame, by: str, chunk: int = 1 << 20) -> DataFrame:
     """First-fit lanes of overlapping ranges (by, id, lo, hi) in order of (lo, id).
 
-    Greedy, so not a window frame: rows arrive sorted in their partitions and one pass
-    keeps only the ends of the current group's open lanes.
+    Greedy, so not a window frame: where no range is open every lane is free, so a group falls into
+    sections that are packed by themselves. They arrive sorted, and one pass keeps the ends of the current section's lanes.
     """
     import pandas as pd
 
     def pack(frames):
-        group, ends = None, []
+        group, packed = None, Lanes()
         for pdf in frames:
             out = []
-            for g, lo, hi in zip(pdf[by].tolist(), pdf["lo"].tolist(), pdf["hi"].tolist(), strict=True):
-                if g != group:
-                    group, ends = g, []
-                k = next((i for i, e in enumerate(ends) if e <= lo), len(ends))
-                ends[k : k + 1] = [hi]
-                out.append(k)
-            yield pdf.assign(lane=pd.Series(out, index=pdf.index, dtype="int32"))
-
-    ordered = df.select(by, "id", "lo", "hi").repartition(by).sortWithinPartitions(by, "lo", "id")
+            for g, section, lo, hi in zip(pdf[by].tolist(), pdf["section"].tolist(), pdf["lo"].tolist(), pdf["hi"].tolist(), strict=True):
+                if (g, section) != group:
+                    group, packed = (g, section), Lanes()
+                out.append(packed.place(lo, hi))
+            yield pdf.drop(columns="section").assign(lane=pd.Series(out, index=pdf.index, dtype="int32"))
+
+    cut = sections(df.select(by, "id", "lo", "hi"), by, chunk)
+    ordered = cut.repartition(by, "section").sortWithinPartitions(by, "section", "lo", "id")
     return ordered.mapInPandas(pack, f"{by} long, id long, lo long, hi long, lane int")

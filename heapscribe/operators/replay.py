@@ -128,14 +128,14 @@ def regions(tokens: DataFrame) -> DataFrame:
 
 
 def swept(tokens: DataFrame) -> DataFrame:
-    """One pass over each region's tokens in order: a written table with a row for each allocate token (taken; end_seq and end_ts of the free that ends it) and for each bind that finds an allocation (base and alloc_seq: of several that hold its address, that with the greatest base).
+    """One pass over each region's tokens in order: a written table with a row for each allocate token (taken; end_seq and end_ts of the free that ends it) and for each bind, residency reference and CPU map that finds an allocation (base and alloc_seq: of several that hold its address, that with the greatest base).
 
     An allocation whose base lies within a live one is not taken, and itself rejects nothing.
     A region's tokens stream by; memory holds what lives at one time.
     """
-    on_place = tokens.where(F.col("kind").isin(trace.ALLOCATE, trace.FREE) | (F.col("kind") == trace.BIND) & ~_on_system())
+    on_place = tokens.where(F.col("kind").isin(trace.ALLOCATE, trace.FREE, trace.REFERENCE, trace.CPU_MAP) | (F.col("kind") == trace.BIND) & ~_on_system())
     types = {f.name: f.dataType.simpleString() for f in tokens.schema}
-    schema = f"trace_id {types['trace_id']}, seq long, kind int, taken boolean, base long, alloc_seq long, end_seq long, end_ts long, " + ", ".join(f"{c} {types[c]}" for c in _HELD)
+    schema = f"trace_id {types['trace_id']}, seq {types['seq']}, kind int, taken boolean, base long, alloc_seq {types['seq']}, end_seq {types['seq']}, end_ts long, " + ", ".join(f"{c} {types[c]}" for c in _HELD)
     rows = regions(on_place).select("trace_id", "region", "seq", F.col("kind").cast("int").alias("kind"), *_HELD)
     # A shared image's allocation has the number of its bind and comes before it.
     ordered = rows.repartition("trace_id", "region").sortWithinPartitions("trace_id", "region", "seq", F.col("kind").desc())
@@ -156,7 +156,7 @@ def swept(tokens: DataFrame) -> DataFrame:
             if target is None:
                 f = batch.schema.field
                 long = pa.int64()
-                target = pa.schema([f("trace_id"), ("seq", long), ("kind", pa.int32()), ("taken", pa.bool_()), ("base", long), ("alloc_seq", long), ("end_seq", long), ("end_ts", long), *[f(c) for c in _HELD]])
+                target = pa.schema([f("trace_id"), f("seq"), ("kind", pa.int32()), ("taken", pa.bool_()), ("base", long), ("alloc_seq", f("seq").type), ("end_seq", f("seq").type), ("end_ts", long), *[f(c) for c in _HELD]])
             for trace_id, region, seq, kind, *held in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (trace_id, region) != group:
                     if group:
@@ -166,7 +166,7 @@ def swept(tokens: DataFrame) -> DataFrame:
                 if kind == trace.FREE:
                     if row := live.pop(va):
                         out.append((trace_id, row[0], trace.ALLOCATE, True, None, None, seq, ts, *row[1:]))
-                elif kind == trace.BIND:
+                elif kind != trace.ALLOCATE:
                     base = next((b for b in live.over(va) if live.rows[b][1][4]), None)  # an empty allocation holds no address
                     if base is not None:
                         out.append((trace_id, seq, kind, None, base, live.rows[base][1][0], None, None, *[None] * len(held)))
@@ -205,12 +205,14 @@ def rejects(tokens: DataFrame) -> DataFrame:
     return _shown(both.withColumn("end_ts", F.last("_freed", True).over(later)).where("kind IS NOT NULL"))
 
 
-def _lives(tokens: DataFrame) -> DataFrame:
-    """Tokens of resources with `episode`, numbered by the creates of their driver id. What comes before the first create or after an episode's destroy changes nothing."""
+def lives(tokens: DataFrame) -> DataFrame:
+    """Tokens of resources with `episode`, numbered by the creates of their driver id, and what the create says: create_seq, created, created_type. What comes before the first create or after an episode's destroy changes nothing."""
     events = tokens.where(F.col("kind").isin(trace.CREATE, trace.BIND, trace.UPDATE, trace.DESTROY))
     numbered = events.withColumn("episode", F.sum((F.col("kind") == trace.CREATE).cast("int")).over(_upto("trace_id", "driver_id"))).where("episode > 0")
     ended = F.max(F.col("kind") == trace.DESTROY).over(_before("trace_id", "driver_id", "episode"))
-    return numbered.withColumn("_ended", F.coalesce(ended, F.lit(False))).where("NOT _ended").drop("_ended")
+    first = {"create_seq": "seq", "created": "ts", "created_type": "resource_type"}
+    named = numbered.withColumns({n: F.first(c).over(_upto("trace_id", "driver_id", "episode")) for n, c in first.items()})
+    return named.withColumn("_ended", F.coalesce(ended, F.lit(False))).where("NOT _ended").drop("_ended")
 
 
 def _upto(*by: str):
@@ -235,52 +237,53 @@ def with_shared(tokens: DataFrame) -> DataFrame:
 
     Like any allocation it counts only if no live one holds its base, that is if the bind finds none.
     """
-    lives = _lives(tokens)
+    alive = lives(tokens)
     image = F.max((F.col("kind") == trace.CREATE) & (F.col("resource_type") == IMAGE) & (F.col("create_flags").bitwiseAND(SHAREABLE) != 0)).over(_upto("trace_id", "driver_id", "episode"))
     former = F.count(F.when(F.col("kind") == trace.BIND, 1)).over(_before("trace_id", "driver_id", "episode"))
-    first = lives.withColumns({"_image": image, "_former": former}).where((F.col("kind") == trace.BIND) & F.col("_image") & (F.col("_former") == 0) & (F.col("size") >= PAGE) & ~_on_system())
+    first = alive.withColumns({"_image": image, "_former": former}).where((F.col("kind") == trace.BIND) & F.col("_image") & (F.col("_former") == 0) & (F.col("size") >= PAGE) & ~_on_system())
     made = first.withColumns({"kind": F.lit(trace.ALLOCATE).cast(tokens.schema["kind"].dataType), "size": F.expr(f"size div {PAGE} * {PAGE}"), "owner": F.lit(CLIENT_DRIVER).cast(tokens.schema["owner"].dataType), "pref": F.array(*[F.lit(0)] * 4)})
     return tokens.unionByName(made.select(*tokens.columns))
 
 
 def spans(tokens: DataFrame) -> DataFrame:
-    """The states of each resource as intervals: trace_id, driver_id, valid_from, valid_to (null: open), resource_type, usage, create_flags, create_ts, bind_ts, address, size, base, alloc_seq.
+    """The states of each resource as intervals: trace_id, driver_id, valid_from, valid_to (null: open), resource_type, usage, create_flags, create_ts, bind_ts, address, size, base, alloc_seq, create_seq (the number of its create, which with the driver id is its identity).
 
     A create ends the former resource of its driver id. A bind counts as long as none has
     found an allocation (base; null: none). Buffers, heaps and command allocators that are
     bound are created anew by a further bind, which binds them unless it is to system
     memory without an address; others ignore it. An update replaces the usage flags.
     """
-    return _spans(tokens, swept(with_shared(tokens)))
+    return spans_of(tokens, swept(with_shared(tokens)))
 
 
-def _spans(tokens: DataFrame, state: DataFrame) -> DataFrame:
+def spans_of(tokens: DataFrame, state: DataFrame) -> DataFrame:
+    """`spans` where swept(with_shared(tokens)) is at hand."""
     found = state.where(F.col("kind") == trace.BIND).select("trace_id", "seq", "base", "alloc_seq")
-    lives = _lives(tokens).join(found, ["trace_id", "seq"], "left")
+    alive = lives(tokens).join(found, ["trace_id", "seq"], "left")
     upto, before = _upto("trace_id", "driver_id", "episode"), _before("trace_id", "driver_id", "episode")
     is_, created = lambda k: F.col("kind") == k, F.col("kind") == trace.CREATE
     hit = F.when(is_(trace.BIND), F.col("base").isNotNull())
-    lives = lives.withColumns({"_type": F.last(F.when(created, F.col("resource_type")), True).over(upto), "_image_flags": F.last(F.when(created, F.coalesce("create_flags", F.lit(0))), True).over(upto)})
+    alive = alive.withColumns({"_type": F.last(F.when(created, F.col("resource_type")), True).over(upto), "_image_flags": F.last(F.when(created, F.coalesce("create_flags", F.lit(0))), True).over(upto)})
     rebindable = F.col("_type").isin(*REBINDABLE)
-    lives = lives.withColumn("_bound", F.coalesce(F.when(rebindable, F.last(hit, True).over(before)).otherwise(F.max(hit).over(before)), F.lit(False)))
-    lives = lives.where(~is_(trace.BIND) | ~F.col("_bound") | rebindable)
+    alive = alive.withColumn("_bound", F.coalesce(F.when(rebindable, F.last(hit, True).over(before)).otherwise(F.max(hit).over(before)), F.lit(False)))
+    alive = alive.where(~is_(trace.BIND) | ~F.col("_bound") | rebindable)
     again = is_(trace.BIND) & F.col("_bound")
-    place = F.when(again & _on_system() | created, F.struct(*[F.lit(None).cast("long").alias(c) for c in ("ts", "va", "size", "base", "alloc_seq")]))
+    place = F.when(again & _on_system() | created, F.struct(*[F.lit(None).cast(state.schema["alloc_seq"].dataType if c == "alloc_seq" else "long").alias(c) for c in ("ts", "va", "size", "base", "alloc_seq")]))
     place = place.when(is_(trace.BIND), F.struct("ts", "va", "size", "base", "alloc_seq"))
-    out = lives.withColumns({
+    out = alive.withColumns({
         "_place": F.last(place, True).over(upto),
         "_flags": F.last(F.when(created, F.col("usage_flags")).when(is_(trace.UPDATE), F.col("after")), True).over(upto),
         "create_ts": F.last(F.when(created | again, F.col("ts")), True).over(upto),
         "valid_to": F.lead("ts").over(Window.partitionBy("trace_id", "driver_id").orderBy("seq")),
     }).where(~is_(trace.DESTROY))
-    return out.select("trace_id", "driver_id", F.col("ts").alias("valid_from"), "valid_to", F.col("_type").alias("resource_type"), _usage(F.col("_type"), F.col("_flags")).alias("usage"), F.col("_image_flags").alias("create_flags"), "create_ts", F.col("_place.ts").alias("bind_ts"), F.col("_place.va").alias("address"), F.col("_place.size").alias("size"), F.col("_place.base").alias("base"), F.col("_place.alloc_seq").alias("alloc_seq"))
+    return out.select("trace_id", "driver_id", F.col("ts").alias("valid_from"), "valid_to", F.col("_type").alias("resource_type"), _usage(F.col("_type"), F.col("_flags")).alias("usage"), F.col("_image_flags").alias("create_flags"), "create_ts", F.col("_place.ts").alias("bind_ts"), F.col("_place.va").alias("address"), F.col("_place.size").alias("size"), F.col("_place.base").alias("base"), F.col("_place.alloc_seq").alias("alloc_seq"), "create_seq")
 
 
 def heap_changes(tokens: DataFrame) -> DataFrame:
     """(trace_id, ts, heap, delta): bytes by first preferred heap, as allocations come and go. The bind of a partly resident image moves its allocation's bytes to heap 3 (none)."""
     state = swept(with_shared(tokens))
     taken = _taken(state).select("trace_id", F.col("seq").alias("alloc_seq"), "ts", "size", F.element_at("pref", 1).alias("heap"), F.col("end_ts").alias("_free"))
-    sparse = _spans(tokens, state).where((F.col("resource_type") == IMAGE) & (F.col("create_flags").bitwiseAND(SPARSE) != 0) & F.col("alloc_seq").isNotNull())
+    sparse = spans_of(tokens, state).where((F.col("resource_type") == IMAGE) & (F.col("create_flags").bitwiseAND(SPARSE) != 0) & F.col("alloc_seq").isNotNull())
     moved = sparse.groupBy("trace_id", "alloc_seq").agg(F.min("bind_ts").alias("_moved"))
     changes = F.expr("""array(struct(ts, heap, size AS delta), struct(_moved AS ts, heap, -size AS delta), struct(_moved AS ts, 3 AS heap, size AS delta),
       struct(_free AS ts, if(_moved IS NULL, heap, 3) AS heap, -size AS delta))""")
@@ -301,7 +304,7 @@ def resources(tokens: DataFrame) -> DataFrame:
     """trace_id, driver_id, episode, resource_type, usage, size, create_ts, bind_ts, address, destroy_ts, one row for each create: of its binds the last counts for buffers, heaps and command allocators, the first for others. `spans` has each state."""
     kind = lambda k, c: F.when(F.col("kind") == k, F.col(c))
     flags = F.max_by("_flags", F.when(F.col("_flags").isNotNull(), F.col("seq")))
-    numbered = _lives(tokens).withColumn("_flags", F.coalesce(kind(trace.CREATE, "usage_flags"), kind(trace.UPDATE, "after")))
+    numbered = lives(tokens).withColumn("_flags", F.coalesce(kind(trace.CREATE, "usage_flags"), kind(trace.UPDATE, "after")))
     rebindable = F.max(kind(trace.CREATE, "resource_type")).isin(*REBINDABLE)
     at_bind = F.when(F.col("kind") == trace.BIND, F.col("seq"))
     first, last = (f(F.struct("ts", "va", "size"), at_bind) for f in (F.min_by, F.max_by))

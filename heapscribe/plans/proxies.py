@@ -56,6 +56,19 @@ FROM (SELECT event_id AS seq, {seconds(ts)} AS ts, user_id AS u, CAST(floor(valu
       FROM {events}) e""",
         ("events",),
     ),
+    # The tape's tokens with others between them: residency references, CPU maps and page-table updates within the arenas, correlations, names and implicit marks (kinds of user data as in sources.trace; traces t2 have no correlations).
+    "reel": (
+        """SELECT trace_id, stream_index, seq * 4 AS seq, seq * 64 AS offset, ts, kind, is_system, va, size, heap, owner, driver_id, resource_type, create_flags, usage_flags, after,
+       -1 AS user_kind, CAST(NULL AS BIGINT) AS correlation_id, CAST(NULL AS STRING) AS name, CAST(0 AS BIGINT) AS delay, 0 AS implicit, CAST(0 AS BIGINT) AS op, false AS unmap, CAST(NULL AS BIGINT) AS pa FROM {tape} WHERE kind <> 4
+UNION ALL SELECT 't' || CAST(u % 3 AS STRING), CAST(0 AS BIGINT), seq * 4 + 1, seq * 64 + 16, ts, CASE v % 3 WHEN 0 THEN 6 WHEN 1 THEN 10 ELSE 3 END, false, (u // 3 + 1) * 16777216 + (v * 5 + u) % 8 * 65536 + v % 6 * 4096,
+       (1 + v % 4) * 4096, CAST(NULL AS INT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS INT), -1, CAST(NULL AS BIGINT), CAST(NULL AS STRING), CAST(0 AS BIGINT), 0, v // 3 % 2, v // 3 % 3 = 1, CASE WHEN v % 5 = 0 THEN 0 ELSE 4294967296 + v * 4096 END FROM {moments} WHERE v % 2 = 0
+UNION ALL SELECT 't' || CAST(u % 3 AS STRING), CAST(0 AS BIGINT), seq * 4 + 2, seq * 64 + 32, ts, 4, false, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS INT), CAST(NULL AS BIGINT),
+       CASE WHEN v % 4 = 0 OR v // 4 % 2 = 0 THEN u * 4 + v // 8 % 4 ELSE 1000000 + u * 4 + v // 16 % 4 END, CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS INT),
+       CASE v % 4 WHEN 0 THEN 4 WHEN 1 THEN 0 WHEN 2 THEN 6 ELSE 7 END, CASE WHEN v % 4 = 0 THEN 1000000 + u * 4 + v // 16 % 4 END, CASE WHEN v % 4 IN (1, 2) THEN 'n' || CAST(v % 13 AS STRING) END, CASE WHEN v % 4 > 1 THEN v % 5 * 1000 ELSE 0 END, CASE WHEN v % 4 = 3 THEN CAST(v // 4 % 3 AS INT) ELSE 0 END,
+       CAST(0 AS BIGINT), false, CAST(NULL AS BIGINT) FROM {moments} WHERE v % 4 > 0 OR u % 3 < 2""",
+        ("tape", "moments"),
+    ),
+    "moments": ("SELECT event_id AS seq, {seconds(ts)} AS ts, user_id AS u, CAST(floor(value) AS BIGINT) AS v FROM {events}", ("events",)),
     "segments": ("SELECT 0 AS heap, 4294967296 AS lo, 8589934592 AS hi UNION ALL SELECT 1, 8589934592, 12884901888", ()),
 }
 TABLES = ("orders", "lineitem", "events", "customer", "part", "supplier")

@@ -7,14 +7,13 @@ text for the check. Keys begin with the numbers of the inventory rows that they
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import enums, scalars
-from .operators import intervals, layout, replay
+from .operators import aliasing, intervals, layout, replay
 from .plans import proxies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,33 +87,28 @@ _ALIASED = """(SELECT g.alloc_id, g.s, g.e - g.s AS width, r.res_id, r.usage, r.
   JOIN {res} r ON r.alloc_id = g.alloc_id AND r.off <= g.s AND r.off + r.rsize >= g.e WHERE g.e IS NOT NULL AND r.usage <> 2)"""
 
 
+#: Aliased bytes told segment by segment: at each time at which something begins or ends over one, the highest usage that lives there.
+_TOPS = f"""t AS (SELECT DISTINCT alloc_id, s, ts FROM (SELECT alloc_id, s, a AS ts FROM c UNION ALL SELECT alloc_id, s, b FROM c WHERE b IS NOT NULL) u),
+p AS (SELECT t.alloc_id, t.s, t.ts, max(c.usage) AS top FROM t LEFT JOIN c ON c.alloc_id = t.alloc_id AND c.s = t.s AND c.a <= t.ts AND (c.b IS NULL OR t.ts < c.b) GROUP BY ALL),
+w AS (SELECT DISTINCT alloc_id, s, width FROM c),
+n AS (SELECT p.ts, p.top, lag(p.top) OVER (PARTITION BY p.alloc_id, p.s ORDER BY p.ts) AS former, w.width FROM p JOIN w ON w.alloc_id = p.alloc_id AND w.s = p.s),
+d AS (SELECT ts // {scalars.BUCKET} AS bucket, top AS usage, width AS delta FROM n WHERE top IS NOT NULL AND (former IS NULL OR top <> former) UNION ALL SELECT ts // {scalars.BUCKET}, former, -width FROM n WHERE former IS NOT NULL AND (top IS NULL OR top <> former)),
+g AS (SELECT r.range AS bucket, k.usage FROM range(0, (SELECT max(bucket) + 1 FROM d)) r CROSS JOIN (SELECT DISTINCT usage FROM d) k)
+SELECT CAST(g.bucket AS BIGINT) AS bucket, g.usage, CAST(sum(coalesce(b.delta, 0)) OVER (PARTITION BY g.usage ORDER BY g.bucket) AS BIGINT) AS value
+FROM g LEFT JOIN (SELECT bucket, usage, sum(delta) AS delta FROM d GROUP BY bucket, usage) b ON b.bucket = g.bucket AND b.usage = g.usage"""
+
+
 @frame(
     "w03_aliased_bytes_timeline",
-    f"""
-WITH c AS (SELECT *, max(usage) OVER (PARTITION BY alloc_id, s ORDER BY bind_ts, res_id ROWS UNBOUNDED PRECEDING) AS top FROM {_ALIASED} x),
-p AS (SELECT *, lag(top) OVER (PARTITION BY alloc_id, s ORDER BY bind_ts, res_id) AS former,
-             row_number() OVER (PARTITION BY alloc_id, s ORDER BY bind_ts DESC, res_id DESC) AS back FROM c),
-d AS (SELECT bind_ts AS ts, top AS usage, width AS delta FROM p WHERE former IS NULL OR top <> former
-      UNION ALL SELECT bind_ts, former, -width FROM p WHERE former IS NOT NULL AND top <> former
-      UNION ALL SELECT free_ts, top, -width FROM p WHERE back = 1 AND free_ts <= (SELECT max(bind_ts) FROM p))
-SELECT ts // 3000 AS bucket, usage, CAST(sum(delta) AS BIGINT) AS change FROM d GROUP BY 1, 2 HAVING sum(delta) <> 0""",
+    f"WITH c AS (SELECT alloc_id, s, width, usage, bind_ts AS a, CASE WHEN free_ts <= (SELECT max(bind_ts) FROM {{res}} WHERE usage <> 2) THEN free_ts END AS b FROM {_ALIASED} x WHERE free_ts IS NULL OR free_ts > bind_ts), {_TOPS}",
 )
 def aliased_timeline(view):
-    """Per bucket and usage the change of aliased bytes: each elementary segment is charged to the highest usage bound so far."""
-    from pyspark.sql.window import Window
-
-    covered = intervals.cover(view("SELECT alloc_id, res_id, usage, bind_ts, free_ts, off AS lo, off + rsize AS hi FROM {res} WHERE usage <> 2"), ["alloc_id"])
-    order = Window.partitionBy("alloc_id", "_s").orderBy("bind_ts", "res_id")
-    back = Window.partitionBy("alloc_id", "_s").orderBy(F.col("bind_ts").desc(), F.col("res_id").desc())
-    charged = covered.select("bind_ts", "free_ts", (F.col("_e") - F.col("_s")).alias("width"), "alloc_id", "_s", "res_id", F.max("usage").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("top"))
-    charged = charged.withColumns({"former": F.lag("top").over(order), "last": F.row_number().over(back) == 1})
-    changes = F.expr("""filter(array(
-      CASE WHEN former IS NULL OR top <> former THEN struct(bind_ts AS ts, top AS usage, width AS delta) END,
-      CASE WHEN top <> former THEN struct(bind_ts AS ts, former AS usage, -width AS delta) END,
-      CASE WHEN last AND free_ts IS NOT NULL THEN struct(free_ts AS ts, top AS usage, -width AS delta) END), x -> x IS NOT NULL)""")
-    end = F.broadcast(view("res").where("usage <> 2").agg(F.max("bind_ts").alias("_max")))
-    rows = charged.select(F.explode(changes).alias("c")).select("c.*").join(end, F.col("ts") <= F.col("_max"))
-    return rows.groupBy(F.expr(f"ts div {scalars.BUCKET}").alias("bucket"), "usage").agg(F.sum("delta").alias("change")).where("change <> 0")
+    """Aliased bytes in use by usage and bucket; ends after the last bind lie outside the trace."""
+    rows = view("SELECT alloc_id, usage, bind_ts, free_ts, off AS lo, off + rsize AS hi FROM {res} WHERE usage <> 2")
+    end = F.broadcast(rows.agg(F.max("bind_ts").alias("_max")))  # one row
+    ended = rows.crossJoin(end).withColumn("free_ts", F.when(F.col("free_ts") <= F.col("_max"), F.col("free_ts")).otherwise(F.when(F.col("free_ts") <= F.col("bind_ts"), F.col("free_ts"))))
+    changes = aliasing.changes(ended, ["alloc_id"], "lo", "hi", "bind_ts", "free_ts", stretch=1 << 18)
+    return intervals.step_timeline(changes, "usage", scalars.BUCKET)
 
 
 sql(
@@ -158,11 +152,6 @@ sql(
 WHERE former IS NULL OR former <> kind OR former_ts // 3600 <> ts // 3600""",
 )
 sql("w14_unique_ids", "SELECT seq, pid * 4294967296 + n - 1 AS unique_id FROM (SELECT seq, pid, row_number() OVER (PARTITION BY pid ORDER BY seq) AS n FROM {toks} WHERE kind = 12) t")
-sql(
-    "w15_r10_r11_residency",
-    """SELECT pid, max_by(kind, seq) AS last_op, count_if(kind = 6) AS references_seen, count_if(kind = 10) AS maps, max(CASE WHEN kind = 10 THEN ts END) AS last_map, bool_or(kind = 11) AS freed
-FROM {toks} WHERE kind IN (6, 10, 11) GROUP BY pid""",
-)
 sql(
     "w16_history_marker",  # the marker of time T stands before the first event after T
     """SELECT pid, seq, ts, kind, CAST(row_number() OVER (PARTITION BY pid ORDER BY ts, seq) + CASE WHEN ts > 1000000 THEN 1 ELSE 0 END AS BIGINT) AS place FROM {toks}
@@ -170,7 +159,11 @@ UNION ALL SELECT pid, NULL, 1000000, -1, CAST(1 + sum(CASE WHEN ts <= 1000000 TH
     """SELECT pid, seq, ts, kind, row_number() OVER (PARTITION BY pid ORDER BY ts, marker, seq) AS place
 FROM (SELECT pid, seq, ts, kind, 0 AS marker FROM {toks} UNION ALL SELECT DISTINCT pid, CAST(NULL AS BIGINT), CAST(1000000 AS BIGINT), -1, 1 FROM {toks}) t""",
 )
-sql("w17_next_event", "SELECT seq, min(CASE WHEN kind = 11 THEN seq END) OVER (PARTITION BY pid ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_free FROM {toks}")
+sql(
+    "w17_next_event",  # in descending order, so that a frame grows row by row
+    "SELECT seq, min(CASE WHEN kind = 11 THEN seq END) OVER (PARTITION BY pid ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS next_free FROM {toks}",
+    "SELECT t.seq, (SELECT min(x.seq) FROM {toks} x WHERE x.pid = t.pid AND x.kind = 11 AND x.seq >= t.seq) AS next_free FROM {toks} t",
+)
 
 # --- interval kernels ----------------------------------------------------------------------
 
@@ -228,8 +221,27 @@ def adjusted_sizes(view):
 
 
 _PAIRS = "FROM {res} a JOIN {res} b ON a.alloc_id = b.alloc_id AND a.res_id <> b.res_id AND a.off < b.off + b.rsize AND b.off < a.off + a.rsize WHERE a.usage <> 2 AND b.usage <> 2"
-sql("j07_a17_alias_count", f"SELECT r.res_id, coalesce(n, 0) AS aliases, coalesce(n, 0) > 0 AS is_aliased FROM {{res}} r LEFT JOIN (SELECT a.res_id AS id, count(*) AS n {_PAIRS} GROUP BY a.res_id) c ON c.id = r.res_id")
-sql("u06_culled_overlap", f"SELECT a.res_id, b.res_id AS other, greatest(a.off, b.off) AS lo, least(a.off + a.rsize, b.off + b.rsize) AS hi {_PAIRS} AND a.res_id < b.res_id")
+
+
+@frame("j07_a17_alias_count", f"SELECT r.res_id, coalesce(n, 0) AS aliases, coalesce(n, 0) > 0 AS is_aliased FROM {{res}} r LEFT JOIN (SELECT a.res_id AS id, count(*) AS n {_PAIRS} GROUP BY a.res_id) c ON c.id = r.res_id")
+def alias_count(view):
+    counts = intervals.alias_counts(view(_RANGES), ["alloc_id"], "res_id", chunk=1 << 18).select("res_id", "aliases")
+    return view("res").select("res_id").join(counts, "res_id", "left").selectExpr("res_id", "coalesce(aliases, 0L) AS aliases", "coalesce(aliases, 0L) > 0 AS is_aliased")
+
+
+#: Windows of the address space that a user looks at.
+_WINDOWS = "SELECT p_partkey AS win, (p_partkey * 7919 % 15000) * 1048576 + p_size * 4096 AS lo, (p_partkey * 7919 % 15000) * 1048576 + p_size * 4096 + (1 + p_partkey % 5) * 700000 AS hi FROM {part}"
+_PLACED = "SELECT res_id, base + off AS lo, base + off + rsize AS hi FROM {res}"
+
+
+@frame("u06_culled_overlap", f"SELECT w.win, r.res_id, greatest(w.lo, r.lo) AS lo, least(w.hi, r.hi) AS hi FROM ({_WINDOWS}) w JOIN ({_PLACED}) r ON r.lo < w.hi AND w.lo < r.hi")
+def culled(view):
+    """What of each resource lies in each window, clipped to it."""
+    windows = view(_WINDOWS).withColumnsRenamed({"lo": "w_lo", "hi": "w_hi"})
+    met = intervals.interval_join(windows, view(_PLACED), ("w_lo", "lo"), ("w_hi", "hi"), 1 << 20)
+    return met.select("win", "res_id", F.greatest("w_lo", "lo").alias("lo"), F.least("w_hi", "hi").alias("hi"))
+
+
 sql(
     "a07_fragmentation",
     """SELECT alloc_id, CAST(sum(CASE WHEN off <> pe THEN 1 ELSE 0 END) AS BIGINT) AS fragments FROM (
@@ -313,11 +325,6 @@ sql(
     """SELECT h.alloc_id, h.res_id AS heap_id, o.res_id AS paired_id FROM (SELECT alloc_id, min(res_id) AS res_id FROM {res} WHERE usage = 2 AND off = 0 GROUP BY alloc_id) h
 JOIN (SELECT alloc_id, min(res_id) AS res_id FROM {res} WHERE usage IN (3, 5) AND off = 0 GROUP BY alloc_id) o ON o.alloc_id = h.alloc_id""",
 )
-sql(
-    "j12_n02_n03_name_chain",
-    """SELECT r.res_id, coalesce(direct.name, via.name) AS name FROM {res} r LEFT JOIN (SELECT res_id, max_by(name, t) AS name FROM {names} WHERE res_id % 2 = 0 GROUP BY res_id) direct ON direct.res_id = r.res_id
-LEFT JOIN (SELECT res_id + 1 AS res_id, max_by(name, t) AS name FROM {names} WHERE res_id % 2 = 0 GROUP BY res_id) via ON via.res_id = r.res_id""",
-)
 sql("j13_name_as_of", "SELECT res_id, coalesce(max_by(name, t) FILTER (WHERE t >= created AND t <= 5000), min_by(name, t) FILTER (WHERE t >= created)) AS name FROM {names} GROUP BY res_id")
 sql("j14_r09_updates", "SELECT res_id, usage AS before_usage, CASE WHEN res_id % 5 = 0 AND usage = 3 THEN 4 ELSE usage END AS after_usage FROM {res}")
 sql("j15_address_list", "SELECT a.alloc_id, p.va FROM {allocs} a JOIN (SELECT 1048576 * 7 + 100 AS va UNION ALL SELECT 1048576 * 1000 + 4096 UNION ALL SELECT 5) p ON p.va >= a.base AND p.va < a.base + a.size")
@@ -325,10 +332,6 @@ sql("j15_address_list", "SELECT a.alloc_id, p.va FROM {allocs} a JOIN (SELECT 10
 # --- replay --------------------------------------------------------------------------------
 
 sql("r01_f16_f13_live_allocations", f"SELECT alloc_id, base, size, heap FROM {at(NOW)} a")
-sql(
-    "r01_rejected_overlaps",
-    """SELECT alloc_id FROM (SELECT alloc_id, base, max(base + 8 * size) OVER (PARTITION BY heap ORDER BY base, alloc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM {allocs}) t WHERE base < pe""",
-)
 sql("r02_dangling_resources", f"SELECT res_id, alloc_id FROM {{res}} WHERE bind_ts <= {NOW} AND free_ts <= {NOW}")
 sql(
     "r03_r04_episodes",
@@ -403,7 +406,7 @@ def replayed_rejects(view):
 create_ts, bind_ts, address, size, base FROM states WHERE live""",
 )
 def replayed_resources(view):
-    return replay.spans(tape(view)).drop("create_flags", "alloc_seq")
+    return replay.spans(tape(view)).drop("create_flags", "alloc_seq", "create_seq")
 
 
 @frame(
@@ -627,17 +630,12 @@ _SEARCHES = "SELECT '0x700064' AS asked UNION ALL SELECT '7340132' UNION ALL SEL
 JOIN {{allocs}} a ON (s.va >= a.base AND s.va < a.base + a.size) OR contains('0x' || lower(to_hex(a.base)), asked)""",
 )
 def address_search(view):
-    asked = [r.asked for r in view(_SEARCHES).collect()]  # what a user typed, a few strings
-    rows, text = view("allocs").select("alloc_id", "base", "size"), F.concat(F.lit("0x"), F.lower(F.hex("base")))
-    out = None
-    for x in asked:
-        hit = text.contains(x)
-        if x.isdecimal() or re.fullmatch("0x[0-9a-f]+", x):
-            va = int(x, 16 if x.startswith("0x") else 10)
-            hit = hit | ((F.lit(va) >= F.col("base")) & (F.lit(va) < F.col("base") + F.col("size")))
-        found = rows.where(hit).select(F.lit(x).alias("asked"), "alloc_id", "base")
-        out = found if out is None else out.union(found)
-    return out
+    """One scan: each row meets the few strings that were asked for, as an array in its row."""
+    asked = view(_SEARCHES).agg(F.collect_list("asked").alias("asked"))  # what a user typed: one row
+    va = F.expr("CASE WHEN x RLIKE '^0x[0-9a-f]+$' THEN CAST(conv(substring(x, 3), 16, 10) AS BIGINT) WHEN x RLIKE '^[0-9]+$' THEN CAST(x AS BIGINT) END")
+    rows = view("allocs").select("alloc_id", "base", "size", F.concat(F.lit("0x"), F.lower(F.hex("base"))).alias("text"))
+    each = rows.crossJoin(F.broadcast(asked)).withColumn("x", F.explode("asked")).withColumn("va", va)
+    return each.where("va >= base AND va < base + size OR contains(text, x)").select(F.col("x").alias("asked"), "alloc_id", "base")
 
 sql("f04_f05_f06_categories", "SELECT res_id, heap, usage FROM {res} WHERE heap IN (0, 2) AND (CAST(1 AS INT) << usage) & 104 <> 0")
 sql("f10_overview_filter", f"SELECT res_id FROM {at(NOW, 'res')} r WHERE heap = 1 AND usage IN (5, 6) AND rsize >= 16384")
@@ -679,14 +677,22 @@ def top_and_other(view):
     return intervals.top_and_other(summed, ["heap"], "label", "bytes", 5)
 
 
-@frame("w13_lanes")
+@frame(
+    "w13_lanes",
+    """WITH RECURSIVE ev AS (SELECT alloc_id, res_id AS id, off AS lo, off + rsize AS hi, row_number() OVER (PARTITION BY alloc_id ORDER BY off, res_id) AS k FROM {res} WHERE usage <> 2),
+fold AS (SELECT DISTINCT alloc_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ends, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS lo, CAST(NULL AS BIGINT) AS hi, CAST(NULL AS BIGINT) AS lane FROM ev
+  UNION ALL SELECT alloc_id, k, list_concat(list_append(ends[:p - 1], hi), ends[p + 1:]), id, lo, hi, p - 1
+  FROM (SELECT e.alloc_id, e.k, e.id, e.lo, e.hi, f.ends, coalesce(nullif(list_position(list_transform(f.ends, lambda x: x <= e.lo), true), 0), len(f.ends) + 1) AS p FROM fold f JOIN ev e ON e.alloc_id = f.alloc_id AND e.k = f.k + 1) s)
+SELECT alloc_id, id, lo, hi, CAST(lane AS INTEGER) AS lane FROM fold WHERE id IS NOT NULL""",
+)
 def lanes(view):
-    return intervals.lanes(view("SELECT alloc_id, res_id AS id, off AS lo, off + rsize AS hi FROM {res} WHERE usage <> 2"), "alloc_id")
+    return intervals.lanes(view("SELECT alloc_id, res_id AS id, off AS lo, off + rsize AS hi FROM {res} WHERE usage <> 2"), "alloc_id", chunk=1 << 18)
 
 
 @frame("o09_treemap_layout")
 def treemap(view):
-    return layout.squarified(view(f"SELECT CAST(heap AS BIGINT) AS grp, alloc_id AS id, size FROM {at(NOW)} a"))
+    """Heaps, in them owners, and in these the live allocations, in a view of 1000 x 1000."""
+    return layout.nested(view(f"SELECT heap, owner, alloc_id, size FROM {at(NOW)} a"), ["heap", "owner", "alloc_id"])
 
 
 # --- scalar functions ----------------------------------------------------------------------
@@ -843,41 +849,7 @@ sql("p32_p34_p35_segments", "SELECT heap, hi - lo AS bytes, heap IN (0, 1) AS gp
 # --- naming and histories ------------------------------------------------------------------
 
 sql("n01_restamped", "SELECT res_id, name, t - 500 AS event_time FROM {names} WHERE t >= 500")
-sql("n04_implicit", "SELECT r.res_id, r.res_id % 13 = 0 AND NOT (r.usage = 3 AND coalesce(h.paired, false)) AS implicit FROM {res} r LEFT JOIN (SELECT alloc_id, true AS paired FROM {res} WHERE usage = 2 AND off = 0 GROUP BY alloc_id) h ON h.alloc_id = r.alloc_id")
 sql("n05_names_in_life", "SELECT res_id, t, name FROM {names} WHERE t >= created AND t < created + 1000")
-sql(
-    "n06_n07_visible_resources",
-    "SELECT r.res_id, r.usage FROM {res} r WHERE r.usage IN (2, 3, 5, 6, 7) AND NOT EXISTS (SELECT 1 FROM {names} n WHERE n.res_id = r.res_id AND n.name = 'n3')",
-    "SELECT res_id, usage FROM {res} WHERE usage IN (2, 3, 5, 6, 7) AND res_id NOT IN (SELECT res_id FROM {names} WHERE name = 'n3')",
-)
-#: Tokens of processes stand in for what happens to the allocation of that number: residency references and CPU maps.
-_TOUCHED = "SELECT pid AS alloc_id, CASE kind WHEN 6 THEN 'resident' ELSE 'cpu map' END AS event, ts FROM {toks} WHERE kind IN (6, 10)"
-sql(
-    "h01_resource_history",
-    f"""SELECT 'create' AS event, res_id, alloc_ts AS ts FROM {{res}} UNION ALL SELECT 'bind', res_id, bind_ts FROM {{res}}
-UNION ALL SELECT 'free', res_id, free_ts FROM {{res}} WHERE free_ts IS NOT NULL UNION ALL SELECT 'name', res_id, t FROM {{names}}
-UNION ALL SELECT CASE WHEN m.unmap THEN 'unmap' WHEN m.pa = 0 THEN 'map host' ELSE 'map local' END, r.res_id, m.bind_ts FROM {{res}} r JOIN {{maps}} m ON m.alloc_id = r.alloc_id AND m.lo < r.off + r.rsize AND r.off < m.hi
-UNION ALL SELECT t.event, r.res_id, t.ts FROM {{res}} r JOIN ({_TOUCHED}) t ON t.alloc_id = r.alloc_id""",
-)
-sql("h02_h05_creates_at_address", "SELECT r.res_id, r.bind_ts FROM {res} r WHERE r.alloc_id IN (SELECT alloc_id FROM {res} WHERE usage = 6 AND off = 0)")
-
-
-@frame(
-    "h03_allocation_history",
-    f"""SELECT a.alloc_id, 'allocate' AS event, a.alloc_ts AS ts, (SELECT string_agg(CAST(r.res_id AS VARCHAR), ',' ORDER BY r.res_id) FROM {{res}} r WHERE r.alloc_id = a.alloc_id) AS bound FROM {{allocs}} a
-UNION ALL SELECT alloc_id, 'free', free_ts, NULL FROM {{allocs}} WHERE free_ts IS NOT NULL
-UNION ALL SELECT a.alloc_id, t.event, t.ts, NULL FROM {{allocs}} a JOIN ({_TOUCHED}) t ON t.alloc_id = a.alloc_id""",
-)
-def allocation_history(view):
-    allocs, touched = view("allocs"), view(_TOUCHED)
-    bound = view("res").groupBy("alloc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("res_id")), lambda x: x.cast("string")), ",").alias("bound"))
-    none = F.lit(None).cast("string").alias("bound")
-    made = allocs.join(bound, "alloc_id", "left").select("alloc_id", F.lit("allocate").alias("event"), F.col("alloc_ts").alias("ts"), "bound")
-    freed = allocs.where("free_ts IS NOT NULL").select("alloc_id", F.lit("free"), "free_ts", none)
-    return made.union(freed).union(allocs.join(touched, "alloc_id").select("alloc_id", "event", "ts", none))
-
-
-sql("h04_basic_history", "SELECT alloc_id, 'allocate' AS event, alloc_ts AS ts FROM {allocs} UNION ALL SELECT alloc_id, 'free', free_ts FROM {allocs} WHERE free_ts IS NOT NULL")
 sql("h06_h09_all_resources", "SELECT res_id, 'bind' AS event, bind_ts AS ts FROM {res} WHERE res_id % 13 <> 0 UNION ALL SELECT res_id, 'destroy', free_ts FROM {res} WHERE free_ts IS NOT NULL AND res_id % 13 <> 0")
 sql("h07_bind_enrichment", "SELECT r.res_id, r.bind_ts, a.base, a.heap AS first_preference, CASE WHEN a.heap = 0 THEN 2 ELSE 3 END AS second_preference FROM {res} r JOIN {allocs} a ON a.alloc_id = r.alloc_id")
 sql("h08_typed_events", "SELECT kind, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, max(CASE WHEN kind = 12 THEN size END) AS largest FROM {toks} GROUP BY kind")

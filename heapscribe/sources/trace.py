@@ -46,7 +46,8 @@ TICKING = {TABLE_UPDATE, USERDATA, MISC, REFERENCE, BIND, PROCESS, CPU_MAP, FREE
 #: Payload bytes of a create token by resource type; images have one byte more from version 1.6 and descriptor pools four more for each description.
 PAYLOADS = {0: 38, 1: 11, 2: 1, 3: 1, 4: 0, 5: 0, 6: 12, 7: 1, 8: 4, 9: 6, 10: 0, 11: 10, 12: 19, 13: 4, 14: 3, 15: 44, 16: 1, 17: 17}
 PAYLOAD_FIELDS = {1: (("create_flags", 7, 0), ("usage_flags", 23, 8), ("size", 87, 24)), 11: (("create_flags", 4, 0), ("size", 68, 5), ("page_size", 73, 69)), 0: (("create_flags", 19, 0), ("usage_flags", 34, 20))}
-NAME, NAME_2 = 0, 5
+NAME, CORRELATION, MARK, NAME_2, MARK_2 = 0, 4, 5, 6, 7
+IMPLICIT_HEAP, IMPLICIT_RESOURCE = 1, 2
 _LONGS = ("frequency", "driver_id", "subresource", "update_type", "before", "after", "va", "pa", "pages", "page_size", "controller", "op", "queue", "size", "event", "owner", "importance", "commit", "resource_type", "create_flags", "usage_flags", "user_kind", "delay")
 _FLAGS = ("unmap", "is_system", "is_external")
 SCHEMA = pa.schema([("trace_id", pa.string()), ("stream_index", pa.int64()), ("offset", pa.int64()), ("ts", pa.int64()), ("process_id", pa.int64()), ("thread_id", pa.int64()), ("kind", pa.int64()), *[(n, pa.int64()) for n in _LONGS], *[(n, pa.bool_()) for n in _FLAGS], ("pref", pa.list_(pa.int32())), ("name", pa.string())])

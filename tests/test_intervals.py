@@ -107,7 +107,7 @@ def test_last_writer(spark):
 
 def test_layout(spark):
     df = spark.createDataFrame([(1, i, s) for i, s in enumerate([6, 6, 4, 3, 2, 2, 1])], "grp long, id long, size long")
-    got = layout.squarified(df, 6, 4).collect()
+    got = layout.nested(df, ["grp", "id"], width=6, height=4, visible=0).where("depth = 2").collect()
     assert abs(sum(r.w * r.h for r in got) - 24) < 1e-9
     for r in got:
         assert r.x >= -1e-9 and r.y >= -1e-9 and r.x + r.w <= 6 + 1e-9 and r.y + r.h <= 4 + 1e-9
