@@ -133,7 +133,8 @@ def swept(tokens: DataFrame) -> DataFrame:
     An allocation whose base lies within a live one is not taken, and itself rejects nothing.
     A region's tokens stream by; memory holds what lives at one time.
     """
-    on_place = tokens.where(F.col("kind").isin(trace.ALLOCATE, trace.FREE, trace.REFERENCE, trace.CPU_MAP) | (F.col("kind") == trace.BIND) & ~_on_system())
+    on_system = _on_system() if "is_system" in tokens.columns else F.lit(False)  # tokens of allocations alone have no such column
+    on_place = tokens.where(F.col("kind").isin(trace.ALLOCATE, trace.FREE, trace.REFERENCE, trace.CPU_MAP) | (F.col("kind") == trace.BIND) & ~on_system)
     types = {f.name: f.dataType.simpleString() for f in tokens.schema}
     schema = f"trace_id {types['trace_id']}, seq {types['seq']}, kind int, taken boolean, base long, alloc_seq {types['seq']}, end_seq {types['seq']}, end_ts long, " + ", ".join(f"{c} {types[c]}" for c in _HELD)
     rows = regions(on_place).select("trace_id", "region", "seq", F.col("kind").cast("int").alias("kind"), *_HELD)

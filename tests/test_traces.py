@@ -1,12 +1,13 @@
 """Binary traces, replay, sinks and streams on small fixtures."""
 
+import io
 import random
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from heapscribe.operators import replay
+from heapscribe.operators import replay, residency
 from heapscribe.sources import snapshots, trace
 from heapscribe.streaming import timeline
 
@@ -55,8 +56,7 @@ def tokens(spark, tmp_path_factory):
     segment = chunk(trace.SEGMENT, struct.pack("<QQiI", 1 << 32, 1 << 33, 0, 3))
     points = [chunk(trace.SNAPSHOT, struct.pack("<Qi4x", 640, len(n)) + n) for n in (b"one", b"")]
     (folder / "a.rmv").write_bytes(container(*data, segment, *points, chunk(trace.PROCESS_START, b"")))
-    chunked = trace.read_chunks(spark, f"file://{folder}").cache()
-    return chunked, trace.rebased(trace.read_tokens(chunked)).cache()
+    return trace.read_chunks(spark, f"file://{folder}").cache(), trace.rebased(trace.read_tokens(spark, f"file://{folder}")).cache()
 
 
 def test_decode(tokens):
@@ -91,13 +91,108 @@ def test_adapters(spark, tmp_path):
 @pytest.mark.parametrize("raw", [b"", b"x" * 100, container(b"\0" * 5), container(chunk(trace.DATA, b"")[:-6] + struct.pack("<iI", 4, 0))])
 def test_broken_containers(raw):
     with pytest.raises(ValueError, match="f.rmv"):
-        list(trace.chunks(raw, "f.rmv"))
+        list(trace.chunks(io.BytesIO(raw), len(raw), "f.rmv"))
 
 
 def test_broken_streams():
     for raw in (bytes([2]), start(0) + pack(trace.FREE, va=1)[:-1], pack(trace.CREATE, resource_type=40)):
         with pytest.raises(ValueError, match="stream 0"):
-            list(trace.decode(raw, (1, 8), "f", 0, 0, 0))
+            list(trace.decode([raw], (1, 8), "f", 0, 0, 0))
+
+
+def user(kind, payload):
+    return (trace.USERDATA | kind << 8 | len(payload) << 12).to_bytes(4, "little") + payload
+
+
+def stream(seed, n, version):
+    """Random tokens of all kinds, and what a token-at-a-time reading of them gives: (kind, offset, ts, some fields)."""
+    rnd, raw, rows, now = random.Random(seed), bytearray(), [], 0
+    extra = trace.PAYLOADS
+    for k in range(n):
+        kind, tick, at = rnd.choice([*trace.TOKENS, trace.TIME_DELTA, trace.USERDATA]) if k else trace.TIMESTAMP, rnd.randrange(16), len(raw)
+        now += tick * 32 if kind in trace.TICKING else 0
+        if kind == trace.TIME_DELTA:
+            size = rnd.randrange(8)
+            value = rnd.randrange(256**size) if size < 4 else rnd.randrange(1000)
+            raw += bytes([kind | size << 4]) + value.to_bytes(size, "little")
+            now += value * 32
+            continue
+        if kind == trace.TIMESTAMP:
+            clock = rnd.randrange(1000, 10**6)
+            raw += start(clock * 32)
+            now = clock * 32 if k == 0 else now
+            rows.append((kind, at, now, ()))
+        elif kind == trace.USERDATA:
+            what, ident, delay = rnd.choice([0, 1, 2, 4, 5, 6, 7]), rnd.randrange(1 << 32), rnd.randrange(1 << 40)
+            name = "name " + "é" * rnd.choice([0, 1, 30, 3000])
+            body = {0: name.encode() + b"\0" + ident.to_bytes(4, "little"), 6: name.encode() + b"\0" + ident.to_bytes(4, "little") + delay.to_bytes(8, "little"), 4: struct.pack("<II", ident, 77), 5: ident.to_bytes(4, "little"), 7: struct.pack("<IQB", ident, delay, 1)}.get(what, b"x" * rnd.randrange(9))
+            raw += (kind | tick << 4 | what << 8 | len(body) << 12).to_bytes(4, "little") + body
+            rows.append((kind, at, now, (what, name if what in (0, 6) else None, ident if what in (0, 4, 5, 6, 7) else None, {6: delay, 7: delay, 0: 0, 5: 0}.get(what), {5: 2, 7: 1}.get(what), 77 if what == 4 else None)))
+        else:
+            spec = trace.TOKENS[kind][1]
+            fields = {c: rnd.randrange(1 << high - low + 1) for c, high, low in spec}
+            more = b""
+            if kind == trace.CREATE:
+                fields["resource_type"] = resource = rnd.choice(list(extra))
+                more = rnd.randbytes(extra[resource] + (resource == 0 and version >= (1, 6)))
+                if resource == trace.POOL:
+                    more = more[:2] + bytes([d := rnd.randrange(5)]) + rnd.randbytes(4 * d)
+            raw += pack(kind, tick, **fields) + more
+            shown = {trace.BIND: ("va", "size", "driver_id"), trace.CREATE: ("driver_id", "resource_type"), trace.FREE: ("va",), trace.DESTROY: ("driver_id",), trace.REFERENCE: ("op", "va", "queue")}.get(kind, ())
+            rows.append((kind, at, now, tuple(fields[c] for c in shown)))
+    return bytes(raw), rows
+
+
+@pytest.mark.parametrize("version", [(1, 5), (1, 8)])
+@pytest.mark.parametrize("seed", range(4))
+def test_decode_in_blocks_of_any_size(seed, version):
+    raw, want = stream(seed, 1500, version)
+    rnd = random.Random(seed)
+    columns = {trace.BIND: ("va", "size", "driver_id"), trace.CREATE: ("driver_id", "resource_type"), trace.FREE: ("va",), trace.DESTROY: ("driver_id",), trace.REFERENCE: ("op", "va", "queue"), trace.USERDATA: ("user_kind", "name", "driver_id", "delay", "implicit", "correlation_id")}
+    for sizes in ([len(raw)], [1, 2, 3, 5], [64, 1000], [7]):
+        blocks, at = [], 0
+        while at < len(raw):
+            size = rnd.choice(sizes)
+            blocks.append(raw[at : at + size])
+            at += size
+        rows = [r for batch in trace.decode(blocks if sizes != [7] else blocks[:200] + [raw[1400:]], version, "f", 3, 5, 6) for r in batch.to_pylist()]
+        assert [(r["kind"], r["offset"], r["ts"], tuple(r[c] for c in columns.get(r["kind"], ()))) for r in rows] == want
+        assert all(r["stream_index"] == 3 and r["thread_id"] == 6 for r in rows)
+
+
+def test_a_token_over_two_chunks(spark, tmp_path):
+    raw, want = stream(9, 400, (1, 8))
+    head = struct.pack("<QQ", 1, 2)
+    cuts = [0, 13, 400, 401, len(raw)]
+    other = chunk(trace.DATA, struct.pack("<QQ", 1, 3) + start(64))
+    parts = [chunk(trace.DATA, head + raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    (tmp_path / "a.rmv").write_bytes(container(parts[0], other, *parts[1:]))
+    rows = trace.read_tokens(spark, f"file://{tmp_path}", streams="thread").collect()
+    assert sorted((r.kind, r.offset, r.ts) for r in rows if r.thread_id == 2) == sorted(w[:3] for w in want) and sum(r.thread_id == 3 for r in rows) == 1
+    with pytest.raises(Exception, match="stream"):
+        trace.read_tokens(spark, f"file://{tmp_path}").collect()
+    (tmp_path / "b.txt").write_bytes(b"")
+    with pytest.raises(Exception, match="not one of"):
+        trace.read_tokens(spark, f"file://{tmp_path}").collect()
+
+
+def test_residency_stream_is_the_batch(spark, tmp_path):
+    """Tokens in any order over several micro-batches end in the state that the batch gives."""
+    rnd = random.Random(7)
+    rows = [("t", a := rnd.randrange(12), seq, seq * 3, rnd.choice(["add", "remove", "map", "unmap"]) if a else "map") for seq in range(600)]
+    df = spark.createDataFrame(rows, "trace_id string, alloc_seq long, seq long, ts long, what string")
+    want = {(r.trace_id, r.alloc_seq): tuple(r)[2:] for r in residency.residency(df).collect()}
+    shuffled = rows[:]
+    rnd.shuffle(shuffled)
+    for k in range(4):
+        spark.createDataFrame(shuffled[k::4], df.schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = residency.residency_stream(stream).writeStream.format("memory").queryName("touched").outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {}
+    for r in spark.table("touched").collect():  # the last state of each allocation stands last
+        got[r.trace_id, r.alloc_seq] = tuple(r)[2:-1]
+    assert got == want
 
 
 def test_replay(tokens):
