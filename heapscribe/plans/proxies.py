@@ -40,8 +40,7 @@ FROM (SELECT a.*, l.l_orderkey * 64 + l.k AS res_id, (l.l_partkey * 4096) % a.si
         ("res",),
     ),
     "names": (
-        """SELECT r.res_id, (r.alloc_id % 1000) * 10 + 700 * k.k AS t, (r.alloc_id % 1000) * 10 AS created, 'n' || CAST((r.res_id + k.k) % 97 AS STRING) AS name
-FROM {res} r CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) k""",
+        " UNION ALL ".join(f"SELECT res_id, (alloc_id % 1000) * 10 + {700 * k} AS t, (alloc_id % 1000) * 10 AS created, 'n' || CAST((res_id + {k}) % 97 AS STRING) AS name FROM {{res}}" for k in range(3)),
         ("res",),
     ),
     # Tokens of the trace format (kinds as in sources.trace): allocations and frees in eight places of an arena for each user, and the life of four resources for each.

@@ -7,6 +7,7 @@ text for the check. Keys begin with the numbers of the inventory rows that they
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -115,6 +116,19 @@ sql(
     "w04_a11_a12_committed_bytes",
     """SELECT bind_ts // 3000 AS bucket, heap, CAST(sum(CASE WHEN unmap THEN lo - hi ELSE hi - lo END) AS BIGINT) AS change FROM {maps} WHERE pa <> 0 GROUP BY 1, 2""",
 )
+
+
+@frame(
+    "w04_committed_running",
+    f"""WITH d AS (SELECT bind_ts // {scalars.BUCKET} AS bucket, heap, CASE WHEN unmap THEN lo - hi ELSE hi - lo END AS delta FROM {{maps}} WHERE pa <> 0), b AS (SELECT bucket, heap, sum(delta) AS delta FROM d GROUP BY bucket, heap),
+g AS (SELECT r.range AS bucket, k.heap FROM range(0, (SELECT max(bucket) + 1 FROM d)) r CROSS JOIN (SELECT DISTINCT heap FROM d) k)
+SELECT CAST(g.bucket AS BIGINT) AS bucket, g.heap, CAST(sum(coalesce(b.delta, 0)) OVER (PARTITION BY g.heap ORDER BY g.bucket) AS BIGINT) AS value FROM g LEFT JOIN b ON b.bucket = g.bucket AND b.heap = g.heap""",
+)
+def committed_running(view):
+    """Committed bytes of each heap over time: mapped less unmapped."""
+    return intervals.step_timeline(view("SELECT bind_ts AS ts, heap, CASE WHEN unmap THEN lo - hi ELSE hi - lo END AS delta FROM {maps} WHERE pa <> 0"), "heap", scalars.BUCKET)
+
+
 #: Changes by bucket; a running sum is taken within chunks of buckets, whose own sums, a row for each, give the offsets.
 _CHANGES = """SELECT bucket, sum(delta) AS delta FROM (SELECT alloc_ts // 3000 AS bucket, size AS delta FROM {allocs}
 UNION ALL SELECT free_ts // 3000, -size FROM {allocs} WHERE free_ts <= (SELECT max(alloc_ts) FROM {allocs})) d GROUP BY bucket"""
@@ -277,16 +291,26 @@ def point_in_interval(view):
     return intervals.range_join(view(_PROBES), whole, "va", "lo", "hi", 1 << 20).select("probe", "va", "alloc_id")
 
 
-_STATE = """WITH m AS (SELECT alloc_id, p AS s, lead(p) OVER (PARTITION BY alloc_id ORDER BY p) AS e FROM (SELECT alloc_id, lo AS p FROM {maps} UNION SELECT alloc_id, hi FROM {maps}) q),
-c AS (SELECT m.alloc_id, m.s, m.e, x.pa, x.unmap, x.lo, row_number() OVER (PARTITION BY m.alloc_id, m.s ORDER BY x.seq DESC) AS k FROM m JOIN {maps} x ON x.alloc_id = m.alloc_id AND x.lo <= m.s AND x.hi >= m.e WHERE m.e IS NOT NULL),
-t AS (SELECT alloc_id, s, e, CASE WHEN pa = 0 THEN 'host' WHEN pa + s - lo < 8589934592 THEN 'local' ELSE 'invisible' END AS store FROM c WHERE k = 1 AND NOT unmap)"""
+#: What the physical address space is made of: the segments, and what none of them has.
+_ZONES = """SELECT CASE heap WHEN 0 THEN 'local' WHEN 1 THEN 'invisible' ELSE 'host' END AS store, lo AS z_lo, hi AS z_hi FROM {segments}
+UNION ALL SELECT 'none', z_lo, z_hi FROM (SELECT coalesce(lag(hi) OVER (ORDER BY lo), 0) AS z_lo, lo AS z_hi FROM {segments}) g WHERE z_lo < z_hi UNION ALL SELECT 'none', max(hi), 9223372036854775807 FROM {segments}"""
+_STATE = f"""WITH m AS (SELECT alloc_id, p AS s, lead(p) OVER (PARTITION BY alloc_id ORDER BY p) AS e FROM (SELECT alloc_id, lo AS p FROM {{maps}} UNION SELECT alloc_id, hi FROM {{maps}}) q),
+c AS (SELECT m.alloc_id, m.s, m.e, x.pa, x.unmap, x.lo, row_number() OVER (PARTITION BY m.alloc_id, m.s ORDER BY x.seq DESC) AS k FROM m JOIN {{maps}} x ON x.alloc_id = m.alloc_id AND x.lo <= m.s AND x.hi >= m.e WHERE m.e IS NOT NULL),
+zones AS ({_ZONES}),
+t AS (SELECT alloc_id, s, e, 'host' AS store FROM c WHERE k = 1 AND NOT unmap AND pa = 0 UNION ALL SELECT alloc_id, s + greatest(z_lo - p, 0), s + least(z_hi - p, e - s), store FROM (SELECT *, pa + s - lo AS p FROM c WHERE k = 1 AND NOT unmap AND pa <> 0) x JOIN zones ON p < z_hi AND z_lo < p + e - s)"""
+
+
+STORES = ("local", "invisible", "host", "none")
 
 
 def mapped_state(view, maps: str = "maps") -> DataFrame:
-    """(alloc_id, lo, hi, store): the latest mapping of each range, by where its physical address lies."""
+    """(alloc_id, lo, hi, store): the latest mapping of each range, by the segment that its physical address lies in; a mapping over several is cut at their edges."""
     last = intervals.last_writer(view(maps), ["alloc_id"])
-    store = F.expr("CASE WHEN pa = 0 THEN 'host' WHEN pa + _s - lo < 8589934592 THEN 'local' ELSE 'invisible' END")
-    return last.select("alloc_id", F.col("_s").alias("lo"), F.col("_e").alias("hi"), store.alias("store"))
+    host = last.where("pa = 0").selectExpr("alloc_id", "_s AS lo", "_e AS hi", "'host' AS store")
+    placed = last.where("pa <> 0").selectExpr("alloc_id", "_s", "_e - _s AS whole", "pa + _s - lo AS p")
+    zones = F.broadcast(view(_ZONES))  # the format has 8 segments at most
+    met = placed.join(zones, F.expr("p < z_hi AND z_lo < p + whole")).selectExpr("alloc_id", "_s + greatest(z_lo - p, 0L) AS lo", "_s + least(z_hi - p, whole) AS hi", "store")
+    return host.unionByName(met)
 
 
 @frame("r12_p08_j16_page_table_state", _STATE + " SELECT alloc_id, s AS lo, e AS hi, store FROM t")
@@ -294,18 +318,38 @@ def page_table(view):
     return mapped_state(view)
 
 
-@frame(
-    "j06_a14_f18_p38_backing_bytes",
-    _STATE + """, o AS (SELECT r.res_id, t.store, least(r.off + r.rsize, t.e) - greatest(r.off, t.s) AS bytes FROM {res} r JOIN t ON t.alloc_id = r.alloc_id AND r.off < t.e AND t.s < r.off + r.rsize)
-SELECT r.res_id, CAST(coalesce(sum(bytes) FILTER (WHERE store = 'local'), 0) AS BIGINT) AS local, CAST(coalesce(sum(bytes) FILTER (WHERE store = 'invisible'), 0) AS BIGINT) AS invisible, CAST(coalesce(sum(bytes) FILTER (WHERE store = 'host'), 0) AS BIGINT) AS host,
-  CAST(r.rsize - coalesce(sum(bytes), 0) AS BIGINT) AS unmapped, coalesce(sum(bytes), 0) = r.rsize AS all_mapped, CAST(coalesce(sum(bytes) FILTER (WHERE store = 'local'), 0) * 100 // r.rsize AS BIGINT) AS local_percent
-FROM {res} r LEFT JOIN o ON o.res_id = r.res_id GROUP BY r.res_id, r.rsize""",
-)
-def backing_bytes(view):
-    ranges = view("SELECT alloc_id, res_id, rsize, off AS lo, off + rsize AS hi FROM {res}")
-    under = intervals.overlap_bytes(ranges, mapped_state(view), ["alloc_id"], "store").groupBy("res_id").agg(*[F.sum(F.when(F.col("store") == s, F.col("bytes")).otherwise(0)).alias(s) for s in ("local", "invisible", "host")])
-    out = ranges.join(under, "res_id", "left").fillna(0, ["local", "invisible", "host"])
-    return out.selectExpr("res_id", "local", "invisible", "host", "rsize - local - invisible - host AS unmapped", "local + invisible + host = rsize AS all_mapped", "local * 100 div rsize AS local_percent")
+def backing(view, ranges: DataFrame, key: str, maps: str = "maps") -> DataFrame:
+    """(key, local, invisible, host, none): bytes of ranges (alloc_id, key, lo, hi) by where they are mapped."""
+    under = intervals.overlap_bytes(ranges, mapped_state(view, maps), ["alloc_id"], "store").groupBy(key).agg(*[F.sum(F.when(F.col("store") == s, F.col("bytes")).otherwise(0)).alias(s) for s in STORES])
+    return ranges.join(under, key, "left").fillna(0, list(STORES)).select(key, *STORES)
+
+
+def _backing(ranges: str, key: str) -> str:
+    sums = ", ".join(f"CAST(coalesce(sum(least(r.hi, t.e) - greatest(r.lo, t.s)) FILTER (WHERE store = '{s}'), 0) AS BIGINT) AS {s}" for s in STORES)
+    return f"SELECT r.{key}, {sums} FROM ({ranges}) r LEFT JOIN t ON t.alloc_id = r.alloc_id AND r.lo < t.e AND t.s < r.hi GROUP BY r.{key}"
+
+
+_WHOLE = {"res_id": "SELECT alloc_id, res_id, rsize, heap, off AS lo, off + rsize AS hi FROM {res}", "alloc_id": "SELECT alloc_id, size, heap, CAST(0 AS BIGINT) AS lo, size AS hi FROM {allocs}"}
+_SHARES = "{whole} - local - invisible - host - none AS unmapped, local + invisible + host + none = {whole} AS all_mapped, local * 100 {div} {whole} AS local_percent, invisible * 100 {div} {whole} AS invisible_percent, host * 100 {div} {whole} AS host_percent"
+
+
+def _register_backing(name: str, key: str, whole: str) -> None:
+    @frame(name, _STATE + f", o AS ({_backing(_WHOLE[key], key)}) SELECT o.*, {_SHARES.format(whole=whole, div='//')} FROM o JOIN ({_WHOLE[key]}) w ON w.{key} = o.{key}")
+    def query(view):
+        ranges = view(_WHOLE[key])
+        return backing(view, ranges, key).join(ranges.select(key, whole), key).selectExpr(key, *STORES, *_SHARES.format(whole=whole, div="div").split(", "))
+
+
+_register_backing("j06_a14_f18_p38_backing_bytes", "res_id", "rsize")
+_register_backing("a14_f18_p38_allocation_backing", "alloc_id", "size")
+_IN_PREFERRED = "CASE heap WHEN 0 THEN local WHEN 1 THEN invisible WHEN 2 THEN host ELSE none END"
+
+
+@frame("f19_in_preferred_heap", _STATE + f", o AS ({_backing(_WHOLE['res_id'], 'res_id')}) SELECT w.res_id, heap = 3 OR {_IN_PREFERRED} = rsize AS preferred FROM ({_WHOLE['res_id']}) w JOIN o ON o.res_id = w.res_id")
+def in_preferred_heap(view):
+    """All of a resource is mapped, and in the heap that its allocation prefers; without a preference it always is."""
+    ranges = view(_WHOLE["res_id"])
+    return backing(view, ranges, "res_id").join(ranges, "res_id").selectExpr("res_id", f"heap = 3 OR {_IN_PREFERRED} = rsize AS preferred")
 
 
 sql(
@@ -469,7 +513,7 @@ LEFT JOIN (SELECT alloc_id, sum(width) AS bound FROM (SELECT DISTINCT g.alloc_id
 #: Mappings that a snapshot knows of: those made until then for allocations that live.
 _MAPS_NOW = f"SELECT m.* FROM {{maps}} m JOIN {at(NOW)} a ON a.alloc_id = m.alloc_id WHERE m.bind_ts <= {NOW}"
 _STATE_NOW = f"WITH snap AS ({_MAPS_NOW}), " + _STATE.replace("{maps}", "snap")[5:]
-_STORE_HEAP = "CASE store WHEN 'local' THEN 0 WHEN 'invisible' THEN 1 ELSE 2 END"
+_STORE_HEAP = "CASE store WHEN 'local' THEN 0 WHEN 'invisible' THEN 1 WHEN 'host' THEN 2 ELSE 3 END"
 _COMMITTED = f"SELECT heap, CAST(sum(CASE WHEN unmap THEN lo - hi ELSE hi - lo END) AS BIGINT) AS committed FROM {{maps}} WHERE pa <> 0 AND bind_ts <= {NOW} GROUP BY heap"
 
 
@@ -519,11 +563,66 @@ def snapshot_point(view):
 
 
 sql("a20_p12_size_histogram", f"SELECT CASE WHEN s >> 19 > 0 THEN least(CAST(floor(log2(CAST(s >> 19 AS DOUBLE))) AS INT), 11) ELSE 0 END AS bucket, count(*) AS n FROM (SELECT size * 64 AS s FROM {at(NOW)} a) t GROUP BY 1")
-sql(
+
+
+def _bucket(size: str) -> str:
+    return f"CASE WHEN {size} >> 19 > 0 THEN least(CAST(floor(log2(CAST({size} >> 19 AS DOUBLE))) AS INT), 11) ELSE 0 END"
+
+
+def _maps_at(t: int) -> str:
+    return _MAPS_NOW.replace(str(NOW), str(t))
+
+
+def carousel(view, t: int) -> DataFrame:
+    """(metric, item, value): what a carousel shows of a snapshot: resources by usage, bytes by preferred and by physical heap, allocations by size, and totals."""
+    long = lambda df, metric, item, value: df.select(F.lit(metric).alias("metric"), item.cast("long").alias("item"), value.cast("long").alias("value"))
+    heaps = heap_state(view, t)
+    totals = heaps.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("bytes", "bound", "unbound", "allocations")])
+    stacked = totals.select(F.expr("stack(4, 0L, bytes, 1L, bound, 2L, unbound, 3L, allocations) AS (item, value)"))
+    physical = mapped_state(view, _maps_at(t)).groupBy(F.expr(_STORE_HEAP).alias("heap")).agg(F.sum(F.col("hi") - F.col("lo")).alias("n"))
+    parts = [
+        long(view(f"SELECT usage, count(*) AS n FROM {at(t, 'res')} r GROUP BY usage"), "usage", F.col("usage"), F.col("n")),
+        long(heaps.where("heap < 3"), "requested", F.col("heap"), F.col("bytes")), long(physical.where("heap < 3"), "physical", F.col("heap"), F.col("n")),
+        long(view(f"SELECT {_bucket('size * 64')} AS bucket, count(*) AS n FROM {at(t)} a GROUP BY 1"), "size bucket", F.col("bucket"), F.col("n")), long(stacked, "total", F.col("item"), F.col("value")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+
+
+def _carousel(t: int, name: str) -> str:
+    """CTEs that end in one of that name."""
+    state = _STATE.replace("{maps}", f"{name}_maps")[5:]
+    for cte in ("m", "c", "zones", "t"):
+        state = re.sub(rf"\b{cte} AS \(", f"{name}_{cte} AS (", state)
+    state = state.replace("FROM m JOIN", f"FROM {name}_m AS m JOIN").replace("FROM c WHERE", f"FROM {name}_c WHERE").replace("JOIN zones ON", f"JOIN {name}_zones ON")
+    h = f"(SELECT * FROM {_heap_state(t)} h)"
+    return f"""{name}_maps AS ({_maps_at(t)}), {state}, {name} AS (SELECT 'usage' AS metric, CAST(usage AS BIGINT) AS item, count(*) AS value FROM {at(t, 'res')} r GROUP BY usage UNION ALL SELECT 'requested', heap, bytes FROM {h} x WHERE heap < 3
+UNION ALL SELECT 'physical', heap, CAST(sum(w) AS BIGINT) FROM (SELECT {_STORE_HEAP} AS heap, e - s AS w FROM {name}_t) y WHERE heap < 3 GROUP BY heap UNION ALL SELECT 'size bucket', {_bucket('size * 64')}, count(*) FROM {at(t)} a GROUP BY 2
+UNION ALL SELECT 'total', unnest([0, 1, 2, 3]), unnest([CAST(coalesce(sum(bytes), 0) AS BIGINT), CAST(coalesce(sum(bound), 0) AS BIGINT), CAST(coalesce(sum(unbound), 0) AS BIGINT), CAST(coalesce(sum(allocations), 0) AS BIGINT)]) FROM {h} z)"""
+
+
+@frame("a20_carousel", f"WITH {_carousel(NOW, 'now')} SELECT * FROM now")
+def carousel_now(view):
+    return carousel(view, NOW)
+
+
+@frame(
     "a21_carousel_delta",
-    f"""SELECT coalesce(b.usage, d.usage) AS usage, coalesce(d.n, 0) - coalesce(b.n, 0) AS change FROM (SELECT usage, count(*) AS n FROM {at(BEFORE, "res")} x GROUP BY usage) b
-FULL OUTER JOIN (SELECT usage, count(*) AS n FROM {at(AFTER, "res")} x GROUP BY usage) d ON b.usage = d.usage""",
+    f"""WITH {_carousel(BEFORE, 'base')}, {_carousel(AFTER, 'diff')}, b AS (SELECT coalesce(base.metric, diff.metric) AS metric, coalesce(base.item, diff.item) AS item, coalesce(base.value, 0) AS v0, coalesce(diff.value, 0) AS v1 FROM base FULL JOIN diff ON base.metric = diff.metric AND base.item = diff.item),
+d AS (SELECT metric, item, CASE WHEN metric = 'total' AND item IN (0, 3) THEN greatest(v0, v1) ELSE v1 - v0 END AS value FROM b)
+SELECT metric, item, value, CASE WHEN metric = 'usage' THEN CAST(row_number() OVER (PARTITION BY metric ORDER BY abs(value) DESC, item) AS INTEGER) END AS place FROM d""",
 )
+def carousel_delta(view):
+    """From BEFORE to AFTER; of total bytes and allocations the greater of the two; usages are placed by how much they change."""
+    from pyspark.sql.window import Window
+
+    sides = [carousel(view, t).withColumnRenamed("value", v) for t, v in ((BEFORE, "v0"), (AFTER, "v1"))]
+    both = sides[0].join(sides[1], ["metric", "item"], "full").fillna(0, ["v0", "v1"])
+    value = F.when((F.col("metric") == "total") & F.col("item").isin(0, 3), F.greatest("v0", "v1")).otherwise(F.col("v1") - F.col("v0"))
+    changed = both.select("metric", "item", value.alias("value"))
+    place = F.row_number().over(Window.partitionBy("metric").orderBy(F.abs("value").desc(), "item"))  # a few rows
+    return changed.withColumn("place", F.when(F.col("metric") == "usage", place))
+
+
 _HEAP_METRICS = ("allocations", "resources", "bytes", "bound", "unbound")
 
 
@@ -582,8 +681,9 @@ def _tree_boxes(view) -> DataFrame:
     res = view(f"SELECT alloc_id, res_id, usage, bind_ts, count(*) OVER (PARTITION BY alloc_id) AS n FROM {at(NOW, 'res')} r WHERE usage <> 2")
     bound = res.crossJoin(F.broadcast(res.agg(F.min("bind_ts").alias("lo"), F.max("bind_ts").alias("hi"))))
     bound = bound.select("alloc_id", "res_id", "usage", scalars.age_bucket(F.col("bind_ts"), F.col("lo"), F.col("hi")).alias("bind_age"), F.when(F.col("n") == 1, "COMMITTED").otherwise("PLACED").alias("commit_type"))
-    preferred = view(f"SELECT res_id, {_PREFERRED} AS preferred FROM {{maps}}")
-    boxes = bound.join(sizes, "res_id", "left").join(preferred, "res_id", "left").join(allocs, "alloc_id")
+    # All that a resource's adjusted size comes to is mapped in the heap that is preferred.
+    mapped_bytes = backing(view, ranges, "res_id", _MAPS_NOW).withColumnRenamed("local", "_local")
+    boxes = bound.join(sizes, "res_id", "left").join(mapped_bytes, "res_id").join(allocs, "alloc_id").withColumn("preferred", F.expr(_IN_PREFERRED.replace("local", "_local") + " = coalesce(bytes, 0L)"))
     keys = ["usage", "heap", "owner", "alloc_age", "cpu_mapped", "bind_age", "commit_type", "preferred"]
     gaps = intervals.gaps(intervals.islands(ranges, ["alloc_id"]), live, ["alloc_id"], "size").join(allocs, "alloc_id").select(F.lit(1).alias("usage"), *keys[1:5], (F.col("hi") - F.col("lo")).alias("bytes"))
     return boxes.select(*keys, F.coalesce("bytes", F.lit(0)).alias("bytes")).unionByName(gaps, allowMissingColumns=True)
@@ -599,15 +699,15 @@ segs AS (SELECT * FROM (SELECT alloc_id, p AS s, lead(p) OVER (PARTITION BY allo
 over_segs AS (SELECT g.alloc_id, g.e - g.s AS width, r.res_id, row_number() OVER (PARTITION BY g.alloc_id, g.s ORDER BY r.usage DESC, r.rsize, r.res_id DESC) AS k FROM segs g LEFT JOIN r ON r.alloc_id = g.alloc_id AND r.off <= g.s AND r.off + r.rsize >= g.e),
 sizes AS (SELECT res_id, sum(width) AS bytes FROM over_segs WHERE k = 1 AND res_id IS NOT NULL GROUP BY res_id),
 al AS (SELECT *, {_tree_age('alloc_ts', at(NOW))} AS alloc_age, alloc_id IN (SELECT pid FROM {{toks}} WHERE kind = 10 AND ts <= {NOW}) AS cpu_mapped FROM {at(NOW)} a),
-boxes AS (SELECT r.usage, al.heap, al.owner, al.alloc_age, al.cpu_mapped, {_tree_age('bind_ts', 'r')} AS bind_age, CASE WHEN n.n = 1 THEN 'COMMITTED' ELSE 'PLACED' END AS commit_type, m.preferred, coalesce(sizes.bytes, 0) AS bytes
-  FROM r JOIN al ON al.alloc_id = r.alloc_id JOIN (SELECT alloc_id, count(*) AS n FROM r GROUP BY alloc_id) n ON n.alloc_id = r.alloc_id LEFT JOIN sizes ON sizes.res_id = r.res_id LEFT JOIN (SELECT res_id, {_PREFERRED} AS preferred FROM {{maps}}) m ON m.res_id = r.res_id
+boxes AS (SELECT r.usage, al.heap, al.owner, al.alloc_age, al.cpu_mapped, {_tree_age('bind_ts', 'r')} AS bind_age, CASE WHEN n.n = 1 THEN 'COMMITTED' ELSE 'PLACED' END AS commit_type, CASE al.heap WHEN 0 THEN b.local WHEN 1 THEN b.invisible WHEN 2 THEN b.host ELSE b.none END = coalesce(sizes.bytes, 0) AS preferred, coalesce(sizes.bytes, 0) AS bytes
+  FROM r JOIN al ON al.alloc_id = r.alloc_id JOIN (SELECT alloc_id, count(*) AS n FROM r GROUP BY alloc_id) n ON n.alloc_id = r.alloc_id LEFT JOIN sizes ON sizes.res_id = r.res_id JOIN ({_backing("SELECT alloc_id, res_id, off AS lo, off + rsize AS hi FROM r", "res_id")}) b ON b.res_id = r.res_id
   UNION ALL SELECT 1, heap, owner, alloc_age, cpu_mapped, NULL, NULL, NULL, width FROM (SELECT alloc_id, sum(width) AS width FROM over_segs WHERE res_id IS NULL GROUP BY alloc_id) g JOIN al ON al.alloc_id = g.alloc_id)"""
 
 
 def _register_tree(name: str, keys: tuple[str, ...]) -> None:
     levels = " UNION ALL ".join(f"SELECT {', '.join(k if i < depth else f'NULL AS {k}' for i, k in enumerate(keys))}, {depth} AS depth, CAST(sum(bytes) AS BIGINT) AS bytes FROM boxes {'GROUP BY ' + ', '.join(keys[:depth]) if depth else ''}" for depth in range(len(keys) + 1))
 
-    @frame(f"a27_a28_treemap_{name}", f"WITH {_TREE_SQL} {levels}")
+    @frame(f"a27_a28_treemap_{name}", f"{_STATE_NOW}, {_TREE_SQL} {levels}")
     def tree(view):
         # A level's number is that of its keys; grouping_id has a bit for each key that is not one.
         depth = F.lit(len(keys)) - F.expr("bit_count(grouping_id())").cast("int")
@@ -646,7 +746,6 @@ sql(
 )
 sql("f14_table_updates", "SELECT res_id, pa FROM {maps} WHERE NOT unmap AND pa <> 0")
 sql("f17_series_mask", f"SELECT max(bytes) AS most FROM (SELECT heap, sum(size) AS s, CAST(sum(size) AS BIGINT) AS bytes FROM {at(NOW)} a WHERE heap <> 3 GROUP BY heap) t")
-sql("f19_in_preferred_heap", "SELECT res_id, heap = 3 OR (NOT unmap AND pa <> 0 AND CASE WHEN pa < 8589934592 THEN 0 ELSE 1 END = heap) AS preferred FROM {maps}")
 sql("f20_lookup", "SELECT alloc_id, base, size FROM {allocs} WHERE alloc_id = 77")
 
 # --- order and top-k -----------------------------------------------------------------------
@@ -663,6 +762,26 @@ FROM (SELECT *, row_number() OVER (PARTITION BY heap, size ORDER BY alloc_id) AS
 JOIN sizes s ON s.heap = k.heap AND s.size = k.size JOIN times t ON t.heap = k.heap AND t.chunk = k.alloc_ts // 3000""",
     f"SELECT alloc_id, row_number() OVER (PARTITION BY heap ORDER BY size DESC, alloc_id) AS by_size, row_number() OVER (PARTITION BY heap ORDER BY alloc_ts, alloc_id) AS by_age FROM ({_LIVE}) a",
 )
+_ALLOC_ROWS = f"""SELECT a.alloc_id, a.heap, a.size, a.alloc_ts, coalesce(r.n, 0) AS resources, coalesce(r.fragments, 0) AS fragments, coalesce(r.bytes, 0) AS resource_bytes FROM {at(NOW)} a
+LEFT JOIN (SELECT alloc_id, count(*) AS n, CAST(sum(rsize) AS BIGINT) AS bytes, CAST(sum(CASE WHEN off <> pe THEN 1 ELSE 0 END) AS BIGINT) AS fragments FROM (SELECT *, lag(off + rsize, 1, 0) OVER (PARTITION BY alloc_id ORDER BY off, res_id) AS pe FROM {at(NOW, 'res')} x) y GROUP BY alloc_id) r ON r.alloc_id = a.alloc_id"""
+DESCENDING = {1: "", -1: " DESC"}
+#: Columns that allocations are sorted by: (ascending, width of a chunk of values).
+_ORDERS = {"alloc_id": (1, 4096), "size": (-1, 65536), "alloc_ts": (1, 30_000), "resources": (-1, 1), "fragments": (-1, 1), "resource_bytes": (-1, 262_144)}
+
+
+@frame(
+    "o02_o05_allocation_ranks",
+    f"SELECT alloc_id, {', '.join(f'row_number() OVER (PARTITION BY heap ORDER BY {c}{DESCENDING[sign]}, alloc_id) AS by_{c}' for c, (sign, _) in _ORDERS.items())} FROM ({_ALLOC_ROWS}) a",
+)
+def allocation_ranks(view):
+    """Each allocation's place in its heap by every column; ties go by id. Places are running counts over chunks of values."""
+    rows = view(_ALLOC_ROWS)
+    for column, (sign, width) in _ORDERS.items():
+        keyed = rows.withColumn("_key", F.col(column) * sign)
+        rows = intervals.running(keyed, ["heap"], ["_key", "alloc_id"], F.expr(f"cast(floor(_key / {width}) AS long)"), {f"by_{column}": ("sum", F.lit(1))}).drop("_key")
+    return rows.select("alloc_id", *[f"by_{c}" for c in _ORDERS])
+
+
 sql("o03_largest_allocations", f"SELECT alloc_id, size FROM {at(NOW)} a ORDER BY size DESC, alloc_id LIMIT 50")
 sql("o04_history_order", "SELECT seq, row_number() OVER (PARTITION BY pid ORDER BY kind, ts, seq) AS n FROM {toks}")
 sql("o07_o08_address_order", "SELECT res_id, row_number() OVER (PARTITION BY alloc_id ORDER BY off, res_id) AS by_address, row_number() OVER (PARTITION BY alloc_id ORDER BY rsize DESC, res_id) AS by_size FROM {res}")
