@@ -28,22 +28,29 @@ SWIZZLES = ("0", "1", "X", "Y", "Z", "W")
 IMAGE_TYPES = ("1D", "2D", "3D")
 TILINGS = ("Linear", "Optimal", "Standard Swizzle")
 TILING_MODES = ("Balanced", "Space", "Speed")
-FORMATS = tuple(
-    """UNDEFINED,X1_UNORM,X1_USCALED,X4Y4_UNORM,X4Y4_USCALED,L4A4_UNORM,X4Y4Z4W4_UNORM,X4Y4Z4W4_USCALED,X5Y6Z5_UNORM,X5Y6Z5_USCALED,X5Y5Z5W1_UNORM,X5Y5Z5W1_USCALED,X1Y5Z5W5_UNORM,X1Y5Z5W5_USCALED,
-X8_UNORM,X8_SNORM,X8_USCALED,X8_SSCALED,X8_UINT,X8_SINT,X8_SRGB,A8_UNORM,L8_UNORM,P8_UNORM,X8Y8_UNORM,X8Y8_SNORM,X8Y8_USCALED,X8Y8_SSCALED,X8Y8_UINT,X8Y8_SINT,X8Y8_SRGB,L8A8_UNORM,
-X8Y8Z8W8_UNORM,X8Y8Z8W8_SNORM,X8Y8Z8W8_USCALED,X8Y8Z8W8_SSCALED,X8Y8Z8W8_UINT,X8Y8Z8W8_SINT,X8Y8Z8W8_SRGB,U8V8_SNORM_L8W8_UNORM,X10Y11Z11_FLOAT,X11Y11Z10_FLOAT,
-X10Y10Z10W2_UNORM,X10Y10Z10W2_SNORM,X10Y10Z10W2_USCALED,X10Y10Z10W2_SSCALED,X10Y10Z10W2_UINT,X10Y10Z10W2_SINT,X10Y10Z10W2BIAS_UNORM,U10V10W10_SNORM_A2_UNORM,
-X16_UNORM,X16_SNORM,X16_USCALED,X16_SSCALED,X16_UINT,X16_SINT,X16_FLOAT,L16_UNORM,X16Y16_UNORM,X16Y16_SNORM,X16Y16_USCALED,X16Y16_SSCALED,X16Y16_UINT,X16Y16_SINT,X16Y16_FLOAT,
-X16Y16Z16W16_UNORM,X16Y16Z16W16_SNORM,X16Y16Z16W16_USCALED,X16Y16Z16W16_SSCALED,X16Y16Z16W16_UINT,X16Y16Z16W16_SINT,X16Y16Z16W16_FLOAT,X32_UINT,X32_SINT,X32_FLOAT,X32Y32_UINT,X32Y32_SINT,X32Y32_FLOAT,
-X32Y32Z32_UINT,X32Y32Z32_SINT,X32Y32Z32_FLOAT,X32Y32Z32W32_UINT,X32Y32Z32W32_SINT,X32Y32Z32W32_FLOAT,D16_UNORM_S8_UINT,D32_FLOAT_S8_UINT,X9Y9Z9E5_FLOAT,
-BC1_UNORM,BC1_SRGB,BC2_UNORM,BC2_SRGB,BC3_UNORM,BC3_SRGB,BC4_UNORM,BC4_SNORM,BC5_UNORM,BC5_SNORM,BC6_UFLOAT,BC6_SFLOAT,BC7_UNORM,BC7_SRGB,
-ETC2X8Y8Z8_UNORM,ETC2X8Y8Z8_SRGB,ETC2X8Y8Z8W1_UNORM,ETC2X8Y8Z8W1_SRGB,ETC2X8Y8Z8W8_UNORM,ETC2X8Y8Z8W8_SRGB,ETC2X11_UNORM,ETC2X11_SNORM,ETC2X11Y11_UNORM,ETC2X11Y11_SNORM,
-ASTCLDR4X4_UNORM,ASTCLDR4X4_SRGB,ASTCLDR5X4_UNORM,ASTCLDR5X4_SRGB,ASTCLDR5X5_UNORM,ASTCLDR5X5_SRGB,ASTCLDR6X5_UNORM,ASTCLDR6X5_SRGB,ASTCLDR6X6_UNORM,ASTCLDR6X6_SRGB,ASTCLDR8X5_UNORM,ASTCLDR8X5_SRGB,ASTCLDR8X6_UNORM,ASTCLDR8X6_SRGB,
-ASTCLDR8X8_UNORM,ASTCLDR8X8_SRGB,ASTCLDR10X5_UNORM,ASTCLDR10X5_SRGB,ASTCLDR10X6_UNORM,ASTCLDR10X6_SRGB,ASTCLDR10X8_UNORM,ASTCLDR10X8_SRGB,ASTCLDR10X10_UNORM,ASTCLDR10X10_SRGB,ASTCLDR12X10_UNORM,ASTCLDR12X10_SRGB,ASTCLDR12X12_UNORM,ASTCLDR12X12_SRGB,
-ASTCHDR4x4_FLOAT,ASTCHDR5x4_FLOAT,ASTCHDR5x5_FLOAT,ASTCHDR6x5_FLOAT,ASTCHDR6x6_FLOAT,ASTCHDR8x5_FLOAT,ASTCHDR8x6_FLOAT,ASTCHDR8x8_FLOAT,ASTCHDR10x5_FLOAT,ASTCHDR10x6_FLOAT,ASTCHDR10x8_FLOAT,ASTCHDR10x10_FLOAT,ASTCHDR12x10_FLOAT,ASTCHDR12x12_FLOAT,
-X8Y8_Z8Y8_UNORM,X8Y8_Z8Y8_USCALED,Y8X8_Y8Z8_UNORM,Y8X8_Y8Z8_USCALED,AYUV,UYVY,VYUY,YUY2,YVY2,YV12,NV11,NV12,NV21,P016,P010,P210,X8 MM UNORM,X8 MM UINT,X8Y8 MM UNORM,X8Y8 MM UINT,
-X16 MM10 UNORM,X16 MM10 UINT,X16Y16 MM10 UNORM,X16Y16 MM10 UINT,P208,X16 MM12 UNORM,X16 MM12 UINT,X16Y16 MM12 UNORM,X16Y16 MM12 UINT,P012,P212,P412,X10Y10Z10W2 FLOAT,Y216,Y210,Y416,Y410""".replace("\n", "").split(",")
-)
+FORMATS = (
+    "UNDEFINED", "X1_UNORM", "X1_USCALED", "X4Y4_UNORM", "X4Y4_USCALED", "L4A4_UNORM", "X4Y4Z4W4_UNORM", "X4Y4Z4W4_USCALED", "X5Y6Z5_UNORM", "X5Y6Z5_USCALED",
+    "X5Y5Z5W1_UNORM", "X5Y5Z5W1_USCALED", "X1Y5Z5W5_UNORM", "X1Y5Z5W5_USCALED", "X8_UNORM", "X8_SNORM", "X8_USCALED", "X8_SSCALED", "X8_UINT", "X8_SINT", "X8_SRGB",
+    "A8_UNORM", "L8_UNORM", "P8_UNORM", "X8Y8_UNORM", "X8Y8_SNORM", "X8Y8_USCALED", "X8Y8_SSCALED", "X8Y8_UINT", "X8Y8_SINT", "X8Y8_SRGB", "L8A8_UNORM",
+    "X8Y8Z8W8_UNORM", "X8Y8Z8W8_SNORM", "X8Y8Z8W8_USCALED", "X8Y8Z8W8_SSCALED", "X8Y8Z8W8_UINT", "X8Y8Z8W8_SINT", "X8Y8Z8W8_SRGB", "U8V8_SNORM_L8W8_UNORM",
+    "X10Y11Z11_FLOAT", "X11Y11Z10_FLOAT", "X10Y10Z10W2_UNORM", "X10Y10Z10W2_SNORM", "X10Y10Z10W2_USCALED", "X10Y10Z10W2_SSCALED", "X10Y10Z10W2_UINT", "X10Y10Z10W2_SINT",
+    "X10Y10Z10W2BIAS_UNORM", "U10V10W10_SNORM_A2_UNORM", "X16_UNORM", "X16_SNORM", "X16_USCALED", "X16_SSCALED", "X16_UINT", "X16_SINT", "X16_FLOAT", "L16_UNORM",
+    "X16Y16_UNORM", "X16Y16_SNORM", "X16Y16_USCALED", "X16Y16_SSCALED", "X16Y16_UINT", "X16Y16_SINT", "X16Y16_FLOAT", "X16Y16Z16W16_UNORM", "X16Y16Z16W16_SNORM",
+    "X16Y16Z16W16_USCALED", "X16Y16Z16W16_SSCALED", "X16Y16Z16W16_UINT", "X16Y16Z16W16_SINT", "X16Y16Z16W16_FLOAT", "X32_UINT", "X32_SINT", "X32_FLOAT", "X32Y32_UINT",
+    "X32Y32_SINT", "X32Y32_FLOAT", "X32Y32Z32_UINT", "X32Y32Z32_SINT", "X32Y32Z32_FLOAT", "X32Y32Z32W32_UINT", "X32Y32Z32W32_SINT", "X32Y32Z32W32_FLOAT",
+    "D16_UNORM_S8_UINT", "D32_FLOAT_S8_UINT", "X9Y9Z9E5_FLOAT", "BC1_UNORM", "BC1_SRGB", "BC2_UNORM", "BC2_SRGB", "BC3_UNORM", "BC3_SRGB", "BC4_UNORM", "BC4_SNORM",
+    "BC5_UNORM", "BC5_SNORM", "BC6_UFLOAT", "BC6_SFLOAT", "BC7_UNORM", "BC7_SRGB", "ETC2X8Y8Z8_UNORM", "ETC2X8Y8Z8_SRGB", "ETC2X8Y8Z8W1_UNORM", "ETC2X8Y8Z8W1_SRGB",
+    "ETC2X8Y8Z8W8_UNORM", "ETC2X8Y8Z8W8_SRGB", "ETC2X11_UNORM", "ETC2X11_SNORM", "ETC2X11Y11_UNORM", "ETC2X11Y11_SNORM", "ASTCLDR4X4_UNORM", "ASTCLDR4X4_SRGB",
+    "ASTCLDR5X4_UNORM", "ASTCLDR5X4_SRGB", "ASTCLDR5X5_UNORM", "ASTCLDR5X5_SRGB", "ASTCLDR6X5_UNORM", "ASTCLDR6X5_SRGB", "ASTCLDR6X6_UNORM", "ASTCLDR6X6_SRGB",
+    "ASTCLDR8X5_UNORM", "ASTCLDR8X5_SRGB", "ASTCLDR8X6_UNORM", "ASTCLDR8X6_SRGB", "ASTCLDR8X8_UNORM", "ASTCLDR8X8_SRGB", "ASTCLDR10X5_UNORM", "ASTCLDR10X5_SRGB",
+    "ASTCLDR10X6_UNORM", "ASTCLDR10X6_SRGB", "ASTCLDR10X8_UNORM", "ASTCLDR10X8_SRGB", "ASTCLDR10X10_UNORM", "ASTCLDR10X10_SRGB", "ASTCLDR12X10_UNORM",
+    "ASTCLDR12X10_SRGB", "ASTCLDR12X12_UNORM", "ASTCLDR12X12_SRGB", "ASTCHDR4x4_FLOAT", "ASTCHDR5x4_FLOAT", "ASTCHDR5x5_FLOAT", "ASTCHDR6x5_FLOAT", "ASTCHDR6x6_FLOAT",
+    "ASTCHDR8x5_FLOAT", "ASTCHDR8x6_FLOAT", "ASTCHDR8x8_FLOAT", "ASTCHDR10x5_FLOAT", "ASTCHDR10x6_FLOAT", "ASTCHDR10x8_FLOAT", "ASTCHDR10x10_FLOAT",
+    "ASTCHDR12x10_FLOAT", "ASTCHDR12x12_FLOAT", "X8Y8_Z8Y8_UNORM", "X8Y8_Z8Y8_USCALED", "Y8X8_Y8Z8_UNORM", "Y8X8_Y8Z8_USCALED", "AYUV", "UYVY", "VYUY", "YUY2", "YVY2",
+    "YV12", "NV11", "NV12", "NV21", "P016", "P010", "P210", "X8 MM UNORM", "X8 MM UINT", "X8Y8 MM UNORM", "X8Y8 MM UINT", "X16 MM10 UNORM", "X16 MM10 UINT",
+    "X16Y16 MM10 UNORM", "X16Y16 MM10 UINT", "P208", "X16 MM12 UNORM", "X16 MM12 UINT", "X16Y16 MM12 UNORM", "X16Y16 MM12 UINT", "P012", "P212", "P412",
+    "X10Y10Z10W2 FLOAT", "Y216", "Y210", "Y416", "Y410",
+)
 #: Event of a history: (class, shape).
 EVENTS = {
     "create": ("resource", "circle"), "bind": ("resource", "triangle"), "name": ("resource", "triangle"), "destroy": ("resource", "cross"),

@@ -861,9 +861,15 @@ def ages(view):
     return live.crossJoin(ends).select("alloc_id", scalars.age_bucket(F.col("alloc_ts"), F.col("lo"), F.col("hi")).alias("age"))
 
 
-@frame("p14_slider_bounds", "SELECT CAST(s.range AS BIGINT) AS step, CASE WHEN s.range = 0 THEN 0 WHEN s.range < 24 THEN CAST(pow(2, s.range + 7) AS BIGINT) END AS bytes FROM range(0, 26) s")
+#: Each allocation with the step that a slider stands at.
+_STEPS = "SELECT alloc_id, size, alloc_id % 26 AS step FROM {allocs}"
+
+
+@frame("p14_slider_bounds", f"SELECT alloc_id, step, bytes, bytes IS NULL OR size <= bytes AS within FROM (SELECT *, CASE WHEN step = 0 THEN 0 WHEN step < 24 THEN CAST(pow(2, step + 7) AS BIGINT) END AS bytes FROM ({_STEPS}) s) t")
 def slider(view):
-    return view("SELECT 1 AS one").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(25).cast("long"))).alias("step")).select("step", scalars.slider_bytes(F.col("step")).alias("bytes"))
+    """The upper bound that a slider's step means for each allocation; the last steps are no bound."""
+    rows = view(_STEPS).withColumn("bytes", scalars.slider_bytes(F.col("step")))
+    return rows.selectExpr("alloc_id", "step", "bytes", "bytes IS NULL OR size <= bytes AS within")
 
 
 @frame(
@@ -946,13 +952,6 @@ def event_classes(view):
 
 
 _IMAGE = "usage IN (5, 6, 7)"
-sql(
-    "p29_p36_property_rows",  # size, usage and offset of each resource; images have a row more, which others show as n/a
-    f"""SELECT res_id, property, coalesce(value, 'n/a') AS value FROM (SELECT res_id, stack(4, 'Size', CAST(rsize AS STRING), 'Usage', {_case('usage', enums.USAGES)}, 'Offset', CAST(off AS STRING),
-'Image pages', CASE WHEN {_IMAGE} THEN CAST(rsize // 4096 AS STRING) END) AS (property, value) FROM {{res}}) p""",
-    f"""SELECT res_id, 'Size' AS property, CAST(rsize AS STRING) AS value FROM {{res}} UNION ALL SELECT res_id, 'Usage', {_case('usage', enums.USAGES)} FROM {{res}}
-UNION ALL SELECT res_id, 'Offset', CAST(off AS STRING) FROM {{res}} UNION ALL SELECT res_id, 'Image pages', CASE WHEN {_IMAGE} THEN CAST(rsize // 4096 AS STRING) ELSE 'n/a' END FROM {{res}}""",
-)
 _FNV = "2166136261"
 for _k in range(8):
     _FNV = f"(xor({_FNV}, (alloc_id >> {8 * _k}) & 255) * 16777619) & 4294967295" if _k == 0 else f"(xor(({_FNV}), (alloc_id >> {8 * _k}) & 255) * 16777619) & 4294967295"
@@ -963,7 +962,14 @@ def id_hash(view):
     return view("allocs").select("alloc_id", scalars.fnv1a32(F.col("alloc_id")).alias("hash"))
 
 
-sql("p32_p34_p35_segments", "SELECT heap, hi - lo AS bytes, heap IN (0, 1) AS gpu_visible, heap <> 1 AS cpu_visible, CASE WHEN heap = 1 THEN 0 ELSE heap END AS folded, sum(CASE WHEN heap IN (0, 1) THEN 1 ELSE 0 END) OVER () > 1 AS video_memory FROM {segments} s")
+sql(
+    "p32_p34_p35_segments",  # with resizable memory the invisible segment is part of the local one, and preferences for it mean that
+    """SELECT a.alloc_id, a.heap, CASE WHEN a.heap = 1 THEN 0 ELSE a.heap END AS preferred, a.heap IN (0, 1) AS in_video_memory, a.heap IN (0, 2) AS cpu_visible, a.heap = 2 AS cpu_cached, coalesce(s.bytes, 0) AS folded_bytes, coalesce(s.bytes, 0) > 0 AND a.heap IN (0, 1) AS gpu_local, v.total AS video_memory
+FROM {allocs} a LEFT JOIN (SELECT CASE WHEN heap = 1 THEN 0 ELSE heap END AS heap, CAST(sum(hi - lo) AS BIGINT) AS bytes FROM {segments} GROUP BY 1) s ON s.heap = CASE WHEN a.heap = 1 THEN 0 ELSE a.heap END
+CROSS JOIN (SELECT CAST(sum(hi - lo) AS BIGINT) AS total FROM {segments} WHERE heap IN (0, 1)) v""",
+    """SELECT alloc_id, heap, [0, 0, 2, 3][heap + 1] AS preferred, heap < 2 AS in_video_memory, heap % 2 = 0 AS cpu_visible, heap = 2 AS cpu_cached, CASE WHEN heap < 2 THEN (SELECT CAST(sum(hi - lo) AS BIGINT) FROM {segments}) ELSE 0 END AS folded_bytes, heap < 2 AS gpu_local,
+(SELECT CAST(max(hi) - min(lo) AS BIGINT) FROM {segments}) AS video_memory FROM {allocs}""",
+)
 
 # --- naming and histories ------------------------------------------------------------------
 

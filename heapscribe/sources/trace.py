@@ -55,8 +55,8 @@ IMPLICIT_HEAP, IMPLICIT_RESOURCE = 1, 2
 MARKED = {1: IMPLICIT_HEAP, 2: IMPLICIT_RESOURCE}  # by the heap type that a mark names
 _LONGS = ("frequency", "driver_id", "subresource", "update_type", "before", "after", "va", "pa", "pages", "page_size", "controller", "op", "queue", "size", "event", "owner", "importance", "commit", "resource_type", "create_flags", "usage_flags", "user_kind", "delay", "correlation_id", "implicit")
 _FLAGS = ("unmap", "is_system", "is_external")
-SCHEMA = pa.schema([("trace_id", pa.string()), ("stream_index", pa.int64()), ("offset", pa.int64()), ("ts", pa.int64()), ("process_id", pa.int64()), ("thread_id", pa.int64()), ("kind", pa.int64()), *[(n, pa.int64()) for n in _LONGS], *[(n, pa.bool_()) for n in _FLAGS], ("pref", pa.list_(pa.int32())), ("name", pa.string())])
-DDL = ", ".join(f"`{f.name}` {'string' if f.type == pa.string() else 'boolean' if f.type == pa.bool_() else 'array<int>' if f.name == 'pref' else 'long'}" for f in SCHEMA)
+SCHEMA = pa.schema([("trace_id", pa.string()), ("stream_index", pa.int64()), ("offset", pa.int64()), ("ts", pa.int64()), ("process_id", pa.int64()), ("thread_id", pa.int64()), ("kind", pa.int64()), *[(n, pa.int64()) for n in _LONGS], *[(n, pa.bool_()) for n in _FLAGS], ("pref", pa.list_(pa.int32())), ("name", pa.string()), ("payload", pa.binary())])
+DDL = ", ".join(f"`{f.name}` {'string' if f.type == pa.string() else 'boolean' if f.type == pa.bool_() else 'binary' if f.type == pa.binary() else 'array<int>' if f.name == 'pref' else 'long'}" for f in SCHEMA)
 
 
 class Chunk(NamedTuple):
@@ -148,7 +148,7 @@ def decode(blocks: Iterable[bytes], version: tuple[int, int], name: str, stream:
             at += size
         carry = raw[at:]
         if starts:
-            batch, now, seen = _rows(data, np.array(starts, np.int64), version, (name, stream, process, thread), before, now, seen)
+            batch, now, seen = _rows(data, np.array([*starts, at], np.int64), version, (name, stream, process, thread), before, now, seen)
             yield batch
         before += at
     if carry:
@@ -156,7 +156,8 @@ def decode(blocks: Iterable[bytes], version: tuple[int, int], name: str, stream:
 
 
 def _rows(data: np.ndarray, starts: np.ndarray, version: tuple[int, int], of: tuple, before: int, now: int, seen: bool) -> tuple[pa.RecordBatch, int, bool]:
-    """The tokens at `starts` as a batch, the clock after them, and whether the stream has told its time."""
+    """The tokens at `starts`, whose last place is where they end, as a batch; the clock after them; whether the stream has told its time."""
+    lengths, starts = np.diff(starts), starts[:-1]
     kind = (data[starts] & 15).astype(np.int64)
     step = np.where(_TICKS[kind], data[starts] >> 4, 0).astype(np.int64)
     delta = np.flatnonzero(kind == TIME_DELTA)
@@ -170,7 +171,7 @@ def _rows(data: np.ndarray, starts: np.ndarray, version: tuple[int, int], of: tu
         clock[k:] += _field(data, starts[k : k + 1], 63, 4)[0] * QUANTUM - clock[k]
     now = int(clock[-1])
     shown = kind != TIME_DELTA
-    starts, kind, clock = starts[shown], kind[shown], clock[shown]
+    starts, kind, clock, lengths = starts[shown], kind[shown], clock[shown], lengths[shown]
     n = len(starts)
     name, stream, process, thread = of
     values: dict[str, tuple[np.ndarray, np.ndarray]] = {c: (np.zeros(n, np.int64), np.zeros(n, bool)) for c in (*_LONGS, *_FLAGS)}
@@ -214,6 +215,11 @@ def _rows(data: np.ndarray, starts: np.ndarray, version: tuple[int, int], of: tu
     edge = np.concatenate([[0], np.cumsum(4 * made)]).astype(np.int32)
     columns["pref"] = pa.ListArray.from_arrays(pa.array(edge, mask=np.append(~made, False)), pa.array(pref[made].ravel()))
     columns["name"] = pa.array(text, pa.string())
+    size = np.where(kind == CREATE, lengths - TOKENS[CREATE][0], 0)
+    inside = np.repeat(starts + TOKENS[CREATE][0], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    edge = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    present = np.packbits(kind == CREATE, bitorder="little").tobytes()
+    columns["payload"] = pa.Array.from_buffers(pa.binary(), n, [pa.py_buffer(present), pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(data[inside]))])
     return pa.RecordBatch.from_arrays([columns[f.name] for f in SCHEMA], schema=SCHEMA), now, seen
 
 

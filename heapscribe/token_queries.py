@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions import scalars
+from .functions import enums, scalars, sheets
 from .operators import aliasing, history, intervals, naming, replay, residency
 from .registry import _FOLD, _SHARED, _STATES, _TOPS, frame, tape
 
@@ -175,3 +175,85 @@ def resource_history(view):
     tokens, state = _state(view)
     every = replay.lives(tokens).where("kind = 13").select("trace_id", "driver_id", "create_seq")
     return history.of_resources(tokens, state, every, naming.names(tokens))
+
+
+# --- property sheets -------------------------------------------------------------------------
+
+#: Creates of every resource type, with payloads of the format's length whose bits are those of checksums of their numbers.
+_CREATES = "SELECT seq, seq % 18 AS resource_type, md5('a' || CAST(seq AS STRING)) || md5('b' || CAST(seq AS STRING)) || md5('c' || CAST(seq AS STRING)) AS bytes FROM {toks}"
+
+
+def _sheet_sql() -> str:
+    def memory(v: str) -> str:
+        units = ["bytes", "KiB", "MiB", "GiB", "TiB", "PiB"]
+        cases = " ".join(f"WHEN {v} < {1024 ** (k + 1)} THEN format('{{:,.2f}}', {v} / {float(1024**k)}) || ' {u}'" for k, u in enumerate(units) if k)
+        return f"CASE WHEN {v} < 1024 THEN format('{{:,}}', {v}) || ' bytes' {cases} END"
+
+    def number(high: int, low: int) -> str:
+        high = min(high, low + sheets.WIDEST - 1)
+        parts = " + ".join(f"(CAST('0x' || substr(bytes, {2 * at + 1}, 2) AS BIGINT) << {8 * k})" for k, at in enumerate(range(low // 8, high // 8 + 1)))
+        return f"((({parts}) >> {low % 8}) & {(1 << high - low + 1) - 1})"
+
+    def shown(high: int, low: int, how: str) -> str:
+        v = number(high, low)
+        if how == "hash":
+            word = lambda first: " || ".join(f"substr(bytes, {2 * (first + k) + 1}, 2)" for k in range(7, -1, -1))
+            return f"CASE WHEN {word(1)} <> '{'0' * 16}' THEN {word(1)} || {word(9)} WHEN {word(9)} <> '{'0' * 16}' THEN {word(9)} ELSE 'N/A' END"
+        if how in sheets.FLAGS:
+            names = getattr(enums, how)
+            parts = ", ".join(f"CASE WHEN ({v} >> {k}) & 1 = 1 THEN '{n}' END" for k, n in enumerate(names))
+            return f"CASE WHEN {v} = 0 THEN 'None' ELSE concat_ws(' | ', {parts}) || ' (' || CAST({v} AS VARCHAR) || ')' END"
+        if how.isupper():
+            names = getattr(enums, how)
+            return f"coalesce({list(names)}[{v} + 1], 'Unknown')"
+        if how == "swizzle":
+            return " || ".join(f"coalesce({list(enums.SWIZZLES)}[(({v} >> {3 * k}) & 7) + 1], 'Unknown')" for k in range(4))
+        return {"number": f"format('{{:,}}', {v})", "next": f"format('{{:,}}', {v} + 1)", "power": f"format('{{:,}}', CAST(1 AS BIGINT) << {v})", "flag": f"CASE WHEN {v} = 1 THEN 'True' ELSE 'False' END", "bytes": memory(v), "chunks": memory(f"({v} * 4096)"), "pages": memory(f"(CAST(1 AS BIGINT) << {v})")}[how]
+
+    return " UNION ALL ".join(f"SELECT seq, {n} AS place, '{p}' AS property, {shown(high, low, how)} AS value FROM creates WHERE resource_type = {k}" for k, rows in sheets.SHEETS.items() for n, (p, high, low, how) in enumerate(rows))
+
+
+@frame("p29_property_sheets", f"WITH creates AS ({_CREATES}) {_sheet_sql()}")
+def property_sheets(view):
+    """The sheet of each create, by its type: 26 rows of an image, 3 of a buffer, and so on."""
+    return sheets.properties(view(_CREATES).withColumn("payload", F.unhex("bytes")), ["seq"])
+
+
+@frame(
+    "p22_p23_p39_resource_labels",
+    f"""WITH RECURSIVE {_SHARED}, {_FOLD}, {_STATES}, s AS (SELECT x.*, h.seq AS alloc_id, CASE WHEN h.made = 1 THEN 0 ELSE h.heap END AS heap, h.ts AS alloc_ts, h.free_ts, CASE x.resource_type WHEN 1 THEN CASE WHEN x.flags & 4096 <> 0 THEN 4 ELSE 3 END WHEN 0 THEN 5 WHEN 11 THEN 2 WHEN 15 THEN 9 ELSE 8 END AS usage
+  FROM (SELECT * FROM states WHERE live AND ts <= 600000 AND (valid_to IS NULL OR valid_to > 600000)) x LEFT JOIN {{tape}} k ON x.base IS NOT NULL AND k.trace_id = x.trace_id AND k.driver_id = x.driver_id AND k.kind = 7 AND k.ts = x.bind_ts AND k.va = x.address AND k.size = x.size
+  LEFT JOIN held h ON NOT h.held AND h.trace_id = x.trace_id AND h.va = x.base AND h.seq <= k.seq AND (h.ends IS NULL OR k.seq < h.ends)),
+w AS (SELECT *, (max(create_ts) OVER () - min(create_ts) OVER ()) // 10 AS step, min(create_ts) OVER () AS first FROM s)
+SELECT DISTINCT trace_id, driver_id, {list(enums.USAGES)}[usage + 1] AS usage, CASE WHEN base IS NULL THEN '-' WHEN free_ts <= 600000 THEN 'Orphaned' ELSE ['Local', 'Invisible', 'Host', 'Unspecified'][heap + 1] END AS preferred_heap,
+CASE WHEN base IS NULL OR free_ts <= 600000 THEN 'Unknown' ELSE ['Local', 'Invisible', 'Host', 'Unspecified'][heap + 1] END AS actual_heap, CAST(CASE WHEN step = 0 THEN -1 ELSE least(greatest((create_ts - first) // nullif(step, 0), 0), 9) END AS INTEGER) AS create_age FROM w""",
+)
+def resource_labels(view):
+    """What resources are coloured by at one time: usage, the heap that their allocation prefers (freed: orphaned; none: -), the heap that it is in, and the age of their create."""
+    tokens, t = tape(view), 600_000
+    state = replay.swept(replay.with_shared(tokens))
+    live = replay.state_at(replay.spans_of(tokens, state), t)
+    allocs = state.where("kind = 12 AND taken").select("trace_id", F.col("seq").alias("alloc_seq"), F.element_at("pref", 1).alias("heap"), "end_ts")
+    rows = live.join(allocs, ["trace_id", "alloc_seq"], "left")
+    ends = F.broadcast(rows.agg(F.min("create_ts").alias("_lo"), F.max("create_ts").alias("_hi")))  # one row
+    gone, heap = F.coalesce(F.col("end_ts") <= t, F.lit(False)), enums.named(F.col("heap"), enums.HEAPS)
+    preferred = F.when(F.col("base").isNull(), "-").when(gone, "Orphaned").otherwise(heap)
+    actual = F.when(F.col("base").isNull() | gone, "Unknown").otherwise(heap)
+    age = scalars.age_bucket(F.col("create_ts"), F.col("_lo"), F.col("_hi"))
+    return rows.crossJoin(ends).select("trace_id", "driver_id", enums.named(F.col("usage"), enums.USAGES).alias("usage"), preferred.alias("preferred_heap"), actual.alias("actual_heap"), age.alias("create_age"))
+
+
+#: Running counts as a profile makes them, token by token: allocates and frees, creates and destroys; creates of shareable images count as allocations too.
+_PROFILE_STEPS = """SELECT trace_id, seq, ts, CASE WHEN kind = 12 OR kind = 13 AND resource_type = 0 AND (create_flags & 4) <> 0 THEN 1 WHEN kind = 11 THEN -1 ELSE 0 END AS a, CASE kind WHEN 13 THEN 1 WHEN 15 THEN -1 ELSE 0 END AS r FROM {tape}"""
+
+
+@frame(
+    "a01_token_profile",
+    f"""SELECT trace_id, CAST(sum(CASE WHEN a > 0 THEN 1 ELSE 0 END) AS BIGINT) AS allocations, CAST(sum(CASE WHEN r > 0 THEN 1 ELSE 0 END) AS BIGINT) AS resources, CAST(greatest(max(live_a), 0) AS BIGINT) AS most_allocations, CAST(greatest(max(live_r), 0) AS BIGINT) AS most_resources, max(ts) AS last_ts
+FROM (SELECT *, sum(a) OVER (PARTITION BY trace_id ORDER BY seq) AS live_a, sum(r) OVER (PARTITION BY trace_id ORDER BY seq) AS live_r FROM ({_PROFILE_STEPS}) s) t GROUP BY trace_id""",
+)
+def token_profile(view):
+    """Counts of a trace, and the most allocations and resources at one time."""
+    steps = intervals.running(view(_PROFILE_STEPS), ["trace_id"], ["seq"], F.expr("seq div 100000"), {"live_a": ("sum", F.col("a")), "live_r": ("sum", F.col("r"))})
+    most = lambda c: F.greatest(F.max(c), F.lit(0)).alias("most_" + {"live_a": "allocations", "live_r": "resources"}[c])
+    return steps.groupBy("trace_id").agg(F.count_if(F.col("a") > 0).alias("allocations"), F.count_if(F.col("r") > 0).alias("resources"), most("live_a"), most("live_r"), F.max("ts").alias("last_ts"))
