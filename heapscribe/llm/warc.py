@@ -2,10 +2,12 @@
 
 `write_archives` turns page rows into gzipped WARC records; every task rolls its own
 archives in the shared folder and a manifest table names those of the tasks that
-committed. `read_runs` reads the archives back, one sorted index run per archive.
-`merge_runs` range-partitions the runs by URL key and timestamp, and merges the sorted
-stretches that reach a task with a loser tree: the result is globally ordered capture
-histories.
+committed. `read_runs` reads the archives back and writes one sorted index run per archive, a file in
+blocks. `merge_runs` merges runs from their files: as long as there are more than FAN of
+them, tasks merge FAN at a time to longer ones; then every task merges one range of
+(URL key, timestamp) of the last ones, from the block where the range begins in each. A loser tree pulls the
+rows, so a task holds a block of each of FAN runs, however many captures there are. The result is globally
+ordered capture histories.
 
 Equal payloads of at least `least` bytes are stored once: the record of the largest
 page_id is a response, the others revisit it (a row whose page_id is null never wins
@@ -22,8 +24,10 @@ import hashlib
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -144,8 +148,48 @@ def _order(r: dict) -> tuple:
     return r["urlkey"], r["ts"], -1 << 63 if r["page_id"] is None else r["page_id"], r["archive"], r["offset"]
 
 
+FAN, BLOCK = 32, 1024  # runs that one task merges, rows of a run that it reads at a time
+_KEY = ("urlkey", "ts", "page_id", "archive", "offset")
+_BLOCKS = pa.schema([("run", pa.string()), ("block", pa.int64()), ("rows", pa.int64()), ("first", pa.struct([_RUN.field(k) for k in _KEY]))])
+BLOCKS = "run string, block long, rows long, first struct<urlkey: string, ts: string, page_id: long, archive: string, offset: long>"
+
+
+def write_run(folder: str, rows: Iterable[dict]) -> pa.RecordBatch:
+    """Writes sorted rows as a run under `folder`; its blocks with their first keys. Runs that no committed task names are never read."""
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSystem
+
+    fs, root = FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    name, blocks = f"{uuid.uuid4().hex}.run", []
+    rows = iter(rows)
+    with fs.open_output_stream(f"{root}/{name}", compression=None) as out, pq.ParquetWriter(out, _RUN, compression="zstd") as writer:
+        while part := list(islice(rows, BLOCK)):
+            writer.write_table(pa.Table.from_pylist(part, schema=_RUN), row_group_size=BLOCK)
+            blocks.append({"run": f"{folder}/{name}", "block": len(blocks), "rows": len(part), "first": {k: part[0][k] for k in _KEY}})
+    return pa.RecordBatch.from_pylist(blocks, schema=_BLOCKS)
+
+
+def run_rows(run: str, block: int = 0, low: tuple | None = None, high: tuple | None = None) -> Iterator[dict]:
+    """Rows of a run from a block on, those of keys from low to before high; one block is read at a time."""
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSystem
+
+    fs, path = FileSystem.from_uri(run)
+    with fs.open_input_file(path) as source:
+        file = pq.ParquetFile(source)
+        for k in range(block, file.num_row_groups):
+            for r in file.read_row_group(k).to_pylist():
+                key = _order(r)
+                if high is not None and key >= high:
+                    return
+                if low is None or key >= low:
+                    yield r
+
+
 def read_runs(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """Index rows of the archives of a manifest: each archive's rows sorted by URL key and timestamp, a run. A written table."""
+    """Reads the archives of a manifest and writes each one's index rows, sorted by URL key and timestamp, as a run. The blocks of all runs, a written table."""
+    folder = scratch_path(spark, "runs")
 
     def parse(archive: str) -> Iterator[dict]:
         from pyarrow.fs import FileSystem
@@ -164,10 +208,10 @@ def read_runs(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pylist(sorted(parse(archive), key=_order), schema=_RUN)
+                yield write_run(folder, sorted(parse(archive), key=_order))
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(manifest.select("archive").repartition(n, "archive").mapInArrow(read, RUN), "runs")
+    return materialize(manifest.select("archive").repartition(n, "archive").mapInArrow(read, BLOCKS), "runs")
 
 
 class LoserTree:
@@ -207,29 +251,62 @@ class LoserTree:
             self._play(w)
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+def longer_runs(blocks: DataFrame, runs: int, fan: int = FAN) -> DataFrame:
+    """Merges `fan` runs at a time to one each; the blocks of these, a written table."""
+    folder = scratch_path(blocks.sparkSession, "runs")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                names.append(name)
+                if len(names) == fan:
+                    yield write_run(folder, LoserTree(map(run_rows, names), _order))
+                    names = []
+        if names:
+            yield write_run(folder, LoserTree(map(run_rows, names), _order))
+
+    return materialize(blocks.select("run").distinct().repartition(-(-runs // fan)).mapInArrow(merge, BLOCKS), "runs")
+
+
+def merge_runs(blocks: DataFrame, fan: int = FAN) -> DataFrame:
     """The rows of all runs in global order of (urlkey, ts, page_id): partitions ascend, and so do the rows within each.
 
-    A task holds the index rows of its key range only. Ranges split a URL key that many captures share.
+    Ranges split a URL key that many captures share. The driver holds the ranges' bounds, from a sample of
+    block keys, and where each begins in each of `fan` runs.
     """
-    ranged = runs.repartitionByRange("urlkey", "ts", F.col("page_id").asc_nulls_first(), "archive", "offset")
+    spark = blocks.sparkSession
+    while (runs := blocks.select("run").distinct().count()) > fan:
+        blocks = longer_runs(blocks, runs, fan)
+    count, wanted = blocks.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not count:
+        return spark.createDataFrame([], RUN)
+    per_range = 50
+    sample = blocks if count <= per_range * wanted else blocks.sample(per_range * wanted / count, seed=7)
+    keys = sorted(_order(r.first.asDict()) for r in sample.select("first").collect())
+    ranges = max(1, min(wanted, count))
+    bounds = sorted({keys[k * len(keys) // ranges] for k in range(1, ranges)} if keys else set())
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [bisect_right(bounds, _order(f)) for f in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int64()), batch.column(1)], names=["run", "at", "block"])
+
+    last = blocks.select("run", "block", "first").mapInArrow(place, "run string, at long, block long").groupBy("run", "at").agg(F.max("block").alias("block"))
+    begins: dict[str, list[int]] = {}  # by run: for each range the last block that begins before it
+    for run, at, block in sorted(last.collect()):
+        own = begins.setdefault(run, [0] * (len(bounds) + 1))
+        own[at + 1 :] = [block] * (len(bounds) - at)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretches: list[list[dict]] = []
         for batch in batches:
-            for r in batch.to_pylist():
-                if not stretches or _order(stretches[-1][-1]) > _order(r):
-                    stretches.append([])
-                stretches[-1].append(r)
-        done: list[dict] = []
-        for r in LoserTree(stretches, _order):
-            done.append(r)
-            if len(done) == 10_000:
-                yield pa.RecordBatch.from_pylist(done, schema=_RUN)
-                done = []
-        yield pa.RecordBatch.from_pylist(done, schema=_RUN)
-
-    return ranged.mapInArrow(merge, RUN)
+            for k in batch.column(0).to_pylist():
+                low, high = bounds[k - 1] if k else None, bounds[k] if k < len(bounds) else None
+                rows = iter(LoserTree([run_rows(run, own[k], low, high) for run, own in begins.items()], _order))
+                while part := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_pylist(part, schema=_RUN)
+
+    return spark.range(0, len(bounds) + 1, 1, len(bounds) + 1).mapInArrow(merge, RUN)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:

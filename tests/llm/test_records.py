@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +26,20 @@ def pages(spark):
     return [(*r, "extra") for r in rows], "page_id long, url string, html string, refers_to string"
 
 
+def test_external_merge(spark, tmp_path, monkeypatch):
+    """Many short runs, merged few at a time and in blocks; one key fills a third of all rows."""
+    monkeypatch.setattr(warc, "BLOCK", 8)
+    rnd = random.Random(2)
+    rows = [{"urlkey": "hot)/" if i % 3 == 0 else f"k{rnd.randrange(40)})/", "ts": f"20{rnd.randrange(24):02d}", "page_id": rnd.choice([None, rnd.randrange(50)]), "url": "u", "archive": f"a{i % 5}", "offset": i, "length": 1, "payload_bytes": 2, "payload_digest": "d", "record_type": "response", "refers_to": None} for i in range(2000)]
+    blocks = [warc.write_run(f"file://{tmp_path}/runs", sorted(rows[k::37], key=warc._order)) for k in range(37)]
+    df = spark.createDataFrame(pa.Table.from_batches(blocks)).repartition(3)
+    got = [r.asDict() for r in warc.merge_runs(df, fan=3).collect()]
+    assert got == sorted(rows, key=warc._order)
+    widest = warc.merge_runs(df, fan=64)
+    sizes = widest.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 3 and max(r["count"] for r in sizes) < 900 and widest.count() == 2000
+
+
 @pytest.mark.parametrize("least", [0, 12])
 def test_warc(spark, pages, tmp_path, least):
     rows, schema = pages
@@ -47,7 +62,7 @@ def test_warc(spark, pages, tmp_path, least):
     assert [warc._order(r.asDict()) for r in got] == sorted(warc._order(r.asDict()) for r in got)
     dated = spark.createDataFrame([(i, None, "x", d) for i, d in enumerate((-(10**12), 0, 10**12, None))], "page_id long, url string, html string, s long")
     stamped = warc.write_archives(dated, folder + "-dated", when=F.timestamp_seconds("s"))
-    assert sorted(r.ts[:4] for r in warc.read_runs(spark, stamped).collect()) == ["0001", "1970", "2024", "9999"]
+    assert sorted(r.ts[:4] for r in warc.merge_runs(warc.read_runs(spark, stamped)).collect()) == ["0001", "1970", "2024", "9999"]
     empty = warc.write_archives(spark.createDataFrame([], schema), folder + "-empty")
     assert warc.merge_runs(warc.read_runs(spark, empty)).count() == 0
 
