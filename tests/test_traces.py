@@ -3,6 +3,7 @@
 import io
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -250,3 +251,21 @@ def test_streaming_timeline(spark, tmp_path):
     query.awaitTermination()
     want = {(r.bucket, r.heap): r.change for r in df.groupBy(F.expr("ts div 3000").alias("bucket"), "heap").agg(F.sum("delta").alias("change")).collect()}
     assert {(r.bucket, r.heap): r.change for r in spark.table("live").collect()} == want
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    late = timeline.LateRows()
+    spark.streams.addListener(late)
+    try:
+        for k, ts in enumerate([[10_000_000, 10_000_500], [5_000, 10_001_000], [6_000, 9_000]]):
+            spark.createDataFrame([(t, 1, 4096) for t in ts], "ts long, heap int, delta long").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        stream = spark.readStream.schema("ts long, heap int, delta long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        query = timeline.live_byte_changes(stream).writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        for _ in range(100):
+            if late.lost["late"]:
+                break
+            time.sleep(0.1)
+        assert late.lost["late"] >= 2
+    finally:
+        spark.streams.removeListener(late)
