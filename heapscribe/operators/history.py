@@ -96,6 +96,31 @@ def full(tokens: DataFrame, state: DataFrame, asked: DataFrame, everything: bool
     return with_lists.unionByName(rest).drop("alloc_seq")
 
 
+def every(tokens: DataFrame, state: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
+    """(trace_id, seq, ts, event, driver_id, create_seq, va, bound): creates, binds and destroys of all resources, and the residency changes of allocations with the driver ids of the resources that are bound in them then, in order.
+
+    A destroy takes out its own resource only. hidden: implicit resources (trace_id, driver_id, create_seq) to leave out.
+    """
+    own = replay.lives(tokens).where(F.col("kind").isin(trace.CREATE, trace.BIND, trace.DESTROY))
+    if hidden is not None:
+        own = own.join(hidden.select("trace_id", "driver_id", "create_seq"), ["trace_id", "driver_id", "create_seq"], "left_anti")
+    found = state.where(F.col("base").isNotNull()).select("trace_id", "seq", "alloc_seq")
+    out = own.select("trace_id", "seq", "ts", event_name().alias("event"), "driver_id", "create_seq", "va", F.lit(None).cast("array<bigint>").alias("bound"))
+    gone = own.where(F.col("kind") == trace.DESTROY).select("trace_id", "driver_id", "create_seq", F.col("seq").alias("_gone"))
+    bound = own.where(F.col("kind") == trace.BIND).join(found, ["trace_id", "seq"]).select("trace_id", "alloc_seq", "driver_id", "create_seq", F.col("seq").alias("_bound")).join(gone, ["trace_id", "driver_id", "create_seq"], "left")
+    swaps = tokens.where(F.col("kind") == trace.REFERENCE).select("trace_id", "seq", "ts", event_name().alias("event"), "va").join(found, ["trace_id", "seq"])
+    lists = swaps.select("trace_id", "seq", "alloc_seq").join(bound, ["trace_id", "alloc_seq"]).where((F.col("_bound") < F.col("seq")) & (F.col("_gone").isNull() | (F.col("_gone") > F.col("seq"))))
+    lists = lists.groupBy("trace_id", "seq").agg(F.sort_array(F.collect_set("driver_id")).alias("bound"))
+    return out.unionByName(swaps.drop("alloc_seq").join(lists, ["trace_id", "seq"], "left").withColumn("bound", F.coalesce("bound", F.array().cast("array<bigint>"))), allowMissingColumns=True)
+
+
+def enriched_binds(tokens: DataFrame, state: DataFrame) -> DataFrame:
+    """(trace_id, seq, driver_id, va, base, pref): binds with the base and the preferences of the allocation that they find."""
+    found = state.where((F.col("kind") == trace.BIND) & F.col("base").isNotNull()).select("trace_id", "seq", "base", "alloc_seq")
+    made = state.where((F.col("kind") == trace.ALLOCATE) & F.col("taken")).select("trace_id", F.col("seq").alias("alloc_seq"), "pref")
+    return tokens.where(F.col("kind") == trace.BIND).select("trace_id", "seq", "driver_id", "va").join(found, ["trace_id", "seq"]).join(made, ["trace_id", "alloc_seq"]).drop("alloc_seq")
+
+
 def _update_end(tokens: DataFrame) -> Column:
     """Where a page-table update ends: by its pages, or by `size` where tokens have no such column."""
     if "pages" not in tokens.columns:

@@ -975,8 +975,6 @@ CROSS JOIN (SELECT CAST(sum(hi - lo) AS BIGINT) AS total FROM {segments} WHERE h
 
 sql("n01_restamped", "SELECT res_id, name, t - 500 AS event_time FROM {names} WHERE t >= 500")
 sql("n05_names_in_life", "SELECT res_id, t, name FROM {names} WHERE t >= created AND t < created + 1000")
-sql("h06_h09_all_resources", "SELECT res_id, 'bind' AS event, bind_ts AS ts FROM {res} WHERE res_id % 13 <> 0 UNION ALL SELECT res_id, 'destroy', free_ts FROM {res} WHERE free_ts IS NOT NULL AND res_id % 13 <> 0")
-sql("h07_bind_enrichment", "SELECT r.res_id, r.bind_ts, a.base, a.heap AS first_preference, CASE WHEN a.heap = 0 THEN 2 ELSE 3 END AS second_preference FROM {res} r JOIN {allocs} a ON a.alloc_id = r.alloc_id")
 sql("h08_typed_events", "SELECT kind, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, max(CASE WHEN kind = 12 THEN size END) AS largest FROM {toks} GROUP BY kind")
 
 

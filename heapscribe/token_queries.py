@@ -177,6 +177,25 @@ def resource_history(view):
     return history.of_resources(tokens, state, every, naming.names(tokens))
 
 
+@frame(
+    "h06_h09_all_resources",
+    _on_reel(f"""WITH RECURSIVE {_HELD}, {_FOUND}, {_LIVES}, {_NAMING}, {_IMPLICIT}, theirs AS (SELECT l.* FROM lives l WHERE l.kind IN (7, 13, 15) AND NOT EXISTS (SELECT 1 FROM implicit i WHERE i.trace_id = l.trace_id AND i.driver_id = l.driver_id AND i.create_seq = l.create_seq))
+SELECT trace_id, seq, ts, CASE kind WHEN 13 THEN 'create' WHEN 7 THEN 'bind' ELSE 'destroy' END AS event, driver_id, create_seq, va, NULL AS bound FROM theirs
+UNION ALL SELECT r.trace_id, r.seq, r.ts, CASE WHEN r.op = 0 THEN 'make resident' ELSE 'evict' END, NULL, NULL, r.va, coalesce((SELECT string_agg(d, ',' ORDER BY k) FROM (SELECT DISTINCT CAST(o.driver_id AS VARCHAR) AS d, o.driver_id AS k FROM theirs o JOIN found g ON g.trace_id = o.trace_id AND g.seq = o.seq
+  WHERE o.kind = 7 AND o.trace_id = r.trace_id AND g.alloc_seq = f.alloc_seq AND o.seq < r.seq AND NOT EXISTS (SELECT 1 FROM theirs x WHERE x.kind = 15 AND x.trace_id = o.trace_id AND x.driver_id = o.driver_id AND x.create_seq = o.create_seq AND x.seq < r.seq)) b), '')
+FROM {{reel}} r JOIN found f ON f.trace_id = r.trace_id AND f.seq = r.seq WHERE r.kind = 6"""),
+)
+def all_resources(view):
+    tokens, state = _state(view)
+    found = history.every(tokens, state, naming.implicit(tokens, state))
+    return found.withColumn("bound", F.array_join(F.transform("bound", lambda x: x.cast("string")), ","))
+
+
+@frame("h07_bind_enrichment", _on_reel(f"WITH RECURSIVE {_HELD}, {_FOUND} SELECT f.trace_id, f.seq, b.driver_id, b.va, f.base, CASE WHEN h.made = 1 THEN 0 ELSE h.heap END AS preferred FROM found f JOIN {{reel}} b ON b.trace_id = f.trace_id AND b.seq = f.seq AND b.kind = 7 JOIN held h ON NOT h.held AND h.trace_id = f.trace_id AND h.seq = f.alloc_seq"))
+def bind_enrichment(view):
+    return history.enriched_binds(*_state(view)).select("trace_id", "seq", "driver_id", "va", "base", F.element_at("pref", 1).alias("preferred"))
+
+
 # --- property sheets -------------------------------------------------------------------------
 
 #: Creates of every resource type, with payloads of the format's length whose bits are those of checksums of their numbers.
