@@ -42,16 +42,18 @@ PAIRS = 1 << 20  # pairs of sources that are worked out at a time
 #: Bytes of terms: ASCII letters, of which capitals become small, and all that isn't ASCII. Others become the delimiter.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-_CHUNKS = "chunk long, lang string, source string, text string, term string, docs long"
-_CHUNKS_ARROW = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("text", pa.string()), ("term", pa.string()), ("docs", pa.int64())])
+_CHUNKS = "chunk long, lang string, sources array<string>, texts binary, term string, docs long"
+_CHUNKS_ARROW = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("sources", pa.list_(pa.string())), ("texts", pa.binary()), ("term", pa.string()), ("docs", pa.int64())])
 
 
 def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Rows of documents (chunk, lang, source, text in plain form) and of terms (chunk, lang, term, docs)."""
+    """Rows of documents (chunk, lang, sources, texts: those of some documents in plain form, a line each, compressed) and of terms (chunk, lang, term, docs)."""
     source = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, number, held = TaskContext.get().partitionId() << 32, 0, 0
+        import zstandard
+
+        first, number, held, packer = TaskContext.get().partitionId() << 32, 0, 0, zstandard.ZstdCompressor(level=3)
         seen: dict[str, Counter] = defaultdict(Counter)
 
         def batch_of(n: int, **columns) -> pa.RecordBatch:
@@ -67,13 +69,15 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
             seen.clear()
 
         for batch in batches_of_bytes(batches, "text", 2 << 20):
-            langs, texts = batch.column(0).to_pylist(), []
-            for lang, text in zip(langs, batch.column(2).to_pylist(), strict=True):
+            by_lang = defaultdict(lambda: ([], []))
+            for lang, source, text in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 words = text.encode().translate(PLAIN).split()
                 seen[lang].update(set(words))
-                texts.append(b" ".join(words).decode())
+                sources, texts = by_lang[lang]
+                sources.append(source)
+                texts.append(b" ".join(words))
                 held += len(texts[-1])
-            yield batch_of(len(texts), lang=langs, source=batch.column(1).to_pylist(), text=texts)
+            yield batch_of(len(by_lang), lang=list(by_lang), sources=[x for x, _ in by_lang.values()], texts=[packer.compress(b"\n".join(x)) for _, x in by_lang.values()])
             if held >= size:
                 yield from terms()
                 number, held = number + 1, 0
@@ -106,14 +110,15 @@ def recount(chunked: DataFrame, groups: Groups, least_docs: int = LEAST_DOCS) ->
             yield from rows()
 
     words = found.where(F.col("docs") >= least_docs).select("chunk", "lang", "term").mapInArrow(packed, "chunk long, lang string, terms string")
-    words = words.select("chunk", "lang", "terms", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("text"))
-    texts = chunked.where("term IS NULL").select("chunk", "lang", F.lit(None).cast("string").alias("terms"), "source", "text")
+    words = words.select("chunk", "lang", "terms", F.lit(None).cast("array<string>").alias("sources"), F.lit(None).cast("binary").alias("texts"))
+    texts = chunked.where("term IS NULL").select("chunk", "lang", F.lit(None).cast("string").alias("terms"), "sources", "texts")
     target = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
+        import zstandard
 
-        group, names, automaton, hits = None, [], None, {}
+        group, names, automaton, hits, packer = None, [], None, {}, zstandard.ZstdDecompressor()
 
         def counted() -> Iterator[pa.RecordBatch]:
             if not hits:
@@ -128,20 +133,21 @@ def recount(chunked: DataFrame, groups: Groups, least_docs: int = LEAST_DOCS) ->
             out = pa.Table.from_arrays([pa.array([group[1]] * len(first)), pa.array(names).take(pa.array(term[first])), pa.ListArray.from_arrays(edge, pa.array(source)), pa.ListArray.from_arrays(edge, pa.array(counts.astype(np.int64)))], schema=target)
             yield from out.to_batches(max_chunksize=20_000)
 
-        for batch in batches_of_bytes(batches, "text", 4 << 20):
-            for chunk, lang, terms, source, text in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+        for batch in batches_of_bytes(batches, "texts", 4 << 20):
+            for chunk, lang, terms, sources, texts in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
                 if (chunk, lang) != group:
                     yield from counted()
                     group, names, automaton, hits = (chunk, lang), [], None, {}
                 if terms is not None:  # these come first
                     names += terms.split(" ")
-                elif names and text:
+                elif names:
                     if automaton is None:
                         automaton = ahocorasick.Automaton()
                         for i, name in enumerate(names):
                             automaton.add_word(f" {name} ", i)
                         automaton.make_automaton()
-                    hits.setdefault(source, array("i")).extend(map(itemgetter(1), automaton.iter(f" {text} ")))
+                    for source, text in zip(sources, packer.decompress(texts).decode().split("\n"), strict=True):
+                        hits.setdefault(source, array("i")).extend(map(itemgetter(1), automaton.iter(f" {text} ")))
         yield from counted()
 
     both = words.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "lang", F.col("terms").isNull())
@@ -323,7 +329,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     spark = docs.sparkSession
     chunked = materialize(chunks(docs), "chunks", compression="zstd")
     sources = defaultdict(list)
-    for lang, source in sorted(chunked.where("term IS NULL").select("lang", "source").distinct().collect()):
+    for lang, source in sorted(chunked.where("term IS NULL").select("lang", F.explode("sources").alias("source")).distinct().collect()):
         sources[lang].append(source)
     groups = Groups(dict(sources))
     stored = materialize(postings(recount(chunked, groups, least_docs)), "postings", compression="zstd")
