@@ -107,7 +107,7 @@ def aliased_timeline(view):
     """Aliased bytes in use by usage and bucket; ends after the last bind lie outside the trace."""
     rows = view("SELECT alloc_id, usage, bind_ts, free_ts, off AS lo, off + rsize AS hi FROM {res} WHERE usage <> 2")
     end = F.broadcast(rows.agg(F.max("bind_ts").alias("_max")))  # one row
-    ended = rows.crossJoin(end).withColumn("free_ts", F.when(F.col("free_ts") <= F.col("_max"), F.col("free_ts")).otherwise(F.when(F.col("free_ts") <= F.col("bind_ts"), F.col("free_ts"))))
+    ended = rows.crossJoin(end).withColumn("free_ts", F.when(F.col("free_ts") <= F.col("_max"), F.col("free_ts")))
     changes = aliasing.changes(ended, ["alloc_id"], "lo", "hi", "bind_ts", "free_ts", stretch=1 << 18)
     return intervals.step_timeline(changes, "usage", scalars.BUCKET)
 
@@ -738,7 +738,21 @@ def address_search(view):
     return each.where("va >= base AND va < base + size OR contains(text, x)").select(F.col("x").alias("asked"), "alloc_id", "base")
 
 sql("f04_f05_f06_categories", "SELECT res_id, heap, usage FROM {res} WHERE heap IN (0, 2) AND (CAST(1 AS INT) << usage) & 104 <> 0")
-sql("f10_overview_filter", f"SELECT res_id FROM {at(NOW, 'res')} r WHERE heap = 1 AND usage IN (5, 6) AND rsize >= 16384")
+
+
+@frame(
+    "f10_overview_filter",
+    f"""WITH r AS (SELECT * FROM {at(NOW, 'res')} q WHERE usage <> 2), g AS (SELECT alloc_id, p AS s, lead(p) OVER (PARTITION BY alloc_id ORDER BY p) AS e FROM (SELECT alloc_id, off AS p FROM r UNION SELECT alloc_id, off + rsize FROM r) q),
+w AS (SELECT r.res_id, g.e - g.s AS width, row_number() OVER (PARTITION BY g.alloc_id, g.s ORDER BY r.usage DESC, r.rsize, r.res_id DESC) AS k FROM g JOIN r ON r.alloc_id = g.alloc_id AND r.off <= g.s AND r.off + r.rsize >= g.e WHERE g.e IS NOT NULL)
+SELECT r.res_id, CAST(sum(w.width) AS BIGINT) AS adjusted FROM r JOIN w ON w.res_id = r.res_id AND w.k = 1 WHERE r.heap = 1 AND r.usage IN (5, 6) GROUP BY r.res_id HAVING sum(w.width) >= 16384""",
+)
+def overview_filter(view):
+    """Resources by the heap of their allocation (preferred and, as it is bound, actual), usage, and adjusted size."""
+    ranges = view(f"SELECT alloc_id, res_id, usage, rsize, heap, off AS lo, off + rsize AS hi FROM {at(NOW, 'res')} r WHERE usage <> 2")
+    sizes = intervals.winners(ranges, ["alloc_id"], [F.col("usage").desc(), F.col("rsize"), F.col("res_id").desc()]).where("heap = 1 AND usage IN (5, 6)")
+    return sizes.groupBy("res_id").agg(F.sum("width").alias("adjusted")).where("adjusted >= 16384")
+
+
 sql(
     "f11_visible_items",
     f"SELECT a.alloc_id, a.size FROM {at(NOW)} a JOIN (SELECT heap, sum(size) AS whole FROM {at(NOW)} x GROUP BY heap) h ON h.heap = a.heap WHERE a.size * 1000000 >= 4 * h.whole",
@@ -978,5 +992,60 @@ sql("n05_names_in_life", "SELECT res_id, t, name FROM {names} WHERE t >= created
 sql("h08_typed_events", "SELECT kind, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, max(CASE WHEN kind = 12 THEN size END) AS largest FROM {toks} GROUP BY kind")
 
 
+#: SQL for the check that says the same as a query above in another way.
+_IN_OTHER_WORDS = {
+    "w04_a11_a12_committed_bytes": "SELECT bucket, heap, CAST(sum(d) AS BIGINT) AS change FROM (SELECT bind_ts // 3000 AS bucket, heap, (hi - lo) * CASE WHEN unmap THEN -1 ELSE 1 END AS d FROM {maps} WHERE pa > 0) t GROUP BY ALL",
+    "w09_stacked_share": f"WITH s AS (SELECT heap, list_position([2, 0, 1, 3], heap) AS pos, sum(size) AS bytes FROM {at(NOW)} a GROUP BY ALL) SELECT a.heap, CAST((SELECT sum(b.bytes) FROM s b WHERE b.pos <= a.pos) AS BIGINT) AS stacked, CAST((SELECT sum(bytes) FROM s) AS BIGINT) AS total FROM s a",
+    "w10_w11_duplicate_events": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY seq) AS k FROM {toks}) SELECT t.seq, t.ts, t.kind, t.pid FROM n t WHERE NOT EXISTS (SELECT 1 FROM n f WHERE f.pid = t.pid AND f.k = t.k - 1 AND f.kind = t.kind AND f.ts // 3600 = t.ts // 3600)",
+    "w14_unique_ids": "SELECT t.seq, (t.pid << 32) + (SELECT count(*) FROM {toks} x WHERE x.kind = 12 AND x.pid = t.pid AND x.seq < t.seq) AS unique_id FROM {toks} t WHERE t.kind = 12",
+    "a07_fragmentation": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY alloc_id ORDER BY off, res_id) AS k FROM {res}) SELECT b.alloc_id, count(*) FILTER (WHERE b.off <> coalesce(a.off + a.rsize, 0)) AS fragments FROM n b LEFT JOIN n a ON a.alloc_id = b.alloc_id AND a.k = b.k - 1 GROUP BY b.alloc_id",
+    "j08_j10_u03_u04_f07_compare": f"""WITH b AS (SELECT * FROM {at(BEFORE, "res")} x), d AS (SELECT * FROM {at(AFTER, "res")} x) SELECT res_id, 1 AS compare_id, rsize AS bytes FROM d WHERE res_id IN (SELECT res_id FROM b)
+UNION ALL SELECT res_id, 2, rsize FROM b WHERE res_id NOT IN (SELECT res_id FROM d) UNION ALL SELECT res_id, 4, rsize FROM d WHERE res_id NOT IN (SELECT res_id FROM b)""",
+    "j09_semi_join": "SELECT DISTINCT a.alloc_id, a.base FROM {allocs} a JOIN {res} r ON r.alloc_id = a.alloc_id AND r.usage = 12",
+    "j10_f12_anti_join": "SELECT res_id FROM {res} EXCEPT SELECT res_id FROM {names} WHERE name = 'n7'",
+    "j11_paired_heap": "WITH n AS (SELECT alloc_id, res_id, usage = 2 AS is_heap, row_number() OVER (PARTITION BY alloc_id, usage = 2 ORDER BY res_id) AS k FROM {res} WHERE off = 0 AND usage IN (2, 3, 5)) SELECT h.alloc_id, h.res_id AS heap_id, o.res_id AS paired_id FROM n h JOIN n o ON o.alloc_id = h.alloc_id AND h.is_heap AND NOT o.is_heap AND h.k = 1 AND o.k = 1",
+    "j13_name_as_of": "SELECT res_id, name FROM (SELECT res_id, CASE WHEN t >= created THEN name END AS name, row_number() OVER (PARTITION BY res_id ORDER BY t < created, t > 5000, CASE WHEN t <= 5000 THEN -t ELSE t END) AS k FROM {names}) n WHERE k = 1",
+    "j14_r09_updates": "SELECT res_id, usage AS before_usage, usage + CAST(usage = 3 AND res_id // 5 * 5 = res_id AS INTEGER) AS after_usage FROM {res}",
+    "j15_address_list": "SELECT a.alloc_id, p.va FROM (SELECT unnest([7340132, 1048580096, 5]) AS va) p JOIN {allocs} a ON a.alloc_id = p.va // 1048576 AND p.va % 1048576 < a.size",
+    "r01_f16_f13_live_allocations": f"SELECT alloc_id, base, size, heap FROM {{allocs}} WHERE alloc_ts <= {NOW} EXCEPT SELECT alloc_id, base, size, heap FROM {{allocs}} WHERE free_ts <= {NOW}",
+    "r02_dangling_resources": f"SELECT r.res_id, a.alloc_id FROM {{allocs}} a JOIN {{res}} r ON r.alloc_id = a.alloc_id WHERE NOT (a.free_ts IS NULL OR a.free_ts > {NOW}) AND NOT r.bind_ts > {NOW}",
+    "r03_r04_episodes": "SELECT t.pid, t.seq AS created, (SELECT min(x.seq) FROM {toks} x WHERE x.kind = 12 AND x.pid = t.pid AND x.seq > t.seq) AS replaced FROM {toks} t WHERE t.kind = 12",
+    "r05_r06_bindings": "SELECT DISTINCT alloc_id, off, CASE WHEN max(CAST(usage IN (2, 3, 9) AS INTEGER)) OVER w = 1 THEN last_value(res_id) OVER o ELSE first_value(res_id) OVER o END AS bound_id FROM {res} WINDOW w AS (PARTITION BY alloc_id, off), o AS (PARTITION BY alloc_id, off ORDER BY bind_ts, res_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+    "r07_synthetic_allocations": "SELECT p.probe, p.va, 4096 AS size FROM (" + _PROBES + ") p WHERE NOT EXISTS (SELECT 1 FROM {allocs} a WHERE a.base <= p.va AND p.va < a.base + a.size)",
+    "r08_sparse_commit": "SELECT alloc_id, CASE WHEN EXISTS (SELECT 1 FROM {res} r WHERE r.alloc_id = a.alloc_id AND r.usage = 5 AND r.res_id % 11 = 0) THEN 3 ELSE heap END AS heap FROM {allocs} a",
+    "r13_r15_tokens_without_state": "SELECT DISTINCT kind, count(*) OVER (PARTITION BY kind) AS n FROM {toks} WHERE kind <> 11 AND kind <> 12",
+    "r14_f15_processes": "SELECT pid FROM {toks} GROUP BY pid HAVING bool_or(kind = 12)",
+    "r20_solitary_heaps": "SELECT r.alloc_id, r.res_id, CASE WHEN r.usage = 2 AND NOT EXISTS (SELECT 1 FROM {res} o WHERE o.alloc_id = r.alloc_id AND o.res_id <> r.res_id) THEN 3 ELSE r.usage END AS usage FROM {res} r",
+    "r21_r22_attached": f"SELECT res_id, alloc_id, NOT EXISTS (SELECT 1 FROM {at(NOW)} a WHERE a.alloc_id = r.alloc_id) AS dangling FROM {{res}} r WHERE bind_ts <= {NOW}",
+    "r26_commit_type": "SELECT r.res_id, CASE WHEN coalesce(c.n, 0) > 1 THEN 'PLACED' ELSE 'COMMITTED' END AS commit_type FROM {res} r LEFT JOIN (SELECT alloc_id, count(*) AS n FROM {res} WHERE usage <> 2 GROUP BY alloc_id) c ON c.alloc_id = r.alloc_id",
+    "r28_p20_allocation_name": """WITH one AS (SELECT alloc_id, usage = 2 AS is_heap, any_value(res_id) AS id FROM {res} WHERE usage = 2 OR off = 0 GROUP BY ALL HAVING count(*) = 1)
+SELECT a.alloc_id, coalesce((SELECT 'h' || CAST(id AS STRING) FROM one WHERE one.alloc_id = a.alloc_id AND is_heap), (SELECT 'r' || CAST(id AS STRING) FROM one WHERE one.alloc_id = a.alloc_id AND NOT is_heap)) AS name FROM {allocs} a""",
+    "a02_a10_bytes_per_heap": f"SELECT h.heap, CAST(sum(CASE WHEN a.heap = h.heap THEN size END) AS BIGINT) AS bytes, count(CASE WHEN a.heap = h.heap THEN 1 END) AS n FROM (SELECT DISTINCT heap FROM {at(NOW)} x) h CROSS JOIN {at(NOW)} a GROUP BY h.heap",
+    "a09_resources_per_usage": f"SELECT DISTINCT usage, count(*) OVER (PARTITION BY usage) AS n FROM {at(NOW, 'res')} r",
+    "a18_r25_summary": f"WITH a AS (SELECT * FROM {at(NOW)} x) SELECT " + ", ".join(f"coalesce((SELECT {e} FROM a ORDER BY {e} {d} LIMIT 1), 0) AS {n}" for n, e, d in (("min_va", "base", ""), ("max_va", "base + size", "DESC"), ("first_ts", "alloc_ts", ""), ("last_ts", "alloc_ts", "DESC"), ("least", "size", ""), ("most", "size", "DESC"))),
+    "a20_p12_size_histogram": f"SELECT CAST(least(greatest(length(bin(size * 64 // 524288)) - 1, 0), 11) AS INTEGER) AS bucket, count(*) AS n FROM {at(NOW)} a GROUP BY 1",
+    "a23_leak_statistics": f"""WITH b AS (SELECT * FROM {at(BEFORE, "res")} x), d AS (SELECT * FROM {at(AFTER, "res")} x) SELECT 1 AS compare_id, count(*) AS n, CAST(sum(rsize) AS BIGINT) AS bytes FROM d WHERE res_id IN (SELECT res_id FROM b) HAVING count(*) > 0
+UNION ALL SELECT 2, count(*), CAST(sum(rsize) AS BIGINT) FROM b WHERE res_id NOT IN (SELECT res_id FROM d) HAVING count(*) > 0 UNION ALL SELECT 4, count(*), CAST(sum(rsize) AS BIGINT) FROM d WHERE res_id NOT IN (SELECT res_id FROM b) HAVING count(*) > 0""",
+    "a24_filtered_footer": f"SELECT count(*) FILTER (WHERE k) AS n, CAST(sum(rsize) FILTER (WHERE k) AS BIGINT) AS bytes FROM (SELECT rsize, NOT (rsize < 8192 OR rsize > 131072) AND (1 << usage) & 104 <> 0 AS k FROM {at(NOW, 'res')} r) t",
+    "a26_allocation_extremes": f"SELECT (SELECT size FROM {at(NOW)} a ORDER BY size DESC LIMIT 1) AS most, (SELECT size FROM {at(NOW)} b ORDER BY size LIMIT 1) AS least",
+    "f01_f09_size_between": "SELECT alloc_id, size FROM {allocs} WHERE NOT (size < 65536 OR size > 524288)",
+    "f02_f08_substring_search": "SELECT p_partkey, p_name FROM {part} WHERE p_name ILIKE '%a1%' OR p_brand ILIKE '%brand#1%' OR p_type ILIKE '%steel%'",
+    "f04_f05_f06_categories": "SELECT res_id, heap, usage FROM {res} WHERE heap % 2 = 0 AND usage IN (3, 5, 6)",
+    "f14_table_updates": "SELECT res_id, pa FROM {maps} EXCEPT ALL SELECT res_id, pa FROM {maps} WHERE unmap OR pa = 0",
+    "f17_series_mask": f"SELECT CAST(sum(size) AS BIGINT) AS most FROM {at(NOW)} a WHERE heap < 3 GROUP BY heap ORDER BY 1 DESC LIMIT 1",
+    "f20_lookup": "SELECT alloc_id, CAST(80740352 AS BIGINT) AS base, size FROM {allocs} WHERE base = 80740352",
+    "o01_resource_order": f"WITH r AS (SELECT * FROM {at(NOW, 'res')} x) SELECT a.res_id, count(*) AS n FROM r a JOIN r b ON b.alloc_id = a.alloc_id AND (b.rsize > a.rsize OR b.rsize = a.rsize AND (CAST(b.usage <> 2 AS INTEGER), b.res_id) <= (CAST(a.usage <> 2 AS INTEGER), a.res_id)) GROUP BY a.res_id",
+    "o03_largest_allocations": f"SELECT alloc_id, size FROM (SELECT alloc_id, size, row_number() OVER (ORDER BY size DESC, alloc_id) AS k FROM {at(NOW)} a) t WHERE k <= 50",
+    "o04_history_order": "SELECT a.seq, count(*) AS n FROM {toks} a JOIN {toks} b ON b.pid = a.pid AND (b.kind, b.ts, b.seq) <= (a.kind, a.ts, a.seq) GROUP BY a.seq",
+    "o07_o08_address_order": "SELECT a.res_id, count(*) FILTER (WHERE (b.off, b.res_id) <= (a.off, a.res_id)) AS by_address, count(*) FILTER (WHERE (-b.rsize, b.res_id) <= (-a.rsize, a.res_id)) AS by_size FROM {res} a JOIN {res} b ON b.alloc_id = a.alloc_id GROUP BY a.res_id",
+    "p04_p05_p06_offsets_and_overlap": "SELECT res_id, off AS offset_in_allocation, least(off + rsize, 65536) > greatest(off, 4096) AS overlaps FROM {res}",
+    "p19_p21_p22_names": "SELECT res_id, concat('RESOURCE ', res_id) AS name, CASE WHEN coalesce(free_ts, 1000001) < 1000001 THEN 'Orphaned' ELSE ['Local', '-', '-', '-'][heap + 1] END AS label FROM {res}",
+    "n01_restamped": "SELECT res_id, name, event_time FROM (SELECT res_id, name, t - 500 AS event_time FROM {names}) n WHERE event_time >= 0",
+    "n05_names_in_life": "SELECT res_id, t, name FROM {names} WHERE t - created BETWEEN 0 AND 999",
+    "h08_typed_events": "SELECT kind, count(*) AS n, arg_min(ts, ts) AS first_ts, arg_max(ts, ts) AS last_ts, max(size) FILTER (WHERE kind = 12) AS largest FROM {toks} GROUP BY kind",
+}
+ORACLE_SQL.update({name: proxies.oracle(text) for name, text in _IN_OTHER_WORDS.items()})
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["w01_w05_w06_live_bytes"](spark, sf_dir)
