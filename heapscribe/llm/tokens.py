@@ -8,8 +8,8 @@ and offset indexes, so a reader of a document range or of the metadata alone ski
 the rest. `read_tokens` reads such files back, by document range if asked.
 
 Nulls: a null text is empty and holds the end id only; a null doc_id sorts first.
-Rows of one doc_id stand in the order of their texts' hashes, so many of them are several
-tasks' work; equal ones are interchangeable. Each row carries its number within its file, so offsets follow the stored
+Rows of one doc_id stand in the order of their texts (null first) and are several tasks' work
+where these begin differently; equal ones are interchangeable. Each row carries its number within its file, so offsets follow the stored
 order. Texts of any length are one row; columns beyond doc_id and text are not read,
 whatever their names; no rows give no rows.
 """
@@ -31,6 +31,7 @@ from .textvec import piece_hashes, strings
 END_ID = 2
 SPECIAL = "<|endoftext|>"  # fixed value of the vocabulary
 CACHE = 2_000_000
+LEAD = 64  # characters of a text by which rows of one doc_id are dealt out
 
 
 def default_vocabulary() -> str:
@@ -170,9 +171,10 @@ def encode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str
 
 def write_tokens(df: DataFrame, path: str, vocabulary: str, encoding: str = "dictionary", row_group_mb: int = 32, page_kb: int = 256, id_column: str = "doc_id", text: str = "text") -> None:
     """Writes the token files in ascending doc_id order; `part` numbers the files in that order. encoding: dictionary or delta."""
-    hashed = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
-    order = [F.col("doc_id").asc_nulls_first(), "hash"]  # rows that share an id, or have none, spread over ranges of the hash
-    ordered = hashed.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    keyed = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), F.substring(text, 1, LEAD).alias("lead"))
+    # Rows that share an id, or have none, spread over ranges of their texts' beginnings.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("lead").asc_nulls_first()]
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     options = {"parquet.block.size": row_group_mb << 20, "parquet.page.size": page_kb << 10, "parquet.page.row.count.limit": 2000, "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "parquet.writer.version": "v1" if encoding == "dictionary" else "v2", "compression": "zstd"}
     encode(ordered, vocabulary).withColumn("part", F.spark_partition_id()).write.options(**options).parquet(path)
 
