@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import groups
+
 STRETCH = 1 << 20  # bytes of address space that one sweep covers
+NEVER = (1 << 63) - 1  # the end of what lives on
 USAGES = 13  # fixed value: number of usages, of which a higher one wins
 
 
@@ -76,15 +80,41 @@ def swept(rows: list[tuple[int, int, int, int | None, int]]) -> list[tuple[int,
     return out
 
 
+def celled(lo: np.ndarray, hi: np.ndarray, start: np.ndarray, end: np.ndarray, usage: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(group, ts, usage, delta) as `swept` has them, for many groups of n ranges at once: arrays of groups by ranges, `end` NEVER for none.
+
+    Each range takes the cells, of a segment and a time, that no range of a higher usage has, so n ranges cost n cubed.
+    """
+    order = np.argsort(-usage, axis=1, kind="stable")
+    lo, hi, start, end, usage = (np.take_along_axis(x, order, 1) for x in (lo, hi, start, end, usage))
+    points, times = (np.sort(np.concatenate(x, axis=1), axis=1) for x in ((lo, hi), (start, end)))
+    widths, (count, n) = np.diff(points), lo.shape
+    free, held = np.ones((count, 2 * n - 1, 2 * n), bool), np.empty((count, n, 2 * n), np.int64)
+    for k in range(n):
+        over = (lo[:, k, None] <= points[:, :-1]) & (points[:, 1:] <= hi[:, k, None])
+        lives = (start[:, k, None] <= times) & (times < end[:, k, None])
+        mine = free & over[:, :, None] & lives[:, None, :]
+        held[:, k] = (widths[:, :, None] * mine).sum(axis=1)
+        free &= ~mine
+    for k in range(n - 1, 0, -1):  # one row for each usage
+        same = usage[:, k] == usage[:, k - 1]
+        held[:, k - 1] += np.where(same[:, None], held[:, k], 0)
+        held[same, k] = 0
+    delta = np.diff(held, axis=2, prepend=0)
+    delta *= (times != NEVER)[:, None, :]
+    g, k, t = np.nonzero(delta)
+    return g, times[g, t], usage[g, k], delta[g, k, t]
+
+
 def changes(df: DataFrame, by: list[str], low: str, high: str, start: str, end: str, usage: str = "usage", stretch: int = STRETCH) -> DataFrame:
     """(by, ts, usage, delta): how the bytes charged to each usage change over time within `by`.
 
     A range lives from `start` to before `end` (null: on); when the highest over an address ends, the next one has it.
     Charges of different addresses add up, so ranges are cut at multiples of `stretch`, and
     each stretch is swept by itself: a group of any size is the work of many tasks, and one holds the ranges of a stretch.
-    Empty ranges and lives, and rows without a range or a start, change nothing.
+    Empty ranges and lives, and rows without a range, a start or a usage, change nothing.
     """
-    real = df.where((F.col(low) < F.col(high)) & F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col(start))))
+    real = df.where((F.col(low) < F.col(high)) & F.col(start).isNotNull() & F.col(usage).isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col(start))))
     binned = real.select(*by, F.col(low).alias("_lo"), F.col(high).alias("_hi"), F.col(start).cast("long").alias("_from"), F.col(end).cast("long").alias("_to"), F.col(usage).cast("int").alias("_usage"), F.explode(F.expr(f"sequence({low} div {stretch}, ({high} - 1) div {stretch})")).alias("_bin"))
     cut = binned.withColumns({"_lo": F.expr(f"greatest(_lo, _bin * {stretch})"), "_hi": F.expr(f"least(_hi, (_bin + 1) * {stretch})")})
     types = {f.name: f.dataType.simpleString() for f in df.schema}
@@ -92,23 +122,22 @@ def changes(df: DataFrame, by: list[str], low: str, high: str, start: str, end:
     keys = [*by, "_bin"]
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, target = None, [], None
-
-        def made() -> pa.RecordBatch:
-            found = swept(held)
-            columns = [[g] * len(found) for g in group[:-1]] + ([list(c) for c in zip(*found, strict=True)] or [[], [], []])
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
-
-        for batch in batches:
-            target = target or pa.schema([*[batch.schema.field(k) for k in range(len(by))], ("ts", pa.int64()), ("usage", pa.int32()), ("delta", pa.int64())])
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[: len(keys)] != group:
-                    if held:
-                        yield made()
-                    group, held = row[: len(keys)], []
-                held.append(row[len(keys) :])
-        if held:
-            yield made()
+        def made(batch: pa.RecordBatch, first: np.ndarray, found) -> pa.RecordBatch:
+            g, *columns = found
+            at = pa.array(first[np.asarray(g, np.int64)])
+            named = [batch.column(k).take(at) for k in range(len(by))] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)]
+            return pa.RecordBatch.from_arrays(named, schema=pa.schema([*[batch.schema.field(k) for k in range(len(by))], ("ts", pa.int64()), ("usage", pa.int32()), ("delta", pa.int64())]))
+
+        for batch in groups.whole(batches, len(keys)):
+            lo, hi, start, end, usage = (batch.column(len(keys) + k).fill_null(NEVER if k == 3 else 0).to_numpy(zero_copy_only=False) for k in range(5))
+            starts, sizes = groups.bounds(batch, len(keys))
+            for first, rows in groups.even(starts, sizes, lambda n: 4 * n * n):
+                yield made(batch, first, celled(lo[rows], hi[rows], start[rows], end[rows], usage[rows]))
+            for first, size in zip(starts[sizes > groups.SMALL].tolist(), sizes[sizes > groups.SMALL].tolist(), strict=True):
+                rows = slice(first, first + size)
+                ends = [None if e == NEVER else e for e in end[rows].tolist()]
+                found = swept(list(zip(lo[rows].tolist(), hi[rows].tolist(), start[rows].tolist(), ends, usage[rows].tolist(), strict=True)))
+                yield made(batch, np.array([first]), ([0] * len(found), *(zip(*found, strict=True) if found else ([], [], []))))
 
     rows = cut.select(*keys, "_lo", "_hi", "_from", "_to", "_usage")
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(sweep, schema)

@@ -184,9 +184,10 @@ def step_timeline(deltas: DataFrame, series: str, bucket: int) -> DataFrame:
     Rows without a time count nowhere, those before time 0 in bucket 0.
     """
     timed = deltas.where("ts IS NOT NULL").select(F.greatest(F.floor(F.col("ts") / bucket).cast("long"), F.lit(0)).alias("bucket"), series, "delta")
-    end = F.broadcast(timed.agg(F.max("bucket").alias("_last")))  # one row
     order = Window.partitionBy(series).orderBy("bucket")
     steps = timed.groupBy("bucket", series).agg(F.sum("delta").alias("delta"))
+    # One row, of the sums and with them, so that both uses share one shuffle and what is below it runs once.
+    end = F.broadcast(steps.agg(F.max(F.struct("bucket", "delta")).alias("_top")).select(F.col("_top.bucket").alias("_last")))
     steps = steps.select("bucket", series, F.sum("delta").over(order).alias("_run"), F.lead("bucket").over(order).alias("_next"), (F.row_number().over(order) == 1).alias("_first"))
     ends = steps.crossJoin(end).selectExpr("bucket", series, "_run", "if(_first, 0L, bucket) AS _from", "coalesce(_next - 1, _last) AS _upto")  # end: one row
     # First by STRETCH buckets, then each of these by single ones, so no array holds a long stretch whole.

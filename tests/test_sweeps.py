@@ -4,6 +4,7 @@ import random
 import time
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,30 @@ def test_charges_of_ten_thousand_ranges_in_one_place(spark):
     assert all(r.d == 0 for r in got) and time.time() - began < 60
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 12, 33])
+def test_groups_of_one_size_together_or_alone(spark, n):
+    """Cells of many groups at once give what a sweep of each gives, and groups that are cut by batches stay whole."""
+    rnd = random.Random(n)
+    made = [[(lo := rnd.randrange(40), lo + rnd.randint(1, 20), t := rnd.randrange(15), rnd.choice([None, t + rnd.randint(1, 9)]), rnd.randrange(13)) for _ in range(n)] for _ in range(40)]
+    table = [np.array([[aliasing.NEVER if r[k] is None else r[k] for r in g] for g in made]) for k in range(5)]
+    want = sorted((g, *x) for g, rows in enumerate(made) for x in aliasing.swept(rows))
+    assert sorted(zip(*[x.tolist() for x in aliasing.celled(*table)], strict=True)) == want
+    df = spark.createDataFrame([(g, *r) for g, rows in enumerate(made) for r in rows], "g long, lo long, hi long, a long, b long, usage int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(map(tuple, aliasing.changes(df, ["g"], "lo", "hi", "a", "b").collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_timeline_works_its_changes_out_once(spark):
+    df = spark.createDataFrame([(1, 0, 9, 0, 10, 6), (1, 2, 8, 0, None, 5)], "g long, lo long, hi long, a long, b long, usage int")
+    line = intervals.step_timeline(aliasing.changes(df, ["g"], "lo", "hi", "a", "b"), "usage", 3)
+    assert len(line.collect()) == 8
+    plan = line._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1 and "ReusedExchange" in plan
+
+
 def test_a_long_gap_is_no_array(spark):
     df = spark.createDataFrame([(0, 1, 5), (3000 * 200_000_000, 1, 7)], "ts long, heap int, delta long")
     line = intervals.step_timeline(df, "heap", 3000)
