@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 from pyspark.sql.window import Window
 
+from . import groups
+
 STRETCH = 1 << 16  # buckets that one array holds at most
 
 
@@ -110,25 +117,37 @@ def cover(df: DataFrame, by: list[str], low: str = "lo", high: str = "hi") -> Da
     return df.alias("d").join(segments.alias("g"), cond).select("d.*", "g._s", "g._e")
 
 
+def celled(lo: np.ndarray, hi: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(group, range, from, to): of many groups of n ranges at once, arrays of groups by ranges, the range of the least rank over each elementary segment."""
+    order = np.argsort(rank, axis=1)
+    first, last = (np.take_along_axis(x, order, 1) for x in (lo, hi))
+    points = np.sort(np.concatenate([lo, hi], axis=1), axis=1)
+    top = np.full((len(lo), points.shape[1] - 1), -1)
+    for k in range(lo.shape[1] - 1, -1, -1):
+        top[(first[:, k, None] <= points[:, :-1]) & (points[:, 1:] <= last[:, k, None])] = k
+    g, s = np.nonzero((top >= 0) & (points[:, :-1] < points[:, 1:]))
+    return g, order[g, top[g, s]], points[g, s], points[g, s + 1]
+
+
 def topmost(df: DataFrame, by: list[str], order: list[Column], low: str = "lo", high: str = "hi") -> DataFrame:
     """Of the ranges over each elementary segment the first by `order`: df's columns and _s, _e.
 
     Ranks come from one window; then one pass over a group's ranges, sorted by their start,
     holds the open ones in a heap. So n ranges give at most 2n rows and a task's memory is
-    the ranges open at one place, however many lie over each other. Empty ranges only cut
+    the ranges open at one place, however many lie over each other. Small groups of whole
+    numbers are worked out many at once instead. Empty ranges only cut
     segments; ranges without a start or end are left out.
     """
-    import heapq
-
-    import pyarrow as pa
-
     ranked = df.where(F.col(low).isNotNull() & F.col(high).isNotNull()).withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     schema = df.withColumns({"_s": F.col(low), "_e": F.col(low)}).schema
-    names = df.columns
-    keys, at_low, at_high = [names.index(b) for b in by], names.index(low), names.index(high)
+    placed = ranked.select(*by, *[c for c in ranked.columns if c not in by])
+    names, most = df.columns, groups.SMALL if all(isinstance(df.schema[c].dataType, (ByteType, ShortType, IntegerType, LongType)) for c in (low, high)) else 0
 
     def sweep(batches):
-        target, group, place, open_, ends, out = None, None, None, [], [], []
+        target, place, open_, ends, out = None, None, [], [], []
+
+        def column(batch, name):
+            return batch.column(batch.schema.get_field_index(name))
 
         def advance(to):
             nonlocal place
@@ -149,26 +168,62 @@ def topmost(df: DataFrame, by: list[str], order: list[Column], low: str = "lo",
             out.clear()
             return batch
 
+        def swept(batch, ended):
+            """Goes on with the open group by these rows; ended: they are its last."""
+            nonlocal place
+            rows = zip(*[column(batch, n).to_pylist() for n in names], strict=True)
+            for row, rank, at, end in zip(rows, *[column(batch, n).to_pylist() for n in ("_rank", low, high)], strict=True):
+                advance(at)
+                place = at
+                heapq.heappush(open_, (rank, end, row))
+                heapq.heappush(ends, end)
+            if ended:
+                advance(None)
+                open_.clear()
+                ends.clear()
+
+        def together(batch, starts, sizes):
+            lo, hi, rank = (column(batch, n).to_numpy(zero_copy_only=False) for n in (low, high, "_rank"))
+            for first, rows in groups.even(starts, sizes, lambda n: 8 * n):
+                g, k, begins, stops = celled(lo[rows], hi[rows], rank[rows])
+                at = pa.array(first[g] + k)
+                yield pa.RecordBatch.from_arrays([*[column(batch, n).take(at) for n in names], pa.array(begins, target.field("_s").type), pa.array(stops, target.field("_e").type)], schema=target)
+
+        tail, streamed = None, None  # rows of the open group: all of them, or the last of those that went to the heaps
         for batch in batches:
-            fields = [batch.schema.field(n) for n in names]
-            target = pa.schema([*fields, fields[at_low].with_name("_s"), fields[at_low].with_name("_e")])
-            rows = zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names], strict=True)
-            for row, rank in zip(rows, batch.column(batch.schema.get_field_index("_rank")).to_pylist(), strict=True):
-                key = [row[k] for k in keys]
-                if key != group:
-                    advance(None)
-                    group, open_, ends = key, [], []
-                else:
-                    advance(row[at_low])
-                place = row[at_low]
-                heapq.heappush(open_, (rank, row[at_high], row))
-                heapq.heappush(ends, row[at_high])
-            yield flushed()
-        if target is not None:
-            advance(None)
+            if not batch.num_rows:
+                continue
+            if target is None:
+                fields = [batch.schema.field(n) for n in names]
+                target = pa.schema([*fields, batch.schema.field(low).with_name("_s"), batch.schema.field(high).with_name("_e")])
+            if streamed is not None:
+                goes_on = pa.concat_batches([streamed, batch])
+                starts, _ = groups.bounds(goes_on, len(by))
+                cut = int(starts[1]) - 1 if len(starts) > 1 else batch.num_rows
+                swept(batch.slice(0, cut), cut < batch.num_rows)
+                if cut == batch.num_rows:
+                    yield flushed()
+                    continue
+                batch, streamed = batch.slice(cut), None
+            elif tail is not None:
+                batch = pa.concat_batches([tail, batch])
+            starts, sizes = groups.bounds(batch, len(by))
+            yield from together(batch, starts[:-1][sizes[:-1] <= most], sizes[:-1][sizes[:-1] <= most])
+            for k in np.flatnonzero(sizes[:-1] > most).tolist():
+                swept(batch.slice(int(starts[k]), int(sizes[k])), True)
+            tail = batch.slice(int(starts[-1]))
+            if len(tail) > most:
+                swept(tail, False)
+                tail, streamed = None, tail.slice(len(tail) - 1)
+            if out:
+                yield flushed()
+        if streamed is not None:
+            swept(streamed.slice(1), True)
             yield flushed()
+        elif tail is not None:
+            yield from together(tail, np.array([0]), np.array([len(tail)]))
 
-    return ranked.sortWithinPartitions(*by, low).mapInArrow(sweep, schema)
+    return placed.sortWithinPartitions(*by, low).mapInArrow(sweep, schema)
 
 
 def winners(df: DataFrame, by: list[str], order: list[Column], low: str = "lo", high: str = "hi") -> DataFrame:

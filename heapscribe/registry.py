@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import enums, scalars
 from .operators import aliasing, intervals, layout, replay
@@ -305,12 +306,12 @@ STORES = ("local", "invisible", "host", "none")
 
 def mapped_state(view, maps: str = "maps") -> DataFrame:
     """(alloc_id, lo, hi, store): the latest mapping of each range, by the segment that its physical address lies in; a mapping over several is cut at their edges."""
-    last = intervals.last_writer(view(maps), ["alloc_id"])
-    host = last.where("pa = 0").selectExpr("alloc_id", "_s AS lo", "_e AS hi", "'host' AS store")
-    placed = last.where("pa <> 0").selectExpr("alloc_id", "_s", "_e - _s AS whole", "pa + _s - lo AS p")
-    zones = F.broadcast(view(_ZONES))  # the format has 8 segments at most
-    met = placed.join(zones, F.expr("p < z_hi AND z_lo < p + whole")).selectExpr("alloc_id", "_s + greatest(z_lo - p, 0L) AS lo", "_s + least(z_hi - p, whole) AS hi", "store")
-    return host.unionByName(met)
+    last = intervals.last_writer(view(maps).select("alloc_id", "lo", "hi", "seq", "pa", "unmap"), ["alloc_id"])
+    # A physical address of 0 is host memory, as a whole; with a zone of its own all goes through one join, so the state is worked out once.
+    ranges = last.selectExpr("alloc_id", "_s", "_e - _s AS whole", "pa <> 0 AS is_placed", "if(pa = 0, 0L, pa + _s - lo) AS p")
+    zones = F.broadcast(view(_ZONES).selectExpr("store", "z_lo", "z_hi", "true AS placed").unionByName(last.sparkSession.sql(f"SELECT 'host' AS store, 0L AS z_lo, {(1 << 63) - 1}L AS z_hi, false AS placed")))  # the format has 8 segments at most
+    met = ranges.join(zones, F.expr("is_placed = placed AND p < z_hi AND z_lo < p + whole"))
+    return met.selectExpr("alloc_id", "_s + greatest(z_lo - p, 0L) AS lo", "_s + least(z_hi - p, whole) AS hi", "store")
 
 
 @frame("r12_p08_j16_page_table_state", _STATE + " SELECT alloc_id, s AS lo, e AS hi, store FROM t")
@@ -318,10 +319,14 @@ def page_table(view):
     return mapped_state(view)
 
 
-def backing(view, ranges: DataFrame, key: str, maps: str = "maps") -> DataFrame:
-    """(key, local, invisible, host, none): bytes of ranges (alloc_id, key, lo, hi) by where they are mapped."""
-    under = intervals.overlap_bytes(ranges, mapped_state(view, maps), ["alloc_id"], "store").groupBy(key).agg(*[F.sum(F.when(F.col("store") == s, F.col("bytes")).otherwise(0)).alias(s) for s in STORES])
-    return ranges.join(under, key, "left").fillna(0, list(STORES)).select(key, *STORES)
+def backing(view, ranges: DataFrame, key: str, maps: str = "maps", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, local, invisible, host, none): bytes of ranges (alloc_id, key, lo, hi, keep) by where they are mapped; those of one key add up, and each has a row."""
+    own = list(dict.fromkeys(["alloc_id", key, "lo", "hi", *keep, "_row"]))
+    numbered = ranges.where(F.col(key).isNotNull()).withColumn("_row", F.monotonically_increasing_id()).alias("a")
+    met = numbered.join(mapped_state(view, maps).alias("b"), F.expr("a.alloc_id = b.alloc_id AND a.lo < b.hi AND b.lo < a.hi"), "left")
+    under = F.least("a.hi", "b.hi") - F.greatest("a.lo", "b.lo")
+    sums = met.groupBy(*[F.col(f"a.{c}") for c in own]).agg(*[F.sum(F.when(F.col("store") == s, under).otherwise(0)).alias(s) for s in STORES])
+    return sums.select(key, *keep, *[F.sum(s).over(Window.partitionBy(key)).alias(s) for s in STORES])
 
 
 def _backing(ranges: str, key: str) -> str:
@@ -336,8 +341,7 @@ _SHARES = "{whole} - local - invisible - host - none AS unmapped, local + invisi
 def _register_backing(name: str, key: str, whole: str) -> None:
     @frame(name, _STATE + f", o AS ({_backing(_WHOLE[key], key)}) SELECT o.*, {_SHARES.format(whole=whole, div='//')} FROM o JOIN ({_WHOLE[key]}) w ON w.{key} = o.{key}")
     def query(view):
-        ranges = view(_WHOLE[key])
-        return backing(view, ranges, key).join(ranges.select(key, whole), key).selectExpr(key, *STORES, *_SHARES.format(whole=whole, div="div").split(", "))
+        return backing(view, view(_WHOLE[key]), key, keep=(whole,)).selectExpr(key, *STORES, *_SHARES.format(whole=whole, div="div").split(", "))
 
 
 _register_backing("j06_a14_f18_p38_backing_bytes", "res_id", "rsize")

@@ -8,8 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from heapscribe import registry
 from heapscribe.operators import aliasing, intervals, layout, replay
 
+from .conftest import DATA
+
 
 @pytest.fixture(scope="module")
 def boxes():
@@ -139,6 +142,42 @@ def test_groups_of_one_size_together_or_alone(spark, n):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("rows", [1, 7, 10_000])
+def test_small_and_large_groups_have_one_top(spark, rows):
+    """Groups of every size from 1 to 70, whole or cut by batches, against each byte's least rank."""
+    rnd = random.Random(5)
+    made = [(g, g * 100 + i, lo := rnd.randrange(90), lo + rnd.choice([0, 1, 9, 30])) for g in range(1, 71, 3) for i in range(g)]
+    made += [(None, i, i, i + 2) for i in range(40)]
+    want = {}
+    for g, i, lo, hi in made:
+        for p in range(lo, hi):
+            want[g, p] = max(want.get((g, p), -1), i)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = intervals.topmost(spark.createDataFrame(made, "g long, id long, lo long, hi long"), ["g"], [F.col("id").desc()]).collect()
+        dated = intervals.topmost(spark.createDataFrame([(*r[:2], float(r[2]), float(r[3])) for r in made], "g long, id long, lo double, hi double"), ["g"], [F.col("id").desc()]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r._e - r._s for r in got) == len(want) and {(r.g, p): r.id for r in got for p in range(r._s, r._e)} == want
+    assert sorted(map(tuple, got), key=str) == sorted(((r.g, r.id, int(r.lo), int(r.hi), int(r._s), int(r._e)) for r in dated), key=str)
+
+
+@pytest.mark.parametrize("name", ["j06_a14_f18_p38_backing_bytes"])
+def test_the_mapped_state_is_worked_out_once(spark, name):
+    df = registry.QUERIES[name](spark, DATA)
+    assert len(df.collect()) > 0
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1 and plan.count("Scan parquet") <= 4
+
+
+def test_backing_of_ranges_that_share_a_key(spark):
+    """Bytes of one key add up, each of its ranges has one row, and a range without mappings has nothing."""
+    maps = spark.createDataFrame([(1, 0, 10, 1, 0, False), (1, 5, 15, 2, 4294967296, False), (1, 8, 9, 3, 0, True), (1, 14, 15, 4, 5, False)], "alloc_id long, lo long, hi long, seq long, pa long, unmap boolean")
+    ranges = spark.createDataFrame([(1, 7, 0, 10), (1, 7, 0, 10), (1, 8, 6, 20), (2, 9, 0, 5), (None, 10, 0, 5), (1, None, 0, 5)], "alloc_id long, res_id long, lo long, hi long")
+    got = registry.backing(lambda v: maps if v == "maps" else registry.proxies.query(spark, DATA, v), ranges, "res_id").collect()
+    assert sorted(map(tuple, got)) == [(7, 8, 0, 10, 0), (7, 8, 0, 10, 0), (8, 7, 0, 0, 1), (9, 0, 0, 0, 0), (10, 0, 0, 0, 0)]
+
+
 def test_a_timeline_works_its_changes_out_once(spark):
     df = spark.createDataFrame([(1, 0, 9, 0, 10, 6), (1, 2, 8, 0, None, 5)], "g long, lo long, hi long, a long, b long, usage int")
     line = intervals.step_timeline(aliasing.changes(df, ["g"], "lo", "hi", "a", "b"), "usage", 3)
