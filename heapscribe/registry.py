@@ -352,8 +352,7 @@ _IN_PREFERRED = "CASE heap WHEN 0 THEN local WHEN 1 THEN invisible WHEN 2 THEN h
 @frame("f19_in_preferred_heap", _STATE + f", o AS ({_backing(_WHOLE['res_id'], 'res_id')}) SELECT w.res_id, heap = 3 OR {_IN_PREFERRED} = rsize AS preferred FROM ({_WHOLE['res_id']}) w JOIN o ON o.res_id = w.res_id")
 def in_preferred_heap(view):
     """All of a resource is mapped, and in the heap that its allocation prefers; without a preference it always is."""
-    ranges = view(_WHOLE["res_id"])
-    return backing(view, ranges, "res_id").join(ranges, "res_id").selectExpr("res_id", f"heap = 3 OR {_IN_PREFERRED} = rsize AS preferred")
+    return backing(view, view(_WHOLE["res_id"]), "res_id", keep=("heap", "rsize")).selectExpr("res_id", f"heap = 3 OR {_IN_PREFERRED} = rsize AS preferred")
 
 
 sql(

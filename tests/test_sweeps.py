@@ -162,7 +162,7 @@ def test_small_and_large_groups_have_one_top(spark, rows):
     assert sorted(map(tuple, got), key=str) == sorted(((r.g, r.id, int(r.lo), int(r.hi), int(r._s), int(r._e)) for r in dated), key=str)
 
 
-@pytest.mark.parametrize("name", ["j06_a14_f18_p38_backing_bytes", "a14_f18_p38_allocation_backing"])
+@pytest.mark.parametrize("name", ["j06_a14_f18_p38_backing_bytes", "a14_f18_p38_allocation_backing", "f19_in_preferred_heap"])
 def test_the_mapped_state_is_worked_out_once(spark, name):
     df = registry.QUERIES[name](spark, DATA)
     assert len(df.collect()) > 0
