@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 
 SMALL = 32  # rows of a group that is worked out beside others of its size
 CELLS = 1 << 21  # cells of such groups that are held at once
+GATHERED, BYTES = 8, 1 << 25  # batches, and their bytes, that are worked out at once
 
 
 def bounds(batch: pa.RecordBatch, keys: int) -> tuple[np.ndarray, np.ndarray]:
@@ -24,6 +25,19 @@ def bounds(batch: pa.RecordBatch, keys: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(starts, append=batch.num_rows)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, several put together into one, and none without rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if len(held) == GATHERED or sum(b.nbytes for b in held) >= BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def whole(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
     """The batches, cut anew so that none ends within a group; a group that lies over many is put together once."""
     held: list[pa.RecordBatch] = []

@@ -6,6 +6,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 from . import groups
 
 STRETCH = 1 << 16  # buckets that one array holds at most
+WHOLE = (ByteType, ShortType, IntegerType, LongType)
 
 
 def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, width: int, on: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
@@ -129,19 +131,23 @@ def celled(lo: np.ndarray, hi: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray
     return g, order[g, top[g, s]], points[g, s], points[g, s + 1]
 
 
-def topmost(df: DataFrame, by: list[str], order: list[Column], low: str = "lo", high: str = "hi") -> DataFrame:
+def topmost(df: DataFrame, by: list[str], order: list[Column] | str, low: str = "lo", high: str = "hi") -> DataFrame:
     """Of the ranges over each elementary segment the first by `order`: df's columns and _s, _e.
 
-    Ranks come from one window; then one pass over a group's ranges, sorted by their start,
+    Ranks come from a window, or from a column of whole numbers that `order` names, the greatest
+    first and nulls last; then one pass over a group's ranges, sorted by their start,
     holds the open ones in a heap. So n ranges give at most 2n rows and a task's memory is
     the ranges open at one place, however many lie over each other. Small groups of whole
     numbers are worked out many at once instead. Empty ranges only cut
     segments; ranges without a start or end are left out.
     """
-    ranked = df.where(F.col(low).isNotNull() & F.col(high).isNotNull()).withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    latest = order if isinstance(order, str) else None
+    # The window brings a group together in either case; by the start it needs no other sort than the pass does.
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(*(order if latest is None else [low])))
+    ranked = df.where(F.col(low).isNotNull() & F.col(high).isNotNull()).withColumn("_n", number)
     schema = df.withColumns({"_s": F.col(low), "_e": F.col(low)}).schema
     placed = ranked.select(*by, *[c for c in ranked.columns if c not in by])
-    names, most = df.columns, groups.SMALL if all(isinstance(df.schema[c].dataType, (ByteType, ShortType, IntegerType, LongType)) for c in (low, high)) else 0
+    names, most = df.columns, groups.SMALL if all(isinstance(df.schema[c].dataType, WHOLE) for c in (low, high)) else 0
 
     def sweep(batches):
         target, place, open_, ends, out = None, None, [], [], []
@@ -149,6 +155,11 @@ def topmost(df: DataFrame, by: list[str], order: list[Column], low: str = "lo",
         def column(batch, name):
             return batch.column(batch.schema.get_field_index(name))
 
+        def ranks(batch):
+            if latest is None:
+                return column(batch, "_n").to_numpy(zero_copy_only=False)
+            return ~pc.fill_null(column(batch, latest).cast(pa.int64()), -(1 << 63)).to_numpy(zero_copy_only=False)
+
         def advance(to):
             nonlocal place
             while ends:
@@ -159,7 +170,7 @@ def topmost(df: DataFrame, by: list[str], order: list[Column], low: str = "lo",
                 stop = ends[0] if to is None else min(ends[0], to)
                 while open_[0][1] <= place:
                     heapq.heappop(open_)
-                out.append((*open_[0][2], place, stop))
+                out.append((*open_[0][3], place, stop))
                 place = stop
 
         def flushed():
@@ -172,10 +183,10 @@ def topmost(df: DataFrame, by: list[str], order: list[Column], low: str = "lo",
             """Goes on with the open group by these rows; ended: they are its last."""
             nonlocal place
             rows = zip(*[column(batch, n).to_pylist() for n in names], strict=True)
-            for row, rank, at, end in zip(rows, *[column(batch, n).to_pylist() for n in ("_rank", low, high)], strict=True):
+            for row, rank, number, at, end in zip(rows, ranks(batch).tolist(), *[column(batch, n).to_pylist() for n in ("_n", low, high)], strict=True):
                 advance(at)
                 place = at
-                heapq.heappush(open_, (rank, end, row))
+                heapq.heappush(open_, (rank, end, number, row))
                 heapq.heappush(ends, end)
             if ended:
                 advance(None)
@@ -183,16 +194,17 @@ def topmost(df: DataFrame, by: list[str], order: list[Column], low: str = "lo",
                 ends.clear()
 
         def together(batch, starts, sizes):
-            lo, hi, rank = (column(batch, n).to_numpy(zero_copy_only=False) for n in (low, high, "_rank"))
+            lo, hi = (column(batch, n).to_numpy(zero_copy_only=False) for n in (low, high))
+            rank, made = ranks(batch), []
             for first, rows in groups.even(starts, sizes, lambda n: 8 * n):
                 g, k, begins, stops = celled(lo[rows], hi[rows], rank[rows])
                 at = pa.array(first[g] + k)
-                yield pa.RecordBatch.from_arrays([*[column(batch, n).take(at) for n in names], pa.array(begins, target.field("_s").type), pa.array(stops, target.field("_e").type)], schema=target)
+                made.append(pa.RecordBatch.from_arrays([*[column(batch, n).take(at) for n in names], pa.array(begins, target.field("_s").type), pa.array(stops, target.field("_e").type)], schema=target))
+            if made:
+                yield pa.concat_batches(made)
 
         tail, streamed = None, None  # rows of the open group: all of them, or the last of those that went to the heaps
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in groups.gathered(batches):
             if target is None:
                 fields = [batch.schema.field(n) for n in names]
                 target = pa.schema([*fields, batch.schema.field(low).with_name("_s"), batch.schema.field(high).with_name("_e")])
@@ -226,7 +238,7 @@ def topmost(df: DataFrame, by: list[str], order: list[Column], low: str = "lo",
     return placed.sortWithinPartitions(*by, low).mapInArrow(sweep, schema)
 
 
-def winners(df: DataFrame, by: list[str], order: list[Column], low: str = "lo", high: str = "hi") -> DataFrame:
+def winners(df: DataFrame, by: list[str], order: list[Column] | str, low: str = "lo", high: str = "hi") -> DataFrame:
     """`topmost` with each segment's width."""
     return topmost(df, by, order, low, high).withColumn("width", F.col("_e") - F.col("_s")).drop("_s", "_e")
 
@@ -269,7 +281,8 @@ def overlap_bytes(ranges: DataFrame, mapped: DataFrame, by: list[str], kind: str
 
 def last_writer(maps: DataFrame, by: list[str]) -> DataFrame:
     """Page-table state from map and unmap events (by, lo, hi, seq, pa, unmap): per elementary range the last event's mapping. Ranges, never pages."""
-    return topmost(maps, by, [F.col("seq").desc()]).where("NOT unmap").withColumn("width", F.col("_e") - F.col("_s"))
+    order = "seq" if isinstance(maps.schema["seq"].dataType, WHOLE) else [F.col("seq").desc()]
+    return topmost(maps, by, order).where("NOT unmap").withColumn("width", F.col("_e") - F.col("_s"))
 
 
 def sections(df: DataFrame, by: str, chunk: int) -> DataFrame:

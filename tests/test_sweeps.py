@@ -5,11 +5,12 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from heapscribe import registry
-from heapscribe.operators import aliasing, intervals, layout, replay
+from heapscribe.operators import aliasing, groups, intervals, layout, replay
 
 from .conftest import DATA
 
@@ -170,6 +171,50 @@ def test_the_mapped_state_is_worked_out_once(spark, name):
     assert plan.count("MapInArrow") == 1 and plan.count("Scan parquet") <= 4
 
 
+@pytest.mark.parametrize("name", ["j06_a14_f18_p38_backing_bytes", "a14_f18_p38_allocation_backing", "f19_in_preferred_heap"])
+def test_mappings_are_ranked_by_their_own_numbers(spark, name):
+    df = registry.QUERIES[name](spark, DATA)
+    assert len(df.collect()) > 0
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1 and "DESC NULLS LAST" not in plan  # no sort by them
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "double"])
+@pytest.mark.parametrize("rows", [1, 10_000])
+def test_the_last_of_many_writers(spark, kind, rows):
+    """Small groups and large ones, with numbers that are missing, below 0 or not whole, against a byte at a time."""
+    rnd = random.Random(8)
+    made = []
+    for g in (1, 2, 9, 32, 33, 90):
+        seqs = rnd.sample(range(-200, 200), g)
+        made += [(g, lo := rnd.randrange(90), lo + rnd.randint(0, 30), None if k == 0 else float(q) if kind == "double" else q, k, k % 4 == 0) for k, q in enumerate(seqs)]
+    want = {}
+    for g, lo, hi, _, place, unmap in sorted(made, key=lambda r: (r[3] is not None, r[3] or 0)):
+        for p in range(lo, hi):
+            want[g, p] = None if unmap else place
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = intervals.last_writer(spark.createDataFrame(made, f"g long, lo long, hi long, seq {kind}, pa long, unmap boolean"), ["g"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r.width for r in got) == sum(v is not None for v in want.values()) and {(r.g, p): r.pa for r in got for p in range(r._s, r._e)} == {k: v for k, v in want.items() if v is not None}
+
+
+def test_writers_of_one_number_have_one_top(spark):
+    """Which of them is open, but each byte has one; rows that hold nulls need not compare."""
+    made = [(g, 0, 10, 7, None if k % 2 else k, False) for g, n in ((1, 5), (2, 50)) for k in range(n)]
+    got = intervals.last_writer(spark.createDataFrame(made, "g long, lo long, hi long, seq long, pa long, unmap boolean"), ["g"]).collect()
+    assert sorted((r.g, r._s, r._e) for r in got) == [(1, 0, 10), (2, 0, 10)]
+
+
+def test_batches_are_put_together():
+    batches = [pa.RecordBatch.from_pydict({"x": pa.array(range(n), pa.int64())}) for n in [3, 0, 1, 2, *[1] * 9]]
+    got = list(groups.gathered(iter(batches)))
+    assert [b.num_rows for b in got] == [11, 4] and pa.Table.from_batches(got) == pa.Table.from_batches(batches).combine_chunks()
+    wide = pa.RecordBatch.from_pydict({"x": pa.array(np.zeros(groups.BYTES // 8, np.int64))})
+    assert [b.num_rows for b in groups.gathered(iter([batches[0], wide, batches[2]]))] == [3 + wide.num_rows, 1]
+
+
 def test_backing_of_ranges_that_share_a_key(spark):
     """Bytes of one key add up, each of its ranges has one row, and a range without mappings has nothing."""
     maps = spark.createDataFrame([(1, 0, 10, 1, 0, False), (1, 5, 15, 2, 4294967296, False), (1, 8, 9, 3, 0, True), (1, 14, 15, 4, 5, False)], "alloc_id long, lo long, hi long, seq long, pa long, unmap boolean")
